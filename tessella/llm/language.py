@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,63 +25,70 @@ from pyspark.sql import functions as F
 from ._common import bounded_sample, fold, prepare
 
 MOST_ROWS, MOST_WORDS, LONGEST = 3000, 30_000, 5
-#: Words of evidence at which the score stops growing, and unseen words kept in a worker's cache.
-EVIDENCE, CACHE = 12, 200_000
+#: Words of evidence at which the score stops growing.
+EVIDENCE = 12
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
 class Model:
-    """Log frequencies by language of words and of n-grams of each length."""
+    """Log frequencies by language of words and of n-grams of each length: rows of one matrix."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams, self.cache = langs, words, grams, {}
+    def __init__(self, langs: list[str], rows: np.ndarray, words: dict[str, int], grams: list[dict[str, int]]):
+        self.langs, self.rows, self.words, self.grams = langs, rows, words, grams
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], longest: int = LONGEST) -> Model:
         """counts: (lang, word, n)."""
         langs = sorted({x[0] for x in counts})
         at = {x: i for i, x in enumerate(langs)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(longest)]
+        tables: list[dict[str, list[float]]] = [{} for _ in range(longest + 1)]
+
+        def add(table: dict[str, list[float]], key: str, lang: int, x: float) -> None:
+            if key not in table:
+                table[key] = [0.0] * len(langs)
+            table[key][lang] += x
+
         for lang, word, n in counts:
-            words[word][at[lang]] += n
+            add(tables[0], word, at[lang], n)
             edged, weight = f" {word} ", math.sqrt(n)
             for k in range(1, longest + 1):
                 for i in range(len(edged) - k + 1):
-                    grams[k - 1][edged[i : i + k]][at[lang]] += weight
-        return cls(langs, cls._logs(words), [cls._logs(g) for g in grams])
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray], add: float = 0.1) -> dict[str, np.ndarray]:
-        total = sum(table.values(), np.zeros(1)) + add * max(1, len(table))
-        return {k: np.log((v + add) / total) for k, v in table.items()}
-
-    def word(self, w: str) -> np.ndarray | None:
-        if (v := self.words.get(w)) is not None:
-            return v
-        if w in self.cache:
-            return self.cache[w]
-        edged, found = f" {w} ", None
+                    add(tables[k], edged[i : i + k], at[lang], weight)
+        rows, places, first = [], [], 0
+        for t in tables:
+            x = np.array(list(t.values()), np.float64).reshape(-1, len(langs)) + 0.1
+            rows.append(np.log(x / x.sum(axis=0)))
+            places.append({key: first + i for i, key in enumerate(t)})
+            first += len(t)
+        return cls(langs, np.concatenate(rows), places[0], places[1:])
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the longest length at which the word has any."""
+        edged = f" {word} "
         for k in range(min(len(self.grams), len(edged)), 0, -1):
             g = self.grams[k - 1]
-            if known := [v for i in range(len(edged) - k + 1) if (v := g.get(edged[i : i + k])) is not None]:
-                found = sum(known) / len(known)
-                break
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[w] = found
-        return found
+            if found := [x for i in range(len(edged) - k + 1) if (x := g.get(edged[i : i + k])) is not None]:
+                return found
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for w, k in Counter(words).items():
-            if (v := self.word(w)) is not None:
-                total += k * v
-                n += k
+        found = [*map(self.words.get, words)]
+        places = [x for x in found if x is not None]
+        n = len(places)
+        total = self.rows[places].sum(axis=0) if n else np.zeros(len(self.langs))
+        if n < len(words):
+            far, weights = [], []
+            for w, x in zip(words, found):
+                if x is None and (grams := self.backoff(w)):
+                    far += grams
+                    weights += [1 / len(grams)] * len(grams)
+                    n += 1
+            if far:
+                total = total + np.array(weights) @ self.rows[far]
         if not n:
             return UNKNOWN, 0.0
         best = int(np.argmax(total))
@@ -102,7 +108,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per row of docs."""
     prepare(docs.sparkSession)
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.rows, model.words, model.grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -116,7 +122,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose predicted language is not `und`, with all their columns."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.rows, model.words, model.grams))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
