@@ -18,34 +18,65 @@ and come back once each. A null doc_id is packed too. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import prepare, table
 
-SIZE, END, CACHE = 4096, 1, 400_000
+SIZE, END, CACHE = 4096, 1, 500_000
 #: Pieces ranked in one slice of a length, about; ranks covered by one row of the match table.
 SLICE, SPAN = 2000, 1 << 14
 _LOADED: dict[str, Encoder] = {}
-_BLANK = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+_BLANK, _SEPARATOR = re.compile(r"[ \t-\r]+"), re.compile(r"[\x1c-\x1f]")
+#: Characters that normal form C and lower-casing treat one by one, and that no space class has.
+_PLAIN = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u00ff]*")
+_WORD_END = b"\xff"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 for itself, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTE_OF = _byte_letters()
 
 
 class Encoder:
-    """Ids of a text by a tokenizers file whose words end at white space: words are encoded once and remembered."""
+    """Ids of a text by a tokenizers file (lower-casing BPE with word ends), word by word; words are remembered.
+
+    A run of characters between white space is encoded by itself. Runs of ASCII and Latin-1 letters take the fast way:
+    the file's merges as byte ranks for tiktoken, with a byte that UTF-8 never has as the word end. That gives the
+    library's ids if every entry of the vocabulary encodes to itself, which is tested. Other runs go to the library.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.core = Tokenizer.from_file(path)
         self.core.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        ranks = {}
+        for token, i in file["model"]["vocab"].items():
+            raw = bytes(_BYTE_OF[c] for c in token.removesuffix("</w>"))
+            ranks[raw + _WORD_END if token.endswith("</w>") else raw] = i
+        # The word end's own byte is no entry of use; it takes the place of the byte that UTF-8 lacks.
+        self.merges = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -54,18 +85,35 @@ class Encoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
+    def word(self, w: str) -> bytes:
+        """Ids of a run of characters without white space."""
+        low = w.lower()
+        if low.isalpha() and _PLAIN.fullmatch(low):
+            ids = self.merges(low.encode("utf-8") + _WORD_END)
+        elif _PLAIN.fullmatch(low):
+            ids = [i for p in self.pattern.findall(low) for i in self.merges(p.encode("utf-8") + _WORD_END)]
+        else:
+            ids = self.core.encode(w, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = text.translate(_BLANK).split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
+        # str.split also cuts at four separators that are no white space to the tokenizer.
+        words = text.split() if not _SEPARATOR.search(text) else _BLANK.split(text)
+        found = [*map(self.known.get, words)]
+        if None in found:
+            known, word = self.known, self.word
+            if len(known) > CACHE:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.core.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            for i, x in enumerate(found):
+                if x is None:
+                    w = words[i]
+                    if (x := known.get(w)) is None:
+                        x = word(w)
+                        if len(w) <= 64:
+                            known[w] = x
+                    found[i] = x
+        return b"".join(found)
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
