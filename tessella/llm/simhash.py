@@ -15,8 +15,8 @@ doc_id comes back with component_id null unless its fingerprint links it to othe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +28,22 @@ from ._common import components, prepare, table
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Above so many distinct fingerprints a bucket goes the linear way.
 BUCKET = 2048
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint: a bit is 1 if more than half of the shingles' hashes have it."""
     import xxhash
 
-    words = _WORD.findall((text or "").translate(_LOWER))
+    # Bytes lower-case only A to Z, and split at just the six white-space characters.
+    words = (text or "").encode("utf-8").lower().split()
     if not words:
         return 0
     n = len(words) - shingle + 1
     one = xxhash.xxh64_intdigest
     if n < 1:
-        hashes = np.array([one(" ".join(words), SEED)], np.uint64)
+        hashes = np.array([one(b" ".join(words), SEED)], np.uint64)
     else:
-        hashes = np.fromiter((one(x, SEED) for x in map(" ".join, zip(*(words[k:] for k in range(shingle))))), np.uint64, n)
+        hashes = np.fromiter(map(one, map(b" ".join, zip(*(words[k:] for k in range(shingle)))), repeat(SEED)), np.uint64, n)
     return _majority(hashes)
 
 
