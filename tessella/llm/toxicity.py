@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._common import bounded_sample, fold, prepare
 
 MOST_ROWS, NEAREST, BLOCK = 1500, 24, 32
-#: Texts' term vectors whose scores a worker remembers.
-CACHE = 100_000
+#: Term vectors whose scores, and words whose terms, a worker remembers.
+CACHE, WORDS = 50_000, 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,19 +63,22 @@ class Index:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _terms(self, w: str) -> tuple[int, ...]:
-        if (got := self.known.get(w)) is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = (self.vocabulary.get(t) for t in (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)))
-            got = self.known[w] = tuple(x[0] for x in found if x is not None)
-        return got
+        get = self.vocabulary.get
+        return tuple(x[0] for x in (get(w), *(get(w[:k] + "*") for k in (4, 5, 6) if len(w) > k)) if x is not None)
 
     def vector(self, text: str | None) -> dict[int, float]:
         """The text's unit TF-IDF vector over the index's terms."""
-        found: dict[int, float] = {}
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for t in self._terms(w):
-                found[t] = found.get(t, 0) + n
+        words = _WORD.findall((text or "").lower())
+        rows = [*map(self.known.get, words)]
+        if None in rows:
+            known = self.known
+            if len(known) > WORDS:
+                known.clear()
+            for i, x in enumerate(rows):
+                if x is None:
+                    w = words[i]
+                    rows[i] = known[w] = known[w] if w in known else self._terms(w)
+        found = Counter(t for row in rows if row for t in row)
         weighed = {t: (1 + np.log(n)) * self.idf[t] for t, n in found.items()}
         norm = float(np.sqrt(sum(x * x for x in weighed.values())))
         return {t: x / norm for t, x in sorted(weighed.items())} if norm else {}
