@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import prepare
 
-CHUNK, OVERLAP, CACHE = 1 << 16, 1 << 9, 300_000
+CHUNK, OVERLAP, CACHE = 1 << 16, 1 << 9, 500_000
 _LOADED: dict[tuple[str, str], Codec] = {}
 
 
@@ -41,7 +41,6 @@ class Codec:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {i: b for b, i in table.items()}
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -60,11 +59,15 @@ class Codec:
         return ids
 
     def encode(self, pieces: list[str]) -> bytes:
-        known = self.known.get
-        return b"".join([known(p) or self.piece(p) for p in pieces])
+        found = [*map(self.known.get, pieces)]
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = self.known.get(pieces[i]) or self.piece(pieces[i])
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
+        return self.core.decode_bytes(memoryview(ids).cast("I").tolist())
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
