@@ -2,5 +2,300 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.alphabet import DNA, PROTEIN, detect
+from .operators import composition as comp
+from .operators import delta, null
+from .sources import report
+from .sources import tables as src
+
+#: Permutations, quantiles and batch sizes of the registered queries.
+P, K, TOP = 10, 20, 5
 QUERIES: dict = {}
 ORACLES: dict = {}
+_LETTERS = {"docs": (src.documents_letters, PROTEIN), "events": (src.events_letters, DNA), "lineitem": (src.lineitem_letters, DNA)}
+
+# --- DuckDB: alignments and the steps over them, as common table expressions -----------------------------------------
+
+_DOCS = f"""letters AS (
+  SELECT doc_id AS taxon_id, i - 1 AS col_idx, upper(substr(text, i, 1)) AS r
+  FROM (SELECT doc_id, text, unnest(range(1, {src.WIDTH + 1})) AS i FROM documents WHERE length(text) >= {src.WIDTH} AND doc_id < {src.DOCS})
+), alpha AS (SELECT '{PROTEIN}' AS a)"""
+_EVENTS = f"""letters AS (
+  SELECT user_id AS taxon_id, i - 1 AS col_idx, CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' WHEN 'view' THEN 'T' ELSE '-' END AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i <= 40
+), alpha AS (SELECT '{DNA}' AS a)"""
+_LINEITEM = f"""letters AS (
+  SELECT l_suppkey AS taxon_id, i - 1 AS col_idx, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'A' WHEN 'AO' THEN 'C' WHEN 'NF' THEN 'G' WHEN 'NO' THEN 'T' WHEN 'RO' THEN 'N' ELSE '-' END AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_returnflag, l_linestatus) AS i FROM lineitem) WHERE i <= 500
+), alpha AS (SELECT '{DNA}' AS a)"""
+_CELLS = """, taxa AS (SELECT taxon_id, row_number() OVER (ORDER BY taxon_id) - 1 AS t FROM (SELECT DISTINCT taxon_id FROM letters))
+, cells AS (SELECT t, col_idx AS j, CASE WHEN length(r) = 1 AND strpos(a, r) > 0 THEN strpos(a, r) - 1 ELSE -1 END AS c FROM letters JOIN taxa USING (taxon_id), alpha)
+, states AS (SELECT unnest(range(0, length(a))) AS c FROM alpha)"""
+
+
+def _count(cells: str, key: str = "0") -> str:
+    """raw, o (fudged), e and chi2 of the cells of a table, for each value of key."""
+    return f"""
+, raw AS (SELECT g.p, g.t, s.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT {key} AS p, t FROM {cells}) g CROSS JOIN states s LEFT JOIN (SELECT {key} AS p, t, c, count(*) AS n FROM {cells} WHERE c >= 0 GROUP BY ALL) x ON x.p = g.p AND x.t = g.t AND x.c = s.c)
+, o AS (SELECT p, t, c, n + CASE WHEN min(n) OVER (PARTITION BY p) = 0 THEN 1 ELSE 0 END AS n FROM raw)
+, e AS (SELECT p, t, c, n, CAST(sum(n) OVER (PARTITION BY p, c) AS DOUBLE) / sum(n) OVER (PARTITION BY p) * sum(n) OVER (PARTITION BY p, t) AS e FROM o)
+, chi AS (SELECT p, t, sum((n - e) * (n - e) / e) AS chi2 FROM e GROUP BY p, t)"""
+
+
+def _permuted(cells: str = "cells", n: int = P) -> str:
+    return f"""
+, perm AS (SELECT p, j, row_number() OVER (PARTITION BY p, j ORDER BY md5(concat_ws(':', p + {null.SEED}, j, t)), t) - 1 AS t, c FROM {cells}, (SELECT unnest(range(0, {n})) AS p))"""
+
+
+def _null() -> str:
+    """The null's scores (p, t, chi2) beside the observed ones (t, chi2)."""
+    sub = _count("perm", "p").replace("raw", "nraw").replace(", o AS", ", no AS").replace("FROM o)", "FROM no)").replace(", e AS (SELECT", ", ne AS (SELECT").replace("FROM e GROUP", "FROM ne GROUP").replace("chi AS", "nul AS")
+    return _permuted() + sub
+
+
+_SCORE = """
+, s AS (SELECT avg(chi2) AS m, median(chi2) AS med, count(*) AS n FROM nul), mad AS (SELECT median(abs(chi2 - med)) / 0.6745 AS scale FROM nul, s)
+, obs AS (SELECT t, chi2 FROM chi), nt AS (SELECT count(*) AS t FROM chi)
+, pv AS (SELECT o2.t, o2.chi2, least(1.0, CAST((SELECT count(*) FROM nul WHERE nul.chi2 >= o2.chi2) AS DOUBLE) / s.n * nt.t) AS p, (o2.chi2 - m) / scale AS z FROM obs o2, s, mad, nt)
+, tau AS (SELECT chi2 AS tau FROM (SELECT chi2, row_number() OVER (ORDER BY chi2) AS rn FROM nul), s, nt WHERE rn = s.n - CAST(floor(0.05 * s.n / nt.t) AS BIGINT))"""
+
+
+def _sql(base: str, *steps: str, end: str) -> str:
+    return "WITH " + base + _CELLS + "".join(steps) + "\n" + end
+
+
+def _cells(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int]:
+    letters, alphabet = _LETTERS[which]
+    return src.cells(letters(spark, sf_dir), alphabet), len(alphabet)
+
+
+def register(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _r(c: str, name: str | None = None, digits: int = 6):
+    return F.round(c, digits).alias(name or c)
+
+
+@register("alphabet_detect", f"""WITH {_DOCS.replace('letters AS', 'l1 AS').replace('alpha AS', 'a1 AS')}, {_EVENTS.replace('letters AS', 'l2 AS').replace('alpha AS', 'a2 AS')},
+u AS (SELECT 'docs' AS aln_id, r FROM l1 UNION ALL SELECT 'events', r FROM l2), d AS (SELECT aln_id, r FROM u WHERE length(r) = 1 AND r NOT IN ('N', '-', '?', 'X', '.', 'ẞ') GROUP BY ALL)
+SELECT aln_id, bool_and(r IN ('A', 'C', 'G', 'T')) AS is_dna, CASE WHEN bool_and(r IN ('A', 'C', 'G', 'T')) THEN '{DNA}' ELSE '{PROTEIN}' END AS alphabet, count(*) AS n_states FROM d GROUP BY aln_id""")
+def alphabet_detect(spark, sf_dir):
+    both = [_LETTERS[x][0](spark, sf_dir).select("aln_id", "residue") for x in ("docs", "events")]
+    return detect(both[0].union(both[1]))
+
+
+for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEITEM)):
+    _count_sql = _count("cells")
+
+    @register(f"encode_cells_{_which}", _sql(_base, end="SELECT t AS taxon_idx, j AS col_idx, c AS code FROM cells"))
+    def _encode(spark, sf_dir, which=_which):
+        return _cells(spark, sf_dir, which)[0].select("taxon_idx", "col_idx", "code")
+
+    @register(f"nongap_counts_{_which}", _sql(_base, end="SELECT t AS taxon_idx, count(*) AS n FROM cells WHERE c >= 0 GROUP BY t"))
+    def _nongap(spark, sf_dir, which=_which):
+        return _cells(spark, sf_dir, which)[0].filter("code >= 0").groupBy("taxon_idx").agg(F.count("*").alias("n"))
+
+    @register(f"row_counts_raw_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, n FROM raw"))
+    def _raw(spark, sf_dir, which=_which):
+        cells, n = _cells(spark, sf_dir, which)
+        return comp.counts(cells, n).select("taxon_idx", F.posexplode("o").alias("code", "n"))
+
+    @register(f"row_counts_fudged_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, n FROM o"))
+    def _fudged(spark, sf_dir, which=_which):
+        cells, n = _cells(spark, sf_dir, which)
+        return comp.fudged(comp.counts(cells, n), n).select("taxon_idx", F.posexplode("o").alias("code", "n"))
+
+    @register(f"expected_counts_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, round(e, 6) AS e FROM e"))
+    def _expected(spark, sf_dir, which=_which):
+        cells, n = _cells(spark, sf_dir, which)
+        return comp.fudged(comp.counts(cells, n), n).select("taxon_idx", F.posexplode(comp.expected()).alias("code", "e")).select("taxon_idx", "code", _r("e"))
+
+    @register(f"row_chi2_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, round(chi2, 6) AS chi2 FROM chi"))
+    def _row(spark, sf_dir, which=_which):
+        return comp.row_chi2(*_cells(spark, sf_dir, which)).select("taxon_idx", _r("chi2"))
+
+    @register(f"global_chi2_{_which}", _sql(_base, _count_sql, end="SELECT round(sum(chi2), 6) AS global_chi2, round(sum(chi2 * chi2), 4) AS quartic_chi2, round(max(chi2), 6) AS max_chi2 FROM chi"))
+    def _global(spark, sf_dir, which=_which):
+        return comp.summary(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("global_chi2"), _r("quartic_chi2", digits=4), _r("max_chi2"))
+
+    @register(f"chi2_spread_{_which}", _sql(_base, _count_sql, ", m AS (SELECT median(chi2) AS med, avg(chi2) AS mean FROM chi)", end="SELECT round(any_value(mean), 6) AS mean, round(any_value(med), 6) AS median, round(median(abs(chi2 - med)), 6) AS mad FROM chi, m"))
+    def _spread(spark, sf_dir, which=_which):
+        return comp.spread(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("mean"), _r("median"), _r("mad"))
+
+
+_PS = ", ".join(repr(p) for p in comp.positions(K))
+
+
+@register("chi2_quantiles", _sql(_DOCS, _count("cells"), end=f"SELECT i - 1 AS k, round(q[i], 6) AS q FROM (SELECT q, unnest(range(1, {K + 1})) AS i FROM (SELECT quantile_cont(chi2, [{_PS}]) AS q FROM chi))"))
+def chi2_quantiles(spark, sf_dir):
+    q = comp.quantiles(comp.row_chi2(*_cells(spark, sf_dir, "docs")), K)
+    return q.select(F.posexplode("q").alias("k", "q")).select("k", _r("q"))
+
+
+@register("permuted_cells", _sql(_EVENTS, _permuted(n=2), end="SELECT p AS perm, t AS taxon_idx, j AS col_idx, c AS code FROM perm"))
+def permuted_cells(spark, sf_dir):
+    return null.permuted(_cells(spark, sf_dir, "events")[0], 2).select("perm", "taxon_idx", "col_idx", "code")
+
+
+def _both(spark, sf_dir, which):
+    cells, n = _cells(spark, sf_dir, which)
+    return comp.row_chi2(cells, n), null.null_chi2(cells, n, P)
+
+
+for _which, _base in (("docs", _DOCS), ("events", _EVENTS)):
+    _steps = (_count("cells"), _null())
+
+    @register(f"null_row_chi2_{_which}", _sql(_base, *_steps, end="SELECT p AS perm, t AS taxon_idx, round(chi2, 6) AS chi2 FROM nul"))
+    def _nulls(spark, sf_dir, which=_which):
+        return _both(spark, sf_dir, which)[1].select("perm", "taxon_idx", _r("chi2"))
+
+    @register(f"null_summary_{_which}", _sql(_base, *_steps, end="SELECT p AS perm, round(sum(chi2), 6) AS total, round(max(chi2), 6) AS mx, round((SELECT quantile_cont(chi2, 0.75) FROM nul), 6) AS q75, round((SELECT quantile_cont(chi2, 0.95) FROM nul), 6) AS q95 FROM nul GROUP BY p"))
+    def _summary(spark, sf_dir, which=_which):
+        per, pooled = null.summary(_both(spark, sf_dir, which)[1])
+        return per.join(pooled, "aln_id").select("perm", _r("total"), _r("mx"), _r("q75"), _r("q95"))
+
+    @register(f"empirical_p_alignment_{_which}", _sql(_base, *_steps, ", g AS (SELECT sum(chi2) AS g FROM chi), ps AS (SELECT p, sum(chi2) AS total FROM nul GROUP BY p)", end="SELECT round(any_value(g), 6) AS global_chi2, round(avg(CASE WHEN total >= g THEN 1.0 ELSE 0.0 END), 6) AS p FROM ps, g"))
+    def _palign(spark, sf_dir, which=_which):
+        return null.empirical_p_alignment(*_both(spark, sf_dir, which)).select(_r("global_chi2"), _r("p"))
+
+    @register(f"empirical_p_taxon_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT t AS taxon_idx, round(p, 6) AS p FROM pv"))
+    def _ptaxon(spark, sf_dir, which=_which):
+        return null.empirical_p_taxon(*_both(spark, sf_dir, which)).select("taxon_idx", _r("p"))
+
+    @register(f"robust_z_taxon_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT t AS taxon_idx, round(z, 6) AS z FROM pv"))
+    def _z(spark, sf_dir, which=_which):
+        return null.robust_z(*_both(spark, sf_dir, which)).select("taxon_idx", _r("z"))
+
+    @register(f"biased_threshold_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT round(any_value(tau), 6) AS tau, count(*) FILTER (WHERE chi2 > tau) AS n_biased FROM chi, tau"))
+    def _tau(spark, sf_dir, which=_which):
+        chi2, nul = _both(spark, sf_dir, which)
+        return chi2.join(null.threshold(chi2, nul), "aln_id").groupBy("aln_id").agg(F.round(F.first("tau"), 6).alias("tau"), F.count_if(F.col("chi2") > F.col("tau")).alias("n_biased")).select("tau", "n_biased")
+
+    @register(f"biased_taxa_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT t AS taxon_idx FROM pv WHERE p < 0.05"))
+    def _biased(spark, sf_dir, which=_which):
+        return null.taxon_scores(*_both(spark, sf_dir, which)).filter("biased").select("taxon_idx")
+
+    @register("taxon_score_report" if _which == "docs" else f"taxon_score_report_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT taxon_id, round(pv.p, 4) AS p, round(z, 2) AS z FROM pv JOIN taxa USING (t)"))
+    def _report(spark, sf_dir, which=_which):
+        got = null.taxon_scores(*_both(spark, sf_dir, which))
+        ids = src.taxa(_LETTERS[which][0](spark, sf_dir))
+        return got.join(ids, ["aln_id", "taxon_idx"]).select("taxon_id", _r("p", digits=4), _r("z", digits=2))
+
+
+_REF = f"""
+, zs AS (SELECT (chi2 - m) / scale AS z FROM nul, s, mad), nq AS (SELECT quantile_cont(z, [{_PS}]) AS zq FROM zs), cq AS (SELECT quantile_cont(chi2, [{_PS}]) AS rq FROM nul)"""
+
+
+@register("null_z_reference", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, end="SELECT round(m, 6) AS z_mean, round(scale, 6) AS z_scale, i - 1 AS k, round(zq[i], 6) AS q FROM (SELECT m, scale, zq, unnest(range(1, %d)) AS i FROM s, mad, nq)" % (K + 1)))
+def null_z_reference(spark, sf_dir):
+    r = null.reference(_both(spark, sf_dir, "events")[1], K)
+    return r.select("z_mean", "z_scale", F.posexplode("q").alias("k", "q")).select(_r("z_mean"), _r("z_scale"), "k", _r("q"))
+
+
+def _w(values: str, target: str) -> str:
+    return f"list_avg(list_transform(range(1, {K + 1}), lambda i: abs(({values})[i] - ({target})[i])))"
+
+
+@register("row_wasserstein", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, end=f"SELECT round({_w('oq', 'rq')}, 6) AS w, round({_w('ozq', 'zq')}, 6) AS w_z FROM (SELECT quantile_cont(chi2, [{_PS}]) AS oq, quantile_cont((chi2 - m) / scale, [{_PS}]) AS ozq FROM chi, s, mad), nq, cq"))
+def row_wasserstein(spark, sf_dir):
+    chi2, nul = _both(spark, sf_dir, "events")
+    ref = null.reference(nul, K)
+    z = chi2.join(ref.drop("q"), "aln_id").withColumn("z", (F.col("chi2") - F.col("z_mean")) / F.col("z_scale"))
+    raw, on_z = comp.wasserstein(chi2, comp.quantiles(nul, K), K), comp.wasserstein(z, ref.select("aln_id", "q"), K, "z").withColumnRenamed("w", "w_z")
+    return raw.join(on_z, "aln_id").select(_r("w"), _r("w_z"))
+
+
+#: Naive recount: every site taken out of the fudged counts in turn.
+_LOO = """
+, lo AS (SELECT x.j, o.t, o.c, o.n - CASE WHEN k.c = o.c THEN 1 ELSE 0 END AS n FROM (SELECT DISTINCT j FROM cells) x CROSS JOIN o JOIN cells k ON k.j = x.j AND k.t = o.t)
+, le AS (SELECT j, t, c, n, coalesce(CAST(sum(n) OVER (PARTITION BY j, c) AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY j), 0), 0) * sum(n) OVER (PARTITION BY j, t) AS e0 FROM lo)
+, lf AS (SELECT j, t, c, n, e0 + CASE WHEN min(e0) OVER (PARTITION BY j) = 0 THEN 1 ELSE 0 END AS e FROM le)
+, lchi AS (SELECT j, t, sum((n - e) * (n - e) / e) AS chi2 FROM lf GROUP BY j, t)"""
+
+
+for _which, _base in (("docs", _DOCS), ("events", _EVENTS)):
+    for _scorer, _x in (("squared", "chi2"), ("quartic", "chi2 * chi2")):
+
+        @register(f"delta_{_scorer}_{_which}", _sql(_base, _count("cells"), _LOO, end=f"SELECT j AS col_idx, round((SELECT sum({_x}) FROM chi) - sum({_x}), {6 if _scorer == 'squared' else 3}) AS delta FROM lchi GROUP BY j"))
+        def _delta(spark, sf_dir, which=_which, scorer=_scorer):
+            return delta.site_deltas(*_cells(spark, sf_dir, which), scorer).select("col_idx", _r("delta", digits=6 if scorer == "squared" else 3))
+
+
+for _scorer, _obs, _target in (("wasserstein", "(chi2 - m) / scale", "zq"), ("wasserstein_raw", "chi2", "rq")):
+
+    @register(f"delta_{_scorer}", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, _LOO, f", lq AS (SELECT j, quantile_cont({_obs}, [{_PS}]) AS q FROM lchi, s, mad GROUP BY j), bq AS (SELECT quantile_cont({_obs}, [{_PS}]) AS q0 FROM chi, s, mad)", end=f"SELECT j AS col_idx, round({_w('q0', _target)} - {_w('q', _target)}, 6) AS delta FROM lq, bq, nq, cq"))
+    def _wdelta(spark, sf_dir, scorer=_scorer):
+        cells, n = _cells(spark, sf_dir, "events")
+        nul = null.null_chi2(cells, n, P)
+        ref = null.reference(nul, K)
+        if scorer == "wasserstein_raw":
+            ref = ref.drop("q").join(comp.quantiles(nul, K), "aln_id")
+        return delta.site_deltas(cells, n, scorer, ref, K).select("col_idx", _r("delta"))
+
+
+#: A matrix in which taking out some site leaves a state without any count.
+_BARE = ["CAG", "CAT", "CAG", "CAG"]
+
+
+def _literal(rows: list[str]) -> str:
+    values = ", ".join(f"({t}, {j}, '{x}')" for t, s in enumerate(rows) for j, x in enumerate(s))
+    return f"letters(taxon_id, col_idx, r) AS (VALUES {values}), alpha AS (SELECT '{DNA}' AS a)"
+
+
+@register("delta_degenerate", _sql(_literal(_BARE), _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT sum(chi2) FROM chi) - sum(chi2), 6) AS delta FROM lchi GROUP BY j"))
+def delta_degenerate(spark, sf_dir):
+    rows = [("bare", t, j, x) for t, s in enumerate(_BARE) for j, x in enumerate(s)]
+    letters = spark.createDataFrame(rows, "aln_id string, taxon_id int, col_idx int, residue string")
+    return delta.site_deltas(src.cells(letters, DNA), 4).select("col_idx", _r("delta"))
+
+
+_PDELTA = _LOO.replace("SELECT DISTINCT j FROM cells", "SELECT DISTINCT p, j FROM perm").replace("lo AS (SELECT x.j", "lo AS (SELECT x.p, x.j").replace("CROSS JOIN o JOIN cells k ON k.j = x.j AND k.t = o.t", "JOIN no o ON o.p = x.p JOIN perm k ON k.p = x.p AND k.j = x.j AND k.t = o.t").replace("SELECT j, t", "SELECT p, j, t").replace("PARTITION BY j", "PARTITION BY p, j").replace("GROUP BY j, t", "GROUP BY p, j, t")
+_NULLMAX = _PDELTA + ", ld AS (SELECT p, j, sum(chi2) AS w FROM lchi GROUP BY p, j), nb AS (SELECT p, sum(chi2) AS base FROM nul GROUP BY p), nm AS (SELECT p, max(base - w) AS mx FROM ld JOIN nb USING (p) GROUP BY p)"
+
+
+@register("delta_null_max", _sql(_EVENTS, _count("cells"), _null(), _NULLMAX, end="SELECT p AS perm, round(mx, 6) AS max_delta FROM nm"))
+def delta_null_max(spark, sf_dir):
+    cells, n = _cells(spark, sf_dir, "events")
+    return delta.delta_null(null.permuted(cells, P), n).select("perm", _r("max_delta"))
+
+
+_TOPS = _LOO + f", d AS (SELECT j, (SELECT sum(chi2) FROM chi) - sum(chi2) AS delta FROM lchi GROUP BY j), top AS (SELECT j, delta, row_number() OVER (ORDER BY round(delta, 9) DESC, j) AS rk FROM d QUALIFY rk <= {TOP})"
+
+
+@register("topk_sites", _sql(_EVENTS, _count("cells"), _TOPS, end="SELECT j AS col_idx, round(delta, 6) AS delta FROM top"))
+def topk_sites(spark, sf_dir):
+    return delta.top_sites(delta.site_deltas(*_cells(spark, sf_dir, "events")), TOP).select("col_idx", _r("delta"))
+
+
+_TOPS2 = _TOPS.replace(" lo AS", " l2o AS").replace("FROM lo)", "FROM l2o)").replace(" le AS", " l2e AS").replace("FROM le)", "FROM l2e)").replace(" lf AS", " l2f AS").replace("FROM lf GROUP", "FROM l2f GROUP").replace("lchi", "l2chi")
+
+
+@register("delta_null_walk", _sql(_EVENTS, _count("cells"), _null(), _NULLMAX, _TOPS2, ", w AS (SELECT rk, j, delta, (SELECT avg(CASE WHEN mx >= delta THEN 1.0 ELSE 0.0 END) FROM nm) AS p FROM top)", end="SELECT rk AS rank, j AS col_idx, round(delta, 6) AS delta, round(p, 6) AS p FROM (SELECT *, max(p) OVER (ORDER BY rk) AS worst FROM w) WHERE worst <= 0.05"))
+def delta_null_walk(spark, sf_dir):
+    cells, n = _cells(spark, sf_dir, "events")
+    got = delta.justified(delta.top_sites(delta.site_deltas(cells, n), TOP), delta.delta_null(null.permuted(cells, P), n))
+    return got.select("rank", "col_idx", _r("delta"), _r("p"))
+
+
+_REMOVED = [0, 7, 13]
+
+
+@register("pruned_sequences", _sql(_EVENTS, end=f"SELECT taxon_id, string_agg(r, '' ORDER BY col_idx) AS seq FROM letters WHERE col_idx NOT IN ({', '.join(map(str, _REMOVED))}) GROUP BY taxon_id"))
+def pruned_sequences(spark, sf_dir):
+    return report.sequences(_LETTERS["events"][0](spark, sf_dir).filter(~F.col("col_idx").isin(_REMOVED))).select("taxon_id", "seq")
+
+
+@register("fasta_lines", _sql(_DOCS, end=f"SELECT taxon_id, '>' || taxon_id || chr(10) || rtrim(regexp_replace(string_agg(CASE WHEN length(r) = 1 AND strpos('{PROTEIN}', r) > 0 THEN r ELSE '-' END, '' ORDER BY col_idx), '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS fasta FROM letters GROUP BY taxon_id"))
+def fasta_lines(spark, sf_dir):
+    letters = _LETTERS["docs"][0](spark, sf_dir).withColumn("residue", F.when(F.col("residue").isin(*PROTEIN), F.col("residue")).otherwise("-"))
+    return report.fasta(report.sequences(letters)).select("taxon_id", "fasta")
