@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions.alphabet import DNA, PROTEIN, detect
 from .operators import composition as comp
 from .operators import delta, null
+from .plans import analyses
 from .sources import report
 from .sources import tables as src
 
@@ -299,3 +300,21 @@ def pruned_sequences(spark, sf_dir):
 def fasta_lines(spark, sf_dir):
     letters = _LETTERS["docs"][0](spark, sf_dir).withColumn("residue", F.when(F.col("residue").isin(*PROTEIN), F.col("residue")).otherwise("-"))
     return report.fasta(report.sequences(letters)).select("taxon_id", "fasta")
+
+
+def _taxa(spark, sf_dir):
+    """The documents alignment as sequences, cut to 30 taxa and 60 sites: the loop is costly and its state is tested."""
+    letters = _LETTERS["docs"][0](spark, sf_dir, 30).filter("col_idx < 60").withColumn("residue", F.when(F.col("residue").isin(*PROTEIN), F.col("residue")).otherwise("-"))
+    return report.sequences(letters).join(src.taxa(letters), ["aln_id", "taxon_id"]).withColumn("taxon_id", F.col("taxon_id").cast("string"))
+
+
+@register("prune_log_full")
+def prune_log_full(spark, sf_dir):
+    got = analyses.prune(_taxa(spark, sf_dir), "squared", 6, P, 2).filter("kind = 'log'")
+    return got.select("seq", "iteration", "original_index", "global_chi2", "initial_score", "delta", "significant_taxa", "null_p", "algorithm")
+
+
+@register("before_after_scores")
+def before_after_scores(spark, sf_dir):
+    got = analyses.prune(_taxa(spark, sf_dir), "squared", 6, P, 2).filter("kind = 'score'")
+    return got.select("taxon_id", "before_z", "before_p", "after_z", "after_p", "delta_z")
