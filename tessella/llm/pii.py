@@ -25,7 +25,7 @@ from . import tagger
 from ._common import prepare
 
 KINDS = tagger.KINDS
-CONTEXT, STRIDE, SURE, EDGE = 24, 32, 0.97, 4
+CONTEXT, STRIDE, SURE, EDGE = 24, 32, 0.9, 4
 #: Windows decoded at once.
 BATCH = 2048
 _HINT = re.compile(r"[0-9@]|[(\[] ?(?:at|dot) ?[)\]]")
