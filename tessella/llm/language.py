@@ -41,6 +41,8 @@ class Model:
     def fit(cls, counts: list[tuple[str, str, int]], longest: int = LONGEST) -> Model:
         """counts: (lang, word, n)."""
         langs = sorted({x[0] for x in counts})
+        if not langs:
+            return cls([], np.zeros((0, 0)), {}, [])
         at = {x: i for i, x in enumerate(langs)}
         tables: list[dict[str, list[float]]] = [{} for _ in range(longest + 1)]
 
