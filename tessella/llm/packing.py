@@ -146,7 +146,7 @@ def supersteps(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int,
     opened, out = 0, []
 
     def put(free: int, first: int, n: int) -> None:
-        if free > 0:
+        if free > 0 and n > 0:
             if free not in gaps:
                 gaps[free] = []
                 insort(order, free)
@@ -160,27 +160,29 @@ def supersteps(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int,
         rank, left = 0, counts[length]
         while left:
             i = bisect_left(order, length)
+            # A gap that takes a piece and has room for another is then the smallest that fits, so a gap takes all it
+            # can before the next one is touched; the last one takes what is left.
             if i < len(order):
                 free = order[i]
                 first, n = gaps[free].pop()
-                if n > left:
-                    gaps[free].append((first + left, n - left))
-                    n = left
                 if not gaps[free]:
                     del gaps[free], order[i]
-                out.append((length, rank, rank + n, first, size - free))
-                put(free - length, first, n)
-                rank, left = rank + n, left - n
-                continue
-            # No gap holds it: each new sequence takes all it can, the last one what is left.
-            for deep in (size // length, left % (size // length)):
-                n = left // deep if deep else 0
-                for k in range(deep if n else 0):
-                    out.append((length, rank, rank + n, opened, k * length))
-                    rank, left = rank + n, left - n
-                if n:
-                    put(size - deep * length, opened, n)
-                    opened += n
+            else:
+                free, first, n = size, opened, -(-left // (size // length))
+                opened += n
+            deep = free // length
+            whole = min(n, left // deep)
+            for k in range(deep if whole else 0):
+                out.append((length, rank, rank + whole, first, size - free + k * length))
+                rank, left = rank + whole, left - whole
+            put(free - deep * length, first, whole)
+            rest = min(left, deep) if whole < n else 0
+            for k in range(rest):
+                out.append((length, rank, rank + 1, first + whole, size - free + k * length))
+                rank, left = rank + 1, left - 1
+            if rest:
+                put(free - rest * length, first + whole, 1)
+            put(free, first + whole + bool(rest), n - whole - bool(rest))
     return out
 
 
