@@ -86,8 +86,9 @@ def _pieces(text: str | None) -> tuple[int, list[bytes]]:
     return n, [file[a:b] for a, b in zip([0, *ends], ends)]
 
 
-#: Bits of the filter over rows that take part in sharing; its size is fixed, so it may be broadcast.
-FILTER = 1 << 20
+#: Bits of the filter over rows that take part in sharing; its size is fixed, so it may be broadcast. Rows that share
+#: nothing but hit it by chance move their text for nothing: a part of them near (sharing rows) / FILTER.
+FILTER = 1 << 26
 
 
 def recipes(keyed: DataFrame) -> DataFrame:
