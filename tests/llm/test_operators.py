@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import bpe, exact_dedup, language, media, packing, pii, simhash, substrings, tagger, toxicity, urls
+from tessella.llm._common import components
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, rid int"
@@ -259,3 +260,27 @@ def test_packing(docs, none, rows):
         assert filled.get(r["sequence_id"], 0) == r["offset"]
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(filled.values()) <= 4096
+
+
+@pytest.mark.parametrize("kind", ["chain", "stars", "random", "none"])
+def test_components_reach_the_least_node(spark, kind):
+    rng = random.Random(3)
+    pairs = {
+        "chain": [(i, i + 1) for i in range(60)],
+        "stars": [(i, i % 7) for i in range(7, 80)],
+        "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(150)],
+        "none": [(5, 5)],
+    }[kind]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in pairs:
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    linked = {x for u, v in pairs if u != v for x in (u, v)}
+    assert got == {x: root(x) for x in linked}
