@@ -59,8 +59,12 @@ def main(argv=None, spark: SparkSession | None = None) -> list[Path]:
     made.append(Path(f"{name}_scores.tsv"))
     report.write_tsv(made[-1], report.CHANGE_HEADER, [(r["taxon_id"], r["before_z"], r["before_p"], r["after_z"], r["after_p"], r["delta_z"]) for r in scores])
     end = out.filter("kind = 'summary'").first()
+    ids = [r["taxon_id"] for r in sorted(scores, key=lambda r: r["seq"])]
+    vectors: dict[str, list] = {}
+    for r in out.filter("values IS NOT NULL").orderBy("seq").toLocalIterator():
+        vectors.setdefault(r["kind"], []).append(r["values"])
     made.append(Path(f"{name}_score_dict.json"))
-    report.write_json(made[-1], {"schema_version": 3, "version": __version__, "algorithm": a.pruning_algorithm, "stop_reason": end["text"], "null_recomputes": end["iteration"], "taxa": [r["taxon_id"] for r in scores]})
+    report.write_json(made[-1], {"schema_version": 3, "version": __version__, "algorithm": a.pruning_algorithm, "stop_reason": end["text"], "null_recomputes": end["iteration"], "taxa": ids, "before_real": vectors["before_real"][0], "after_real": vectors["after_real"][0], "before_permuted": vectors["before_permuted"], "null_max_deltas": vectors.get("null_max_deltas", [None])[0]})
     print(end["text"])
     return made
 

@@ -76,3 +76,12 @@ def wasserstein(observed: DataFrame, null_q: DataFrame, k: int, column: str = "c
     q = quantiles(observed, k, column, keys).withColumnRenamed("q", "oq")
     off = F.zip_with("oq", "q", lambda a, b: F.abs(a - b))
     return q.join(null_q, list(null_keys)).select(*keys, (F.aggregate(off, F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))).alias("w"))
+
+
+def histogram(values: DataFrame, bins: int, column: str = "chi2", keys=KEYS) -> DataFrame:
+    """(keys, bin, low, n): equal bins from the least to the greatest value, empty ones left out; n values from low on."""
+    ends = values.groupBy(*keys).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    at = F.floor((F.col(column) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * F.lit(bins))
+    placed = values.join(ends, list(keys)).withColumn("bin", F.least(F.lit(bins - 1).cast("long"), F.coalesce(at, F.lit(0).cast("long"))))
+    low = F.first(F.col("lo") + (F.col("hi") - F.col("lo")) / F.lit(float(bins)) * F.col("bin"))
+    return placed.groupBy(*keys, "bin").agg(low.alias("low"), F.count("*").alias("n"))

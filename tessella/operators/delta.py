@@ -60,8 +60,12 @@ def site_deltas(cells: DataFrame, n_states: int, scorer: str = "squared", ref: D
 
 
 def top_sites(deltas: DataFrame, n: int) -> DataFrame:
-    """The n sites of the highest delta; ties to the lower column."""
-    return deltas.orderBy(F.round("delta", 9).desc(), "col_idx").limit(n)
+    """The n sites of the highest delta of each alignment; ties to the lower column."""
+    from pyspark.sql import Window
+
+    # Spark keeps n rows of an alignment in each task before the shuffle.
+    order = Window.partitionBy("aln_id").orderBy(F.round("delta", 9).desc(), "col_idx")
+    return deltas.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
 
 
 def delta_null(permuted_cells: DataFrame, n_states: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0) -> DataFrame:

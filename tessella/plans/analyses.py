@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, PROTEIN, code, detect
 from ..operators import composition as comp
+from ..operators import delta as site_delta
 from ..operators import null as nulls
 from ..sources.files import letters
 
-PRUNE_SCHEMA = "aln_id string, kind string, seq long, iteration int, original_index int, global_chi2 double, initial_score double, delta double, significant_taxa int, null_p double, algorithm string, taxon_id string, before_z double, before_p double, after_z double, after_p double, delta_z double, text string"
+PRUNE_SCHEMA = "aln_id string, kind string, seq long, iteration int, original_index int, global_chi2 double, initial_score double, delta double, significant_taxa int, null_p double, algorithm string, taxon_id string, before_z double, before_p double, after_z double, after_p double, delta_z double, text string, values array<double>"
 ALGORITHMS = ("squared", "quartic", "wasserstein")
 
 
@@ -31,6 +32,19 @@ def composition_test(taxa: DataFrame, permutations: int = 100, seed: int = nulls
     return parts[0].union(parts[1]).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"])
 
 
+def one_batch(cells: DataFrame, n_states: int, top_n: int, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
+    """(aln_id, rank, col_idx, delta, p, global_chi2, initial_score, significant_taxa): the first batch of the squared
+    pruning, with the scores after it; relational all through, for alignments of any size."""
+    chi2, shuffled = comp.row_chi2(cells, n_states), nulls.permuted(cells, permutations, seed)
+    null = comp.row_chi2(shuffled, n_states, ("aln_id", "perm"))
+    biased = nulls.empirical_p_alignment(chi2, null).filter(F.col("p") <= 0.95).select("aln_id", F.col("global_chi2").alias("initial_score"))
+    top = site_delta.top_sites(site_delta.site_deltas(cells, n_states), top_n)
+    batch = site_delta.justified(top, site_delta.delta_null(shuffled, n_states)).join(biased, "aln_id")
+    after = comp.row_chi2(cells.join(batch.select("aln_id", "col_idx"), ["aln_id", "col_idx"], "left_anti"), n_states)
+    end = after.join(nulls.threshold(chi2, null), "aln_id").groupBy("aln_id").agg(F.sum("chi2").alias("global_chi2"), F.count_if(F.col("chi2") > F.col("tau")).alias("significant_taxa"))
+    return batch.join(end, "aln_id")
+
+
 def bump(o: np.ndarray) -> np.ndarray:
     """Counts (taxa, states), one more everywhere if some is zero."""
     return o + 1 if (o == 0).any() else o
@@ -199,7 +213,8 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
 
 
 def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1) -> DataFrame:
-    """Prune every alignment of taxa (aln_id, taxon_idx, taxon_id, seq); rows of kind log, score, sequence and summary."""
+    """Prune every alignment of taxa (aln_id, taxon_idx, taxon_id, seq); rows of kind log, score, sequence
+    and summary, and the vectors before_real, after_real, before_permuted (a row a permutation) and null_max_deltas."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
 
@@ -222,9 +237,16 @@ def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: i
             rows.append({"kind": "score", "seq": t, "taxon_id": name, "before_z": bz[t], "before_p": bp[t], "after_z": az[t], "after_p": ap[t], "delta_z": az[t] - bz[t]})
             rows.append({"kind": "sequence", "seq": t, "taxon_id": name, "text": "".join(s[j] for j in got["alive"])})
         rows.append({"kind": "summary", "seq": 0, "text": got["reason"], "iteration": got["recomputes"], "significant_taxa": int((got["after"] > got["null"].tau).sum())})
-        names = [c.split()[0] for c in PRUNE_SCHEMA.split(", ")]
-        out = pd.DataFrame(rows).reindex(columns=names)
+        vectors = [("before_real", got["before"]), ("after_real", got["after"])]
+        vectors += [("before_permuted", v) for v in got["null"].table]
+        vectors += [("null_max_deltas", got["last"].max_delta)] if delta_null else []
+        rows += [{"kind": kind, "seq": i, "values": np.asarray(v, float).tolist()} for i, (kind, v) in enumerate(vectors)]
+        columns = [c.split() for c in PRUNE_SCHEMA.split(", ")]
+        out = pd.DataFrame(rows).reindex(columns=[name for name, _ in columns])
         out["aln_id"] = key[0]
+        for name, kind in columns:
+            if kind not in ("int", "long", "double"):  # a column without any value would be one of floats
+                out[name] = out[name].astype(object).where(out[name].notna(), None)
         for c in ("iteration", "original_index", "significant_taxa"):
             out[c] = out[c].astype("Int32")
         return out

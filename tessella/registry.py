@@ -20,18 +20,23 @@ _LETTERS = {"docs": (src.documents_letters, PROTEIN), "events": (src.events_lett
 
 # --- DuckDB: alignments and the steps over them, as common table expressions -----------------------------------------
 
+def _padded(letters: str, alphabet: str) -> str:
+    return f"""seen AS ({letters}
+), wide AS (SELECT taxon_id, max(col_idx) + 1 AS n FROM seen GROUP BY taxon_id
+), letters AS (SELECT * FROM seen UNION ALL SELECT taxon_id, unnest(range(n, w)), '-' FROM wide, (SELECT max(n) AS w FROM wide)
+), alpha AS (SELECT '{alphabet}' AS a)"""
+
+
 _DOCS = f"""letters AS (
-  SELECT doc_id AS taxon_id, i - 1 AS col_idx, upper(substr(text, i, 1)) AS r
-  FROM (SELECT doc_id, text, unnest(range(1, {src.WIDTH + 1})) AS i FROM documents WHERE length(text) >= {src.WIDTH} AND doc_id < {src.DOCS})
+  SELECT doc_id AS taxon_id, i - 1 AS col_idx, upper(r) AS r
+  FROM (SELECT doc_id, unnest(string_split(text, '')) AS r, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text <> '')
 ), alpha AS (SELECT '{PROTEIN}' AS a)"""
-_EVENTS = f"""letters AS (
-  SELECT user_id AS taxon_id, i - 1 AS col_idx, CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' WHEN 'view' THEN 'T' ELSE '-' END AS r
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i <= 40
-), alpha AS (SELECT '{DNA}' AS a)"""
-_LINEITEM = f"""letters AS (
-  SELECT l_suppkey AS taxon_id, i - 1 AS col_idx, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'A' WHEN 'AO' THEN 'C' WHEN 'NF' THEN 'G' WHEN 'NO' THEN 'T' WHEN 'RO' THEN 'N' ELSE '-' END AS r
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_returnflag, l_linestatus) AS i FROM lineitem) WHERE i <= 500
-), alpha AS (SELECT '{DNA}' AS a)"""
+_EVENTS = _padded("""
+  SELECT user_id AS taxon_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS col_idx,
+    CASE event_type WHEN 'click' THEN 'A' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'G' WHEN 'view' THEN 'T' ELSE '-' END AS r FROM events""", DNA)
+_LINEITEM = _padded("""
+  SELECT l_suppkey AS taxon_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_returnflag, l_linestatus) - 1 AS col_idx,
+    CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'A' WHEN 'AO' THEN 'C' WHEN 'NF' THEN 'G' WHEN 'NO' THEN 'T' WHEN 'RO' THEN 'N' ELSE '-' END AS r FROM lineitem""", DNA)
 _CELLS = """, taxa AS (SELECT taxon_id, row_number() OVER (ORDER BY taxon_id) - 1 AS t FROM (SELECT DISTINCT taxon_id FROM letters))
 , cells AS (SELECT t, col_idx AS j, CASE WHEN length(r) = 1 AND strpos(a, r) > 0 THEN strpos(a, r) - 1 ELSE -1 END AS c FROM letters JOIN taxa USING (taxon_id), alpha)
 , states AS (SELECT unnest(range(0, length(a))) AS c FROM alpha)"""
@@ -84,7 +89,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _r(c: str, name: str | None = None, digits: int = 6):
-    return F.round(c, digits).alias(name or c)
+    return (F.round(c, digits) + 0.0).alias(name or c)  # no negative zero
 
 
 @register("alphabet_detect", f"""WITH {_DOCS.replace('letters AS', 'l1 AS').replace('alpha AS', 'a1 AS')}, {_EVENTS.replace('letters AS', 'l2 AS').replace('alpha AS', 'a2 AS')},
@@ -98,9 +103,11 @@ def alphabet_detect(spark, sf_dir):
 for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEITEM)):
     _count_sql = _count("cells")
 
-    @register(f"encode_cells_{_which}", _sql(_base, end="SELECT t AS taxon_idx, j AS col_idx, c AS code FROM cells"))
-    def _encode(spark, sf_dir, which=_which):
-        return _cells(spark, sf_dir, which)[0].select("taxon_idx", "col_idx", "code")
+    if _which != "docs":  # every character of every document would be the result there
+
+        @register(f"encode_cells_{_which}", _sql(_base, end="SELECT t AS taxon_idx, j AS col_idx, c AS code FROM cells"))
+        def _encode(spark, sf_dir, which=_which):
+            return _cells(spark, sf_dir, which)[0].select("taxon_idx", "col_idx", "code")
 
     @register(f"nongap_counts_{_which}", _sql(_base, end="SELECT t AS taxon_idx, count(*) AS n FROM cells WHERE c >= 0 GROUP BY t"))
     def _nongap(spark, sf_dir, which=_which):
@@ -125,9 +132,9 @@ for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEIT
     def _row(spark, sf_dir, which=_which):
         return comp.row_chi2(*_cells(spark, sf_dir, which)).select("taxon_idx", _r("chi2"))
 
-    @register(f"global_chi2_{_which}", _sql(_base, _count_sql, end="SELECT round(sum(chi2), 6) AS global_chi2, round(sum(chi2 * chi2), 4) AS quartic_chi2, round(max(chi2), 6) AS max_chi2 FROM chi"))
+    @register(f"global_chi2_{_which}", _sql(_base, _count_sql, end="SELECT round(sum(chi2), 6) AS global_chi2, round(sum(chi2 * chi2), 2) AS quartic_chi2, round(max(chi2), 6) AS max_chi2 FROM chi"))
     def _global(spark, sf_dir, which=_which):
-        return comp.summary(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("global_chi2"), _r("quartic_chi2", digits=4), _r("max_chi2"))
+        return comp.summary(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("global_chi2"), _r("quartic_chi2", digits=2), _r("max_chi2"))
 
     @register(f"chi2_spread_{_which}", _sql(_base, _count_sql, ", m AS (SELECT median(chi2) AS med, avg(chi2) AS mean FROM chi)", end="SELECT round(any_value(mean), 6) AS mean, round(any_value(med), 6) AS median, round(median(abs(chi2 - med)), 6) AS mad FROM chi, m"))
     def _spread(spark, sf_dir, which=_which):
@@ -153,7 +160,7 @@ def _both(spark, sf_dir, which):
     return comp.row_chi2(cells, n), null.null_chi2(cells, n, P)
 
 
-for _which, _base in (("docs", _DOCS), ("events", _EVENTS)):
+for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
     _steps = (_count("cells"), _null())
 
     @register(f"null_row_chi2_{_which}", _sql(_base, *_steps, end="SELECT p AS perm, t AS taxon_idx, round(chi2, 6) AS chi2 FROM nul"))
@@ -186,7 +193,7 @@ for _which, _base in (("docs", _DOCS), ("events", _EVENTS)):
     def _biased(spark, sf_dir, which=_which):
         return null.taxon_scores(*_both(spark, sf_dir, which)).filter("biased").select("taxon_idx")
 
-    @register("taxon_score_report" if _which == "docs" else f"taxon_score_report_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT taxon_id, round(pv.p, 4) AS p, round(z, 2) AS z FROM pv JOIN taxa USING (t)"))
+    @register("taxon_score_report" if _which == "events" else f"taxon_score_report_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT taxon_id, round(pv.p, 4) AS p, round(z, 2) AS z FROM pv JOIN taxa USING (t)"))
     def _report(spark, sf_dir, which=_which):
         got = null.taxon_scores(*_both(spark, sf_dir, which))
         ids = src.taxa(_LETTERS[which][0](spark, sf_dir))
@@ -224,17 +231,17 @@ _LOO = """
 , lchi AS (SELECT j, t, sum((n - e) * (n - e) / e) AS chi2 FROM lf GROUP BY j, t)"""
 
 
-for _which, _base in (("docs", _DOCS), ("events", _EVENTS)):
+for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
     for _scorer, _x in (("squared", "chi2"), ("quartic", "chi2 * chi2")):
 
-        @register(f"delta_{_scorer}_{_which}", _sql(_base, _count("cells"), _LOO, end=f"SELECT j AS col_idx, round((SELECT sum({_x}) FROM chi) - sum({_x}), {6 if _scorer == 'squared' else 3}) AS delta FROM lchi GROUP BY j"))
+        @register(f"delta_{_scorer}_{_which}", _sql(_base, _count("cells"), _LOO, end=f"SELECT j AS col_idx, round((SELECT sum({_x}) FROM chi) - sum({_x}), {6 if _scorer == 'squared' else 3}) + 0.0 AS delta FROM lchi GROUP BY j"))
         def _delta(spark, sf_dir, which=_which, scorer=_scorer):
             return delta.site_deltas(*_cells(spark, sf_dir, which), scorer).select("col_idx", _r("delta", digits=6 if scorer == "squared" else 3))
 
 
 for _scorer, _obs, _target in (("wasserstein", "(chi2 - m) / scale", "zq"), ("wasserstein_raw", "chi2", "rq")):
 
-    @register(f"delta_{_scorer}", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, _LOO, f", lq AS (SELECT j, quantile_cont({_obs}, [{_PS}]) AS q FROM lchi, s, mad GROUP BY j), bq AS (SELECT quantile_cont({_obs}, [{_PS}]) AS q0 FROM chi, s, mad)", end=f"SELECT j AS col_idx, round({_w('q0', _target)} - {_w('q', _target)}, 6) AS delta FROM lq, bq, nq, cq"))
+    @register(f"delta_{_scorer}", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, _LOO, f", lq AS (SELECT j, quantile_cont({_obs}, [{_PS}]) AS q FROM lchi, s, mad GROUP BY j), bq AS (SELECT quantile_cont({_obs}, [{_PS}]) AS q0 FROM chi, s, mad)", end=f"SELECT j AS col_idx, round({_w('q0', _target)} - {_w('q', _target)}, 6) + 0.0 AS delta FROM lq, bq, nq, cq"))
     def _wdelta(spark, sf_dir, scorer=_scorer):
         cells, n = _cells(spark, sf_dir, "events")
         nul = null.null_chi2(cells, n, P)
@@ -253,7 +260,7 @@ def _literal(rows: list[str]) -> str:
     return f"letters(taxon_id, col_idx, r) AS (VALUES {values}), alpha AS (SELECT '{DNA}' AS a)"
 
 
-@register("delta_degenerate", _sql(_literal(_BARE), _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT sum(chi2) FROM chi) - sum(chi2), 6) AS delta FROM lchi GROUP BY j"))
+@register("delta_degenerate", _sql(_literal(_BARE), _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT sum(chi2) FROM chi) - sum(chi2), 6) + 0.0 AS delta FROM lchi GROUP BY j"))
 def delta_degenerate(spark, sf_dir):
     rows = [("bare", t, j, x) for t, s in enumerate(_BARE) for j, x in enumerate(s)]
     letters = spark.createDataFrame(rows, "aln_id string, taxon_id int, col_idx int, residue string")
@@ -281,13 +288,35 @@ def topk_sites(spark, sf_dir):
 _TOPS2 = _TOPS.replace(" lo AS", " l2o AS").replace("FROM lo)", "FROM l2o)").replace(" le AS", " l2e AS").replace("FROM le)", "FROM l2e)").replace(" lf AS", " l2f AS").replace("FROM lf GROUP", "FROM l2f GROUP").replace("lchi", "l2chi")
 
 
-@register("delta_null_walk", _sql(_EVENTS, _count("cells"), _null(), _NULLMAX, _TOPS2, ", w AS (SELECT rk, j, delta, (SELECT avg(CASE WHEN mx >= delta THEN 1.0 ELSE 0.0 END) FROM nm) AS p FROM top)", end="SELECT rk AS rank, j AS col_idx, round(delta, 6) AS delta, round(p, 6) AS p FROM (SELECT *, max(p) OVER (ORDER BY rk) AS worst FROM w) WHERE worst <= 0.05"))
+_WALK = _NULLMAX + _TOPS2 + """
+, w AS (SELECT rk, j, delta, (SELECT avg(CASE WHEN mx >= delta THEN 1.0 ELSE 0.0 END) FROM nm) AS p FROM top)
+, walk AS (SELECT rk, j, delta, p FROM (SELECT *, max(p) OVER (ORDER BY rk) AS worst FROM w) WHERE worst <= 0.05)"""
+
+
+@register("delta_null_walk", _sql(_LINEITEM, _count("cells"), _null(), _WALK, end="SELECT rk AS rank, j AS col_idx, round(delta, 6) + 0.0 AS delta, round(p, 6) AS p FROM walk"))
 def delta_null_walk(spark, sf_dir):
-    cells, n = _cells(spark, sf_dir, "events")
+    cells, n = _cells(spark, sf_dir, "lineitem")
     got = delta.justified(delta.top_sites(delta.site_deltas(cells, n), TOP), delta.delta_null(null.permuted(cells, P), n))
     return got.select("rank", "col_idx", _r("delta"), _r("p"))
 
 
+_AFTER = _count("kept").replace("raw", "araw").replace(", o AS", ", ao AS").replace("FROM o)", "FROM ao)").replace(", e AS (SELECT", ", ae AS (SELECT").replace("FROM e GROUP", "FROM ae GROUP").replace("chi AS", "after AS")
+_BATCH = _WALK + ", kept AS (SELECT * FROM cells WHERE j NOT IN (SELECT j FROM walk))" + _AFTER + """
+, ps AS (SELECT avg(CASE WHEN total >= g THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT sum(chi2) AS total FROM nul GROUP BY p), (SELECT sum(chi2) AS g FROM chi))
+, fin AS (SELECT sum(chi2) AS total, count(*) FILTER (WHERE chi2 > tau) AS n FROM after, tau)"""
+
+
+@register("prune_one_batch", _sql(_LINEITEM, _count("cells"), _null(), _SCORE, _BATCH, end="SELECT walk.j AS original_index, round(fin.total, 6) AS global_chi2, round((SELECT sum(chi2) FROM chi), 6) AS initial_score, round(delta, 6) + 0.0 AS delta, fin.n AS significant_taxa, round(walk.p, 6) AS null_p FROM walk, fin, ps WHERE ps.p <= 0.95"))
+def prune_one_batch(spark, sf_dir):
+    got = analyses.one_batch(*_cells(spark, sf_dir, "lineitem"), TOP, P)
+    return got.select(F.col("col_idx").alias("original_index"), _r("global_chi2"), _r("initial_score"), _r("delta"), "significant_taxa", _r("p", "null_p"))
+
+
+@register("chi2_histogram", _sql(_DOCS, _count("cells"), f", h AS (SELECT min(chi2) AS lo, max(chi2) AS hi FROM chi), b AS (SELECT CASE WHEN hi > lo THEN least({K - 1}, CAST(floor((chi2 - lo) / (hi - lo) * {K}) AS BIGINT)) ELSE 0 END AS bin, lo, hi FROM chi, h)", end=f"SELECT bin, round(any_value(lo + (hi - lo) / {K} * bin), 6) AS low, count(*) AS n FROM b GROUP BY bin"))
+def chi2_histogram(spark, sf_dir):
+    return comp.histogram(comp.row_chi2(*_cells(spark, sf_dir, "docs")), K).select("bin", _r("low"), "n")
+
+
 _REMOVED = [0, 7, 13]
 
 
@@ -303,8 +332,8 @@ def fasta_lines(spark, sf_dir):
 
 
 def _taxa(spark, sf_dir):
-    """The documents alignment as sequences, cut to 30 taxa and 60 sites: the loop is costly and its state is tested."""
-    letters = _LETTERS["docs"][0](spark, sf_dir, 30).filter("col_idx < 60").withColumn("residue", F.when(F.col("residue").isin(*PROTEIN), F.col("residue")).otherwise("-"))
+    """The lineitem alignment as sequences."""
+    letters = _LETTERS["lineitem"][0](spark, sf_dir)
     return report.sequences(letters).join(src.taxa(letters), ["aln_id", "taxon_id"]).withColumn("taxon_id", F.col("taxon_id").cast("string"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Headers of the report files.
@@ -40,3 +40,19 @@ def score_rows(scores: DataFrame) -> list[tuple]:
 
 def write_json(path: str | Path, value: dict) -> None:
     Path(path).write_text(json.dumps(value, indent=4))
+
+
+#: What the score JSON of pruning holds, as a schema.
+JSON_SCHEMA = "schema_version int, version string, algorithm string, stop_reason string, null_recomputes int, taxa array<string>, before_real array<double>, after_real array<double>, before_permuted array<array<double>>, null_max_deltas array<double>"
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """One row per score JSON at path (a file, a directory or a glob)."""
+    return spark.read.schema(JSON_SCHEMA).json(path, multiLine=True)
+
+
+def distributions(scores: DataFrame) -> DataFrame:
+    """(kind, chi2) of score JSON rows: the values whose densities are compared, long form."""
+    kinds = {"before_real": F.col("before_real"), "after_real": F.col("after_real"), "before_permuted": F.flatten("before_permuted")}
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("values")) for k, v in kinds.items()])
+    return scores.select(F.explode(each).alias("e")).select("e.kind", F.explode("e.values").alias("chi2"))

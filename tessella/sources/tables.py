@@ -2,38 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, PROTEIN, code
 
-WIDTH, DOCS = 200, 100
 EVENTS = {"click": "A", "purchase": "C", "signup": "G", "view": "T"}
 FLAGS = {"AF": "A", "AO": "C", "NF": "G", "NO": "T", "RO": "N"}
 
 
-def documents_letters(spark: SparkSession, sf_dir: str, below: int | None = DOCS) -> DataFrame:
-    """(aln_id, taxon_id, col_idx, residue): the first 200 characters of documents of at least 200."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    docs = docs.filter(F.length("text") >= WIDTH)
-    docs = docs.filter(F.col("doc_id") < below) if below else docs
-    head = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(WIDTH))).alias("i"), F.substring("text", 1, WIDTH).alias("text"))
-    return head.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), F.upper(F.substring("text", F.col("i"), F.lit(1))).alias("residue"))
+def documents_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(aln_id, taxon_id, col_idx, residue): every character of every document. Rows are of unequal length, which
+    composition does not mind; `pad` them for what permutes or removes sites."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").select("doc_id", "text")
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("col_idx", "residue"))
+    return cut.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), "col_idx", F.upper("residue").alias("residue"))
 
 
-def events_letters(spark: SparkSession, sf_dir: str, width: int = 40) -> DataFrame:
+def events_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events in order of time, padded with gaps to the longest."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type")
-    at = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter(F.col("i") <= width)
-    letter = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("event_type")], F.lit("-"))
-    return at.select(F.lit("events").alias("aln_id"), F.col("user_id").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), letter.alias("residue"))
+    at = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return pad(at.select(F.lit("events").alias("aln_id"), F.col("user_id").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), _letter(F.col("event_type"), EVENTS).alias("residue")))
 
 
-def lineitem_letters(spark: SparkSession, sf_dir: str, width: int = 500) -> DataFrame:
+def lineitem_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's lines in order of their keys, padded with gaps to the longest."""
     cols = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus"]
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*cols)
-    at = li.withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*cols[1:]))).filter(F.col("i") <= width)
-    letter = F.coalesce(F.create_map(*[F.lit(x) for kv in FLAGS.items() for x in kv])[F.concat("l_returnflag", "l_linestatus")], F.lit("-"))
-    return at.select(F.lit("lineitem").alias("aln_id"), F.col("l_suppkey").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), letter.alias("residue"))
+    at = li.withColumn("i", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*cols[1:])))
+    return pad(at.select(F.lit("lineitem").alias("aln_id"), F.col("l_suppkey").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), _letter(F.concat("l_returnflag", "l_linestatus"), FLAGS).alias("residue")))
+
+
+def _letter(value: Column, letters: dict[str, str]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])[value], F.lit("-"))
+
+
+def pad(letters: DataFrame) -> DataFrame:
+    """letters with gaps after the end of each taxon that is shorter than the longest of its alignment."""
+    n = letters.groupBy("aln_id", "taxon_id").agg((F.max("col_idx") + 1).alias("n"))
+    short = n.join(n.groupBy("aln_id").agg(F.max("n").alias("w")), "aln_id").filter("n < w")
+    gaps = short.select("aln_id", "taxon_id", F.explode(F.sequence(F.col("n"), F.col("w") - 1)).alias("col_idx"), F.lit("-").alias("residue"))
+    return letters.union(gaps)
 
 
 def taxa(letters: DataFrame) -> DataFrame:
@@ -48,4 +58,4 @@ def cells(letters: DataFrame, alphabet: str) -> DataFrame:
     return got.join(taxa(letters), ["aln_id", "taxon_id"]).select("aln_id", "taxon_idx", "col_idx", "code")
 
 
-__all__ = ["DNA", "PROTEIN", "cells", "documents_letters", "events_letters", "lineitem_letters", "taxa"]
+__all__ = ["DNA", "PROTEIN", "cells", "documents_letters", "events_letters", "lineitem_letters", "pad", "taxa"]

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessella.operators import composition as comp
 from tessella.plans import analyses as an
-from tessella.sources import files
+from tessella.sources import files, report
 
 
 def naive(x, n, score):
@@ -116,5 +118,17 @@ def test_cli_writes_reports(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(text)
     made = cli.main(["prune", "--file", str(tmp_path / "a.fasta"), "--permutations", "10", "--max_residue_pruned", "4", "--pruning_algorithm", "squared"], spark)
     assert len(made) == 4 and all(p.exists() for p in made)
+    whole = report.read_json(spark, str(made[3]))
+    row = whole.first()
+    assert row["taxa"] == [f"t{i}" for i in range(6)] and len(row["before_permuted"]) == 10 and len(row["null_max_deltas"]) == 10
+    assert all(len(v) == 6 for v in [row["before_real"], row["after_real"], *row["before_permuted"]])
+    bins = comp.histogram(report.distributions(whole), 4, keys=("kind",))
+    assert {r["kind"]: r["n"] for r in bins.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {"before_real": 6, "after_real": 6, "before_permuted": 60}
     made = cli.main(["test", "--file", str(tmp_path / "a.fasta"), "--permutations", "10", "--create_output"], spark)
     assert made[0].read_text().startswith("Row\tEmpirical-Pvalue\tZ-Score\n")
+
+
+def test_prune_without_any_removal(spark):
+    taxa = spark.createDataFrame([("a", i, f"t{i}", "ACGT" * 10) for i in range(4)] + [("b", i, f"t{i}", "ACGTTGCA"[i:] + "ACGTTGCA"[:i]) for i in range(4)], files.SCHEMA)
+    got = an.prune(taxa, "squared", 5, 10).collect()
+    assert not [r for r in got if r["kind"] == "log"] and len([r for r in got if r["kind"] == "sequence"]) == 8
