@@ -132,3 +132,19 @@ def test_prune_without_any_removal(spark):
     taxa = spark.createDataFrame([("a", i, f"t{i}", "ACGT" * 10) for i in range(4)] + [("b", i, f"t{i}", "ACGTTGCA"[i:] + "ACGTTGCA"[:i]) for i in range(4)], files.SCHEMA)
     got = an.prune(taxa, "squared", 5, 10).collect()
     assert not [r for r in got if r["kind"] == "log"] and len([r for r in got if r["kind"] == "sequence"]) == 8
+
+
+def test_one_batch_of_a_biased_alignment(spark):
+    """Against a recount of every removal, on a protein alignment with one taxon of another composition."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 20, (8, 40))
+    x[0] = np.where(rng.random(40) < 0.8, rng.integers(0, 3, 40), x[0])
+    cells = spark.createDataFrame([("a", t, j, int(x[t, j])) for t in range(8) for j in range(40)], "aln_id string, taxon_idx int, col_idx int, code int")
+    got = sorted(an.one_batch(cells, 20, 6, 20).collect(), key=lambda r: r["rank"])
+    d = naive(x, 20, lambda c: float(c.sum()))
+    order = sorted(range(40), key=lambda j: (-round(d[j], 9), j))[:6]
+    assert got and [r["col_idx"] for r in got] == order[: len(got)]
+    assert np.allclose([r["delta"] for r in got], d[order[: len(got)]])
+    kept = np.delete(x, order[: len(got)], axis=1)
+    before, after = (float(an.matrix_chi2(an.bump(an.matrix_counts(y, 20))).sum()) for y in (x, kept))
+    assert np.allclose([got[0]["initial_score"], got[0]["global_chi2"]], [before, after])
