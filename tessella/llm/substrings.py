@@ -1,17 +1,20 @@
-"""Substring deduplication by hashing of normalised units.
+"""Substring deduplication by hashing of word runs.
 
-A text falls into units: lines, cut further after sentence marks and before capitals, so that a passage set into a line
-keeps its own units. A unit is normalised (lower case, single spaces) and hashed to 128 bits; digests are counted over the
-whole corpus, and the earliest occurrence by (doc_id, unit) ranks first. In a document, consecutive units that occur
-earlier elsewhere form a passage; a passage of at least `least_words` words is removed, with its offsets in the original
-text and the place of the copy that stays. Shorter repeats, such as common lines, are left alone.
+A text's words are lower-cased and split at white space, so a passage is measured in words wherever it starts and ends. A
+run of `least_words` words that occurs before, by (doc_id, row, place), is a repeat; the words that repeats cover are
+removed, as passages with their offsets in the original text and the place of the copy that stays. So each passage of at
+least that many words is found whole, to the word, and shorter repeats, such as common lines, are left alone.
 
-Units move as digests and numbers, never as text. Common units are aggregated before they are shuffled and the join back
-is one that Spark can split.
+Not every run is compared. Winnowing picks a print, the least hash of the half-length runs in each run; equal runs pick
+equal prints. The runs of one print in a row form a block. Runs whose print is unique in the corpus are unique; where all
+blocks of a print are equal a block is compared as a whole; only the others (at passages' ends) are compared run by run.
 
-Defined results: a null or blank text has no units. Rows that share a doc_id and text are copies of one another: the one
-with the lower row number ranks first, and the other's passages are removed. A null doc_id ranks after all others. Other
-columns are ignored. An empty table gives an empty result.
+Digests and numbers are compared, of 128 bits each; text moves once, to the places of its row's repeated prints. Digests
+are aggregated before they are shuffled and the join back is one that Spark can split.
+
+Defined results: a text of fewer words, null or blank, has no runs. A text that repeats itself keeps its first copy. Rows
+that share a doc_id and text are copies of one another: the one with the lower row number ranks first, and the other's
+passages are removed. A null doc_id ranks after all others. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,62 +30,130 @@ from pyspark.sql import functions as F
 from ._common import prepare, table
 
 LEAST_WORDS = 40
-#: A unit's text: up to a line's end, a sentence mark with white space after it, or white space before a capital.
-_UNIT = re.compile(r"\S+(?:(?<![.!?])[^\S\n]+(?![A-ZÀ-ÖØ-Þ])\S+)*")
+#: Words whose hashes a worker remembers, and rows in one batch that it returns.
+WORDS, ROWS = 500_000, 50_000
+_WORD = re.compile(r"\S+")
+_BASE = 0x9E3779B97F4A7C15
+_KNOWN: dict[str, int] = {}
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit."""
+def hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word."""
     import xxhash
 
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
-        yield m.start(), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words))
+    words = text.lower().split()
+    found = [*map(_KNOWN.get, words)]
+    if None in found:
+        if len(_KNOWN) > WORDS:
+            _KNOWN.clear()
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = _KNOWN[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+    return np.fromiter(found, np.uint64, len(found))
+
+
+def blocks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, number of runs, print) of each block; a run is numbered by its first word."""
+    short = max(1, least // 2)
+    if len(words) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = np.zeros(len(words) - short + 1, np.uint64)
+    for i in range(short):
+        x = x * np.uint64(_BASE) + words[i : i + len(x)]
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    span = least - short + 1
+    pick = np.lib.stride_tricks.sliding_window_view(x, span).argmin(axis=1) + np.arange(len(x) - span + 1)
+    first = np.flatnonzero(np.diff(pick, prepend=-1))
+    return first, np.diff(first, append=len(pick)), x[pick[first]].view(np.int64)
+
+
+def prints(docs: DataFrame, least: int) -> DataFrame:
+    """(rid, at, n, f, h): every block of every row, with its print and a digest of its words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, unit, start, stop, words, h, g): every unit of every row; h and g are the digest's halves."""
+        digest = xxhash.xxh3_64_digest
+        for b in batches:
+            parts, held = [], 0
+            for r, x in zip(b.column(0).to_pylist(), b.column(1)):
+                words = hashes(x.as_py() or "")
+                at, n, f = blocks(words, least)
+                if len(at):
+                    raw = memoryview(words).cast("B")
+                    h = np.frombuffer(b"".join([digest(raw[8 * i : 8 * j]) for i, j in zip(at.tolist(), (at + n + least - 1).tolist())]), ">i8").astype(np.int64)
+                    parts.append((np.full(len(at), r), at.astype(np.int32), n.astype(np.int32), f, h))
+                    held += len(at)
+                if held >= ROWS:
+                    yield pack(parts)
+                    parts, held = [], 0
+            if parts:
+                yield pack(parts)
+
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["rid", "at", "n", "f", "h"])
+
+    return docs.select("rid", "text").mapInArrow(run, "rid long, at int, n int, f long, h long")
+
+
+def occurrences(places: DataFrame, least: int) -> DataFrame:
+    """(rid, doc_id, at, n, start, stop, h, g): the runs of places (rid, doc_id, text, p) to be compared; n of them from
+    `at` on are one. h and g are the halves of the digest of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            rid, doc, n, cols, digests = [], [], [], [], []
-            for r, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                got = list(units(x.as_py() or ""))
-                rid += [r] * len(got)
-                doc += [d] * len(got)
-                n += range(len(got))
-                cols += [u[:3] for u in got]
-                digests += [u[3] for u in got]
-                if len(rid) >= 50_000:
-                    yield pack(rid, doc, n, cols, digests)
-                    rid, doc, n, cols, digests = [], [], [], [], []
-            yield pack(rid, doc, n, cols, digests)
-
-    def pack(rid, doc, n, cols, digests) -> pa.RecordBatch:
-        spans = np.array(cols, np.int64).reshape(-1, 3)
+            parts, digests = [], []
+            for r, d, x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                text = x.as_py()
+                raw = memoryview(hashes(text)).cast("B")
+                ends = np.array([m.span() for m in _WORD.finditer(text)], np.int32)
+                at, n, whole = (p.values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "whole"))
+                each = np.where(whole, 1, n)
+                i = np.repeat(at - np.cumsum(each) + each, each) + np.arange(each.sum())
+                held = np.repeat(np.where(whole, n, 1), each)
+                j = i + held + least - 1
+                parts.append((np.full(len(i), r), np.full(len(i), d or 0), np.full(len(i), d is None), i.astype(np.int32), held.astype(np.int32), ends[i, 0], ends[j - 1, 1]))
+                digests += [digest(raw[x:y]) for x, y in zip((8 * i).tolist(), (8 * j).tolist())]
+                if len(digests) >= ROWS:
+                    yield pack(parts, digests)
+                    parts, digests = [], []
+            if parts:
+                yield pack(parts, digests)
+
+    def pack(parts: list[tuple[np.ndarray, ...]], digests: list[bytes]) -> pa.RecordBatch:
+        rid, doc, none, *cols = (np.concatenate(c) for c in zip(*parts))
         halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int32()), *(pa.array(spans[:, i].astype(np.int32)) for i in range(3)), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["rid", "doc_id", "unit", "start", "stop", "words", "h", "g"])
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(doc, mask=none), *map(pa.array, cols), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["rid", "doc_id", "at", "n", "start", "stop", "h", "g"])
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, unit int, start int, stop int, words int, h long, g long")
+    return places.select("rid", "doc_id", "text", "p").mapInArrow(run, "rid long, doc_id long, at int, n int, start int, stop int, h long, g long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start, stop, words, keep_doc_id, keep_start, keep_stop): passages to remove.
 
     start and stop are code points of the original text, stop exclusive; keep_* is the first occurrence of the passage's
-    first unit (keep_start) and the end of the first occurrence of its last unit (keep_stop, null if that is in another
+    first run (keep_start) and the end of the first occurrence of its last run (keep_stop, null if that is in another
     document).
     """
     prepare(docs.sparkSession)
-    occ = occurrences(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "unit", "start", "stop")
-    first = table(occ.groupBy("h", "g").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-units")
-    again = occ.join(first, ["h", "g"]).filter((F.col("first.rid") != F.col("rid")) | (F.col("first.unit") != F.col("unit")))
-    again = again.select("rid", "doc_id", "unit", "start", "stop", "words", F.col("first.doc_id").alias("kd"), F.col("first.start").alias("ks"), F.col("first.stop").alias("ke"))
-    # Consecutive units of a document: unit minus its rank among the document's repeated units stays the same.
-    island = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("rid").orderBy("unit")))
-    at = F.struct("unit", "kd", "ks", "ke")
-    runs = island.groupBy("rid", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min(at).alias("a"), F.max(at).alias("z")).filter(F.col("words") >= least_words)
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = table(prints(docs, least_words), "prints")
+    shared = table(found.groupBy("f").agg(F.count("*").alias("c"), (F.min("h") == F.max("h")).alias("whole")).filter("c > 1").drop("c"), "shared-prints")
+    p = found.join(shared, "f").groupBy("rid").agg(F.collect_list(F.struct("at", "n", "whole")).alias("p"))
+    occ = occurrences(table(docs.join(p, "rid"), "repeated-prints"), least_words)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "at", "start", "stop")
+    first = table(occ.groupBy("h", "g").agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "repeated-runs")
+    again = occ.join(first, ["h", "g"]).filter((F.col("first.rid") != F.col("rid")) | (F.col("first.at") != F.col("at")))
+    again = again.select("rid", "doc_id", "at", (F.col("at") + F.col("n") + least_words - 1).alias("to"), "start", "stop", F.col("first.doc_id").alias("kd"), F.col("first.start").alias("ks"), F.col("first.stop").alias("ke"))
+    # A passage ends where the next repeat of its row starts after the last one's end.
+    own = Window.partitionBy("rid").orderBy("at")
+    passages = again.withColumn("new", F.coalesce((F.col("at") > F.lag("to").over(own)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(own))
+    at = F.struct("at", "kd", "ks", "ke")
+    runs = passages.groupBy("rid", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("to") - F.min("at")).cast("long").alias("words"), F.min(at).alias("a"), F.max(at).alias("z"))
     return runs.select("doc_id", "start", "stop", "words", F.col("a.kd").alias("keep_doc_id"), F.col("a.ks").alias("keep_start"), F.when(F.col("a.kd").eqNullSafe(F.col("z.kd")), F.col("z.ke")).alias("keep_stop"))
 
 

@@ -52,6 +52,29 @@ def test_substrings(spark, none):
     assert substrings.remove("abcdef", [(4, 5), (1, 3)]) == "adf"
 
 
+def test_substrings_to_the_word(spark):
+    """Against brute force over all runs; passages start and end inside sentences, some hold no whole sentence."""
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(500)) + rng.choice(["", "", "", "", "", "."]) for _ in range(n)]
+    shared = [words(n) for n in (51, 55, 60, 90, 39, 40)] + [[w.strip(".") for w in words(60)]]
+    texts = [sum((part for k in rng.sample(range(7), 2) for part in (words(rng.randrange(30)), shared[k][rng.randrange(3) :])), []) + words(9) for _ in range(40)]
+    texts += [texts[0], ["x", "y", "z"] * 40, words(30)]
+    rows = [(i, rng.choice([" ", "\n"]).join(t)) for i, t in enumerate(texts)]
+    n, seen, want = substrings.LEAST_WORDS, set(), set()
+    for i, t in enumerate(texts):
+        for j in range(len(t) - n + 1):
+            run = tuple(t[j : j + n])
+            if run in seen:
+                want |= {(i, k) for k in range(j, j + n)}
+            seen.add(run)
+    got, whole = set(), dict(rows)
+    for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        before, inside = whole[r["doc_id"]][: r["start"]].split(), whole[r["doc_id"]][r["start"] : r["stop"]].split()
+        assert len(inside) == r["words"] and whole[r["keep_doc_id"]][r["keep_start"] :].split()[:n] == inside[:n]
+        got |= {(r["doc_id"], len(before) + k) for k in range(len(inside))}
+    assert got == want and len({i for i, _ in want}) > 30
+
+
 def test_pii_base_equals_patterns():
     rng = random.Random(5)
     for _ in range(400):
