@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are words and their prefixes of four to six letters; the index keeps those that tell the labels of the examples
-apart (a one-sided likelihood-ratio test, Bonferroni-corrected over all terms). Examples are laid out in blocks; each
-term has its postings and, per block, the largest weight in it. A query bounds every block by the sum of its terms'
-block maxima and visits blocks from the highest bound down until the bound falls under its k-th best cosine, so the
-nearest neighbours are exact. They vote by their closeness; the vote is calibrated by isotonic regression on the
-examples, each scored without itself. A text without any term takes the rate of toxic labels among such examples.
+Terms are words and their prefixes of four to six letters, all of them that the examples have. A term that tells the
+labels of the examples apart (a one-sided likelihood-ratio test, Bonferroni-corrected over all terms) weighs `TELLING`
+times as much. Examples are laid out in blocks; each term has its postings and the largest weight in each block that has
+any. A query bounds every block by the sum of its terms' block maxima and visits blocks from the highest bound down, a few
+first and then all that can still hold one of its k best cosines, so the nearest neighbours are exact. They vote by their
+closeness; the vote is calibrated by isotonic regression on the examples, each scored without itself. A text without any
+term of the examples takes the rate of toxic labels.
 
 Learning uses labels of rows with a fold other than 0, at most about `most_rows` of each label, chosen by a hash of
 doc_id. A document with contradictory labels counts as toxic.
@@ -16,9 +17,12 @@ that repeat come back once each. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_sample, fold, prepare
 
-MOST_ROWS, NEAREST, BLOCK = 1500, 24, 32
-#: Term vectors whose scores, and words whose terms, a worker remembers.
+MOST_ROWS, NEAREST, BLOCK, TELLING = 1500, 24, 32, 4
+#: Texts whose scores, and words whose terms, a worker remembers.
 CACHE, WORDS = 50_000, 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,30 +48,57 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each lo to its hi, and how many each gives."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 class Index:
-    """Examples' unit TF-IDF vectors: postings by term, block maxima by term."""
+    """Examples' unit TF-IDF vectors: postings by term and block, with the block's largest weight."""
 
-    def __init__(self, vocabulary: dict[str, tuple[int, float]], vectors: list[dict[int, float]], labels: list[int], empty_rate: float, ids: list[int] | None = None, block: int = BLOCK):
+    def __init__(self, vocabulary: dict[str, tuple[int, float]], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], empty_rate: float, ids: list[int] | None = None, block: int = BLOCK):
         self.vocabulary, self.labels, self.block, self.empty_rate = vocabulary, np.array(labels, np.int8), block, empty_rate
         self.ids = ids if ids is not None else list(range(len(vectors)))
-        self.idf = [x[1] for x in vocabulary.values()]
-        n_blocks = max(1, -(-len(vectors) // block))
-        self.dense = np.zeros((len(vocabulary), n_blocks * block), np.float32)
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                self.dense[t, i] = x
+        self.idf = np.array([x[1] for x in vocabulary.values()])
         self.size = len(vectors)
-        self.maxima = self.dense.reshape(len(vocabulary), n_blocks, block).max(axis=2) if vocabulary else np.zeros((0, n_blocks), np.float32)
+        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
+        place = np.repeat(np.arange(self.size), np.array([len(at) for at, _ in vectors], np.int64))
+        weight = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
+        order = np.lexsort((place, term))
+        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
+        part = term * (1 << 32) + self.place // block
+        self.first = np.flatnonzero(np.diff(part, prepend=-1))
+        self.last = np.append(self.first[1:], len(part))[: len(self.first)]
+        self.part = (part[self.first] & 0xFFFFFFFF).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.weight, self.first) if len(part) else np.zeros(0)
+        self.of_term = np.searchsorted(term[self.first], np.arange(len(vocabulary) + 1))
+        # Terms in over an eighth of the examples, which would fill nearly every block, also have their weights in full.
+        often = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) * 8 > self.size)
+        self.row = np.full(len(vocabulary), -1)
+        self.row[often] = np.arange(len(often))
+        self.often = np.zeros((len(often), -(-self.size // block) * block))
+        held = self.row[term] >= 0
+        self.often[self.row[term[held]], self.place[held]] = self.weight[held]
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.cache: dict[tuple, tuple[float, str]] = {}
+        self.cache: dict[bytes, tuple[float, str]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """All weights by term and place, for tests."""
+        out = np.zeros((len(self.vocabulary), self.size))
+        for t in range(len(self.vocabulary)):
+            i, _ = _ranges(self.first[self.of_term[t] : self.of_term[t + 1]], self.last[self.of_term[t] : self.of_term[t + 1]])
+            out[t, self.place[i]] = self.weight[i]
+        return out
+
     def _terms(self, w: str) -> tuple[int, ...]:
         get = self.vocabulary.get
         return tuple(x[0] for x in (get(w), *(get(w[:k] + "*") for k in (4, 5, 6) if len(w) > k)) if x is not None)
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        """The text's unit TF-IDF vector over the index's terms."""
+    def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of the text's unit TF-IDF vector, ascending, and their weights."""
         words = _WORD.findall((text or "").lower())
         rows = [*map(self.known.get, words)]
         if None in rows:
@@ -78,36 +109,60 @@ class Index:
                 if x is None:
                     w = words[i]
                     rows[i] = known[w] = known[w] if w in known else self._terms(w)
-        found = Counter(t for row in rows if row for t in row)
-        weighed = {t: (1 + np.log(n)) * self.idf[t] for t, n in found.items()}
-        norm = float(np.sqrt(sum(x * x for x in weighed.values())))
-        return {t: x / norm for t, x in sorted(weighed.items())} if norm else {}
+        at, n = np.unique(np.fromiter(chain.from_iterable(rows), np.int64), return_counts=True)
+        q = (1 + np.log(n)) * self.idf[at]
+        return at, q / np.sqrt(q @ q) if len(q) else q
+
+    def vector(self, text: str | None) -> dict[int, float]:
+        """The text's unit TF-IDF vector over the index's terms."""
+        at, q = self.arrays(text)
+        return dict(zip(at.tolist(), q.tolist()))
 
     def nearest(self, query: dict[int, float], k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the highest cosine above 0, exactly; ties to the lower place."""
-        if not query or not self.size:
+        return self.search(np.fromiter(query, np.int64), np.fromiter(query.values(), np.float64), k, without)
+
+    def search(self, at: np.ndarray, q: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
+        if not len(at) or not self.size:
             return []
-        at, q = np.fromiter(query, np.int64), np.fromiter(query.values(), np.float32)
-        bound = q @ self.maxima[at]
-        best: list[tuple[float, int]] = []
-        for blk in np.argsort(-bound, kind="stable"):
-            if bound[blk] <= 0 or (len(best) == k and bound[blk] * (1 + 1e-5) < -best[-1][0]):
-                break
-            s = q @ self.dense[at, blk * self.block : (blk + 1) * self.block]
-            best += [(-float(s[i]), int(blk * self.block + i)) for i in np.flatnonzero(s > 0) if blk * self.block + i != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        row = self.row[at]
+        s = q[row >= 0] @ self.often[row[row >= 0]]
+        at, q = at[row < 0], q[row < 0]
+        parts, n = _ranges(self.of_term[at], self.of_term[at + 1])
+        each, of = np.repeat(q, n), self.part[parts]
+        bound = s.reshape(-1, self.block).max(axis=1)
+        bound = bound + np.bincount(of, each * self.maxima[parts], len(bound))
+        visited = np.zeros(len(bound), bool)
+        visited[np.argsort(-bound, kind="stable")[: max(2, 2 * -(-k // self.block))]] = True
+        s = s[: self.size]
+        if 0 <= without < self.size:
+            s[without] = -1
+        for chosen in (visited, None):
+            if chosen is None:
+                chosen = (bound > 0) & (bound * (1 + 1e-9) >= least) & ~visited
+            if chosen.any():
+                s += self._cosines(parts, each, chosen[of])
+            if 0 <= without < self.size:
+                s[without] = -1
+            least = np.partition(s, -k)[-k] if k <= len(s) else 0.0
+        found = np.flatnonzero((s >= least) & (s > 0))
+        return [(float(s[i]), int(i)) for i in found[np.argsort(-s[found], kind="stable")][:k]]
+
+    def _cosines(self, parts: np.ndarray, each: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Cosines by place, from the chosen parts of the postings."""
+        parts = parts[mask]
+        i, n = _ranges(self.first[parts], self.last[parts])
+        return np.bincount(self.place[i], np.repeat(each[mask], n) * self.weight[i], self.size)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        weight = [1 / (1.05 - min(1.0, s)) for s, _ in near]
+        weight = [1 / (1.05 - min(1.0, s)) ** 2 for s, _ in near]
         return sum(w * self.labels[i] for w, (_, i) in zip(weight, near)) / sum(weight)
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The calibrated score and the evidence: up to three nearest examples as doc_id:label:cosine."""
-        v = self.vector(text)
-        key = tuple(v.items())
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if (got := self.cache.get(key)) is None:
-            near = self.nearest(v)
+            near = self.search(*self.arrays(text))
             score = float(np.interp(self.vote(near), *self.steps)) if near else self.empty_rate
             got = score, ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in near[:3])
             if len(self.cache) >= CACHE:
@@ -118,29 +173,32 @@ class Index:
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[int], rates: tuple[int, int] | None = None, ids: list[int] | None = None) -> Index:
         """rates: how many rows of label 0 and 1 the examples stand for."""
-        bags = [terms(t) for t in texts]
-        df = [Counter(), Counter()]
-        for bag, y in zip(bags, labels):
-            df[y].update(bag.keys())
+        df: list[Counter] = [Counter(), Counter()]
+        for t, y in zip(texts, labels):
+            df[y].update(terms(t).keys())
         n = [max(1, labels.count(0)), max(1, labels.count(1))]
-        chosen: list[str] = []
+        telling: set[str] = set()
         least = 2 * np.log(20 * max(1, len(df[1])))
         for t, a in df[1].items():
             b = df[0][t]
             p1, p0, p = a / n[1], b / n[0], (a + b) / (n[0] + n[1])
             if p1 > p0 and _gain(a, n[1], p1, p) + _gain(b, n[0], p0, p) > least:
-                chosen.append(t)
+                telling.add(t)
         total = len(labels)
-        vocabulary = {t: (i, float(np.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1)) for i, t in enumerate(sorted(chosen))}
+        idf = lambda t: float(np.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1)
+        vocabulary = {t: (i, idf(t) * (TELLING if t in telling else 1)) for i, t in enumerate(sorted(df[0].keys() | df[1].keys()))}
         index = cls(vocabulary, [], [], 0.0)
-        vectors = [index.vector(t) for t in texts]
+        vectors = [index.arrays(t) for t in texts]
+        index.known.clear()
         share = [(rates[y] if rates else n[y]) / n[y] for y in (0, 1)]
-        empty = [sum(share[y] for v, x in zip(vectors, labels) if not v and x == y) for y in (0, 1)]
-        rate = empty[1] / sum(empty) if sum(empty) else 0.0
-        full = [i for i, v in enumerate(vectors) if v]
-        order = sorted(full, key=lambda i: (sorted(vectors[i].items(), key=lambda x: (-x[1], x[0]))[0][0], i))
+        every = [share[y] * labels.count(y) for y in (0, 1)]
+        rate = every[1] / sum(every) if sum(every) else 0.0
+        # Alike examples side by side: by the heaviest telling term, then the most common one, which tells the language.
+        tells = np.array([t in telling for t in vocabulary], bool)
+        heavy = [int(at[np.where(tells[at], q, 0).argmax()]) if tells[at].any() else -1 for at, q in vectors]
+        order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (heavy[i], int(vectors[i][0][index.idf[vectors[i][0]].argmin()]), i))
         out = cls(vocabulary, [vectors[i] for i in order], [labels[i] for i in order], rate, [ids[i] if ids else i for i in order])
-        votes = [(out.vote(near) if (near := out.nearest(vectors[i], without=at)) else rate, labels[i], share[labels[i]]) for at, i in enumerate(order)]
+        votes = [(out.vote(near) if (near := out.search(*vectors[i], without=at)) else rate, labels[i], share[labels[i]]) for at, i in enumerate(order)]
         out.steps = isotonic(votes)
         return out
 

@@ -142,6 +142,22 @@ def test_toxicity(spark, docs, none, rows):
     assert toxicity.toxicity(docs, empty).count() == len(rows) and toxicity.toxicity(none, empty).count() == 0
 
 
+def test_toxicity_searches_all_terms():
+    """Every example and term is in the index, and a copy of an example finds it though no term of it tells labels apart."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(15)) for _ in range(200)]
+    labels = [int(i % 10 == 0) for i in range(200)]
+    index = toxicity.Index.fit(texts, labels)
+    assert index.size == 200 and set(index.vocabulary) == {t for x in texts for t in toxicity.terms(x)}
+    for i, x in enumerate(texts):
+        cosine, place = index.nearest(index.vector(x), 1)[0]
+        assert index.ids[place] == i and abs(cosine - 1) < 1e-9
+    dense, v = index.dense, index.vector(texts[7] + " " + texts[8])
+    all_of = sum(x * dense[t] for t, x in v.items())
+    want = sorted(range(index.size), key=lambda i: (-round(all_of[i], 12), i))[:24]
+    assert [i for s, i in index.nearest(v)] == [i for i in want if all_of[i] > 0]
+
+
 def test_media(docs, none, rows):
     got = media.features(media.files(media.store(docs))).collect()
     assert len(got) == len(rows)
