@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python; bounds a worker's memory where documents are long.
+#: Rows that Python code holds at once of the Arrow batches handed to it, at most; bounds a worker's memory.
 ARROW_ROWS = 1000
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors (once for each application) and bound Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Send this package to the executors, once for each application."""
     sc = spark.sparkContext
     with _LOCK:
         if sc.applicationId in _SHIPPED:
@@ -33,14 +36,26 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(os.path.join(place, "tessella_package"), "zip", stage))
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, without a copy; the session's own batch size stays as it is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's own, or one set here (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    """The folder all executors share: spark.checkpoint.dir, or the context's own.
+
+    Where neither is set a single machine gets one of its own (tests); a cluster raises, as its executors' own disks
+    would each hold a part of what is written.
+    """
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not place:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file:///tmp/checkpoints/tessella"
-        spark.sparkContext.setCheckpointDir(place)
+        sc.setCheckpointDir(place)
     return place.rstrip("/")
 
 
@@ -49,13 +64,39 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that names each row, and that column's name, which docs has not.
+
+    The name is the row's place in its Parquet file (file and row number), so it is the same on every evaluation, whatever
+    partitions or lost executors. What is no scan of Parquet is written to the shared folder first.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    key = F.struct(F.unhex(F.md5(F.col("_metadata.file_path").cast("binary"))).alias("file"), F.col("_metadata.row_index").alias("at")).alias(name)
+    try:
+        return docs.select("*", key), name
+    except AnalysisException:
+        return table(docs, "rows").select("*", key), name
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5; a null doc_id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0))
@@ -95,7 +136,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         big = table(big, "cc-large")
         low = table(big.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        e = table(small, "cc")
+        old, e = e, table(small, "cc")
+        discard(old, least, big, low)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare
+from ._common import batches_of, prepare
 
 CHUNK, OVERLAP, CACHE = 1 << 16, 1 << 9, 500_000
 _LOADED: dict[tuple[str, str], Codec] = {}
@@ -128,12 +128,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overla
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks, pattern)
-        for b in batches:
+        for b in batches_of(batches):
             yield batch([row(codec, d, codec.split(x.as_py())) for d, x in zip(b.column(0).to_pylist(), b.column(1))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks, pattern)
-        for b in batches:
+        for b in batches_of(batches):
             ends = [array("I", boundaries(codec, t.as_py(), z.as_py())).tobytes() for t, z in zip(b.column(4), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ends, pa.binary())], ["rid", "doc_id", "start", "part", "ends"])
 

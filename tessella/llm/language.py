@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample, fold, prepare
+from ._common import batches_of, bounded_sample, fold, prepare
 
 MOST_ROWS, MOST_WORDS, LONGEST = 3000, 30_000, 5
 #: Words of evidence at which the score stops growing.
@@ -114,7 +114,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for b in batches:
+        for b in batches_of(batches):
             got = [own.predict(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -129,7 +129,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for b in batches:
+        for b in batches_of(batches):
             yield b.filter(pa.array([own.predict(x.as_py())[0] != UNKNOWN for x in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,13 +2,18 @@
 
 A text's payload (UTF-8, padded with spaces to a multiple of 192 bytes) becomes the samples of a mono 8-bit PCM WAV file.
 A gear hash rolls over the file's bytes; cuts fall where its low bits are zero, between a least and a most chunk size.
-Each chunk is named by its SHA-256 digest. The row with the least key among those with a chunk owns it; Spark joins find the
-owner by digest, and chunk bytes are stored only with their owner. A stored row is the file's ordered chunk list and the bytes
-of the chunks it owns. Reading back takes owned chunks from the row and others by a join on their digest, puts them in
-order, checks every chunk's digest and parses the file. Only chunks that documents share are moved.
+Each chunk is named by its SHA-256 digest. What is stored is two tables: the files, each an ordered list of digests with
+the bytes of those chunks that no other row has, and the chunks that rows share, each once, found by a grouping on digest.
+
+A file's text never moves. A pass over digests alone counts them; those of more than one row set bits of a filter of fixed
+size, and only the bytes of chunks that the filter knows are shuffled, to be stored once. A chunk that hits the filter by
+chance goes to the chunk table like a shared one, so each chunk is stored once in any case; the filter only saves shuffles.
+
+Reading back gives each distinct list once: a list of one shared chunk is that chunk's row, other lists with shared chunks
+meet them in an equi-join on digest, and the rest are whole in their row. Every chunk is checked against its digest.
 
 Defined results: a null text counts as empty (a payload of 192 spaces). Equal texts give equal values. Rows that repeat
-come back once each. Other columns are ignored.
+come back once each. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare, table
+from ._common import batches_of, prepare, table
 
 UNIT, RATE, HEADER = 192, 8000, 44
 LEAST, MASK, MOST = 1024, (1 << 12) - 1, 16384
@@ -86,115 +91,171 @@ def _pieces(text: str | None) -> tuple[int, list[bytes]]:
     return n, [file[a:b] for a, b in zip([0, *ends], ends)]
 
 
-#: Bits of the filter over rows that take part in sharing; its size is fixed, so it may be broadcast. Rows that share
-#: nothing but hit it by chance move their text for nothing: a part of them near (sharing rows) / FILTER.
+#: Bits of the filter of shared chunks; its size is fixed, so it may be broadcast (8 MB). A chunk that no rows share hits it by
+#: chance in a part of about (shared chunks) / FILTER of all cases; well beyond 2^26 shared chunks all bytes move once.
 FILTER = 1 << 26
 
 
-def recipes(keyed: DataFrame) -> DataFrame:
-    """(key, digest) of each chunk of each row of keyed (key, text), without bytes."""
+def _place(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little") % FILTER
+
+
+def _digests(text: str | None) -> tuple[int, list[bytes], list[bytes]]:
+    n, pieces = _pieces(text)
+    return n, [hashlib.sha256(c).digest() for c in pieces], pieces
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def recipes(docs: DataFrame) -> DataFrame:
+    """(digest, place): the chunks of each row, each digest once a row, and their bits in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, digests = [], []
-            for key, x in zip(b.column(0).to_pylist(), b.column(1)):
-                for d in {hashlib.sha256(c).digest() for c in _pieces(x.as_py())[1]}:
-                    keys.append(key)
-                    digests.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary())], ["key", "digest"])
+        for b in batches_of(batches):
+            digests = [d for x in b.column(0) for d in set(_digests(x.as_py())[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([*map(_place, digests)], pa.int64())], ["digest", "place"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key binary, digest binary")
+    return docs.select("text").mapInArrow(run, "digest binary, place long")
 
 
-def roles(keyed: DataFrame) -> DataFrame:
-    """(key, foreign, lent): for rows with shared chunks, the digests others own and those it owns for others."""
-    occ = table(recipes(keyed), "chunk-lists")
-    shared = table(occ.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner <> last").drop("last"), "shared-chunks")
-    at = occ.join(shared, "digest")
-    pick = lambda is_owner: F.collect_set(F.when((F.col("key") == F.col("owner")) == F.lit(is_owner), F.col("digest")))
-    return table(at.groupBy("key").agg(pick(False).alias("foreign"), pick(True).alias("lent")), "roles")
+def shared_filter(docs: DataFrame) -> np.ndarray:
+    """The bits of chunks that more than one row has; the driver gets FILTER / 64 pairs of longs at most."""
+    shared = recipes(docs).groupBy("digest").agg(F.count("*").alias("n"), F.first("place").alias("place")).filter("n > 1")
+    words = shared.groupBy(F.expr("place div 64").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("word"))
+    out = np.zeros(FILTER // 64, np.uint64)
+    got = words.toArrow()
+    out[got["slot"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
+    return out
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_bytes, digests, chunks, foreign, lent) for each row of docs, in the shared folder.
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored tables, in the shared folder: (doc_id, n_bytes, list, digests, chunks), a row for each row of docs, and the
+    shared chunks (digest, bytes, whole).
 
-    digests is the file's ordered chunk list; chunks[i] has the bytes if this row owns chunk i and i is its first place.
-    Rows with shared chunks meet their roles in a join; a fixed-size filter keeps most others out of it (a false
-    positive only joins with nothing).
+    list names the ordered digests; chunks[i] has the bytes of chunk i or null if it is in the chunk table, or earlier in
+    the row. whole: some file is this chunk alone.
     """
     prepare(docs.sparkSession)
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.unhex(F.md5(F.concat_ws("\n", doc_id.cast("string"), text).cast("binary"))).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
-    part = roles(keyed)
-    place = F.pmod(F.xxhash64("key"), F.lit(FILTER))
-    # At most FILTER / 64 rows of two longs, whatever the input.
-    words = table(part.select(place.alias("at")).groupBy(F.expr("at div 64").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("word")), "filter")
-    marked = keyed.withColumn("at", place).withColumn("slot", F.expr("at div 64")).join(F.broadcast(words), "slot", "left")
-    hit = F.expr("shiftrightunsigned(coalesce(word, 0L), cast(at % 64 AS int)) & 1L = 1L")
-    kept = "key", "doc_id", "text"
-    met = marked.filter(hit).select(*kept).join(part, "key", "left")
-    nothing = F.array().cast("array<binary>")
-    apart = marked.filter(~hit).select(*kept, nothing.alias("foreign"), nothing.alias("lent"))
-    both = met.select(*kept, F.coalesce("foreign", nothing).alias("foreign"), F.coalesce("lent", nothing).alias("lent")).union(apart)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, digests, chunks = [], [], []
-            for x, foreign in zip(b.column(2), b.column(3).to_pylist()):
-                n, pieces = _pieces(x.as_py())
-                names, held, own = [hashlib.sha256(c).digest() for c in pieces], set(foreign), []
-                for name, c in zip(names, pieces):
-                    own.append(None if name in held else c)
-                    held.add(name)
+    rows = _texts(docs)
+    known = docs.sparkSession.sparkContext.broadcast(shared_filter(rows))
+
+    def shared(digest: bytes) -> bool:
+        at = _place(digest)
+        return bool(int(known.value[at >> 6]) >> (at & 63) & 1)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            out: dict[bytes, tuple[bytes, bool]] = {}
+            for x in b.column(0):
+                _, names, parts = _digests(x.as_py())
+                for d, c in zip(names, parts):
+                    if shared(d):
+                        out[d] = c, len(parts) == 1 or (d in out and out[d][1])
+            yield pa.RecordBatch.from_arrays([pa.array([*out], pa.binary()), pa.array([c for c, _ in out.values()], pa.binary()), pa.array([w for _, w in out.values()], pa.bool_())], ["digest", "bytes", "whole"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.binary())
+        for b in batches_of(batches):
+            sizes, names, ids, own = [], [], [], []
+            for x in b.column(1):
+                n, digests, parts = _digests(x.as_py())
+                first = {d: i for i, d in reversed([*enumerate(digests)])}
                 sizes.append(n)
-                digests.append(names)
-                chunks.append(own)
-            kinds = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, kinds), pa.array(chunks, kinds), b.column(3), b.column(4)], ["doc_id", "key", "n_bytes", "digests", "chunks", "foreign", "lent"])
-
-    return table(both.mapInArrow(run, "doc_id long, key binary, n_bytes long, digests array<binary>, chunks array<binary>, foreign array<binary>, lent array<binary>"), "media")
-
-
-def files(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): the files put together from their chunks, every chunk checked against its digest."""
-    prepare(stored.sparkSession)
-    pairs = F.expr("filter(arrays_zip(digests, chunks), x -> array_contains(lent, x.digests) AND x.chunks IS NOT NULL)")
-    lent = stored.filter(F.size("lent") > 0).select(F.explode(pairs).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.chunks").alias("bytes"))
-    lent = table(lent.groupBy("digest").agg(F.any_value("bytes").alias("bytes")), "lent")
-    needs = table(stored.filter(F.size("foreign") > 0).select("key", F.explode("foreign").alias("digest")).distinct(), "needs")
-    brought = needs.join(lent, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("brought"))
-    columns = "doc_id", "n_bytes", "digests", "chunks"
-    whole = stored.filter(F.size("foreign") == 0).select(*columns, F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought"))
-    mixed = stored.filter(F.size("foreign") > 0).select("key", *columns).join(brought, "key", "left").select(*columns, "brought")
+                names.append(digests)
+                ids.append(hashlib.sha256(b"".join(digests)).digest())
+                own.append([c if first[d] == i and not shared(d) else None for i, (d, c) in enumerate(zip(digests, parts))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(names, kinds), pa.array(own, kinds)], ["doc_id", "n_bytes", "list", "digests", "chunks"])
+
+    each = rows.select("text").mapInArrow(pieces, "digest binary, bytes binary, whole boolean")
+    chunks = table(each.groupBy("digest").agg(F.any_value("bytes").alias("bytes"), F.max("whole").alias("whole")), "chunks")
+    return table(rows.mapInArrow(lists, "doc_id long, n_bytes long, list binary, digests array<binary>, chunks array<binary>"), "lists"), chunks
+
+
+def _checked(digest: bytes, chunk: bytes) -> bytes:
+    if hashlib.sha256(chunk).digest() != digest:
+        raise ValueError("a stored chunk differs from its digest")
+    return chunk
+
+
+def _apart(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of lists whose chunks are all in the row, and the others."""
+    missing = F.size(F.array_except("digests", F.expr("transform(filter(arrays_zip(digests, chunks), x -> x.chunks IS NOT NULL), x -> x.digests)"))) > 0
+    return lists.filter(~missing), lists.filter(missing)
+
+
+def _put_together(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of parts and media: from digests, chunks and brought (digest, bytes), each chunk checked."""
+    schema = ", ".join(f"{c} {dict(parts.dtypes)[c]}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for names, own, more in zip(b.column(2), b.column(3), b.column(4)):
-                have = {x["digest"]: x["bytes"] for x in more.as_py() or ()}
-                names = names.as_py()
+        for b in batches_of(batches):
+            at, out = len(columns), []
+            for names, own, more in zip(b.column(at), b.column(at + 1), b.column(at + 2)):
+                names, have = names.as_py(), {x["digest"]: x["bytes"] for x in more.as_py() or ()}
                 have |= {d: c for d, c in zip(names, own.as_py()) if c is not None}
-                for d, c in have.items():
-                    if hashlib.sha256(c).digest() != d:
-                        raise ValueError("a stored chunk differs from its digest")
+                have = {d: _checked(d, c) for d, c in have.items()}
                 out.append(b"".join(have[d] for d in names))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.binary())], [*columns, "media"])
+
+    return parts.select(*columns, "digests", "chunks", "brought").mapInArrow(run, f"{schema}, media binary")
+
+
+def shared_files(lists: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(list, media): each distinct file of rows (some of) whose chunks are in the chunk table."""
+    mixed = _apart(lists)[1].filter(F.size("digests") > 1).groupBy("list").agg(F.any_value("digests").alias("digests"), F.any_value("chunks").alias("chunks"))
+    mixed = table(mixed, "mixed-lists")
+    needs = mixed.select("list", F.explode(F.array_distinct("digests")).alias("digest"))
+    brought = needs.join(chunks.select("digest", "bytes"), "digest").groupBy("list").agg(F.collect_list(F.struct("digest", "bytes")).alias("brought"))
+    many = _put_together(mixed.join(brought, "list"), ["list"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
+            names = [hashlib.sha256(d.as_py()).digest() for d, c in zip(b.column(0), b.column(1)) if _checked(d.as_py(), c.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), b.column(1)], ["list", "media"])
+
+    return chunks.filter("whole").select("digest", "bytes").mapInArrow(run, "list binary, media binary").union(many)
+
+
+def files(stored: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(doc_id, n_bytes, media): the file of every row, put together from its chunks."""
+    lists, chunks = stored
+    prepare(lists.sparkSession)
+    own, others = _apart(lists)
+    nothing = F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought")
+    alone = _put_together(own.select("*", nothing), ["doc_id", "n_bytes"])
+    return alone.union(others.select("doc_id", "n_bytes", "list").join(shared_files(lists, chunks), "list").select("doc_id", "n_bytes", "media"))
 
-    return whole.union(mixed).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def features(media: DataFrame) -> DataFrame:
-    """The digest columns and the feature of each file of media (doc_id, n_bytes, media)."""
+    """The digest columns and the feature of each file of media (..., media), with its other columns."""
+    columns = [c for c in media.columns if c != "media"]
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for b in batches_of(batches):
             rows = []
-            for x in b.column(2):
+            for x in b.column(len(columns)):
                 file = x.as_py()
                 body = unwav(file)
                 rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(body)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [*columns, *names])
+
+    schema = ", ".join(f"{c} {dict(media.dtypes)[c]}" for c in columns)
+    return media.select(*columns, "media").mapInArrow(run, f"{schema}, {_FEATURES}")
+
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def described(stored: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(doc_id, n_bytes, features) of every row, from stored files read back; files of equal lists are read once."""
+    lists, chunks = stored
+    prepare(lists.sparkSession)
+    own, others = _apart(lists)
+    nothing = F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("brought")
+    alone = features(_put_together(own.select("*", nothing), ["doc_id", "n_bytes"]))
+    of_lists = table(features(shared_files(lists, chunks)), "list-features")
+    return alone.union(others.select("doc_id", "n_bytes", "list").join(of_lists, "list").drop("list").select(alone.columns))

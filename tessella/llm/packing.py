@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import prepare, table
+from ._common import batches_of, prepare, table
 
 SIZE, END, CACHE = 4096, 1, 500_000
 #: Pieces ranked in one slice of a length, about; ranks covered by one row of the match table.
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer)
         mark = int(end).to_bytes(4, "little")
-        for b in batches:
+        for b in batches_of(batches):
             rows: list[tuple] = []
             for d, x in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encoder.encode(x.as_py() or "") + mark

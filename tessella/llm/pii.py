@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
-from ._common import prepare
+from ._common import batches_of, prepare
 
 KINDS = tagger.KINDS
 CONTEXT, STRIDE, SURE, EDGE = 24, 32, 0.9, 4
@@ -179,7 +179,7 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(weights or tagger.trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches):
             texts = [x.as_py() or "" for x in b.column(1)]
             base = [base_spans(t) for t in texts]
             more = added_spans(shared.value, texts, base)
@@ -198,7 +198,7 @@ def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches):
             texts = [x.as_py() for x in b.column(at)]
             base = [base_spans(t or "") for t in texts]
             more = added_spans(shared.value, [t or "" for t in texts], base)

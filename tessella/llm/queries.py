@@ -35,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.files(media.store(read(spark, sf_dir, "documents"))))
+    return media.described(media.store(read(spark, sf_dir, "documents")))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

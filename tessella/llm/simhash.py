@@ -4,29 +4,32 @@ Fingerprints of equal value are one class. Two fingerprints within 2 bits agree
 so each class is dealt to six buckets, one for each pair of quarters. In a bucket, fingerprints are stored in blocks of
 64 as vertical bit planes: word j of a block holds bit j of its 64 fingerprints. A query's distance to all 64 is kept in
 two carry-save bit counters and an overflow word; planes are added until every lane of a block has passed the radius,
-when the block is abandoned. Buckets over a size go another exact way, linear in their rows: each fingerprint is dealt to
-itself and its 64 one-bit neighbours, and fingerprints that meet there are linked through the least of them (two
-fingerprints within 2 bits always meet at one that is within 1 bit of both; those that meet are within 2).
+when the block is abandoned. A bucket over a size is dealt anew by three parts of the bits its fingerprints do not share:
+a pair within 2 bits agrees on one of three, so it meets there. After two such rounds at most 15 bits are left, so no
+bucket has more than 2^15 distinct fingerprints, and all of them are compared by bit slices.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other. Rows that share a doc_id are one
 document with several fingerprints: each row comes back, with the class that its own fingerprint belongs to. A null
-doc_id comes back with component_id null unless its fingerprint links it to others. Other columns are ignored.
+doc_id comes back with component_id null unless its fingerprint links it to others. Rows that repeat come back once
+each. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import components, prepare, table
+from ._common import batches_of, components, discard, prepare, table
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-#: Above so many distinct fingerprints a bucket goes the linear way.
+#: Above so many distinct fingerprints a bucket is dealt anew.
 BUCKET = 2048
 
 
@@ -55,16 +58,17 @@ def _majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, row, fp): fp as a signed long of the same bits; row is that column of docs, or null."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches):
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long"), "text", (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+    return own.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), own.schema["row"], T.StructField("fp", T.LongType())]))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -146,15 +150,47 @@ def _join(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             parent[:] = up
 
 
+def _bits(column, first: int, n: int):
+    return F.shiftrightunsigned(column, first).bitwiseAND(F.lit((1 << n) - 1))
+
+
+def _dealt(rows: DataFrame, parts: int = RADIUS + 1) -> DataFrame:
+    """Each bucket of rows (fp, key, rest, width) anew by each of three parts of the bits that its key does not fix.
+
+    At most two of the three parts can differ within the radius, so a pair meets in at least one.
+    """
+    options = []
+    for i in range(parts):
+        low, high = f"int(width * {i} div {parts})", f"int(width * {i + 1} div {parts})"
+        own = F.expr(f"shiftrightunsigned(rest, {low}) & (shiftleft(1L, {high} - {low}) - 1L)")
+        left = F.expr(f"(rest & (shiftleft(1L, {low}) - 1L)) | shiftleft(shiftrightunsigned(rest, {high}), {low})")
+        options.append(F.struct(F.concat("key", F.array(F.lit(i).cast("long"), own)).alias("key"), left.alias("rest"), F.expr(f"width - ({high} - {low})").alias("width")))
+    return rows.select("fp", F.explode(F.array(*options)).alias("o")).select("fp", "o.*")
+
+
 def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): pairs of fp of classes (fp) within the radius, enough to connect all that such pairs connect."""
-    quarter = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    keys = F.array(*[F.lit(i) * F.lit(1 << 32) + quarter[a] * F.lit(1 << 16) + quarter[b] for i, (a, b) in enumerate(pairs)])
-    banded = classes.select("fp", F.explode(keys).alias("key"))
-    sizes = table(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    within = banded.join(sizes.filter(F.col("n") <= bucket).select("key"), "key")
-    wide = banded.join(sizes.filter(F.col("n") > bucket).select("key"), "key", "left_semi").select("fp").distinct()
+    """(u, v): pairs of fp of classes (fp) within the radius, enough to connect all that such pairs connect.
+
+    Every pair is compared by bit slices in some bucket. Buckets of more than `bucket` fingerprints are dealt anew, by
+    three parts of the bits that their fingerprints do not share yet: 32 bits, then 21 or 22, then at most 15, which
+    bounds a bucket at 2^15 whatever the input.
+    """
+    quarter = [_bits(F.col("fp"), 16 * k, 16) for k in range(4)]
+    options = []
+    for a in range(4):
+        for b in range(a):
+            c, d = (k for k in range(4) if k not in (a, b))
+            key = F.array(F.lit(a * 4 + b).cast("long"), quarter[a] * F.lit(1 << 16) + quarter[b])
+            options.append(F.struct(key.alias("key"), (quarter[c] * F.lit(1 << 16) + quarter[d]).alias("rest"), F.lit(32).alias("width")))
+    wide = classes.select("fp", F.explode(F.array(*options)).alias("o")).select("fp", "o.*")
+    parts = []
+    for level in range(3):
+        sizes = table(wide.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+        small = sizes if level == 2 else sizes.filter(F.col("n") <= bucket)
+        parts.append(wide.join(small.select("key"), "key").select("key", "fp"))
+        if level == 2 or not sizes.filter(F.col("n") > bucket).take(1):
+            break
+        wide = _dealt(wide.join(sizes.filter(F.col("n") > bucket).select("key"), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -173,12 +209,9 @@ def links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    near = within.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)])
-    dealt = wide.select("fp", F.explode(flips).alias("hub"))
-    meet = table(dealt.groupBy("hub").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("hub", "v"), "hubs")
-    far = dealt.join(meet, "hub").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
-    return near.union(far)
+    # A bucket's number may be shared by two buckets by chance: then their fingerprints are compared too, exactly.
+    near = reduce(DataFrame.union, parts).select(F.xxhash64("key").alias("key"), "fp")
+    return near.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
 def _and_none(batches):
@@ -186,14 +219,21 @@ def _and_none(batches):
     yield None
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per row of docs."""
-    fps = table(fingerprints(docs, shingle), "fingerprints")
-    classes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, row: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per row of docs.
+
+    With row (a column of docs whose values tell rows apart) also that and kept: true for one row of each component, the
+    one of the least doc_id (null last), then the least row.
+    """
+    fps = table(fingerprints(docs, shingle, row), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = table(fps.groupBy("fp").agg(F.min(order).alias("first")), "classes")
     pairs = table(links(classes.select("fp"), bucket), "links")
     roots = components(pairs)
-    rooted = table(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = table(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = table(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
+    rooted = table(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = table(rooted.groupBy("root").agg(F.min("first").alias("best")), "least")
+    named = table(rooted.select("fp", "root").join(least, "root").select("fp", "best"), "named")
+    discard(classes, pairs, rooted, least)
     out = fps.join(named, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    more = [F.col("row").alias(row), F.col("row").eqNullSafe(F.col("best.row")).alias("kept")] if row else []
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), *more)

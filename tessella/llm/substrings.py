@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import prepare, table
+from ._common import batches_of, prepare, table
 
 LEAST_WORDS = 40
 #: Words whose hashes a worker remembers, and rows in one batch that it returns.
@@ -75,7 +75,7 @@ def prints(docs: DataFrame, least: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_digest
-        for b in batches:
+        for b in batches_of(batches):
             parts, held = [], 0
             for r, x in zip(b.column(0).to_pylist(), b.column(1)):
                 words = hashes(x.as_py() or "")
@@ -105,7 +105,7 @@ def occurrences(places: DataFrame, least: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in batches_of(batches):
             parts, digests = [], []
             for r, d, x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 text = x.as_py()

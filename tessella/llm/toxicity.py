@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample, fold, prepare
+from ._common import batches_of, bounded_sample, fold, prepare
 
 MOST_ROWS, NEAREST, BLOCK, TELLING = 1500, 24, 32, 4
 #: Texts whose scores, and words whose terms, a worker remembers.
@@ -247,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, index: Index | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in batches_of(batches):
             got = [own.score(x.as_py()) for x in b.column(2)]
             s = np.array([x[0] for x in got], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([x[1] for x in got], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])

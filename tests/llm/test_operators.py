@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -158,15 +159,34 @@ def test_toxicity_searches_all_terms():
     assert [i for s, i in index.nearest(v)] == [i for i in want if all_of[i] > 0]
 
 
-def test_media(docs, none, rows):
-    got = media.features(media.files(media.store(docs))).collect()
-    assert len(got) == len(rows)
+def test_media(spark, none):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh éß") for _ in range(n))
+    passage = noise(40_000)
+    texts = [*TEXTS, passage, passage, noise(9_000) + passage + noise(7_000), passage + noise(5), noise(3_000) * 9, TEXTS[0]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, True, 0.5, 7) for i, t in enumerate(texts)] + [(0, texts[0], *[None] * 6)], SCHEMA)
+    lists, chunks = media.store(docs)
+    # Ownership against a dict: each distinct chunk is stored once, with its row or in the chunk table.
+    files = [media.wav(media.payload(t)[0]) for t in texts] + [media.wav(media.payload(texts[0])[0])]
+    want = {}
+    for f in files:
+        ends = media.cuts(f)
+        for a, b in zip([0, *ends], ends):
+            want[hashlib.sha256(f[a:b]).digest()] = f[a:b]
+    held = [(bytes(r.digest), bytes(r.bytes)) for r in chunks.collect()]
+    held += [(bytes(d), bytes(c)) for r in lists.collect() for d, c in zip(r.digests, r.chunks) if c is not None]
+    assert len(held) == len(want) and dict(held) == want and chunks.count() > 8
+    got, whole = media.described((lists, chunks)).collect(), media.files((lists, chunks)).collect()
+    assert len(got) == len(whole) == len(texts) + 1
     for r in got:
-        if r["doc_id"] is not None:
-            raw = (TEXTS[r["doc_id"]] or "").encode()
-            body = raw.ljust(max(192, -(-len(raw) // 192) * 192))
-            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(body), hashlib.sha256(body).hexdigest())
-    assert media.features(media.files(media.store(none))).count() == 0
+        raw = (texts[r["doc_id"]] or "").encode()
+        body = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(body), hashlib.sha256(body).hexdigest())
+        assert (r["media_bytes"], r["media_sha256"]) == (len(body) + 44, hashlib.sha256(media.wav(body)).hexdigest())
+        x = np.frombuffer(body, np.uint8).astype(float)
+        assert r["tail_crc32"] == zlib.crc32(body[-16:]) and r["feature"].startswith(f"mean={x.mean():.4f};rms={((x - 128) ** 2).mean() ** 0.5:.4f};zc=")
+    assert sorted((r["doc_id"], bytes(r["media"])) for r in whole) == sorted(zip([*range(len(texts)), 0], files))
+    assert media.described(media.store(none)).count() == 0
     data = random.Random(0).randbytes(200_000)
     ends = media.cuts(data)
     assert ends[-1] == len(data) and all(b - a <= media.MOST for a, b in zip([0, *ends], ends))
