@@ -1,10 +1,10 @@
 """Personal data: exact base patterns, and a character BiLSTM-CRF that adds spans written in other ways.
 
-Every kind has a digit, an `@` or a bracketed (at) or (dot), so the model reads the text around each of these (`CONTEXT`
-characters on either side, regions that touch are one) and nothing else. A region is cut into overlapping windows; each
-is decoded by Viterbi, and the windows' spans are reconciled over the whole text: base spans stay, then the surest span
-first, none overlapping another; a span cut by its window's edge gives way to the neighbour window that has it whole.
-Added spans must reach a posterior of `SURE` and the digits of their kind.
+The model reads every text whole, in overlapping windows. Each window is decoded by Viterbi, unless a bound shows that the
+path without any span is its best one, and the windows' spans are reconciled over the whole text: base spans stay, then the
+surest span first, none overlapping another. A span that reaches into the last `EDGE` characters of a window which the text
+goes beyond gives way to the neighbour window that has it whole; windows overlap by the longest span and both edges.
+Added spans must reach a posterior of `SURE` and hold what their kind must hold (`plausible`).
 
 Defined results: a null text counts as empty (no spans). Counts and base_sha256 are of base spans alone. Rows that repeat
 come back once each. Other columns are ignored.
@@ -25,15 +25,16 @@ from . import tagger
 from ._common import batches_of, prepare
 
 KINDS = tagger.KINDS
-CONTEXT, STRIDE, SURE, EDGE = 24, 32, 0.9, 4
-#: Windows decoded at once.
-BATCH = 2048
-_HINT = re.compile(r"[0-9@]|[(\[] ?(?:at|dot) ?[)\]]")
+SURE, EDGE = 0.6, 8
+#: Characters of texts that a worker tags at once, about.
+HELD = 4_000_000
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: A local part, an at, a host, a dot and an ending, in any notation.
+_EMAIL = re.compile(r"(?i)\w\W*(?:@|\bat\b)\W*\w[^@]*(?:\.|\bdot\b)\W*\w")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -78,74 +79,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def windows(text: str) -> list[tuple[int, int, int]]:
-    """(start, region start, region end) of each window."""
-    return [(s, a, b) for a, b in regions(text) for s in range(a, max(a + 1, b - tagger.LENGTH + STRIDE), STRIDE)]
-
-
 def plausible(kind: int, s: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in s)
+    """What a span of the kind must hold, however it is written."""
+    digits = [*filter("0123456789".__contains__, s)]
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[] ?dot ?[)\]]) ?[A-Za-z0-9-]+)+", s))
+        return "\n" not in s and bool(_EMAIL.search(s))
     if kind == 1:
-        return False  # each address of four parts is a base span, or has a part over 255
+        parts = re.findall(r"[0-9]+", s)
+        return s.count(":") > 1 or len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
     if kind == 2:
-        return 13 <= digits <= 19 and luhn(re.sub(r"[^0-9]", "", s))
-    return 9 <= digits <= 15 and bool(re.fullmatch(r"[+(0-9][ ().0-9-]+[0-9]", s)) and bool(re.search(r"[ ()-]", s))
+        return 13 <= len(digits) <= 19 and luhn("".join(digits))
+    return 7 <= len(digits) <= 15
 
 
-def added_spans(weights: dict[str, np.ndarray], texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+def added_spans(model: tagger.Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """For each text the model's spans that overlap no base span."""
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-    queue: list[tuple[int, int, int, int]] = []
-
-    def flush() -> None:
-        ids = np.zeros((len(queue), tagger.LENGTH), np.int16)
-        for i, (d, s, _, b) in enumerate(queue):
-            x = tagger.symbols(texts[d][s : min(b, s + tagger.LENGTH)])
-            ids[i, : len(x)] = x
-        tags, sure = tagger.decode(weights, ids.T)
-        for i in np.flatnonzero((tags > 0).any(axis=0)):
-            d, s, a, b = queue[i]
-            col, p, t = tags[:, i], sure[:, i], 0
-            size = min(b - s, tagger.LENGTH)
-            while t < size:
-                if col[t] and col[t] % 2:
-                    e = t + 1
-                    while e < size and col[e] == col[t] + 1:
-                        e += 1
-                    cut = (t < EDGE and s > a) or (e > size - EDGE and s + size < b)
-                    if not cut:
-                        found[d].append((float(p[t:e].min()), (int(col[t]) - 1) // 2, s + t, s + e))
-                    t = e
-                else:
-                    t += 1
-        queue.clear()
-
-    for d, text in enumerate(texts):
-        for s, a, b in windows(text):
-            queue.append((d, s, a, b))
-            if len(queue) >= BATCH:
-                flush()
-    if queue:
-        flush()
     out = []
-    for text, own, more in zip(texts, base, found):
+    for text, own, found in zip(texts, base, model.spans(texts)):
         taken = [(a, b) for _, a, b in own]
         added = []
-        for sure, k, a, b in sorted(set(more), key=lambda x: (-x[0], x[2], x[3], x[1])):
-            if sure < SURE or any(a < y and x < b for x, y in taken) or not plausible(k, text[a:b]):
+        whole = {x[:4] for x in found if not (x[2] < x[4] + EDGE and x[4] > 0) and not (x[3] > x[5] - EDGE and x[5] < len(text))}
+        for sure, k, a, b in sorted(whole, key=lambda x: (-x[0], x[2], x[3], x[1])):
+            if sure < SURE:
+                break
+            while b > a and text[b - 1].isspace():
+                b -= 1
+            while a < b and text[a].isspace():
+                a += 1
+            if any(a < y and x < b for x, y in taken) or not plausible(k, text[a:b]):
                 continue
             # A digit or letter right next to it means that a longer run was cut.
             if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
@@ -156,6 +117,23 @@ def added_spans(weights: dict[str, np.ndarray], texts: list[str], base: list[lis
     return out
 
 
+def _held(texts: list[str]) -> Iterator[slice]:
+    """Parts of the texts that hold about so many characters each."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= HELD:
+            yield slice(at, i + 1)
+            at, n = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _spans(model: tagger.Tagger, texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    base = [base_spans(t) for t in texts]
+    return base, [x for part in _held(texts) for x in added_spans(model, texts[part], base[part])]
+
+
 def join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -179,10 +157,10 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(weights or tagger.trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = tagger.Tagger(shared.value)
         for b in batches_of(batches):
             texts = [x.as_py() or "" for x in b.column(1)]
-            base = [base_spans(t) for t in texts]
-            more = added_spans(shared.value, texts, base)
+            base, more = _spans(model, texts)
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(join(x).encode()).hexdigest() for x in base], pa.string())
             spans = pa.array([join(x + y) for x, y in zip(base, more)], pa.string())
@@ -198,10 +176,10 @@ def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = tagger.Tagger(shared.value)
         for b in batches_of(batches):
             texts = [x.as_py() for x in b.column(at)]
-            base = [base_spans(t or "") for t in texts]
-            more = added_spans(shared.value, [t or "" for t in texts], base)
+            base, more = _spans(model, [t or "" for t in texts])
             new = pa.array([None if t is None else mask(t, x + y) for t, x, y in zip(texts, base, more)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
@@ -9,8 +10,11 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-WIDTH, HIDDEN, SYMBOLS = 12, 20, 100
-LENGTH = 64
+WIDTH, HIDDEN, SYMBOLS = 12, 16, 100
+#: Characters of a training window; of a decoding window, and from one window's start to the next one's in a longer text.
+LENGTH, WINDOW, STRIDE = 96, 1024, 928
+#: Windows decoded at once.
+BATCH = 512
 _PARTS = ("embed", "fw", "fb", "bw", "bb", "out", "bias", "move", "first")
 
 
@@ -42,192 +46,367 @@ BAD = allowed()
 BAD_FIRST = np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) > 0, -1e4, 0), 0).astype(np.float32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = False):
-    """x (T, B, E) to hidden states (T, B, H)."""
-    n, batch, _ = x.shape
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    out, kept = np.empty((n, batch, HIDDEN), np.float32), []
-    inward = x @ w[:WIDTH] + b
+def _lstms(p: dict[str, np.ndarray], x: np.ndarray):
+    """Hidden states (T, 2, B, H) of x (T, B, E) read forwards and backwards, and what the gradients need."""
+    w, b = np.stack([p["fw"], p["bw"]]), np.stack([p["fb"], p["bb"]])[:, None]
+    both = np.stack([x, x[::-1]], axis=1)
+    n, _, batch, _ = both.shape
+    gates = both @ w[:, :WIDTH] + b
+    states, cells, tanhs = (np.zeros((n + 1, 2, batch, HIDDEN), x.dtype) for _ in range(3))
+    inner = np.ascontiguousarray(w[:, WIDTH:])
     for t in range(n):
-        z = inward[t] + h @ w[WIDTH:]
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-        if keep:
-            kept.append((h, c, i, f, o, g))
-        c = f * c + i * g
-        h = o * np.tanh(c)
-        out[t] = h
-    return out, kept
-
-
-def _lstm_back(d: np.ndarray, x: np.ndarray, out: np.ndarray, kept: list, w: np.ndarray):
-    """Gradients of x, w and b for the gradient d of the hidden states."""
-    dw, db, dx = np.zeros_like(w), np.zeros(4 * HIDDEN, np.float32), np.empty_like(x)
-    dh, dc = np.zeros_like(out[0]), np.zeros_like(out[0])
-    for t in range(len(x) - 1, -1, -1):
-        h, c, i, f, o, g = kept[t]
-        tc = np.tanh(f * c + i * g)
-        dh = dh + d[t]
-        dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        dw[:WIDTH] += x[t].T @ dz
-        dw[WIDTH:] += h.T @ dz
-        db += dz.sum(axis=0)
-        dx[t] = dz @ w[:WIDTH].T
-        dh, dc = dz @ w[WIDTH:].T, dc * f
-    return dx, dw, db
-
-
-def _emit(p: dict[str, np.ndarray], ids: np.ndarray, keep: bool = False):
+        z = gates[t]
+        z += states[t] @ inner
+        z[..., : 3 * HIDDEN] *= 0.5
+        np.tanh(z, out=z)
+        s = z[..., : 3 * HIDDEN]
+        s += 1
+        s *= 0.5
+        c = z[..., HIDDEN : 2 * HIDDEN] * cells[t] + z[..., :HIDDEN] * z[..., 3 * HIDDEN :]
+        cells[t + 1], tanhs[t + 1] = c, np.tanh(c)
+        states[t + 1] = z[..., 2 * HIDDEN : 3 * HIDDEN] * tanhs[t + 1]
+    return states, (both, w, gates, cells, tanhs)
+
+
+def _lstms_back(d: np.ndarray, states: np.ndarray, kept: tuple):
+    """Gradients of x and of both directions' weights for the gradient d (T, 2, B, H) of the hidden states."""
+    both, w, gates, cells, tanhs = kept
+    n = len(both)
+    i, f, o, g = (gates[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    out = o * (1 - tanhs[1:] ** 2)
+    factor = np.concatenate([g * i * (1 - i), cells[:-1] * f * (1 - f), tanhs[1:] * o * (1 - o), i * (1 - g * g)], axis=-1)
+    dz = np.empty_like(gates)
+    back = np.ascontiguousarray(w[:, WIDTH:].transpose(0, 2, 1))
+    dh, dc = np.zeros_like(d[0]), np.zeros_like(d[0])
+    for t in range(n - 1, -1, -1):
+        dh += d[t]
+        dc += dh * out[t]
+        z = dz[t]
+        z[...] = np.concatenate([dc, dc, dh, dc], axis=-1)
+        z *= factor[t]
+        dh, dc = z @ back, dc * f[t]
+    flat = lambda v: v.transpose(1, 0, 2, 3).reshape(2, -1, v.shape[-1])
+    zs = flat(dz)
+    dw = np.concatenate([flat(both).transpose(0, 2, 1) @ zs, flat(states[:-1]).transpose(0, 2, 1) @ zs], axis=1)
+    dx = dz @ w[:, :WIDTH].transpose(0, 2, 1)
+    return dx[:, 0] + dx[::-1, 1], dw, zs.sum(axis=1)
+
+
+def _emit(p: dict[str, np.ndarray], ids: np.ndarray):
     """ids (T, B) to tag scores (T, B, K)."""
     x = p["embed"][ids]
-    a, ka = _lstm(x, p["fw"], p["fb"], keep)
-    r, kr = _lstm(x[::-1], p["bw"], p["bb"], keep)
-    both = np.concatenate([a, r[::-1]], axis=2)
-    return both @ p["out"] + p["bias"], (x, a, ka, r, kr, both)
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
+    states, kept = _lstms(p, x)
+    both = np.concatenate([states[1:, 0], states[1:, 1][::-1]], axis=2)
+    return both @ p["out"] + p["bias"], (x, states, kept, both)
 
 
 def _marginals(e: np.ndarray, move: np.ndarray, first: np.ndarray):
-    """Forward and backward log sums and the log partition."""
+    """Scaled forward and backward sums, whose product is each tag's posterior, the emissions' exponentials over their
+    step's scale, and the log partition."""
     n = len(e)
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0] + first
-    for t in range(1, n):
-        alpha[t] = e[t] + _lse(alpha[t - 1][:, :, None] + move, 1)
+    top = e.max(axis=2, keepdims=True)
+    x, m = np.exp(e - top), np.exp(move)
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    z = top[..., 0].sum(axis=0)
+    for t in range(n):
+        a = x[t] * (alpha[t - 1] @ m if t else np.exp(first))
+        scale = a.sum(axis=1, keepdims=True)
+        alpha[t] = a / scale
+        x[t] /= scale
+        z = z + np.log(scale[:, 0])
     for t in range(n - 2, -1, -1):
-        beta[t] = _lse((beta[t + 1] + e[t + 1])[:, None, :] + move, 2)
-    return alpha, beta, _lse(alpha[-1], 1)
+        beta[t] = (beta[t + 1] * x[t + 1]) @ m.T
+    return alpha, beta, x, z
 
 
 def gradients(p: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood of tags (T, B) and its gradients."""
-    e, (x, a, ka, r, kr, both) = _emit(p, ids, True)
+    e, (x, states, kept, both) = _emit(p, ids)
     move, first = p["move"] + BAD, p["first"] + BAD_FIRST
-    alpha, beta, z = _marginals(e, move, first)
-    n, batch = ids.shape
-    eye = np.eye(TAGS, dtype=np.float32)
-    gold = eye[tags]
-    de = (np.exp(alpha + beta - z[:, None]) - gold) / batch
+    alpha, beta, scaled, z = _marginals(e, move, first)
+    batch = ids.shape[1]
+    gold = np.eye(TAGS, dtype=e.dtype)[tags]
+    de = (alpha * beta - gold) / batch
     score = (e * gold).sum() + first[tags[0]].sum() + move[tags[:-1], tags[1:]].sum()
-    dmove = np.zeros_like(move)
-    for t in range(n - 1):
-        dmove += np.exp(alpha[t][:, :, None] + move + (e[t + 1] + beta[t + 1])[:, None, :] - z[:, None, None]).sum(axis=0)
+    dmove = np.exp(move) * np.tensordot(alpha[:-1], beta[1:] * scaled[1:], ([0, 1], [0, 1]))
     np.subtract.at(dmove, (tags[:-1], tags[1:]), 1)
     d = de @ p["out"].T
-    dxa, dfw, dfb = _lstm_back(d[:, :, :HIDDEN], x, a, ka, p["fw"])
-    dxr, dbw, dbb = _lstm_back(d[::-1, :, HIDDEN:], x[::-1], r, kr, p["bw"])
-    dembed = np.zeros_like(p["embed"])
-    np.add.at(dembed, ids, dxa + dxr[::-1])
-    return float((z.sum() - score) / batch), {"embed": dembed, "fw": dfw, "fb": dfb, "bw": dbw, "bb": dbb, "out": np.tensordot(both, de, ([0, 1], [0, 1])), "bias": de.sum(axis=(0, 1)), "move": dmove / batch, "first": de[0].sum(axis=0)}
+    dx, dw, db = _lstms_back(np.stack([d[..., :HIDDEN], d[::-1, :, HIDDEN:]], axis=1), states, kept)
+    one = np.zeros((SYMBOLS, ids.size), e.dtype)
+    one[ids.ravel(), np.arange(ids.size)] = 1
+    return float((z.sum() - score) / batch), {"embed": one @ dx.reshape(-1, WIDTH), "fw": dw[0], "fb": db[0], "bw": dw[1], "bb": db[1], "out": np.tensordot(both, de, ([0, 1], [0, 1])), "bias": de.sum(axis=(0, 1)), "move": dmove / batch, "first": de[0].sum(axis=0)}
+
+
+class Tagger:
+    """Decoding with given weights, laid out for speed: one table row for each symbol holds its part of all gates, and a
+    single tanh serves them, as a sigmoid of x is half of 1 + tanh(x / 2)."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        half = np.ones(4 * HIDDEN, np.float32)
+        half[: 3 * HIDDEN] = 0.5
+        self.tables = [((p["embed"] @ p[w][:WIDTH] + p[b]) * half).astype(np.float32) for w, b in (("fw", "fb"), ("bw", "bb"))]
+        self.inner = [np.ascontiguousarray(p[w][WIDTH:] * half) for w in ("fw", "bw")]
+        self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T), np.ascontiguousarray(p["out"][HIDDEN:].T)]
+        self.bias, self.move, self.first = p["bias"], p["move"] + BAD, p["first"] + BAD_FIRST
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """ids (T, B) to tag scores (T, K, B)."""
+        n, batch = ids.shape
+        e = np.empty((n, TAGS, batch), np.float32)
+        e[:] = self.bias[:, None]
+        z, inner, scores = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32), np.empty((TAGS, batch), np.float32)
+        i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        for table, weights, out, order in zip(self.tables, self.inner, self.out, (range(n), range(n - 1, -1, -1))):
+            h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+            for t in order:
+                np.take(table, ids[t], axis=0, out=z, mode="clip")
+                z += np.dot(h, weights, out=inner)
+                np.tanh(z, out=z)
+                z[:, : 3 * HIDDEN] += 1
+                c *= f
+                i *= g
+                c += i
+                c *= 0.5
+                np.tanh(c, out=h)
+                h *= o
+                h *= 0.5
+                e[t] += np.dot(out, h.T, out=scores)
+        return e
+
+    def may_tag(self, e: np.ndarray) -> np.ndarray:
+        """Whether some path may beat the one without any span: exact, as it only overrates what spans gain.
+
+        Viterbi in gains over the path without any span, from emissions (T, K, B); only the move from one span right into
+        another is overrated, by the best of these.
+        """
+        none, move = self.move[0, 0], self.move
+        begin, within = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        col = lambda x: (x - none).astype(np.float32)[:, None]
+        enter, on, deep, out_b, out_i = col(move[0, begin]), col(move[begin, within]), col(move[within, within]), col(move[begin, 0]), col(move[within, 0])
+        again = np.float32(move[1:, 1::2].max() - none)
+        b = e[0, 1::2] - e[0, 0] + (self.first[begin] - self.first[0])[:, None]
+        i = np.full_like(b, -1e4)
+        free = np.zeros(e.shape[2], np.float32)
+        for row in e[1:]:
+            gain = row[1:] - row[0]
+            last = np.maximum(b.max(axis=0), i.max(axis=0)) + again
+            end = np.maximum((b + out_b).max(axis=0), (i + out_i).max(axis=0))
+            i = np.maximum(b + on, i + deep)
+            i += gain[1::2]
+            b = np.maximum(free + enter, last)
+            b += gain[0::2]
+            np.maximum(free, end, out=free)
+        return (free > 0) | (b.max(axis=0) > 0) | (i.max(axis=0) > 0)
+
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (T, B) by Viterbi and the posterior of each, from emissions."""
+        n, batch, _ = e.shape
+        best, back = e[0] + self.first, np.zeros((n, batch, TAGS), np.int8)
+        for t in range(1, n):
+            s = best[:, :, None] + self.move
+            back[t] = s.argmax(axis=1)
+            best = s.max(axis=1) + e[t]
+        tags = np.empty((n, batch), np.int64)
+        tags[-1] = best.argmax(axis=1)
+        for t in range(n - 1, 0, -1):
+            tags[t - 1] = back[t][np.arange(batch), tags[t]]
+        alpha, beta, _, _ = _marginals(e, self.move, self.first)
+        return tags, np.take_along_axis(alpha * beta, tags[:, :, None], 2)[:, :, 0]
+
+    def spans(self, texts: list[str]) -> list[list[tuple[float, int, int, int, int, int]]]:
+        """For each text (posterior, kind, start, end, window's start, window's end) of the spans of each window.
+
+        Every text is covered whole by windows; the last one ends with the text. Windows of like length go together.
+        """
+        found: list[list[tuple[float, int, int, int, int, int]]] = [[] for _ in texts]
+        queue = [(min(len(x), s + WINDOW) - s, d, s) for d, x in enumerate(texts) for s in starts(len(x))]
+        queue.sort(reverse=True)
+        known = {}
+        for at in range(0, len(queue), BATCH):
+            part = queue[at : at + BATCH]
+            ids = np.zeros((len(part), part[0][0]), np.int64)
+            for i, (n, d, s) in enumerate(part):
+                if d not in known:
+                    known[d] = symbols(texts[d])
+                ids[i, :n] = known[d][s : s + n]
+            e = self.emissions(np.ascontiguousarray(ids.T))
+            held = np.flatnonzero(self.may_tag(e))
+            if not len(held):
+                continue
+            tags, sure = self.decode(np.ascontiguousarray(e[:, :, held].transpose(0, 2, 1)))
+            for j in np.flatnonzero((tags > 0).any(axis=0)):
+                n, d, s = part[held[j]]
+                col, p, t = tags[:n, j], sure[:n, j], 0
+                while t < n:
+                    if not col[t]:
+                        t += 1
+                        continue
+                    end = t + 1
+                    while end < n and col[end] == col[t] + 1:
+                        end += 1
+                    found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
+                    t = end
+        return found
+
+
+def starts(length: int) -> list[int]:
+    """Where the windows of a text of so many characters start."""
+    return [] if not length else [*range(0, max(1, length - WINDOW + STRIDE), STRIDE)]
+
+
+_SYLLABLES = "a e i o u th re st nd er in ch é ß ñ l m ou an ion ent ver la qu dor sch ung ado ción ê ly ing at ea ha en be it keit pf zu ü ö ä tz au ich ge ei ar dad ía ra mente os es eau ai oi aux elle ç pa tion oo ck sh wh ti ne to ri ka".split()
+_SMALL = "the and of to in is at on for with dot or le la et de des und der die das el los que por a I by from call mail tel phone fax card ip host server write".split()
+_ENDS = "com org net de fr es io edu info co.uk com.mx gov".split()
+_ATS = ["@", "@", " @ ", "(at)", " (at) ", "[at]", " [at] ", "{at}", " at ", " AT ", " (AT) ", "(@)", " [@] ", "<at>"]
+_DOTS = [".", ".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "{dot}", " dot ", " DOT ", " (DOT) ", "[.]", "(.)", "<dot>"]
+_BARE_WORD = {" at ": (" dot ", "."), " AT ": (" DOT ", " dot ")}
+
+
+def _word(rng: random.Random) -> str:
+    r = rng.random()
+    if r < 0.3:
+        w = rng.choice(_SMALL)
+    elif r < 0.85:
+        w = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(1, 6)))
+    else:
+        w = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzeeaaiounrst") for _ in range(rng.randrange(1, 11)))
+    r = rng.random()
+    return w.capitalize() if r < 0.15 else w.upper() if r < 0.17 else w
+
+
+def _prose(rng: random.Random, words: int) -> str:
+    """Words with the marks of sentences; some of it all in capitals or with a mark after each word."""
+    mark, out = rng.choice([" "] * 12 + ["!! ", " | ", ", ", ". "]), []
+    for _ in range(words):
+        out.append(_word(rng) + rng.choice([mark] * 8 + [". ", ", ", ".\n", "? "]))
+    s = "".join(out).strip()
+    return s.upper() if rng.random() < 0.05 else s
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return str(rng.randrange(10**n)).zfill(n) if n else ""
+
+
+def _letters(rng: random.Random, low: int, high: int) -> str:
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if rng.random() < 0.5 else rng.choice(["an", "er", "ma", "li", "jo", "sa", "to", "ne", "ri", "ka"]) for _ in range(rng.randrange(low, high)))
+
+
+def _email(rng: random.Random) -> str:
+    local = _letters(rng, 1, 7)
+    if rng.random() < 0.6:
+        local += rng.choice([".", ".", "_", "-", "+", ""]) + (_letters(rng, 1, 7) if rng.random() < 0.7 else _digits(rng, rng.randrange(1, 5)))
+    host = _letters(rng, 1, 7) + (rng.choice(["-", ".", ""]) + _letters(rng, 1, 5) if rng.random() < 0.3 else "") + (_digits(rng, rng.randrange(1, 3)) if rng.random() < 0.2 else "")
+    at = rng.choice(_ATS)
+    dot = rng.choice(_BARE_WORD.get(at, _DOTS if at not in ("@", " @ ") or rng.random() < 0.4 else (".",)))
+    # Where a dot is spelt out all of the host's are; in the local part some are.
+    end = dot.join([*host.split("."), *rng.choice(_ENDS).split(".")])
+    if rng.random() < 0.3:
+        local = local.replace(".", dot)
+    s = local + at + end
+    r = rng.random()
+    return s.upper() if r < 0.08 else s.title() if r < 0.14 else s
+
+
+def _address(rng: random.Random) -> str:
+    if rng.random() < 0.25:
+        groups = [f"{rng.randrange(65536):x}" for _ in range(rng.randrange(3, 9))]
+        return ":".join(groups) if len(groups) == 8 else "::".join([":".join(groups[:-1]), groups[-1]])
+    dot = rng.choice([".", ".", ".", "[.]", "(.)", " . ", "[dot]", "(dot)", " dot ", " (dot) ", "{dot}"])
+    return dot.join(str(rng.randrange(256)) for _ in range(4))
+
+
+def _card(rng: random.Random) -> str:
+    n = rng.choice([16, 16, 16, 16, 15, 14, 13, 19])
+    s = [rng.randrange(10) for _ in range(n - 1)]
+    s[0] = rng.choice([3, 4, 4, 5, 5, 6])
+    odd = sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(reversed(s)))
+    text = "".join(map(str, s)) + str(-odd % 10)
+    sep = rng.choice(["", " ", " ", "-", ".", "  ", "/", "_", " - ", "–"])
+    cuts = (4, 10, 15) if n == 15 else range(4, n + 4, 4)
+    return sep.join(text[a:b] for a, b in zip((0, *cuts), cuts) if text[a:b])
+
+
+#: How phone numbers are written; # is a digit.
+_PHONES = [
+    "+1 (###) ###-####", "(###) ###-####", "(###)###-####", "###-###-####", "###.###.####", "### ### ####", "(###) ### ####", "1-###-###-####", "1 (###) ###-####", "+## ### ######", "+## (0)## #######",
+    "+## ## ### ####", "+##-##-###-####", "+##.##.###.####", "00## ### ### ####", "00##-##-#######", "0##/#######", "0### ######", "0##-########", "0# ## ## ## ##", "0#.##.##.##.##", "(##) #### ####", "(##) ####-####",
+    "+# ### ### ####", "+#-###-###-####", "+## #### ####", "+###########", "0### ### ###", "+## # ## ## ## ##",
+]
+#: Text that is none of the kinds; # is a digit, ~ a hexadecimal one, ^ a capital, _ a word.
+_OTHERS = [
+    "Version #.#.", "v#.##.#", "19##", "20##", "20##-1#-2#", "##.##.20##", "1/2#/19##", "20##-0#-1#T1#:##:##Z", "password=~~~~~~~~~~~~~~~~~~", 'token = "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~"', "AKIA^#^^#^^^##^^^^^#", "~~~~~~~~~~~~", "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~",
+    "~~~~~~~~-~~~~-4~~~-~~~~-~~~~~~~~~~~~", "sk-~~~~~~~~~~~~~~~~~~~~", "##.##", "#,###.##", "$##,###", "#.###,## €", "#", "##", "###", "####", "#####", "######", "#######", "########", "########################", "# ###", "1#:##", "[#]", "[##]", "(#)", "(##)", "##%", "1#-2#", "# x #", "ISBN 978-#-##-######-#",
+    "#. _", "@_", "_ @ # pm", "at #", "the dot at _", "_ at the _ dot", "dot", "at", "(at)", "[dot]", "http://www._.com/_?x=##", "https://_.org/##/_", "_.txt", "_.py", "_.com", "_.de", "x# = ##;", "f(_)[#]", "|", "---", "***", "Copyright (c) 20##", "<_>", "{}", "#.#", "#.#.#", "#####-####", "No. ####", "_##", "_-_", "_._", "_/_",
+]
 
 
-def decode(p: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best tags (T, B) by Viterbi and the posterior of each."""
-    e, _ = _emit(p, ids)
-    move, first = p["move"] + BAD, p["first"] + BAD_FIRST
-    n, batch = ids.shape
-    best, back = e[0] + first, np.zeros((n, batch, TAGS), np.int8)
-    for t in range(1, n):
-        s = best[:, :, None] + move
-        back[t] = s.argmax(axis=1)
-        best = s.max(axis=1) + e[t]
-    tags = np.empty((n, batch), np.int64)
-    tags[-1] = best.argmax(axis=1)
-    for t in range(n - 1, 0, -1):
-        tags[t - 1] = back[t][np.arange(batch), tags[t]]
-    alpha, beta, z = _marginals(e, move, first)
-    sure = np.exp(np.take_along_axis(alpha + beta, tags[:, :, None], 2)[:, :, 0] - z)
-    return tags, sure
-
-
-def _word(rng: np.random.Generator) -> str:
-    w = "".join(rng.choice(["a", "e", "i", "o", "u", "th", "re", "st", "nd", "er", "in", "ch", "é", "ß", "ñ", "l", "m"], rng.integers(1, 6)))
-    return w.capitalize() if rng.random() < 0.15 else w
-
-
-def _digits(rng: np.random.Generator, n: int) -> str:
-    return "".join(map(str, rng.integers(0, 10, n)))
-
-
-def _entity(rng: np.random.Generator, kind: str) -> str:
-    d, r = _digits, rng.random()
-    ascii_word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(2, 8)))
-    if kind == "email":
-        local, host, end = ascii_word() + rng.choice(["", ".", "_"]) + d(rng, int(rng.integers(0, 3))), ascii_word() + d(rng, int(rng.integers(0, 2))), rng.choice(["com", "org", "net", "de"])
-        at, dot = [("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", ".")][int(r * 5)]
-        return f"{local.rstrip('._')}{at}{host}{dot}{end}"
-    if kind == "ip":
-        return ".".join(str(x) for x in rng.integers(0, 256, 4))
-    if kind == "card":
-        s = d(rng, 16)
-        sep = rng.choice(["", "", " ", "-", "."])
-        return sep.join(s[i : i + 4] for i in range(0, 16, 4))
-    area, a, b = d(rng, 3), d(rng, 3), d(rng, 4)
-    return [f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{d(rng, 2)} {area} {a}{b}", f"00{d(rng, 2)} {area} {a} {b}"][int(r * 5)]
-
-
-def _other(rng: np.random.Generator) -> str:
-    """Text with digits that is none of the kinds."""
-    d = _digits
-    hexes = "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 32)))
-    return [
-        f"Version {rng.integers(0, 9)}.{rng.integers(0, 9)}.", f"{rng.integers(1900, 2030)}", f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"password={hexes[:18]}",
-        f'token = "{hexes}"', "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)), f"{rng.integers(1, 999)}.{rng.integers(0, 99)}", d(rng, int(rng.integers(1, 9))), f"{rng.integers(0, 24)}:{d(rng, 2)}", f"[{rng.integers(1, 40)}]", f"{rng.integers(1, 99)}%", f"v{rng.integers(1, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}",
-    ][int(rng.integers(0, 12))]
-
-
-def labelled(rng: np.random.Generator, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags of one window of made-up text with labelled spans."""
-    text, tags = "", []
-    while len(text) < 3 * length:
+def _filled(rng: random.Random, form: str) -> str:
+    fill = {"#": lambda: rng.choice("0123456789"), "~": lambda: rng.choice("0123456789abcdef"), "^": lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_": lambda: _word(rng)}
+    return "".join(fill[c]() if c in fill else c for c in form)
+
+
+def _phone(rng: random.Random) -> str:
+    return _filled(rng, rng.choice(_PHONES))
+
+
+def _other(rng: random.Random) -> str:
+    return _filled(rng, rng.choice(_OTHERS))
+
+
+_ENTITY = {"email": _email, "ip": _address, "card": _card, "phone": _phone}
+
+
+def labelled_text(rng: random.Random, length: int, share: float = 0.22) -> tuple[str, list[int], list[tuple[int, int, int]]]:
+    """Made-up text of at least so many characters, a tag for each, and the spans (kind, start, end)."""
+    text, tags, spans, plain = "", [], [], rng.random() < 0.35
+    while len(text) < length:
         r = rng.random()
-        if r < 0.28:
-            k = int(rng.integers(0, len(KINDS)))
-            s = _entity(rng, KINDS[k])
+        if r < share and not plain:
+            k = rng.randrange(len(KINDS))
+            s = _ENTITY[KINDS[k]](rng)
+            spans.append((k, len(text), len(text) + len(s)))
             tags += [1 + 2 * k] + [2 + 2 * k] * (len(s) - 1)
         else:
-            s = _other(rng) if r < 0.48 else _word(rng)
+            s = _other(rng) if r < share + 0.25 and not (plain and r > 0.1) else _prose(rng, rng.randrange(1, 12 if plain else 5))
             tags += [0] * len(s)
         text += s
-        gap = rng.choice([" ", " ", " ", ". ", ", ", "\n"])
+        gap = rng.choice([" ", " ", " ", " ", ". ", ", ", "\n", "; ", " (", ") ", ": ", " | ", "\n\n"])
         text += gap
         tags += [0] * len(gap)
-    at = int(rng.integers(0, len(text) - length))
-    cut = np.array(tags[at : at + length])
+    return text, tags, spans
+
+
+def labelled(rng: random.Random, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and tags of one window of made-up text with labelled spans; a quarter are short texts, padded as in decoding."""
+    ids, gold = np.zeros(length, np.int64), np.zeros(length, np.int64)
+    if rng.random() < 0.25:
+        text, tags, _ = labelled_text(rng, rng.randrange(5, length), 0.5)
+        text, tags = text.rstrip()[:length], tags[:length]
+        ids[: len(text)], gold[: len(text)] = symbols(text), tags[: len(text)]
+        return ids, gold
+    text, tags, _ = labelled_text(rng, 2 * length)
+    at = rng.randrange(len(text) - length)
+    ids[:], gold[:] = symbols(text)[at : at + length], tags[at : at + length]
     # A window may open inside a span: its first tag is then a begin.
-    if cut[0] and cut[0] % 2 == 0:
-        cut[0] -= 1
-    return symbols(text)[at : at + length], cut
+    if gold[0] and gold[0] % 2 == 0:
+        gold[0] -= 1
+    return ids, gold
 
 
 @lru_cache(maxsize=2)
-def trained(windows: int = 2000, epochs: int = 4, batch: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights after Adam on `windows` labelled windows; the same for the same parameters."""
-    rng = np.random.default_rng(seed)
-    made = [labelled(rng) for _ in range(windows)]
-    ids, tags = np.stack([x for x, _ in made]), np.stack([y for _, y in made])
+def trained(steps: int = 1100, batch: int = 32, seed: int = 7, rate: float = 0.05) -> dict[str, np.ndarray]:
+    """Weights after so many steps of Adam on fresh labelled windows; the same for the same parameters."""
+    rng = random.Random(seed)
     p = start_weights(seed)
-    m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for epoch in range(epochs):
-        order = rng.permutation(windows)
-        for a in range(0, windows, batch):
-            pick = order[a : a + batch]
-            _, g = gradients(p, ids[pick].T, tags[pick].T)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            step += 1
-            rate = 0.02 * (1 - 0.9 * step * batch / (windows * epochs))
-            for k in _PARTS:
-                v = g[k] * min(1.0, 5 / (norm + 1e-9))
-                m1[k] = 0.9 * m1[k] + 0.1 * v
-                m2[k] = 0.98 * m2[k] + 0.02 * v * v
-                p[k] = (p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    for step in range(1, steps + 1):
+        made = [labelled(rng) for _ in range(batch)]
+        _, g = gradients(p, np.stack([x for x, _ in made]).T, np.stack([y for _, y in made]).T)
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        now = rate * min(1.0, step / 50, 1.05 - step / steps)
+        for k in _PARTS:
+            v = g[k] * min(1.0, 5 / (norm + 1e-9))
+            m1[k] = 0.9 * m1[k] + 0.1 * v
+            m2[k] = 0.98 * m2[k] + 0.02 * v * v
+            p[k] = (p[k] - now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
     return p

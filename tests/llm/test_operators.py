@@ -90,8 +90,7 @@ def test_pii_base_equals_patterns():
 
 def test_tagger_gradient_and_training():
     p = {k: v.astype(np.float64) for k, v in tagger.start_weights(1).items()}
-    rng = np.random.default_rng(0)
-    made = [tagger.labelled(rng) for _ in range(2)]
+    made = [tagger.labelled(random.Random(i)) for i in range(2)]
     ids, tags = (np.stack([m[i] for m in made]).T for i in (0, 1))
     _, g = tagger.gradients(p, ids, tags)
     for k in ("fw", "out", "move"):
@@ -111,9 +110,52 @@ def test_pii_operator(docs, none, rows):
     assert by[3]["base_sha256"] == hashlib.sha256(b"").hexdigest() and pii.find(none).count() == 0
     hidden = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
     assert hidden[6] == "Mail [EMAIL] or [PHONE] and [IP] now" and hidden[3] is None
-    text = "call me at (386) 555-3733 or write to ann[at]mail[dot]org now"
-    found = pii.added_spans(tagger.trained(), [text], [[]])[0]
-    assert "(386) 555-3733" in {text[a:b] for _, a, b in found}
+
+
+def test_tagger_on_held_out_spans():
+    """Recall and precision by kind on made-up text of another seed, whole operator: base spans, windows, reconciliation."""
+    rng, model = random.Random(99), tagger.Tagger(tagger.trained())
+    made = [tagger.labelled_text(rng, n) for n in [300] * 150 + [3000] * 15]
+    texts = [x for x, _, _ in made]
+    base = [pii.base_spans(t) for t in texts]
+    hit, missed, wrong = ([0] * 4 for _ in range(3))
+    for (_, _, gold), own, more in zip(made, base, pii.added_spans(model, texts, base)):
+        found = set(own) | set(more)
+        for k, a, b in gold:
+            hit[k] += (k, a, b) in found
+            missed[k] += (k, a, b) not in found
+        for k, _, _ in set(more) - set(gold):
+            wrong[k] += 1
+    assert sum(hit) / (sum(hit) + sum(missed)) >= 0.9 and sum(hit) / (sum(hit) + sum(wrong)) >= 0.9
+    assert all(h / (h + m) >= 0.8 for h, m in zip(hit, missed))
+    prose = " ".join(tagger._word(rng) for _ in range(20_000))
+    assert sum(map(len, pii.added_spans(model, [prose], [[]]))) <= 2
+
+
+def test_bound_on_spans_is_exact():
+    rng, model = random.Random(5), tagger.Tagger(tagger.start_weights(3))
+    for share in (0.0, 0.3):
+        ids = np.stack([tagger.symbols(tagger.labelled_text(rng, 80, share)[0][:80]) for _ in range(64)], axis=1).astype(np.int64)
+        e = model.emissions(ids)
+        e[:, 0] += rng.random() * 3
+        tags, _ = model.decode(e.transpose(0, 2, 1))
+        assert not ((tags > 0).any(axis=0) & ~model.may_tag(e)).any()
+    x, _ = tagger._emit(tagger.start_weights(3), ids)
+    assert np.allclose(model.emissions(ids).transpose(0, 2, 1), x, atol=1e-3)
+
+
+def test_spans_at_every_alignment():
+    """A span of up to 64 characters is found wherever windows cut the text, and windows cover every text."""
+    model = tagger.Tagger(tagger.trained())
+    span = "maria.gonzalez (at) example (dot) com"
+    prose = " ".join(tagger._word(random.Random(i)) for i in range(400))
+    cut = [next(j for j in range(i, i + 40) if prose[j] == " ") for i in range(380, 560, 4)]
+    texts = [prose[:j] + " " + span + prose[600:] for j in cut]
+    found = pii.added_spans(model, texts, [[] for _ in texts])
+    assert sum((0, t.index(span), t.index(span) + len(span)) in f for t, f in zip(texts, found)) >= 0.9 * len(texts)
+    for n in (0, 1, 511, 512, 513, 928, 929, 5000):
+        s = tagger.starts(n)
+        assert all(b - a <= tagger.STRIDE for a, b in zip(s, s[1:])) and (not n or s[0] == 0 and s[-1] + tagger.WINDOW >= n)
 
 
 def test_language(docs, none, rows):
