@@ -3,8 +3,8 @@
 Terms are words and their prefixes of four to six letters, all of them that the examples have. A term that tells the
 labels of the examples apart (a one-sided likelihood-ratio test, Bonferroni-corrected over all terms) weighs `TELLING`
 times as much. Examples are laid out in blocks; each term has its postings and the largest weight in each block that has
-any. A query bounds every block by the sum of its terms' block maxima and visits blocks from the highest bound down, a few
-first and then all that can still hold one of its k best cosines, so the nearest neighbours are exact. They vote by their
+any. A query bounds every block by the sum of its terms' block maxima and visits the blocks of the highest bounds first and
+then all that can still hold one of its k best cosines, so the nearest neighbours are exact. They vote by their
 closeness; the vote is calibrated by isotonic regression on the examples, each scored without itself. A text without any
 term of the examples takes the rate of toxic labels.
 
@@ -22,7 +22,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,11 @@ from pyspark.sql import functions as F
 
 from ._common import batches_of, bounded_sample, fold, prepare
 
-MOST_ROWS, NEAREST, BLOCK, TELLING = 1500, 24, 32, 4
-#: Texts whose scores, and words whose terms, a worker remembers.
-CACHE, WORDS = 50_000, 500_000
+MOST_ROWS, NEAREST, BLOCK, TELLING = 1500, 24, 128, 4
+#: Texts whose scores, and words whose terms, a worker remembers; texts searched together.
+CACHE, WORDS, TOGETHER = 50_000, 300_000, 128
+#: Common terms held in full, at most.
+COMMON = 1536
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,12 +49,6 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers from each lo to its hi, and how many each gives."""
-    n = hi - lo
-    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), n
-
-
 class Index:
     """Examples' unit TF-IDF vectors: postings by term and block, with the block's largest weight."""
 
@@ -65,21 +60,25 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
         place = np.repeat(np.arange(self.size), np.array([len(at) for at, _ in vectors], np.int64))
         weight = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
-        order = np.lexsort((place, term))
-        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
-        part = term * (1 << 32) + self.place // block
-        self.first = np.flatnonzero(np.diff(part, prepend=-1))
-        self.last = np.append(self.first[1:], len(part))[: len(self.first)]
-        self.part = (part[self.first] & 0xFFFFFFFF).astype(np.int32)
-        self.maxima = np.maximum.reduceat(self.weight, self.first) if len(part) else np.zeros(0)
-        self.of_term = np.searchsorted(term[self.first], np.arange(len(vocabulary) + 1))
-        # Terms in over an eighth of the examples, which would fill nearly every block, also have their weights in full.
-        often = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) * 8 > self.size)
-        self.row = np.full(len(vocabulary), -1)
+        # The most common terms, which would fill nearly every block, have their weights in full.
+        counts = np.bincount(term, minlength=len(vocabulary))
+        often = np.sort(np.argsort(-counts, kind="stable")[:COMMON])
+        often = often[counts[often] * 64 > self.size]
+        self.row = np.full(len(vocabulary), -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.often = np.zeros((len(often), -(-self.size // block) * block))
+        self.blocks = -(-self.size // block)
+        self.often = np.zeros((len(often), self.blocks * block))
         held = self.row[term] >= 0
-        self.often[self.row[term[held]], self.place[held]] = self.weight[held]
+        self.often[self.row[term[held]], place[held]] = weight[held]
+        # Postings of the others, by term and place; where each block of each term begins, and its largest weight.
+        term, place, weight = term[~held], place[~held], weight[~held]
+        order = np.lexsort((place, term))
+        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
+        part = term * self.blocks + self.place // block
+        self.begin = np.searchsorted(part, np.arange(len(vocabulary) * self.blocks + 1)).astype(np.int32)
+        self.maxima = np.zeros(len(vocabulary) * self.blocks, np.float32)
+        np.maximum.at(self.maxima, part, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        self.maxima = self.maxima.reshape(len(vocabulary), self.blocks)
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.cache: dict[bytes, tuple[float, str]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -89,27 +88,45 @@ class Index:
         """All weights by term and place, for tests."""
         out = np.zeros((len(self.vocabulary), self.size))
         for t in range(len(self.vocabulary)):
-            i, _ = _ranges(self.first[self.of_term[t] : self.of_term[t + 1]], self.last[self.of_term[t] : self.of_term[t + 1]])
-            out[t, self.place[i]] = self.weight[i]
+            if self.row[t] >= 0:
+                out[t] = self.often[self.row[t], : self.size]
+            else:
+                i = slice(self.begin[t * self.blocks], self.begin[(t + 1) * self.blocks])
+                out[t, self.place[i]] = self.weight[i]
         return out
 
-    def _terms(self, w: str) -> tuple[int, ...]:
-        get = self.vocabulary.get
-        return tuple(x[0] for x in (get(w), *(get(w[:k] + "*") for k in (4, 5, 6) if len(w) > k)) if x is not None)
+    def _terms(self, token: str) -> tuple[int, ...]:
+        """The terms of a run of characters without white space, in the index's vocabulary."""
+        get, out = self.vocabulary.get, []
+        for w in (token,) if token.isalpha() else _WORD.findall(token):
+            if (x := get(w)) is not None:
+                out.append(x[0])
+            for k in (4, 5, 6):
+                # A word with a longer prefix has the shorter ones too.
+                if len(w) <= k or (x := get(w[:k] + "*")) is None:
+                    break
+                out.append(x[0])
+        return tuple(out)
 
     def arrays(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of the text's unit TF-IDF vector, ascending, and their weights."""
-        words = _WORD.findall((text or "").lower())
-        rows = [*map(self.known.get, words)]
+        """The terms of the text's unit TF-IDF vector, as they first occur, and their weights."""
+        tokens = Counter((text or "").lower().split())
+        rows = [*map(self.known.get, tokens)]
         if None in rows:
             known = self.known
             if len(known) > WORDS:
                 known.clear()
-            for i, x in enumerate(rows):
+            for i, (w, x) in enumerate(zip(tokens, rows)):
                 if x is None:
-                    w = words[i]
-                    rows[i] = known[w] = known[w] if w in known else self._terms(w)
-        at, n = np.unique(np.fromiter(chain.from_iterable(rows), np.int64), return_counts=True)
+                    rows[i] = self._terms(w)
+                    if len(w) <= 64:
+                        known[w] = rows[i]
+        found: dict[int, int] = {}
+        get = found.get
+        for row, n in zip(rows, tokens.values()):
+            for t in row:
+                found[t] = get(t, 0) + n
+        at, n = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
         q = (1 + np.log(n)) * self.idf[at]
         return at, q / np.sqrt(q @ q) if len(q) else q
 
@@ -118,41 +135,58 @@ class Index:
         at, q = self.arrays(text)
         return dict(zip(at.tolist(), q.tolist()))
 
-    def nearest(self, query: dict[int, float], k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[int, float], k: int = NEAREST) -> list[tuple[float, int]]:
         """The k examples of the highest cosine above 0, exactly; ties to the lower place."""
-        return self.search(np.fromiter(query, np.int64), np.fromiter(query.values(), np.float64), k, without)
-
-    def search(self, at: np.ndarray, q: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
-        if not len(at) or not self.size:
-            return []
-        row = self.row[at]
-        s = q[row >= 0] @ self.often[row[row >= 0]]
-        at, q = at[row < 0], q[row < 0]
-        parts, n = _ranges(self.of_term[at], self.of_term[at + 1])
-        each, of = np.repeat(q, n), self.part[parts]
-        bound = s.reshape(-1, self.block).max(axis=1)
-        bound = bound + np.bincount(of, each * self.maxima[parts], len(bound))
-        visited = np.zeros(len(bound), bool)
-        visited[np.argsort(-bound, kind="stable")[: max(2, 2 * -(-k // self.block))]] = True
-        s = s[: self.size]
-        if 0 <= without < self.size:
-            s[without] = -1
-        for chosen in (visited, None):
-            if chosen is None:
-                chosen = (bound > 0) & (bound * (1 + 1e-9) >= least) & ~visited
-            if chosen.any():
-                s += self._cosines(parts, each, chosen[of])
-            if 0 <= without < self.size:
-                s[without] = -1
-            least = np.partition(s, -k)[-k] if k <= len(s) else 0.0
-        found = np.flatnonzero((s >= least) & (s > 0))
-        return [(float(s[i]), int(i)) for i in found[np.argsort(-s[found], kind="stable")][:k]]
-
-    def _cosines(self, parts: np.ndarray, each: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Cosines by place, from the chosen parts of the postings."""
-        parts = parts[mask]
-        i, n = _ranges(self.first[parts], self.last[parts])
-        return np.bincount(self.place[i], np.repeat(each[mask], n) * self.weight[i], self.size)
+        return self.search([(np.fromiter(query, np.int64), np.fromiter(query.values(), np.float64))], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights) its nearest examples; without: a place for each query that is left out."""
+        if not self.size:
+            return [[] for _ in queries]
+        many = np.arange(len(queries))
+        s, rare = np.zeros((len(queries), len(self.often))), []
+        for i, (at, q) in enumerate(queries):
+            row = self.row[at]
+            common = row >= 0
+            s[i, row[common]] = q[common]
+            rare.append((at[~common], q[~common]))
+        s = s @ self.often
+        bound = s.reshape(len(queries), self.blocks, self.block).max(axis=2)
+        # Single precision, rounded up: a bound may only be too high.
+        bound += np.stack([q.astype(np.float32) @ self.maxima[at] for at, q in rare]) * (1 + 1e-4)
+        first = np.zeros(bound.shape, bool)
+        first[many[:, None], np.argsort(-bound, axis=1, kind="stable")[:, : max(1, -(-2 * k // self.block))]] = True
+        chosen = first
+        while True:
+            s = self._add(s, rare, chosen)
+            if without is not None:
+                s[many, without] = -1
+            # What blocks not visited have so far counts as well: it can only grow.
+            least = np.maximum(np.partition(s, -k, axis=1)[:, -k], 0) if k <= s.shape[1] else np.zeros(len(queries))
+            if chosen is not first:
+                break
+            chosen = ~first & (bound > 0) & (bound * (1 + 1e-9) >= least[:, None])
+        out = []
+        for own, low in zip(s, least):
+            found = np.flatnonzero((own >= low) & (own > 0))
+            out.append([(float(own[i]), int(i)) for i in found[np.argsort(-own[found], kind="stable")][:k]])
+        return out
+
+    def _add(self, s: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
+        """Cosines by query and place, with what the postings of each query's chosen blocks hold."""
+        parts, weights, rows = [], [], []
+        for i, ((at, q), pick) in enumerate(zip(queries, chosen)):
+            pick = np.flatnonzero(pick)
+            parts.append((at[:, None] * self.blocks + pick).ravel())
+            weights.append(np.repeat(q, len(pick)))
+            rows.append(len(parts[-1]))
+        part = np.concatenate(parts)
+        lo = self.begin[part]
+        n = self.begin[part + 1] - lo
+        some = n > 0
+        lo, n, each, start = lo[some].astype(np.int64), n[some], np.concatenate(weights)[some], np.repeat(np.arange(len(rows)) * s.shape[1], rows)[some]
+        i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return s + np.bincount(np.repeat(start, n) + self.place[i], np.repeat(each, n) * self.weight[i], s.size).reshape(s.shape)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weight = [1 / (1.05 - min(1.0, s)) ** 2 for s, _ in near]
@@ -160,15 +194,20 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The calibrated score and the evidence: up to three nearest examples as doc_id:label:cosine."""
-        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if (got := self.cache.get(key)) is None:
-            near = self.search(*self.arrays(text))
-            score = float(np.interp(self.vote(near), *self.steps)) if near else self.empty_rate
-            got = score, ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in near[:3])
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[key] = got
-        return got
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """score of each text; equal texts are searched once, others in groups of TOGETHER."""
+        keys = [hashlib.blake2b((x or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
+        if len(self.cache) + len(texts) > CACHE:
+            self.cache.clear()
+        new = [*{k: x for k, x in zip(keys, texts) if k not in self.cache}.items()]
+        for a in range(0, len(new), TOGETHER):
+            part = new[a : a + TOGETHER]
+            for (k, _), near in zip(part, self.search([self.arrays(x) for _, x in part])):
+                score = float(np.interp(self.vote(near), *self.steps)) if near else self.empty_rate
+                self.cache[k] = score, ",".join(f"{self.ids[i]}:{self.labels[i]}:{s:.3f}" for s, i in near[:3])
+        return [self.cache[k] for k in keys]
 
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[int], rates: tuple[int, int] | None = None, ids: list[int] | None = None) -> Index:
@@ -198,7 +237,8 @@ class Index:
         heavy = [int(at[np.where(tells[at], q, 0).argmax()]) if tells[at].any() else -1 for at, q in vectors]
         order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (heavy[i], int(vectors[i][0][index.idf[vectors[i][0]].argmin()]), i))
         out = cls(vocabulary, [vectors[i] for i in order], [labels[i] for i in order], rate, [ids[i] if ids else i for i in order])
-        votes = [(out.vote(near) if (near := out.search(*vectors[i], without=at)) else rate, labels[i], share[labels[i]]) for at, i in enumerate(order)]
+        found = [near for a in range(0, len(order), TOGETHER) for near in out.search([vectors[i] for i in order[a : a + TOGETHER]], without=np.arange(a, min(a + TOGETHER, len(order))))]
+        votes = [(out.vote(near) if near else rate, labels[i], share[labels[i]]) for near, i in zip(found, order)]
         out.steps = isotonic(votes)
         return out
 
@@ -248,7 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, index: Index | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches_of(batches):
-            got = [own.score(x.as_py()) for x in b.column(2)]
+            got = own.scores(b.column(2).to_pylist())
             s = np.array([x[0] for x in got], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([x[1] for x in got], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 

@@ -179,7 +179,7 @@ def test_toxicity(spark, docs, none, rows):
     index = toxicity.Index.fit(texts, labels)
     assert index.score("quite moronic text")[0] >= 0.5 > index.score("a fair text")[0]
     v = index.vector(texts[0])
-    scores = sorted(((-float(sum(x * index.dense[t, i] for t, x in v.items())), i) for i in range(index.size)))[:5]
+    scores = sorted(((-round(float(sum(x * index.dense[t, i] for t, x in v.items())), 12), i) for i in range(index.size)))[:5]
     assert [i for _, i in index.nearest(v, 5)] == [i for _, i in scores]
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs, empty).count() == len(rows) and toxicity.toxicity(none, empty).count() == 0
@@ -199,6 +199,16 @@ def test_toxicity_searches_all_terms():
     all_of = sum(x * dense[t] for t, x in v.items())
     want = sorted(range(index.size), key=lambda i: (-round(all_of[i], 12), i))[:24]
     assert [i for s, i in index.nearest(v)] == [i for i in want if all_of[i] > 0]
+    # Whole texts against brute force, with blocks and dense terms of other sizes.
+    for block, common in ((8, 5), (128, 3072)):
+        toxicity.COMMON, kept = common, toxicity.COMMON
+        other = toxicity.Index(index.vocabulary, [index.arrays(texts[i]) for i in index.ids], [labels[i] for i in index.ids], 0.1, index.ids, block)
+        toxicity.COMMON = kept
+        for near, i in zip(other.search([index.arrays(texts[i] + " " + texts[-i]) for i in range(60)], 7), range(60)):
+            v = index.vector(texts[i] + " " + texts[-i])
+            full = sum(x * dense[t] for t, x in v.items())
+            assert [j for _, j in near] == sorted(range(200), key=lambda j: (-round(full[j], 12), j))[:7]
+            assert np.allclose([c for c, _ in near], [full[j] for _, j in near])
 
 
 def test_media(spark, none):
