@@ -12,7 +12,8 @@ numbers with equal free space, and a match is a pair of runs. What the driver ho
 over the pieces in Spark: each piece finds, by length and rank, the match whose run covers its rank. Ranks within a length
 come from hash slices of bounded size, so a length that holds a third of all rows is not one task.
 
-Defined results: a null text counts as empty (one token, the end mark). Rows that share a doc_id are separate documents
+Defined results: a null text counts as empty (one token, the end mark). Added tokens that a text spells out are encoded
+as the library does, as themselves. Rows that share a doc_id are separate documents
 and come back once each. A null doc_id is packed too. Other columns are ignored. An empty table gives an empty result.
 """
 
@@ -67,9 +68,14 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.core = Tokenizer.from_file(path)
-        self.core.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        # Added tokens are cut out of the raw text first, wherever they stand.
+        added = {x["content"]: x["id"] for x in file["added_tokens"]}
+        if any(x[k] for x in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens of this kind are not supported")
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+        self.ids = {t: array("I", [i]).tobytes() for t, i in added.items()}
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         ranks = {}
         for token, i in file["model"]["vocab"].items():
@@ -98,6 +104,14 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += [self.plain(text[at : m.start()]), self.ids[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])]) if out else self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         # str.split also cuts at four separators that are no white space to the tokenizer.
         words = text.split() if not _SEPARATOR.search(text) else _BLANK.split(text)
         found = [*map(self.known.get, words)]
@@ -116,9 +130,12 @@ class Encoder:
         return b"".join(found)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row of docs."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, tokens: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every row of docs; with tokens also ids, as bytes."""
     prepare(docs.sparkSession)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if tokens else "")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer)
@@ -129,11 +146,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
                 ids = encoder.encode(x.as_py() or "") + mark
                 n = len(ids) // 4
                 for i, at in enumerate(range(0, n, size)):
-                    rows.append((d, i, at, min(size, n - at), zlib.crc32(ids[4 * at : 4 * (at + size)])))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    part = ids[4 * at : 4 * (at + size)]
+                    rows.append((d, i, at, len(part) // 4, zlib.crc32(part), part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in zip(range(len(names)), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def supersteps(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -192,20 +209,21 @@ def ranked(parts: DataFrame, counts: dict[int, int]) -> DataFrame:
     many = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("int")
     sizes = spark.createDataFrame(list(counts.items()), "length long, n long").select("length", many.alias("slices"))
     # At most `size` rows of two numbers.
-    cut = parts.join(F.broadcast(sizes), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("slices")).cast("int")).drop("slices")
+    cut = parts.join(F.broadcast(sizes), "length").withColumn("slice", F.pmod(F.xxhash64("rid"), F.col("slices")).cast("int")).drop("slices")
     each = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = table(each.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before")), "slices")
-    inner = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32"))
+    inner = F.row_number().over(Window.partitionBy("length", "slice").orderBy("rid"))
     return cut.withColumn("inner", inner).join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("inner") - 1).drop("slice", "inner", "before")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, tokens: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece; with tokens also ids, as bytes."""
     spark = docs.sparkSession
-    parts = table(pieces(docs, tokenizer, size, end), "pieces")
+    # Written once, so a piece's number is the same wherever it is read; pieces that are alike in all else differ in it.
+    parts = table(pieces(docs, tokenizer, size, end, tokens).select(F.monotonically_increasing_id().alias("rid"), "*"), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     matches = supersteps(counts, size)
     plan = spark.createDataFrame(matches or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
     spans = plan.filter("hi > lo").select("*", F.explode(F.sequence(F.floor(F.col("lo") / SPAN), F.floor((F.col("hi") - 1) / SPAN))).alias("span"))
     placed = ranked(parts, counts).withColumn("span", F.floor(F.col("rank") / SPAN)).join(table(spans, "matches"), ["length", "span"]).filter("rank >= lo and rank < hi")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *(["ids"] if tokens else []))
