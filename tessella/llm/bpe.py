@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A long text is cut into chunks that overlap. Chunks are dealt out as rows and split into pre-tokens in parallel, each
-from its own start, which may fall inside a pre-token. The pattern looks ahead but never back, so where two neighbours
-share a pre-token boundary inside the overlap, all later boundaries of the right one are the true ones: there they are
-stitched. If no boundary is shared the left scan runs on until one is. The pieces are then encoded, each by itself, and
-decoding concatenates the tokens' bytes. Texts of up to a chunk are encoded where they are read.
+Every text is cut into chunks that overlap (a text of up to a chunk is one). Chunks are split into pre-tokens, each from its
+own start, which may fall inside a pre-token. The pattern looks ahead but never back, so where two neighbours share a
+pre-token boundary inside the overlap, all later boundaries of the right one are the true ones: there they are stitched.
+If no boundary is shared the left scan runs on until one is. The pieces are then encoded, each by itself, and decoding
+concatenates the tokens' bytes. The chunks of a text of over `deal` characters are dealt out as rows and scanned in
+parallel by many tasks; those of other texts are scanned where the text is read. Cutting copies each character once.
 
 A chunk's last pre-tokens may depend on what follows it (a run can go on, `\\s+(?!\\S)` looks one character ahead), so
 boundaries that lie on the last character of a chunk's text are not trusted.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import batches_of, prepare
 
-CHUNK, OVERLAP, CACHE = 1 << 16, 1 << 9, 500_000
+CHUNK, OVERLAP, DEAL, CACHE = 1 << 12, 1 << 7, 1 << 16, 500_000
 _LOADED: dict[tuple[str, str], Codec] = {}
 
 
@@ -69,9 +70,6 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return self.core.decode_bytes(memoryview(ids).cast("I").tolist())
 
-    def split(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
-
     def ends(self, text: str, start: int = 0) -> Iterator[int]:
         return (m.end() for m in self.pattern.finditer(text, start))
 
@@ -111,7 +109,13 @@ def stitch(codec: Codec, parts: list[tuple[int, str, list[int]]]) -> list[str]:
     return [whole[a:b] for a, b in zip(true, true[1:])]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, tokens: bool = False) -> DataFrame:
+def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str, bool]]:
+    """(start, text, whether it is the last) of each chunk; the last one ends the text, none lies in its neighbour."""
+    out = [(a, text[a : a + chunk + overlap], a + chunk + overlap >= len(text)) for a in range(0, len(text), chunk)]
+    return out[: next((i for i, x in enumerate(out) if x[2]), -1) + 1]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, tokens: bool = False, deal: int = DEAL) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of docs; with tokens also (ids, decoded) as bytes."""
     prepare(docs.sparkSession)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if tokens else [])]
@@ -129,7 +133,19 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overla
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks, pattern)
         for b in batches_of(batches):
-            yield batch([row(codec, d, codec.split(x.as_py())) for d, x in zip(b.column(0).to_pylist(), b.column(1))])
+            rows = []
+            for d, x in zip(b.column(0).to_pylist(), b.column(1)):
+                parts = [(start, part, boundaries(codec, part, last)) for start, part, last in cut(x.as_py(), chunk, overlap)]
+                rows.append(row(codec, d, stitch(codec, parts) if parts else []))
+            yield batch(rows)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+        for b in batches_of(batches, 1):
+            rid, doc_id, text = (c[0].as_py() for c in b.columns)
+            rows = [(rid, doc_id, start, last, part) for start, part, last in cut(text, chunk, overlap)]
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000]), kinds)], ["rid", "doc_id", "start", "last", "part"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks, pattern)
@@ -143,11 +159,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overla
         return pa.Table.from_batches([batch([row(codec, group["doc_id"][0].as_py(), stitch(codec, rows))])])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = base.filter(F.length("text") <= chunk).mapInArrow(direct, schema)
-    # A row's name: the same however often its partition is run again.
-    long = base.filter(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("rid"), "*")
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), n - 1, F.lit(chunk))
-    parts = long.select("rid", "doc_id", "text", F.explode(starts).alias("start")).select("rid", "doc_id", "start", (F.col("start") + chunk + overlap >= n).alias("last"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"))
+    short = base.filter(F.length("text") <= deal).mapInArrow(direct, schema)
+    # A row's number only has to hold from the cutting of its text to the shuffle that follows.
+    long = base.filter(F.length("text") > deal).select(F.monotonically_increasing_id().alias("rid"), "*")
+    parts = long.mapInArrow(apart, "rid long, doc_id long, start int, last boolean, part string")
     parts = parts.repartition("rid", "start").mapInArrow(scan, "rid long, doc_id long, start int, part string, ends binary")
     return short.union(parts.groupBy("rid").applyInArrow(join, schema))
