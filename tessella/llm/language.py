@@ -4,11 +4,11 @@ A word the model has seen scores its smoothed log frequency in each language. An
 n-grams (with word edges), from the longest length to the shortest, and takes the mean log frequency of the n-grams of
 the first length at which any is known. A text's language has the highest sum over its words.
 
-Learning uses rows with a text, a lang and a fold other than 0, from about `most_rows` of them, chosen by a hash of
-doc_id. `most_words` words of each language are kept, by count; n-gram tables derive from these.
+Learning uses rows with a text, a lang and a fold other than 0, about `most_rows` of each language, chosen by a hash of
+doc_id, so a rare language is learned however large the corpus is. All their words are kept; n-gram tables derive from them.
 
-Defined results: null text or one without a letter gives `und`, score 0. With nothing to learn from every row is `und`.
-Ties go to the language that sorts first. Rows that repeat come back once each. Other columns are ignored.
+Defined results: null text or one without a letter gives `und`, score 0; any other text gets a language, if there is
+something to learn from. Ties go to the language that sorts first, with an equal share as score if no n-gram is known. Rows that repeat come back once each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches_of, bounded_sample, fold, prepare
+from ._common import batches_of, fold, prepare
 
-MOST_ROWS, MOST_WORDS, LONGEST = 3000, 30_000, 5
+#: Rows of each language that are learned from, about; the longest n-gram.
+MOST_ROWS, LONGEST = 750, 5
 #: Words of evidence at which the score stops growing.
 EVIDENCE = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,27 +84,36 @@ class Model:
         n = len(places)
         total = self.rows[places].sum(axis=0) if n else np.zeros(len(self.langs))
         if n < len(words):
-            far, weights = [], []
+            far, weights, letters = [], [], n > 0
             for w, x in zip(words, found):
-                if x is None and (grams := self.backoff(w)):
-                    far += grams
-                    weights += [1 / len(grams)] * len(grams)
-                    n += 1
+                if x is None:
+                    # Numerals such as a superscript count as word characters, but are no letters.
+                    for part in (w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
+                        letters = True
+                        if grams := self.backoff(part):
+                            far += grams
+                            weights += [1 / len(grams)] * len(grams)
+                            n += 1
+            if not letters:
+                return UNKNOWN, 0.0
             if far:
                 total = total + np.array(weights) @ self.rows[far]
         if not n:
-            return UNKNOWN, 0.0
+            return self.langs[0], 1 / len(self.langs)
         best = int(np.argmax(total))
         mean = (total - total[best]) / n
         return self.langs[best], float(1 / np.exp(mean * min(n, EVIDENCE)).sum())
 
 
-def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS) -> Model:
-    rows = docs.filter("text is not null and lang is not null").filter(fold() != 0)
-    words = bounded_sample(rows, "doc_id", most_rows).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
+    rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(fold() != 0)
+    scale = 1 << 30
+    # One row a language, of which the model holds a column each.
+    rates = rows.groupBy("lang").agg(F.least(F.lit(scale), F.ceil(F.lit(float(scale * most_rows)) / F.count("*"))).cast("long").alias("rate"))
+    chosen = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("rate"))
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= most_words)
-    return Model.fit(sorted((r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").toLocalIterator()))
+    return Model.fit(sorted((r["lang"], r["word"], r["n"]) for r in counts.toLocalIterator()))
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
