@@ -166,6 +166,17 @@ def test_language(docs, none, rows):
     assert model.predict("undder")[0] == "de" and model.predict("12 34") == ("und", 0.0)
     assert language.languages(none).count() == 0 and language.fit(none).langs == []
     assert language.keep_known(docs, model).count() == len(rows) - 3
+    assert [model.predict(x)[0] for x in ("½ ² Ⅷ", "", "日本", "a²")] == ["und", "und", "de", "en"]
+
+
+def test_language_learns_rare_ones_and_is_right(spark):
+    """A language of few rows is learned beside a large one; held-out accuracy over the table."""
+    made = [(i, f"the words of row {i} and others", "en") for i in range(400)] + [(1000 + i, f"die wörter der zeile {i} und andere", "de") for i in range(8)]
+    model = language.fit(spark.createDataFrame(made, "doc_id long, text string, lang string"), 5)
+    assert model.langs == ["de", "en"] and model.predict("zeile und wörter")[0] == "de"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.languages(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
 
 
 def test_toxicity(spark, docs, none, rows):
@@ -246,8 +257,8 @@ def test_media(spark, none):
     assert len({e + 3 for e in ends} & set(shifted)) > len(ends) // 2
 
 
-@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 512), (40, 8), (7, 2)])
-def test_bpe_round_trip(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk, overlap, deal", [(1 << 12, 1 << 7, 1 << 16), (40, 8, 60), (7, 2, 9), (7, 2, 1 << 16)])
+def test_bpe_round_trip(spark, chunk, overlap, deal):
     import base64
 
     import tiktoken
@@ -258,8 +269,10 @@ def test_bpe_round_trip(spark, chunk, overlap):
     texts = [*TEXTS, "a" * 300, "  lead\n\n\n  x  " * 30, "it's 12345 we'll   go " * 9]
     if chunk < 1000:
         texts = [t for t in texts if t is not LONG]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.encode(df, ranks, P.PATTERN, chunk, overlap).collect():
+    rows = [*enumerate(texts), (0, texts[0])]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), ranks, P.PATTERN, chunk, overlap, deal=deal).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    for r in got:
         t = texts[r["doc_id"]] or ""
         ids = enc.encode_ordinary(t)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
@@ -288,6 +301,16 @@ def near(fps):
     return [root(i) for i in range(len(fps))]
 
 
+def test_fingerprint_bits():
+    import xxhash
+
+    for t in [*TEXTS, "one two", "One  TWO three", "É é Two three", "a a a a a", None]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 @pytest.mark.parametrize("bucket", [2048, 4])
 def test_simhash_links(spark, bucket):
     rng = random.Random(2)
@@ -357,20 +380,28 @@ def test_vocabulary_entries_encode_to_themselves():
         assert enc.merges(raw + b"\xff" * token.endswith("</w>")) == [i]
 
 
-def test_packing(docs, none, rows):
+def test_packing(spark, none):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    lib = Tokenizer.from_file(path)
-    for t in [*TEXTS[:5], *TEXTS[6:], "ΣΑΣ İstanbul don't a\x85b \x1c ﬁ ½ ²"]:
-        assert packing.Encoder.load(path).encode(t or "") == np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
-    got = packing.pack(docs, path).collect()
-    assert len({(r["doc_id"]) for r in got}) == len(rows) - 1 and packing.pack(none, path).count() == 0
+    lib, size = Tokenizer.from_file(path), 50
+    texts = [*TEXTS[:5], *TEXTS[6:], "ΣΑΣ İstanbul don't a\x85b \x1c ﬁ ½ ²", "a<|endoftext|>b", "<|endoftext|>", "x <|StartOfText|> <|startoftext|><|endoftext|>y", LONG[:3000], LONG[:3000], " ".join(f"w{i}" for i in range(24))]
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert want[texts.index("<|endoftext|>")] == [49407, 1]
+    rows = [*enumerate(texts), (0, texts[0]), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, True, 0.5, 7) for i, t in rows], SCHEMA)
+    got = packing.pack(docs, path, size, tokens=True).collect()
+    # Every piece of every row, by brute force: ids, start, length, checksum.
+    ids = [(i, want[texts.index(t)] if i is not None else [*lib.encode(t, add_special_tokens=False).ids, 1]) for i, t in rows]
+    pieces = [(i, k, k * size, x[k * size : (k + 1) * size]) for i, x in ids for k in range(-(-len(x) // size))]
+    key = lambda r: (r[0] is None, r)
+    assert sorted([(i, k, a, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), np.array(x, "<u4").tobytes()) for i, k, a, x in pieces], key=key) == sorted([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in got], key=key)
     filled = {}
     for r in sorted(got, key=lambda r: r["offset"]):
         assert filled.get(r["sequence_id"], 0) == r["offset"]
         filled[r["sequence_id"]] = r["offset"] + r["length"]
-    assert max(filled.values()) <= 4096
+    assert max(filled.values()) <= size and (len(filled), sorted(size - x for x in filled.values())) == best_fit([len(x) for *_, x in pieces], size)
+    assert packing.pack(none, path).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["chain", "stars", "random", "none"])
