@@ -55,11 +55,25 @@ class Index:
     def __init__(self, vocabulary: dict[str, tuple[int, float]], vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], empty_rate: float, ids: list[int] | None = None, block: int = BLOCK):
         self.vocabulary, self.labels, self.block, self.empty_rate = vocabulary, np.array(labels, np.int8), block, empty_rate
         self.ids = ids if ids is not None else list(range(len(vectors)))
+        lengths = np.array([len(at) for at, _ in vectors], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)]).astype(np.int32), np.concatenate([np.zeros(0), *(q for _, q in vectors)]), lengths
+        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self._lay_out()
+
+    def __getstate__(self) -> dict:
+        """Only what the layout is made from travels: the examples' terms and weights."""
+        return {k: self.__dict__[k] for k in ("vocabulary", "labels", "block", "empty_rate", "ids", "flat", "steps")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        vocabulary, block = self.vocabulary, self.block
         self.idf = np.array([x[1] for x in vocabulary.values()])
-        self.size = len(vectors)
-        term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
-        place = np.repeat(np.arange(self.size), np.array([len(at) for at, _ in vectors], np.int64))
-        weight = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
+        term, weight, lengths = self.flat
+        self.size = len(lengths)
+        term, place = term.astype(np.int64), np.repeat(np.arange(self.size), lengths)
         # The most common terms, which would fill nearly every block, have their weights in full.
         counts = np.bincount(term, minlength=len(vocabulary))
         often = np.sort(np.argsort(-counts, kind="stable")[:COMMON])
@@ -79,7 +93,6 @@ class Index:
         self.maxima = np.zeros(len(vocabulary) * self.blocks, np.float32)
         np.maximum.at(self.maxima, part, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.maxima = self.maxima.reshape(len(vocabulary), self.blocks)
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.cache: dict[bytes, tuple[float, str]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 

@@ -148,12 +148,13 @@ def test_spans_at_every_alignment():
     """A span of up to 64 characters is found wherever windows cut the text, and windows cover every text."""
     model = tagger.Tagger(tagger.trained())
     span = "maria.gonzalez (at) example (dot) com"
-    prose = " ".join(tagger._word(random.Random(i)) for i in range(400))
-    cut = [next(j for j in range(i, i + 40) if prose[j] == " ") for i in range(380, 560, 4)]
-    texts = [prose[:j] + " " + span + prose[600:] for j in cut]
+    prose = " ".join(tagger._word(random.Random(i)) for i in range(1200))
+    first = tagger.STRIDE - 60
+    cut = [next(j for j in range(i, i + 40) if prose[j] == " ") for i in range(first, first + 200, 4)]
+    texts = [prose[:j] + " " + span + prose[first + 240 :] for j in cut]
     found = pii.added_spans(model, texts, [[] for _ in texts])
     assert sum((0, t.index(span), t.index(span) + len(span)) in f for t, f in zip(texts, found)) >= 0.9 * len(texts)
-    for n in (0, 1, 511, 512, 513, 928, 929, 5000):
+    for n in (0, 1, 2047, 2048, 2049, 4000, 4001, 50_000):
         s = tagger.starts(n)
         assert all(b - a <= tagger.STRIDE for a, b in zip(s, s[1:])) and (not n or s[0] == 0 and s[-1] + tagger.WINDOW >= n)
 
@@ -196,6 +197,15 @@ def test_toxicity(spark, docs, none, rows):
     assert toxicity.toxicity(docs, empty).count() == len(rows) and toxicity.toxicity(none, empty).count() == 0
 
 
+def test_toxicity_index_travels():
+    import pickle
+
+    index = toxicity.Index.fit(["a fool and a knave", "a fine day and a walk", "such fools", "days of walks"] * 8, [1, 0, 1, 0] * 8)
+    again = pickle.loads(pickle.dumps(index))
+    texts = ["what a fool", "a walk", "", None, "knave fools day"]
+    assert again.scores(texts) == index.scores(texts) and again.scores(texts)[0] == index.score("what a fool")
+
+
 def test_toxicity_searches_all_terms():
     """Every example and term is in the index, and a copy of an example finds it though no term of it tells labels apart."""
     rng = random.Random(2)
