@@ -12,7 +12,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 WIDTH, HIDDEN, SYMBOLS = 12, 16, 100
 #: Characters of a training window; of a decoding window, and from one window's start to the next one's in a longer text.
-LENGTH, WINDOW, STRIDE = 96, 1024, 928
+LENGTH, WINDOW, STRIDE = 96, 2048, 1952
 #: Windows decoded at once.
 BATCH = 512
 _PARTS = ("embed", "fw", "fb", "bw", "bb", "out", "bias", "move", "first")
@@ -145,8 +145,9 @@ class Tagger:
         half = np.ones(4 * HIDDEN, np.float32)
         half[: 3 * HIDDEN] = 0.5
         self.tables = [((p["embed"] @ p[w][:WIDTH] + p[b]) * half).astype(np.float32) for w, b in (("fw", "fb"), ("bw", "bb"))]
-        self.inner = [np.ascontiguousarray(p[w][WIDTH:] * half) for w in ("fw", "bw")]
-        self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T), np.ascontiguousarray(p["out"][HIDDEN:].T)]
+        # Twice the hidden state is kept, so the weights it meets are halved.
+        self.inner = [np.ascontiguousarray(p[w][WIDTH:] * half / 2) for w in ("fw", "bw")]
+        self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T / 2), np.ascontiguousarray(p["out"][HIDDEN:].T / 2)]
         self.bias, self.move, self.first = p["bias"], p["move"] + BAD, p["first"] + BAD_FIRST
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
@@ -169,7 +170,6 @@ class Tagger:
                 c *= 0.5
                 np.tanh(c, out=h)
                 h *= o
-                h *= 0.5
                 e[t] += np.dot(out, h.T, out=scores)
         return e
 
