@@ -151,7 +151,7 @@ def test_spans_at_every_alignment():
     prose = " ".join(tagger._word(random.Random(i)) for i in range(1200))
     first = tagger.STRIDE - 60
     cut = [next(j for j in range(i, i + 40) if prose[j] == " ") for i in range(first, first + 200, 4)]
-    texts = [prose[:j] + " " + span + prose[first + 240 :] for j in cut]
+    texts = [prose[:j] + " " + span + ", " + prose[first + 240 :] for j in cut]
     found = pii.added_spans(model, texts, [[] for _ in texts])
     assert sum((0, t.index(span), t.index(span) + len(span)) in f for t, f in zip(texts, found)) >= 0.9 * len(texts)
     for n in (0, 1, 2047, 2048, 2049, 4000, 4001, 50_000):
