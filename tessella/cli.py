@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import shutil
+import subprocess
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,23 +17,34 @@ from .sources.files import FORMATS, read_alignment
 
 
 def arguments(argv=None) -> argparse.Namespace:
+    # The names and defaults of the flags.
     top = argparse.ArgumentParser(prog="tessella", description="Compositional bias of alignments.")
+    top.add_argument("--version", action="version", version=version())
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("test", "prune"):
         p = sub.add_parser(name)
         p.add_argument("--file", required=True)
         p.add_argument("--format", default="fasta", choices=sorted(FORMATS))
         p.add_argument("--permutations", type=int, default=100)
+        # Taken so that known command lines run; Spark deals out the work.
+        p.add_argument("--num_workers_permute", type=int, default=1, help="no effect")
         if name == "test":
             p.add_argument("--create_output", action="store_true")
         else:
             p.add_argument("--max_residue_pruned", type=int, default=100)
             p.add_argument("--top_n", type=int, default=1)
+            p.add_argument("--num_workers_chisq", type=int, default=1, help="no effect")
             p.add_argument("--pruning_algorithm", default="wasserstein", choices=analyses.ALGORITHMS)
             p.add_argument("--delta-null", action=argparse.BooleanOptionalAction, default=True)
     return top.parse_args(argv)
 
 
+def version() -> str:
+    """Name, version and, in a checkout, the commit."""
+    got = subprocess.run(["git", "-C", str(Path(__file__).parent), "rev-parse", "--short", "HEAD"], capture_output=True, text=True) if shutil.which("git") else None
+    return f"tessella {__version__}" + (f" ({got.stdout.strip()})" if got and got.returncode == 0 else "")
+
+
 def main(argv=None, spark: SparkSession | None = None) -> list[Path]:
     a = arguments(argv)
     spark = spark or SparkSession.builder.appName("tessella").getOrCreate()
@@ -59,13 +72,19 @@ def main(argv=None, spark: SparkSession | None = None) -> list[Path]:
     made.append(Path(f"{name}_scores.tsv"))
     report.write_tsv(made[-1], report.CHANGE_HEADER, [(r["taxon_id"], r["before_z"], r["before_p"], r["after_z"], r["after_p"], r["delta_z"]) for r in scores])
     end = out.filter("kind = 'summary'").first()
+    batches = out.filter("kind = 'log'").groupBy("iteration").agg(F.count("*").alias("n"), F.first("global_chi2").alias("chi2"), F.first("significant_taxa").alias("biased")).orderBy("iteration")
+    removed = 0
+    for r in batches.toLocalIterator():
+        removed += r["n"]
+        print(f"batch {r['iteration']}: {removed} columns removed, chi-squared {r['chi2']:.2f}, {r['biased']} biased taxa")
     ids = [r["taxon_id"] for r in sorted(scores, key=lambda r: r["seq"])]
     vectors: dict[str, list] = {}
     for r in out.filter("values IS NOT NULL").orderBy("seq").toLocalIterator():
         vectors.setdefault(r["kind"], []).append(r["values"])
     made.append(Path(f"{name}_score_dict.json"))
     report.write_json(made[-1], {"schema_version": 3, "version": __version__, "algorithm": a.pruning_algorithm, "stop_reason": end["text"], "null_recomputes": end["iteration"], "taxa": ids, "before_real": vectors["before_real"][0], "after_real": vectors["after_real"][0], "before_permuted": vectors["before_permuted"], "null_max_deltas": vectors.get("null_max_deltas", [None])[0]})
-    print(end["text"])
+    z = out.filter("kind = 'score'").agg(F.max(F.abs("before_z")), F.max(F.abs("after_z"))).first()
+    print(f"largest |Z| {z[0]:.2f} before, {z[1]:.2f} after; {end['significant_taxa']} biased taxa left; null renewed {end['iteration']} times; stop: {end['text']}")
     return made
 
 

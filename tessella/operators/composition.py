@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 KEYS = ("aln_id",)
 
 
@@ -46,7 +48,12 @@ def scores(f: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def row_chi2(cells: DataFrame, n_states: int, keys=KEYS) -> DataFrame:
-    return scores(fudged(counts(cells, n_states, keys), n_states, keys), keys)
+    return chi2_of(counts(cells, n_states, keys), n_states, keys)
+
+
+def chi2_of(o: DataFrame, n_states: int, keys=KEYS) -> DataFrame:
+    """(keys, taxon_idx, chi2) of raw counts, which totals and scores both read, so they are written once."""
+    return scores(fudged(written(o, "counts"), n_states, keys), keys)
 
 
 def summary(chi2: DataFrame, keys=KEYS) -> DataFrame:

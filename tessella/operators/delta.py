@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import composition as comp
 
 KEYS = ("aln_id",)
@@ -42,7 +43,7 @@ def site_deltas(cells: DataFrame, n_states: int, scorer: str = "squared", ref: D
     """(keys, col_idx, delta); ref is the null's (aln_id, z_mean, z_scale, q) for the wasserstein scorers."""
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}; one of {', '.join(SCORERS)}")
-    f = comp.fudged(comp.counts(cells, n_states, keys), n_states, keys)
+    f = written(comp.fudged(comp.counts(cells, n_states, keys), n_states, keys), "fudged")
     now, then = comp.scores(f, keys), without_site(cells, f, n_states, keys)
     by = [*keys, "col_idx"]
     if scorer in ("squared", "quartic"):
@@ -56,7 +57,7 @@ def site_deltas(cells: DataFrame, n_states: int, scorer: str = "squared", ref: D
         q = ref.select("aln_id", "q")
         base = comp.wasserstein(now, q, k, keys=keys).withColumnRenamed("w", "base")
         folded = comp.wasserstein(then, q, k, keys=by)
-    return folded.join(base, list(keys)).select(*by, (F.col("base") - F.col("w")).alias("delta"))
+    return written(folded.join(base, list(keys)).select(*by, (F.col("base") - F.col("w")).alias("delta")), "deltas")
 
 
 def top_sites(deltas: DataFrame, n: int) -> DataFrame:
@@ -69,7 +70,7 @@ def top_sites(deltas: DataFrame, n: int) -> DataFrame:
 
 
 def delta_null(permuted_cells: DataFrame, n_states: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0) -> DataFrame:
-    """(aln_id, perm, max_delta) of permuted cells (aln_id, perm, ...)."""
+    """(aln_id, perm, max_delta) of permuted cells (aln_id, perm, ...); their seed goes on from the main null's last one."""
     each = site_deltas(permuted_cells, n_states, scorer, ref, k, ("aln_id", "perm"))
     return each.groupBy("aln_id", "perm").agg(F.max("delta").alias("max_delta"))
 

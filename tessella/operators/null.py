@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import composition as comp
 
 SEED, SIGNIFICANT = 12345, 0.05
@@ -27,12 +28,12 @@ def permuted(cells: DataFrame, permutations: int, seed: int = SEED) -> DataFrame
     wide = sites(cells).crossJoin(F.broadcast(perms))  # permutations are a parameter, not data
     name = lambda t: F.md5(F.concat_ws(":", (F.col("perm") + seed).cast("string"), F.col("col_idx").cast("string"), t.cast("string")).cast("binary"))
     dealt = F.array_sort(F.transform("codes", lambda c, t: F.struct(name(t).alias("h"), t.alias("t"), c.alias("c"))))
-    return wide.select("aln_id", "perm", "col_idx", F.posexplode(F.transform(dealt, lambda x: x["c"])).alias("taxon_idx", "code"))
+    return written(wide.select("aln_id", "perm", "col_idx", F.posexplode(F.transform(dealt, lambda x: x["c"])).alias("taxon_idx", "code")), "permuted")
 
 
 def null_chi2(cells: DataFrame, n_states: int, permutations: int, seed: int = SEED) -> DataFrame:
-    """(aln_id, perm, taxon_idx, chi2)."""
-    return comp.row_chi2(permuted(cells, permutations, seed), n_states, ("aln_id", "perm"))
+    """(aln_id, perm, taxon_idx, chi2), written once for the many statistics that read it."""
+    return written(comp.row_chi2(permuted(cells, permutations, seed), n_states, ("aln_id", "perm")), "null")
 
 
 def summary(null: DataFrame) -> tuple[DataFrame, DataFrame]:

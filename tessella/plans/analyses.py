@@ -14,19 +14,28 @@ from ..functions.alphabet import DNA, PROTEIN, code, detect
 from ..operators import composition as comp
 from ..operators import delta as site_delta
 from ..operators import null as nulls
-from ..sources.files import letters
+from ..sources.files import capital, letters
+from ..sources.shared import written
 
 PRUNE_SCHEMA = "aln_id string, kind string, seq long, iteration int, original_index int, global_chi2 double, initial_score double, delta double, significant_taxa int, null_p double, algorithm string, taxon_id string, before_z double, before_p double, after_z double, after_p double, delta_z double, text string, values array<double>"
+#: The algorithms and what is reported as the reason to stop.
 ALGORITHMS = ("squared", "quartic", "wasserstein")
+NOT_BIASED = "alignment p-value"
+NOT_SIGNIFICANT = "delta not significant (p={p:.3f}, max_delta={delta:.6f})"
+CAPPED = "reached --max_residue_pruned cap ({})"
 
 
 def composition_test(taxa: DataFrame, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
     """(aln_id, taxon_idx, taxon_id, chi2, p, z, biased) of taxa (aln_id, taxon_idx, taxon_id, seq)."""
     cut = letters(taxa)
-    kinds = detect(cut.select("aln_id", "residue")).select("aln_id", "alphabet")
+    found = written(detect(cut.select("aln_id", "residue")).select("aln_id", "alphabet"), "alphabets")
+    if (bare := found.filter("alphabet IS NULL").first()) is not None:
+        raise ValueError(f"{bare['aln_id']}: no state to tell the alphabet from")
+    kinds = found
     parts = []
     for alphabet in (DNA, PROTEIN):
         own = cut.join(kinds.filter(F.col("alphabet") == alphabet), "aln_id").select("aln_id", "taxon_idx", "col_idx", code(F.col("residue"), alphabet).alias("code"))
+        own = written(own, "cells")
         chi2, null = comp.row_chi2(own, len(alphabet)), nulls.null_chi2(own, len(alphabet), permutations, seed)
         parts.append(nulls.taxon_scores(chi2, null))
     return parts[0].union(parts[1]).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"])
@@ -35,8 +44,8 @@ def composition_test(taxa: DataFrame, permutations: int = 100, seed: int = nulls
 def one_batch(cells: DataFrame, n_states: int, top_n: int, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
     """(aln_id, rank, col_idx, delta, p, global_chi2, initial_score, significant_taxa): the first batch of the squared
     pruning, with the scores after it; relational all through, for alignments of any size."""
-    chi2, shuffled = comp.row_chi2(cells, n_states), nulls.permuted(cells, permutations, seed)
-    null = comp.row_chi2(shuffled, n_states, ("aln_id", "perm"))
+    chi2, null = comp.row_chi2(cells, n_states), nulls.null_chi2(cells, n_states, permutations, seed)
+    shuffled = nulls.permuted(cells, permutations, seed + permutations)
     biased = nulls.empirical_p_alignment(chi2, null).filter(F.col("p") <= 0.95).select("aln_id", F.col("global_chi2").alias("initial_score"))
     top = site_delta.top_sites(site_delta.site_deltas(cells, n_states), top_n)
     batch = site_delta.justified(top, site_delta.delta_null(shuffled, n_states)).join(biased, "aln_id")
@@ -143,7 +152,7 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
     first = null = Null(x, n, permutations, algorithm, delta_null)
     alive, batch, log = np.arange(x.shape[1]), [], []
     fine, level = max(1, top_n // 10), 0.95 if delta_null else nulls.SIGNIFICANT
-    turn, done, used, last_size, calm, reason = 0, 0, 0, x.shape[1], False, None
+    turn, done, used, last_size, calm, reason = 0, 0, 0, None, False, None
     chi2 = before = matrix_chi2(bump(matrix_counts(x, n)))
 
     def record(total: float, biased: int) -> None:
@@ -179,11 +188,11 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
             rolled = roll_back()
             if renew() or rolled:
                 continue
-            reason = "alignment p-value"
+            reason = NOT_BIASED
             batch = []
             break
         score, d = deltas(x[:, alive], o, n, algorithm, null)
-        order = sorted(range(len(d)), key=lambda j: (-d[j], j))[:top_n]
+        order = sorted(range(len(d)), key=lambda j: (-round(d[j], 9), j))[:top_n]
         chosen = []
         for j in order:
             q = None if null.max_delta is None else float((null.max_delta >= d[j]).mean())
@@ -193,7 +202,7 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
         if not chosen:
             if renew():
                 continue
-            reason = f"delta not significant (p={(null.max_delta >= d[order[0]]).mean():.4f}, max_delta={d[order[0]]:.4f})"
+            reason = NOT_SIGNIFICANT.format(p=(null.max_delta >= d[order[0]]).mean(), delta=d[order[0]])
             batch = []
             break
         if len(chosen) < len(order):
@@ -208,7 +217,7 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
         if batch:
             chi2 = matrix_chi2(bump(matrix_counts(x[:, alive], n))) if len(alive) else chi2
             record(float(chi2.sum()), int((chi2 > null.tau).sum()))
-        reason = f"reached the cap of {most} columns" if len(alive) else "no columns left"
+        reason = CAPPED.format(most) if len(alive) else "no columns left"
     return {"log": log, "before": before, "after": chi2, "alive": alive, "reason": reason, "recomputes": used, "null": first, "last": null}
 
 
@@ -222,7 +231,7 @@ def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: i
         import pandas as pd
 
         pdf = pdf.sort_values("taxon_idx")
-        seqs = [s.upper() for s in pdf["seq"]]
+        seqs = [capital(s) for s in pdf["seq"]]
         seen = {c for s in seqs for c in s} - set("N-?X.")
         if not seen:
             raise ValueError(f"{key[0]}: no state to tell the alphabet from")

@@ -16,7 +16,7 @@ from .sources import tables as src
 P, K, TOP = 10, 20, 5
 QUERIES: dict = {}
 ORACLES: dict = {}
-_LETTERS = {"docs": (src.documents_letters, PROTEIN), "events": (src.events_letters, DNA), "lineitem": (src.lineitem_letters, DNA)}
+_LETTERS = {"docs": (src.documents_letters, PROTEIN), "events": (src.events_letters, DNA), "lineitem": (src.lineitem_letters, DNA), "benchmark": (src.benchmark_letters, PROTEIN)}
 
 # --- DuckDB: alignments and the steps over them, as common table expressions -----------------------------------------
 
@@ -37,6 +37,9 @@ _EVENTS = _padded("""
 _LINEITEM = _padded("""
   SELECT l_suppkey AS taxon_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_returnflag, l_linestatus) - 1 AS col_idx,
     CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'A' WHEN 'AO' THEN 'C' WHEN 'NF' THEN 'G' WHEN 'NO' THEN 'T' WHEN 'RO' THEN 'N' ELSE '-' END AS r FROM lineitem""", DNA)
+_BENCH = _padded("""
+  SELECT item_id AS taxon_id, i - 1 AS col_idx, upper(r) AS r
+  FROM (SELECT item_id, unnest(string_split(text, '')) AS r, unnest(range(1, length(text) + 1)) AS i FROM benchmark WHERE text <> '')""", PROTEIN)
 _CELLS = """, taxa AS (SELECT taxon_id, row_number() OVER (ORDER BY taxon_id) - 1 AS t FROM (SELECT DISTINCT taxon_id FROM letters))
 , cells AS (SELECT t, col_idx AS j, CASE WHEN length(r) = 1 AND strpos(a, r) > 0 THEN strpos(a, r) - 1 ELSE -1 END AS c FROM letters JOIN taxa USING (taxon_id), alpha)
 , states AS (SELECT unnest(range(0, length(a))) AS c FROM alpha)"""
@@ -51,15 +54,23 @@ def _count(cells: str, key: str = "0") -> str:
 , chi AS (SELECT p, t, sum((n - e) * (n - e) / e) AS chi2 FROM e GROUP BY p, t)"""
 
 
-def _permuted(cells: str = "cells", n: int = P) -> str:
+def _permuted(name: str = "perm", n: int = P, seed: int = null.SEED) -> str:
     return f"""
-, perm AS (SELECT p, j, row_number() OVER (PARTITION BY p, j ORDER BY md5(concat_ws(':', p + {null.SEED}, j, t)), t) - 1 AS t, c FROM {cells}, (SELECT unnest(range(0, {n})) AS p))"""
+, {name} AS (SELECT p, j, row_number() OVER (PARTITION BY p, j ORDER BY md5(concat_ws(':', p + {seed}, j, t)), t) - 1 AS t, c FROM cells, (SELECT unnest(range(0, {n})) AS p))"""
+
+
+def _counted(cells: str, x: str, scores: str) -> str:
+    """The steps of _count for permuted cells, under names that begin with x; the scores (p, t, chi2) under their own."""
+    renamed = {"raw": f"{x}raw", ", o AS": f", {x}o AS", "FROM o)": f"FROM {x}o)", ", e AS (SELECT": f", {x}e AS (SELECT", "FROM e GROUP": f"FROM {x}e GROUP", "chi AS": f"{scores} AS"}
+    sub = _count(cells, "p")
+    for old, new in renamed.items():
+        sub = sub.replace(old, new)
+    return sub
 
 
 def _null() -> str:
     """The null's scores (p, t, chi2) beside the observed ones (t, chi2)."""
-    sub = _count("perm", "p").replace("raw", "nraw").replace(", o AS", ", no AS").replace("FROM o)", "FROM no)").replace(", e AS (SELECT", ", ne AS (SELECT").replace("FROM e GROUP", "FROM ne GROUP").replace("chi AS", "nul AS")
-    return _permuted() + sub
+    return _permuted() + _counted("perm", "n", "nul")
 
 
 _SCORE = """
@@ -73,6 +84,18 @@ def _sql(base: str, *steps: str, end: str) -> str:
     return "WITH " + base + _CELLS + "".join(steps) + "\n" + end
 
 
+def _counts(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int]:
+    """Raw counts of an alignment, and its number of states; a document's are counted without cutting it up."""
+    if which == "docs":
+        return src.documents_counts(spark, sf_dir), len(PROTEIN)
+    cells, n = _cells(spark, sf_dir, which)
+    return comp.counts(cells, n), n
+
+
+def _chi2(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    return comp.chi2_of(*_counts(spark, sf_dir, which))
+
+
 def _cells(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int]:
     letters, alphabet = _LETTERS[which]
     return src.cells(letters(spark, sf_dir), alphabet), len(alphabet)
@@ -100,7 +123,7 @@ def alphabet_detect(spark, sf_dir):
     return detect(both[0].union(both[1]))
 
 
-for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEITEM)):
+for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEITEM), ("benchmark", _BENCH)):
     _count_sql = _count("cells")
 
     if _which != "docs":  # every character of every document would be the result there
@@ -111,34 +134,32 @@ for _which, _base in (("docs", _DOCS), ("events", _EVENTS), ("lineitem", _LINEIT
 
     @register(f"nongap_counts_{_which}", _sql(_base, end="SELECT t AS taxon_idx, count(*) AS n FROM cells WHERE c >= 0 GROUP BY t"))
     def _nongap(spark, sf_dir, which=_which):
-        return _cells(spark, sf_dir, which)[0].filter("code >= 0").groupBy("taxon_idx").agg(F.count("*").alias("n"))
+        n = F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x)
+        return _counts(spark, sf_dir, which)[0].select("taxon_idx", n.alias("n")).filter("n > 0")
 
     @register(f"row_counts_raw_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, n FROM raw"))
     def _raw(spark, sf_dir, which=_which):
-        cells, n = _cells(spark, sf_dir, which)
-        return comp.counts(cells, n).select("taxon_idx", F.posexplode("o").alias("code", "n"))
+        return _counts(spark, sf_dir, which)[0].select("taxon_idx", F.posexplode("o").alias("code", "n"))
 
     @register(f"row_counts_fudged_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, n FROM o"))
     def _fudged(spark, sf_dir, which=_which):
-        cells, n = _cells(spark, sf_dir, which)
-        return comp.fudged(comp.counts(cells, n), n).select("taxon_idx", F.posexplode("o").alias("code", "n"))
+        return comp.fudged(*_counts(spark, sf_dir, which)).select("taxon_idx", F.posexplode("o").alias("code", "n"))
 
     @register(f"expected_counts_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, c AS code, round(e, 6) AS e FROM e"))
     def _expected(spark, sf_dir, which=_which):
-        cells, n = _cells(spark, sf_dir, which)
-        return comp.fudged(comp.counts(cells, n), n).select("taxon_idx", F.posexplode(comp.expected()).alias("code", "e")).select("taxon_idx", "code", _r("e"))
+        return comp.fudged(*_counts(spark, sf_dir, which)).select("taxon_idx", F.posexplode(comp.expected()).alias("code", "e")).select("taxon_idx", "code", _r("e"))
 
     @register(f"row_chi2_{_which}", _sql(_base, _count_sql, end="SELECT t AS taxon_idx, round(chi2, 6) AS chi2 FROM chi"))
     def _row(spark, sf_dir, which=_which):
-        return comp.row_chi2(*_cells(spark, sf_dir, which)).select("taxon_idx", _r("chi2"))
+        return _chi2(spark, sf_dir, which).select("taxon_idx", _r("chi2"))
 
     @register(f"global_chi2_{_which}", _sql(_base, _count_sql, end="SELECT round(sum(chi2), 6) AS global_chi2, round(sum(chi2 * chi2), 2) AS quartic_chi2, round(max(chi2), 6) AS max_chi2 FROM chi"))
     def _global(spark, sf_dir, which=_which):
-        return comp.summary(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("global_chi2"), _r("quartic_chi2", digits=2), _r("max_chi2"))
+        return comp.summary(_chi2(spark, sf_dir, which)).select(_r("global_chi2"), _r("quartic_chi2", digits=2), _r("max_chi2"))
 
     @register(f"chi2_spread_{_which}", _sql(_base, _count_sql, ", m AS (SELECT median(chi2) AS med, avg(chi2) AS mean FROM chi)", end="SELECT round(any_value(mean), 6) AS mean, round(any_value(med), 6) AS median, round(median(abs(chi2 - med)), 6) AS mad FROM chi, m"))
     def _spread(spark, sf_dir, which=_which):
-        return comp.spread(comp.row_chi2(*_cells(spark, sf_dir, which))).select(_r("mean"), _r("median"), _r("mad"))
+        return comp.spread(_chi2(spark, sf_dir, which)).select(_r("mean"), _r("median"), _r("mad"))
 
 
 _PS = ", ".join(repr(p) for p in comp.positions(K))
@@ -146,7 +167,7 @@ _PS = ", ".join(repr(p) for p in comp.positions(K))
 
 @register("chi2_quantiles", _sql(_DOCS, _count("cells"), end=f"SELECT i - 1 AS k, round(q[i], 6) AS q FROM (SELECT q, unnest(range(1, {K + 1})) AS i FROM (SELECT quantile_cont(chi2, [{_PS}]) AS q FROM chi))"))
 def chi2_quantiles(spark, sf_dir):
-    q = comp.quantiles(comp.row_chi2(*_cells(spark, sf_dir, "docs")), K)
+    q = comp.quantiles(_chi2(spark, sf_dir, "docs"), K)
     return q.select(F.posexplode("q").alias("k", "q")).select("k", _r("q"))
 
 
@@ -160,7 +181,7 @@ def _both(spark, sf_dir, which):
     return comp.row_chi2(cells, n), null.null_chi2(cells, n, P)
 
 
-for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
+for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM), ("benchmark", _BENCH)):
     _steps = (_count("cells"), _null())
 
     @register(f"null_row_chi2_{_which}", _sql(_base, *_steps, end="SELECT p AS perm, t AS taxon_idx, round(chi2, 6) AS chi2 FROM nul"))
@@ -189,10 +210,6 @@ for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
         chi2, nul = _both(spark, sf_dir, which)
         return chi2.join(null.threshold(chi2, nul), "aln_id").groupBy("aln_id").agg(F.round(F.first("tau"), 6).alias("tau"), F.count_if(F.col("chi2") > F.col("tau")).alias("n_biased")).select("tau", "n_biased")
 
-    @register(f"biased_taxa_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT t AS taxon_idx FROM pv WHERE p < 0.05"))
-    def _biased(spark, sf_dir, which=_which):
-        return null.taxon_scores(*_both(spark, sf_dir, which)).filter("biased").select("taxon_idx")
-
     @register("taxon_score_report" if _which == "events" else f"taxon_score_report_{_which}", _sql(_base, *_steps, _SCORE, end="SELECT taxon_id, round(pv.p, 4) AS p, round(z, 2) AS z FROM pv JOIN taxa USING (t)"))
     def _report(spark, sf_dir, which=_which):
         got = null.taxon_scores(*_both(spark, sf_dir, which))
@@ -200,6 +217,11 @@ for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
         return got.join(ids, ["aln_id", "taxon_idx"]).select("taxon_id", _r("p", digits=4), _r("z", digits=2))
 
 
+@register("biased_taxa", _sql(_BENCH, _count("cells"), _null(), _SCORE, end="SELECT t AS taxon_idx FROM pv WHERE p < 0.05"))
+def biased_taxa(spark, sf_dir):
+    return null.taxon_scores(*_both(spark, sf_dir, "benchmark")).filter("biased").select("taxon_idx")
+
+
 _REF = f"""
 , zs AS (SELECT (chi2 - m) / scale AS z FROM nul, s, mad), nq AS (SELECT quantile_cont(z, [{_PS}]) AS zq FROM zs), cq AS (SELECT quantile_cont(chi2, [{_PS}]) AS rq FROM nul)"""
 
@@ -231,7 +253,7 @@ _LOO = """
 , lchi AS (SELECT j, t, sum((n - e) * (n - e) / e) AS chi2 FROM lf GROUP BY j, t)"""
 
 
-for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM)):
+for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM), ("benchmark", _BENCH)):
     for _scorer, _x in (("squared", "chi2"), ("quartic", "chi2 * chi2")):
 
         @register(f"delta_{_scorer}_{_which}", _sql(_base, _count("cells"), _LOO, end=f"SELECT j AS col_idx, round((SELECT sum({_x}) FROM chi) - sum({_x}), {6 if _scorer == 'squared' else 3}) + 0.0 AS delta FROM lchi GROUP BY j"))
@@ -267,22 +289,31 @@ def delta_degenerate(spark, sf_dir):
     return delta.site_deltas(src.cells(letters, DNA), 4).select("col_idx", _r("delta"))
 
 
-_PDELTA = _LOO.replace("SELECT DISTINCT j FROM cells", "SELECT DISTINCT p, j FROM perm").replace("lo AS (SELECT x.j", "lo AS (SELECT x.p, x.j").replace("CROSS JOIN o JOIN cells k ON k.j = x.j AND k.t = o.t", "JOIN no o ON o.p = x.p JOIN perm k ON k.p = x.p AND k.j = x.j AND k.t = o.t").replace("SELECT j, t", "SELECT p, j, t").replace("PARTITION BY j", "PARTITION BY p, j").replace("GROUP BY j, t", "GROUP BY p, j, t")
-_NULLMAX = _PDELTA + ", ld AS (SELECT p, j, sum(chi2) AS w FROM lchi GROUP BY p, j), nb AS (SELECT p, sum(chi2) AS base FROM nul GROUP BY p), nm AS (SELECT p, max(base - w) AS mx FROM ld JOIN nb USING (p) GROUP BY p)"
+#: The delta null has permutations of its own, whose seeds go on from the main null's last one.
+_DNULL = _permuted("dperm", seed=null.SEED + P) + _counted("dperm", "dt", "dnul")
+_PDELTA = _LOO.replace("SELECT DISTINCT j FROM cells", "SELECT DISTINCT p, j FROM dperm").replace("lo AS (SELECT x.j", "lo AS (SELECT x.p, x.j").replace("CROSS JOIN o JOIN cells k ON k.j = x.j AND k.t = o.t", "JOIN dto o ON o.p = x.p JOIN dperm k ON k.p = x.p AND k.j = x.j AND k.t = o.t").replace("SELECT j, t", "SELECT p, j, t").replace("PARTITION BY j", "PARTITION BY p, j").replace("GROUP BY j, t", "GROUP BY p, j, t")
+_NULLMAX = _DNULL + _PDELTA + ", ld AS (SELECT p, j, sum(chi2) AS w FROM lchi GROUP BY p, j), nb AS (SELECT p, sum(chi2) AS base FROM dnul GROUP BY p), nm AS (SELECT p, max(base - w) AS mx FROM ld JOIN nb USING (p) GROUP BY p)"
+
 
+def _null_deltas(cells, n):
+    return delta.delta_null(null.permuted(cells, P, null.SEED + P), n)
 
-@register("delta_null_max", _sql(_EVENTS, _count("cells"), _null(), _NULLMAX, end="SELECT p AS perm, round(mx, 6) AS max_delta FROM nm"))
-def delta_null_max(spark, sf_dir):
-    cells, n = _cells(spark, sf_dir, "events")
-    return delta.delta_null(null.permuted(cells, P), n).select("perm", _r("max_delta"))
+
+for _which, _base in (("events", _EVENTS), ("benchmark", _BENCH)):
+
+    @register(f"delta_null_max_{_which}", _sql(_base, _NULLMAX, end="SELECT p AS perm, round(mx, 6) AS max_delta FROM nm"))
+    def _nullmax(spark, sf_dir, which=_which):
+        return _null_deltas(*_cells(spark, sf_dir, which)).select("perm", _r("max_delta"))
 
 
 _TOPS = _LOO + f", d AS (SELECT j, (SELECT sum(chi2) FROM chi) - sum(chi2) AS delta FROM lchi GROUP BY j), top AS (SELECT j, delta, row_number() OVER (ORDER BY round(delta, 9) DESC, j) AS rk FROM d QUALIFY rk <= {TOP})"
 
 
-@register("topk_sites", _sql(_EVENTS, _count("cells"), _TOPS, end="SELECT j AS col_idx, round(delta, 6) AS delta FROM top"))
-def topk_sites(spark, sf_dir):
-    return delta.top_sites(delta.site_deltas(*_cells(spark, sf_dir, "events")), TOP).select("col_idx", _r("delta"))
+for _which, _base in (("events", _EVENTS), ("benchmark", _BENCH)):
+
+    @register(f"topk_sites_{_which}", _sql(_base, _count("cells"), _TOPS, end="SELECT j AS col_idx, round(delta, 6) AS delta FROM top"))
+    def _top(spark, sf_dir, which=_which):
+        return delta.top_sites(delta.site_deltas(*_cells(spark, sf_dir, which)), TOP).select("col_idx", _r("delta"))
 
 
 _TOPS2 = _TOPS.replace(" lo AS", " l2o AS").replace("FROM lo)", "FROM l2o)").replace(" le AS", " l2e AS").replace("FROM le)", "FROM l2e)").replace(" lf AS", " l2f AS").replace("FROM lf GROUP", "FROM l2f GROUP").replace("lchi", "l2chi")
@@ -293,10 +324,10 @@ _WALK = _NULLMAX + _TOPS2 + """
 , walk AS (SELECT rk, j, delta, p FROM (SELECT *, max(p) OVER (ORDER BY rk) AS worst FROM w) WHERE worst <= 0.05)"""
 
 
-@register("delta_null_walk", _sql(_LINEITEM, _count("cells"), _null(), _WALK, end="SELECT rk AS rank, j AS col_idx, round(delta, 6) + 0.0 AS delta, round(p, 6) AS p FROM walk"))
+@register("delta_null_walk", _sql(_BENCH, _count("cells"), _null(), _WALK, end="SELECT rk AS rank, j AS col_idx, round(delta, 6) + 0.0 AS delta, round(p, 6) AS p FROM walk"))
 def delta_null_walk(spark, sf_dir):
-    cells, n = _cells(spark, sf_dir, "lineitem")
-    got = delta.justified(delta.top_sites(delta.site_deltas(cells, n), TOP), delta.delta_null(null.permuted(cells, P), n))
+    cells, n = _cells(spark, sf_dir, "benchmark")
+    got = delta.justified(delta.top_sites(delta.site_deltas(cells, n), TOP), _null_deltas(cells, n))
     return got.select("rank", "col_idx", _r("delta"), _r("p"))
 
 
@@ -306,15 +337,15 @@ _BATCH = _WALK + ", kept AS (SELECT * FROM cells WHERE j NOT IN (SELECT j FROM w
 , fin AS (SELECT sum(chi2) AS total, count(*) FILTER (WHERE chi2 > tau) AS n FROM after, tau)"""
 
 
-@register("prune_one_batch", _sql(_LINEITEM, _count("cells"), _null(), _SCORE, _BATCH, end="SELECT walk.j AS original_index, round(fin.total, 6) AS global_chi2, round((SELECT sum(chi2) FROM chi), 6) AS initial_score, round(delta, 6) + 0.0 AS delta, fin.n AS significant_taxa, round(walk.p, 6) AS null_p FROM walk, fin, ps WHERE ps.p <= 0.95"))
+@register("prune_one_batch", _sql(_BENCH, _count("cells"), _null(), _SCORE, _BATCH, end="SELECT walk.j AS original_index, round(fin.total, 6) AS global_chi2, round((SELECT sum(chi2) FROM chi), 6) AS initial_score, round(delta, 6) + 0.0 AS delta, fin.n AS significant_taxa, round(walk.p, 6) AS null_p FROM walk, fin, ps WHERE ps.p <= 0.95"))
 def prune_one_batch(spark, sf_dir):
-    got = analyses.one_batch(*_cells(spark, sf_dir, "lineitem"), TOP, P)
+    got = analyses.one_batch(*_cells(spark, sf_dir, "benchmark"), TOP, P)
     return got.select(F.col("col_idx").alias("original_index"), _r("global_chi2"), _r("initial_score"), _r("delta"), "significant_taxa", _r("p", "null_p"))
 
 
 @register("chi2_histogram", _sql(_DOCS, _count("cells"), f", h AS (SELECT min(chi2) AS lo, max(chi2) AS hi FROM chi), b AS (SELECT CASE WHEN hi > lo THEN least({K - 1}, CAST(floor((chi2 - lo) / (hi - lo) * {K}) AS BIGINT)) ELSE 0 END AS bin, lo, hi FROM chi, h)", end=f"SELECT bin, round(any_value(lo + (hi - lo) / {K} * bin), 6) AS low, count(*) AS n FROM b GROUP BY bin"))
 def chi2_histogram(spark, sf_dir):
-    return comp.histogram(comp.row_chi2(*_cells(spark, sf_dir, "docs")), K).select("bin", _r("low"), "n")
+    return comp.histogram(_chi2(spark, sf_dir, "docs"), K).select("bin", _r("low"), "n")
 
 
 _REMOVED = [0, 7, 13]
@@ -331,19 +362,19 @@ def fasta_lines(spark, sf_dir):
     return report.fasta(report.sequences(letters)).select("taxon_id", "fasta")
 
 
-def _taxa(spark, sf_dir):
-    """The lineitem alignment as sequences."""
-    letters = _LETTERS["lineitem"][0](spark, sf_dir)
-    return report.sequences(letters).join(src.taxa(letters), ["aln_id", "taxon_id"]).withColumn("taxon_id", F.col("taxon_id").cast("string"))
+def _pruned(spark, sf_dir):
+    """The benchmark alignment pruned by the default algorithm with the default permutations and cap, in batches of ten."""
+    letters = _LETTERS["benchmark"][0](spark, sf_dir)
+    taxa = report.sequences(letters).join(src.taxa(letters), ["aln_id", "taxon_id"]).withColumn("taxon_id", F.col("taxon_id").cast("string"))
+    return analyses.prune(taxa, top_n=10)
 
 
 @register("prune_log_full")
 def prune_log_full(spark, sf_dir):
-    got = analyses.prune(_taxa(spark, sf_dir), "squared", 6, P, 2).filter("kind = 'log'")
+    got = _pruned(spark, sf_dir).filter("kind = 'log'")
     return got.select("seq", "iteration", "original_index", "global_chi2", "initial_score", "delta", "significant_taxa", "null_p", "algorithm")
 
 
 @register("before_after_scores")
 def before_after_scores(spark, sf_dir):
-    got = analyses.prune(_taxa(spark, sf_dir), "squared", 6, P, 2).filter("kind = 'score'")
-    return got.select("taxon_id", "before_z", "before_p", "after_z", "after_p", "delta_z")
+    return _pruned(spark, sf_dir).filter("kind = 'score'").select("taxon_id", "before_z", "before_p", "after_z", "after_p", "delta_z")

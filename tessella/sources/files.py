@@ -1,7 +1,7 @@
 """Alignment files as tables: (aln_id, taxon_idx, taxon_id, seq), one row per taxon in the file's order.
 
-Formats: fasta, nexus (interleaved or not, with comments, matchchar), phylip (sequential or interleaved), clustal and
-stockholm. Files are read whole by Spark, one alignment each, so a directory or a glob is many alignments at once.
+Formats: fasta, nexus (interleaved or wrapped, with comments, matchchar; ntax and nchar are checked), phylip (sequential or
+interleaved), clustal and stockholm. A taxon twice in a block raises; FASTA and PHYLIP keep such rows apart. Files are read whole by Spark, one alignment each, so a directory or a glob is many alignments at once.
 """
 
 from __future__ import annotations
@@ -42,12 +42,28 @@ def parse_nexus(text: str) -> list[tuple[str, str]]:
     matrix = re.search(r"(?is)\bmatrix\b(.*?);", body)
     if not matrix:
         raise ValueError("a NEXUS file without a matrix")
+    size = {k.lower(): int(n) for k, n in re.findall(r"(?i)\b(ntax|nchar)\s*=\s*(\d+)", body)}
+    width = size.get("nchar")
+    inter = bool(form and re.search(r"(?i)\binterleave(?!\s*=\s*no)\b", form[1]))
     rows: dict[str, str] = {}
+    open_row = None
     for line in matrix[1].splitlines():
-        m = re.match(r"\s*(?:'((?:[^']|'')*)'|(\S+))\s+(.*\S)", line)
-        if m:
-            name = m[1].replace("''", "'") if m[1] is not None else m[2]
-            rows[name] = rows.get(name, "") + "".join(m[3].split())
+        if not line.strip():
+            continue
+        # Without interleaving a row goes on over lines until it has nchar characters.
+        if open_row is not None and not inter and width and len(rows[open_row]) < width:
+            rows[open_row] += "".join(line.split())
+            continue
+        m = re.match(r"\s*(?:'((?:[^']|'')*)'|(\S+))(?:\s+(.*\S))?\s*$", line)
+        name = m[1].replace("''", "'") if m[1] is not None else m[2]
+        if name in rows and (not inter or not width or len(rows[name]) >= width):
+            raise ValueError(f"the taxon {name!r} occurs twice")
+        rows[name] = rows.get(name, "") + "".join((m[3] or "").split())
+        open_row = name
+    if width and any(len(v) != width for v in rows.values()):
+        raise ValueError("a NEXUS row of another length than nchar says")
+    if "ntax" in size and len(rows) != size["ntax"]:
+        raise ValueError("another number of NEXUS rows than ntax says")
     if same and rows:
         first = next(iter(rows.values()))
         rows = {k: "".join(f if c == same[1] else c for c, f in zip(v, first)) if len(v) == len(first) else v for k, v in rows.items()}
@@ -55,35 +71,64 @@ def parse_nexus(text: str) -> list[tuple[str, str]]:
 
 
 def parse_phylip(text: str) -> list[tuple[str, str]]:
-    lines = [x for x in text.splitlines() if x.strip()]
+    """Sequential if each row, read on over lines until it is full, gives the header's numbers; interleaved otherwise."""
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
     taxa, width = map(int, lines[0].split()[:2])
-    names, seqs = [], []
-    for line in lines[1 : taxa + 1]:
-        name, _, rest = line.strip().partition(" ")
-        names.append(name)
-        seqs.append("".join(rest.split()))
-    for i, line in enumerate(lines[taxa + 1 :]):
-        seqs[i % taxa] += "".join(line.split())
-    if any(len(s) != width for s in seqs):
-        raise ValueError("a PHYLIP row of another length than the header says")
-    return list(zip(names, seqs))
-
-
-def _blocks(text: str, skip: str) -> list[tuple[str, str]]:
+    for rows in (_sequential(lines[1:], width), _interleaved(lines[1:], taxa)):
+        if len(rows) == taxa and all(len(s) == width for _, s in rows):
+            return rows
+    raise ValueError("PHYLIP rows that do not have the numbers that the header says")
+
+
+def _sequential(lines: list[str], width: int) -> list[tuple[str, str]]:
+    rows: list[tuple[str, str]] = []
+    for line in lines:
+        if rows and len(rows[-1][1]) < width:
+            rows[-1] = rows[-1][0], rows[-1][1] + "".join(line.split())
+        else:
+            name, _, rest = line.partition(" ")
+            rows.append((name, "".join(rest.split())))
+    return rows
+
+
+def _interleaved(lines: list[str], taxa: int) -> list[tuple[str, str]]:
+    rows = [(name, "".join(rest.split())) for name, _, rest in (x.partition(" ") for x in lines[:taxa])]
+    for i, line in enumerate(lines[taxa:]):
+        rows[i % taxa] = rows[i % taxa][0], rows[i % taxa][1] + "".join(line.split())
+    return rows
+
+
+def _blocks(blocks: list[list[str]]) -> list[tuple[str, str]]:
+    """Rows of blocks of lines `name residues`, each name once a block."""
     rows: dict[str, str] = {}
-    for line in text.splitlines():
-        parts = line.split()
-        if len(parts) >= 2 and not line[0].isspace() and not line.startswith(skip):
-            rows[parts[0]] = rows.get(parts[0], "") + parts[1]
+    for block in blocks:
+        seen = set()
+        for line in block:
+            name, residues = line.split()[:2]
+            if name in seen:
+                raise ValueError(f"the taxon {name!r} occurs twice")
+            seen.add(name)
+            rows[name] = rows.get(name, "") + residues
     return list(rows.items())
 
 
+def _cut(text: str) -> list[list[str]]:
+    """Blocks of lines that hold a row; lines that start with blank or a mark hold none."""
+    out: list[list[str]] = [[]]
+    for line in text.splitlines():
+        if not line.strip():
+            out.append([])
+        elif not line[0].isspace() and not line.startswith("#") and len(line.split()) >= 2:
+            out[-1].append(line)
+    return out
+
+
 def parse_clustal(text: str) -> list[tuple[str, str]]:
-    return _blocks(text.partition("\n")[2], "#")
+    return _blocks(_cut(text.partition("\n")[2]))
 
 
 def parse_stockholm(text: str) -> list[tuple[str, str]]:
-    return _blocks(text.partition("//")[0], "#")
+    return _blocks(_cut(text.partition("//")[0]))
 
 
 FORMATS = {"fasta": parse_fasta, "nexus": parse_nexus, "phylip": parse_phylip, "clustal": parse_clustal, "stockholm": parse_stockholm}
@@ -103,12 +148,18 @@ def read_alignment(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFr
                 rows = parse(text)
                 if len({len(s) for _, s in rows}) > 1:
                     raise ValueError(f"{name}: rows of unequal length")
-                yield pd.DataFrame([(name, i, t, s.upper()) for i, (t, s) in enumerate(rows)], columns=["aln_id", "taxon_idx", "taxon_id", "seq"])
+                yield pd.DataFrame([(name, i, t, capital(s)) for i, (t, s) in enumerate(rows)], columns=["aln_id", "taxon_idx", "taxon_id", "seq"])
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
     return files.mapInPandas(run, SCHEMA)
 
 
+def capital(s: str) -> str:
+    """s in capitals, character by character: one whose capital form is longer stays, so rows keep their length."""
+    up = s.upper()
+    return up if len(up) == len(s) else "".join(c.upper() if len(c.upper()) == 1 else c for c in s)
+
+
 def letters(taxa: DataFrame) -> DataFrame:
     """(aln_id, taxon_idx, taxon_id, col_idx, residue) of taxa."""
     return taxa.select("aln_id", "taxon_idx", "taxon_id", F.posexplode(F.split("seq", "")).alias("col_idx", "residue"))

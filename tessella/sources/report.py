@@ -16,7 +16,8 @@ LOG_HEADER = ["Iteration", "Original Index", "Global ChiScore", "Initial Signifi
 
 def sequences(letters: DataFrame) -> DataFrame:
     """(aln_id, taxon_id, seq) from (aln_id, taxon_id, col_idx, residue)."""
-    ordered = F.array_sort(F.collect_list(F.struct("col_idx", "residue")))
+    one = F.when(F.length("residue") == 1, F.col("residue")).otherwise("-")  # a capital of two letters is no state
+    ordered = F.array_sort(F.collect_list(F.struct("col_idx", one.alias("residue"))))
     return letters.groupBy("aln_id", "taxon_id").agg(F.array_join(F.transform(ordered, lambda x: x["residue"]), "").alias("seq"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, PROTEIN, code
+from .shared import numbered, written
 
 EVENTS = {"click": "A", "purchase": "C", "signup": "G", "view": "T"}
 FLAGS = {"AF": "A", "AO": "C", "NF": "G", "NO": "T", "RO": "N"}
@@ -19,6 +20,26 @@ def documents_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), "col_idx", F.upper("residue").alias("residue"))
 
 
+#: Characters that are, or whose capital is, a letter of the protein alphabet, and that letter.
+_PLAIN = "".join(c.lower() for c in PROTEIN) + "\u0131\u017f", PROTEIN + "IS"
+
+
+def documents_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(aln_id, taxon_idx, o): how often each amino acid's letter occurs in each document, counted inside the row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").select("doc_id", "text")
+    big = docs.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), F.translate("text", *_PLAIN).alias("t"))
+    each = [(F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).cast("long") for c in PROTEIN]
+    rows = big.groupBy("aln_id", "taxon_id").agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(each)])
+    return numbered(rows.select("aln_id", "taxon_id", F.array(*[f"n{i}" for i in range(len(PROTEIN))]).alias("o")), "aln_id", "taxon_id", "taxon_idx").select("aln_id", "taxon_idx", "o")
+
+
+def benchmark_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's whole text, letter by letter, padded with gaps to the longest: a protein alignment with some bias."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text <> ''").select("item_id", "text")
+    cut = items.select("item_id", F.posexplode(F.split("text", "")).alias("col_idx", "residue"))
+    return pad(cut.select(F.lit("benchmark").alias("aln_id"), F.col("item_id").alias("taxon_id"), "col_idx", F.upper("residue").alias("residue")))
+
+
 def events_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's events in order of time, padded with gaps to the longest."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "event_type")
@@ -40,6 +61,7 @@ def _letter(value: Column, letters: dict[str, str]) -> Column:
 
 def pad(letters: DataFrame) -> DataFrame:
     """letters with gaps after the end of each taxon that is shorter than the longest of its alignment."""
+    letters = written(letters, "letters")
     n = letters.groupBy("aln_id", "taxon_id").agg((F.max("col_idx") + 1).alias("n"))
     short = n.join(n.groupBy("aln_id").agg(F.max("n").alias("w")), "aln_id").filter("n < w")
     gaps = short.select("aln_id", "taxon_id", F.explode(F.sequence(F.col("n"), F.col("w") - 1)).alias("col_idx"), F.lit("-").alias("residue"))
@@ -48,14 +70,13 @@ def pad(letters: DataFrame) -> DataFrame:
 
 def taxa(letters: DataFrame) -> DataFrame:
     """(aln_id, taxon_id, taxon_idx): taxa count from 0 in the order of their ids."""
-    ids = letters.select("aln_id", "taxon_id").distinct()
-    return ids.withColumn("taxon_idx", (F.row_number().over(Window.partitionBy("aln_id").orderBy("taxon_id")) - 1).cast("int"))
+    return numbered(letters.select("aln_id", "taxon_id").distinct(), "aln_id", "taxon_id", "taxon_idx")
 
 
 def cells(letters: DataFrame, alphabet: str) -> DataFrame:
-    """(aln_id, taxon_idx, col_idx, code)."""
+    """(aln_id, taxon_idx, col_idx, code), written once for all that reads them."""
     got = letters.select("aln_id", "taxon_id", F.col("col_idx").cast("int").alias("col_idx"), code(F.col("residue"), alphabet).alias("code"))
-    return got.join(taxa(letters), ["aln_id", "taxon_id"]).select("aln_id", "taxon_idx", "col_idx", "code")
+    return written(got.join(taxa(letters), ["aln_id", "taxon_id"]).select("aln_id", "taxon_idx", "col_idx", "code"), "cells")
 
 
-__all__ = ["DNA", "PROTEIN", "cells", "documents_letters", "events_letters", "lineitem_letters", "pad", "taxa"]
+__all__ = ["DNA", "PROTEIN", "benchmark_letters", "cells", "documents_counts", "documents_letters", "events_letters", "lineitem_letters", "pad", "taxa"]

@@ -104,6 +104,84 @@ def test_parsers_agree():
     assert files.parse_clustal("CLUSTAL W\n\n" + "".join(f"{n} {s}\n" for n, s in plain) + "   ***\n") == plain
 
 
+def test_nexus_wrapped_and_checked():
+    head = "#NEXUS\nbegin data; dimensions ntax={} nchar={}; format datatype=dna gap=-;\nmatrix\n"
+    rows = [("one", "ACGTAAAA"), ("two", "GGGGCCCC")]
+    assert files.parse_nexus(head.format(2, 8) + "one ACGT\n AAAA\ntwo GGGG\nCCCC\n;end;") == rows
+    assert files.parse_nexus(head.format(2, 8) + "one\nACGT\nAAAA\ntwo GGGG CCCC\n;end;") == rows
+    for ntax, nchar, body in ((2, 9, "one ACGTAAAA\ntwo GGGGCCCC"), (3, 8, "one ACGTAAAA\ntwo GGGGCCCC"), (2, 4, "a ACGT\na GGGG")):
+        with pytest.raises(ValueError):
+            files.parse_nexus(head.format(ntax, nchar) + body + "\n;end;")
+
+
+def test_phylip_sequential_and_interleaved():
+    rows = [("one", "ACGTAAAA"), ("two", "GGGGCCCC")]
+    assert files.parse_phylip("2 8\none ACGT\nAAAA\ntwo GGGG\nCCCC\n") == rows
+    assert files.parse_phylip("2 8\none ACGT\ntwo GGGG\n\nAAAA\nCCCC\n") == rows
+    with pytest.raises(ValueError):
+        files.parse_phylip("2 8\none ACGT\ntwo GGGG\n")
+
+
+@pytest.mark.parametrize("parse, head", [(files.parse_clustal, "CLUSTAL W\n\n"), (files.parse_stockholm, "# STOCKHOLM 1.0\n")])
+def test_taxon_twice_in_a_block_raises(parse, head):
+    assert parse(head + "a ACGT\nb AC-T\n\na GG\nb CC\n") == [("a", "ACGTGG"), ("b", "AC-TCC")]
+    with pytest.raises(ValueError, match="occurs twice"):
+        parse(head + "a ACGT\na GGGG\n")
+
+
+def test_alignment_without_any_state_raises(spark):
+    taxa = spark.createDataFrame([("a", 0, "x", "----"), ("a", 1, "y", "NNNN")], files.SCHEMA)
+    with pytest.raises(ValueError, match="no state"):
+        an.composition_test(taxa, 3)
+
+
+def test_delta_null_has_permutations_of_its_own(spark):
+    from tessella.operators import delta, null
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (6, 9))
+    cells = spark.createDataFrame([("a", t, j, int(x[t, j])) for t in range(6) for j in range(9)], "aln_id string, taxon_idx int, col_idx int, code int")
+    both = [{(r.perm, r.col_idx, r.taxon_idx): r.code for r in null.permuted(cells, 3, s).collect()} for s in (null.SEED, null.SEED + 3)]
+    assert both[0] != both[1]
+    got = {r.perm: r.max_delta for r in delta.delta_null(null.permuted(cells, 3, null.SEED + 3), 4).collect()}
+    for p, most in got.items():
+        y = np.array([[both[1][p, j, t] for j in range(9)] for t in range(6)])
+        assert np.isclose(most, naive(y, 4, lambda c: float(c.sum())).max())
+
+
+def test_rollback_and_renewal():
+    """A large batch overshoots: it is taken back once, the null is renewed once, and later batches are a tenth."""
+    rng = np.random.default_rng(11)
+    seen = set()
+    for seed in range(12):
+        x = np.random.default_rng(seed).integers(0, 4, (10, 60)).astype(np.int8)
+        x[0] = np.where(rng.random(60) < 0.45, 1, x[0])
+        got = an.prune_matrix(x, 4, "squared", 40, 20, 20)
+        sizes = [sum(r[0] == i for r in got["log"]) for i in sorted({r[0] for r in got["log"]})]
+        cols = [r[1] for r in got["log"]]
+        assert len(set(cols)) == len(cols) and sorted({*cols, *got["alive"].tolist()}) == list(range(60))
+        assert got["recomputes"] <= 1 and all(n <= 20 for n in sizes)
+        seen |= {("renewed", got["recomputes"]), ("small", bool(sizes) and max(sizes[1:] or [0]) <= 2), ("reason", got["reason"].split(" (")[0])}
+    assert ("renewed", 1) in seen and ("small", True) in seen and ("reason", "delta not significant") in seen
+    never = an.prune_matrix(x, 4, "squared", 40, 20, 20, recomputes=0)
+    assert never["recomputes"] == 0
+
+
+def test_running_counts_of_a_stream(spark, tmp_path):
+    from tessella import streaming
+
+    for part in ([(0, 0, 1), (1, 0, 2)], [(0, 1, 1), (1, 1, -1), (2, 0, 3)]):
+        spark.createDataFrame([("a", *r) for r in part], "aln_id string, taxon_idx int, col_idx int, code int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("aln_id string, taxon_idx int, col_idx int, code int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = streaming.running_counts(stream, 4).writeStream.outputMode("complete").format("memory").queryName("running").option("checkpointLocation", str(tmp_path / "state")).start()
+    run.processAllAvailable()
+    run.stop()
+    got = spark.table("running")
+    assert {r.taxon_idx: r.o for r in got.collect()} == {0: [0, 2, 0, 0], 1: [0, 0, 1, 0], 2: [0, 0, 0, 1]}
+    want = an.matrix_chi2(an.bump(np.array([[0, 2, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], float)))
+    assert np.allclose([r.chi2 for r in streaming.scores_of(got, 4).orderBy("taxon_idx").collect()], want)
+
+
 def test_ragged_file_raises(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">x\nACGT\n>y\nAC\n")
     with pytest.raises(Exception, match="unequal length"):
@@ -124,6 +202,7 @@ def test_cli_writes_reports(spark, tmp_path):
     assert all(len(v) == 6 for v in [row["before_real"], row["after_real"], *row["before_permuted"]])
     bins = comp.histogram(report.distributions(whole), 4, keys=("kind",))
     assert {r["kind"]: r["n"] for r in bins.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {"before_real": 6, "after_real": 6, "before_permuted": 60}
+    assert cli.arguments(["prune", "--file", "x", "--num_workers_chisq", "3", "--num_workers_permute", "2"]).top_n == 1
     made = cli.main(["test", "--file", str(tmp_path / "a.fasta"), "--permutations", "10", "--create_output"], spark)
     assert made[0].read_text().startswith("Row\tEmpirical-Pvalue\tZ-Score\n")
 
