@@ -20,17 +20,14 @@ def documents_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), "col_idx", F.upper("residue").alias("residue"))
 
 
-#: Characters that are, or whose capital is, a letter of the protein alphabet, and that letter.
-_PLAIN = "".join(c.lower() for c in PROTEIN) + "\u0131\u017f", PROTEIN + "IS"
-
-
 def documents_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aln_id, taxon_idx, o): how often each amino acid's letter occurs in each document, counted inside the row."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").select("doc_id", "text")
-    big = docs.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), F.translate("text", *_PLAIN).alias("t"))
-    each = [(F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).cast("long") for c in PROTEIN]
-    rows = big.groupBy("aln_id", "taxon_id").agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(each)])
-    return numbered(rows.select("aln_id", "taxon_id", F.array(*[f"n{i}" for i in range(len(PROTEIN))]).alias("o")), "aln_id", "taxon_id", "taxon_idx").select("aln_id", "taxon_idx", "o")
+    """(aln_id, taxon_idx, o): how often each amino acid's letter occurs in each document.
+
+    Letters are counted where they are read; only a row of counts for each document moves.
+    """
+    coded = documents_letters(spark, sf_dir).select("aln_id", "taxon_id", code(F.col("residue"), PROTEIN).alias("code"))
+    rows = coded.groupBy("aln_id", "taxon_id").agg(F.array(*[F.count_if(F.col("code") == c) for c in range(len(PROTEIN))]).alias("o"))
+    return numbered(written(rows, "document-counts"), "aln_id", "taxon_id", "taxon_idx").select("aln_id", "taxon_idx", "o")
 
 
 def benchmark_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
