@@ -1,16 +1,16 @@
 """Best-fit packing of tokenised documents into sequences, bulk-synchronous.
 
-Documents become pieces of at most `size` tokens; only longer documents are cut, into pieces of `size` and a rest. The
-pieces are range-sorted by falling length and, within a length, by rank; sequences are gaps sorted by free space. One
-superstep takes all pieces of a length. Their successor sweep matches them to the smallest gaps that hold them (best
-fit): the piece of rank r takes the r-th gap in order of free space, which settles conflicts by rank, and what finds no
-gap opens new sequences. Then the gaps are updated and the next length follows. This is best-fit decreasing, exactly.
-
-A superstep never looks at single pieces: pieces of a length are interchangeable, so gaps are kept as runs of sequence
-numbers with equal free space, and a match is a pair of runs. What the driver holds is the histogram of lengths (at most
-`size` numbers) and the runs, whose number depends on `size` and not on the corpus. The matches are then swept
-over the pieces in Spark: each piece finds, by length and rank, the match whose run covers its rank. Ranks within a length
-come from hash slices of bounded size, so a length that holds a third of all rows is not one task.
+Documents become pieces of at most `size` tokens; only longer documents are cut, into pieces of `size` and a rest. As many
+sequences are opened as the pieces need at least, and a sequence's free space is a gap. In a superstep, units (pieces, or
+runs of short ones) and gaps are range-sorted together and swept in parallel: each gap takes the longest unit that fits
+and that no smaller gap takes, so a unit's gap is its successor among those that are free. What a range leaves is matched
+across ranges by its depth on the sweep's stack; units of equal length go by rank. So a superstep's matches are the same
+however the rows are partitioned. Then the gaps shrink, and the next superstep follows.
+
+Short pieces go in runs of up to size / UNIT tokens, of similar lengths, or a gap would need a superstep for each. Runs that
+fit nowhere any more are halved, down to single pieces. When no piece fits, those left are ranked anew and new sequences are
+opened for them, again as few as they need at least. Nothing is held or decided on the driver but counts for each range
+of about ROWS rows, whose number it uses as offsets, and a few totals of each superstep.
 
 Defined results: a null text counts as empty (one token, the end mark). Added tokens that a text spells out are encoded
 as the library does, as themselves. Rows that share a doc_id are separate documents
@@ -24,18 +24,22 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches_of, prepare, table
+from ._common import batches_of, discard, prepare, table
 
 SIZE, END, CACHE = 4096, 1, 500_000
-#: Pieces ranked in one slice of a length, about; ranks covered by one row of the match table.
-SLICE, SPAN = 2000, 1 << 14
+#: Rows of a range, about; runs of short pieces have up to size / UNIT tokens; a superstep that places less than one in
+#: SLOW of what it could ends its kind of unit.
+ROWS, UNIT, SLOW = 50_000, 8, 20
+LEFT, SPARE, PAIR = 0, 1, 2
+_STATE = pa.schema([("value", pa.int64()), ("gap", pa.bool_()), ("id", pa.int64()), ("width", pa.int64()), ("cum", pa.int64())])
+_SWEPT = ["part", "place", "kind", "id", "width", "cum", "length", "sid", "free"]
 _LOADED: dict[str, Encoder] = {}
 _BLANK, _SEPARATOR = re.compile(r"[ \t-\r]+"), re.compile(r"[\x1c-\x1f]")
 #: Characters that normal form C and lower-casing treat one by one, and that no space class has.
@@ -153,77 +157,192 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, to
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def supersteps(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
-    """Matches (length, first rank, past the last rank, first sequence, offset) of best-fit decreasing.
+def sweep(is_gap: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(units taken, gaps that take them, gaps left, units left), as places, of a range sorted by rising value.
 
-    Pieces of `length` with ranks from the first on go to consecutive sequences at the offset.
+    Units wait on a stack, so a gap takes the longest that fits and is not taken by a smaller gap.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []  # free spaces that have gaps, rising
-    opened, out = 0, []
-
-    def put(free: int, first: int, n: int) -> None:
-        if free > 0 and n > 0:
-            if free not in gaps:
-                gaps[free] = []
-                insort(order, free)
-            runs = gaps[free]
-            if runs and runs[-1][0] + runs[-1][1] == first:
-                runs[-1] = (runs[-1][0], runs[-1][1] + n)
-            else:
-                runs.append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect_left(order, length)
-            # A gap that takes a piece and has room for another is then the smallest that fits, so a gap takes all it
-            # can before the next one is touched; the last one takes what is left.
-            if i < len(order):
-                free = order[i]
-                first, n = gaps[free].pop()
-                if not gaps[free]:
-                    del gaps[free], order[i]
-            else:
-                free, first, n = size, opened, -(-left // (size // length))
-                opened += n
-            deep = free // length
-            whole = min(n, left // deep)
-            for k in range(deep if whole else 0):
-                out.append((length, rank, rank + whole, first, size - free + k * length))
-                rank, left = rank + whole, left - whole
-            put(free - deep * length, first, whole)
-            rest = min(left, deep) if whole < n else 0
-            for k in range(rest):
-                out.append((length, rank, rank + 1, first + whole, size - free + k * length))
-                rank, left = rank + 1, left - 1
-            if rest:
-                put(free - rest * length, first + whole, 1)
-            put(free, first + whole + bool(rest), n - whole - bool(rest))
-    return out
-
-
-def ranked(parts: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """parts with rank: 0, 1, ... within each length."""
-    spark = parts.sparkSession
-    many = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("int")
-    sizes = spark.createDataFrame(list(counts.items()), "length long, n long").select("length", many.alias("slices"))
-    # At most `size` rows of two numbers.
-    cut = parts.join(F.broadcast(sizes), "length").withColumn("slice", F.pmod(F.xxhash64("rid"), F.col("slices")).cast("int")).drop("slices")
-    each = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))
-    before = table(each.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before")), "slices")
-    inner = F.row_number().over(Window.partitionBy("length", "slice").orderBy("rid"))
-    return cut.withColumn("inner", inner).join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("inner") - 1).drop("slice", "inner", "before")
+    waiting: list[int] = []
+    taken, takers, spare = [], [], []
+    for i, gap in enumerate(is_gap):
+        if not gap:
+            waiting.append(i)
+        elif waiting:
+            taken.append(waiting.pop())
+            takers.append(i)
+        else:
+            spare.append(i)
+    return taken, takers, spare, waiting
+
+
+def swept(state: DataFrame, ranges: int) -> DataFrame:
+    """state (value, gap, id, width, cum) in ranges by (value, gap, id), each swept by itself.
+
+    Rows (part, place, kind, id, width, cum, length, sid, free): kind LEFT is a unit and SPARE a gap without a match, in
+    order of place; PAIR is both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = pa.Table.from_batches([*batches], _STATE)  # one range, about ROWS rows
+        value, ids, width, cum = (rows[c].to_numpy() for c in ("value", "id", "width", "cum"))
+        taken, takers, spare, left = (np.array(x, np.int64) for x in sweep(rows["gap"].to_pylist()))
+        unit, gap = np.concatenate([taken, left]), np.concatenate([takers, spare])
+        n, none = len(rows) - len(taken), np.zeros(len(spare), np.int64)
+        kind = np.repeat([PAIR, LEFT, SPARE], [len(taken), len(left), len(spare)])
+        place = np.concatenate([np.arange(len(taken)), np.arange(len(left)), np.arange(len(spare))])
+        ofunit = [np.concatenate([x[unit], none]) for x in (ids, width, cum, value)]
+        blank = np.zeros(len(left), np.int64)
+        ofgap = [np.concatenate([x[gap[: len(taken)]], blank, x[gap[len(taken) :]]]) for x in (ids, value)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TaskContext.get().partitionId(), np.int64)), *(pa.array(x.astype(np.int64)) for x in (place, kind, *ofunit, *ofgap))], _SWEPT)
+
+    ordered = state.repartitionByRange(ranges, "value", "gap", "id").sortWithinPartitions("value", "gap", "id")
+    return ordered.select(_STATE.names).mapInArrow(run, ", ".join(f"{c} long" for c in _SWEPT))
+
+
+def stitched(parts: DataFrame, ranges: int) -> DataFrame:
+    """swept() with the matches across ranges.
+
+    The units that a range leaves wait for gaps of later ranges, the last first: the stack's depth before each range
+    follows from the ranges' counts, and a gap's unit is the latest one at the gap's depth. A depth has at most two rows
+    of each range.
+    """
+    if ranges == 1:
+        return parts
+    counts: dict[int, dict[int, int]] = {}
+    for r in parts.filter(F.col("kind") != PAIR).groupBy("part", "kind").count().collect():  # two rows a range
+        counts.setdefault(r["part"], {})[r["kind"]] = r["count"]
+    rows, depth = [], 0
+    for p in sorted(counts):
+        after = max(depth - counts[p].get(SPARE, 0), 0)
+        rows.append((p, depth, after))
+        depth = after + counts[p].get(LEFT, 0)
+    depths = parts.sparkSession.createDataFrame(rows or [(-1, 0, 0)], "part long, before long, after long")
+    level = F.when(F.col("kind") == SPARE, F.col("before") - F.col("place")).otherwise(F.col("after") + F.col("place") + 1)
+    rest = parts.filter(F.col("kind") != PAIR).join(F.broadcast(depths), "part").withColumn("level", level).select("level", *_SWEPT)
+    same = Window.partitionBy("level").orderBy("part", F.col("kind").desc())
+    unit = F.lag(F.struct("kind", "id", "width", "cum", "length")).over(same)
+    deep = rest.filter("level > 0").select("*", unit.alias("unit"), F.lead("kind").over(same).alias("next"))
+    meets = (F.col("kind") == SPARE) & F.coalesce(F.col("unit.kind") == LEFT, F.lit(False))
+    deep = deep.filter((F.col("kind") == SPARE) | F.col("next").isNull() | (F.col("next") != SPARE))
+    of = [F.when(meets, F.col(f"unit.{c}")).otherwise(F.col(c)).alias(c) for c in ("id", "width", "cum", "length")]
+    deep = deep.select("part", "place", F.when(meets, PAIR).otherwise(F.col("kind")).cast("long").alias("kind"), *of, "sid", "free")
+    return parts.filter(F.col("kind") == PAIR).union(deep).union(rest.filter("level <= 0").select(_SWEPT))
+
+
+def ranked(parts: DataFrame, total: int) -> DataFrame:
+    """parts with g, its rank by falling length, and cum, the tokens of all before it; written."""
+    names = [*parts.columns, "part", "g", "cum"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, tokens = 0, 0
+        for b in batches:
+            length = b.column("length").to_numpy()
+            past = np.cumsum(length)
+            new = [np.full(len(length), TaskContext.get().partitionId(), np.int64), n + np.arange(len(length)), tokens + past - length]
+            n, tokens = n + len(length), tokens + int(length.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, new)], names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", part long, g long, cum long"
+    order = [F.col("length").desc(), F.col("rid")]
+    local = table(parts.repartitionByRange(-(-total // ROWS), *order).sortWithinPartitions(*order).mapInArrow(run, schema), "ranges")
+    sums = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).orderBy("part").collect()  # a row a range
+    rows, n, tokens = [], 0, 0
+    for r in sums:
+        rows.append((r["part"], n, tokens))
+        n, tokens = n + r["n"], tokens + r["tokens"]
+    before = parts.sparkSession.createDataFrame(rows, "part long, n long, tokens long")
+    return local.join(F.broadcast(before), "part").withColumns({"g": F.col("g") + F.col("n"), "cum": F.col("cum") + F.col("tokens")}).drop("part", "n", "tokens")
+
+
+def bundles(numbered: DataFrame, most: int) -> DataFrame:
+    """Units (id, width, cum, length): runs of `width` pieces from rank `id` on, of one band of lengths, up to `most` tokens."""
+    bits = F.ceil(F.log2("length")).cast("int")
+    starts = {r["band"]: r["g"] for r in numbered.groupBy(bits.alias("band")).agg(F.min("g").alias("g")).collect()}  # a row a band
+    start, wide = F.lit(None).cast("long"), F.lit(1).cast("long")
+    for band, g in starts.items():
+        start = F.when(bits == band, F.lit(g)).otherwise(start)
+        wide = F.when(bits == band, F.lit(max(1, most >> band))).otherwise(wide)
+    first = start + F.floor((F.col("g") - start) / wide) * wide
+    return numbered.groupBy(first.cast("long").alias("id")).agg(F.count("*").alias("width"), F.min("cum").alias("cum"), F.sum("length").alias("length"))
+
+
+def halves(units: DataFrame, numbered: DataFrame) -> DataFrame:
+    """units, those of several pieces cut in the middle."""
+    middle = (F.col("id") + F.floor(F.col("width") / 2)).cast("long")
+    wide = units.filter("width > 1").withColumn("mid", middle).join(numbered.select(F.col("g").alias("mid"), F.col("cum").alias("at")), "mid")
+    one = F.struct("id", (F.col("mid") - F.col("id")).alias("width"), "cum", (F.col("at") - F.col("cum")).alias("length"))
+    two = F.struct(F.col("mid").alias("id"), (F.col("id") + F.col("width") - F.col("mid")).alias("width"), F.col("at").alias("cum"), (F.col("cum") + F.col("length") - F.col("at")).alias("length"))
+    return units.filter("width = 1").unionByName(wide.select(F.explode(F.array(one, two)).alias("u")).select("u.*"))
+
+
+def _members(units: DataFrame, numbered: DataFrame, *more: str) -> DataFrame:
+    """The pieces of units, with the columns `more` and at, the tokens of the unit before the piece."""
+    each = units.select(F.explode(F.expr("sequence(id, id + width - 1)")).alias("g"), F.col("cum").alias("from"), *more)
+    return numbered.join(each, "g").withColumn("at", F.col("cum") - F.col("from"))
+
+
+def fill(numbered: DataFrame, gaps: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None, bool]:
+    """Supersteps until no gap can take more: (placed units, gaps, units left or None, whether more might fit)."""
+    units, placed, done, last = bundles(numbered, size // UNIT), [], None, None
+    while True:
+        unit = units.select(F.col("length").alias("value"), F.lit(False).alias("gap"), "id", "width", "cum")
+        free = gaps.select(F.col("free").alias("value"), F.lit(True).alias("gap"), F.col("sid").alias("id"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("cum"))
+        state = table(unit.union(free), "state")
+        ranges = -(-state.count() // ROWS)
+        parts = table(swept(state, ranges), "swept")
+        now = parts if ranges == 1 else table(stitched(parts, ranges), "stitched")
+        discard(state, *([parts] if now is not parts else []))
+        units = now.filter(F.col("kind") == LEFT).select("id", "width", "cum", "length")
+        pair = F.col("kind") == PAIR
+        room = F.when(pair, F.col("free") - F.col("length")).otherwise(F.col("free"))
+        gaps = now.filter(F.col("kind") != LEFT).select("sid", room.alias("free")).filter(F.col("free") >= least)
+        placed.append(now.filter(pair).select("id", "width", "cum", "sid", (size - F.col("free")).alias("offset")))
+        left = F.col("kind") == LEFT
+        s = now.agg(F.count(F.when(left, 1)).alias("units"), F.count(F.when(pair, 1)).alias("pairs"), F.max(F.when(left, F.col("width"))).alias("widest"), F.min(F.when(left, F.col("length"))).alias("shortest"), F.max(F.when(~left, room)).alias("widest_gap"), F.count(F.when(~left & (room >= least), 1)).alias("gaps")).first()
+        if not s["units"] or not s["gaps"]:
+            done, more = (units if s["units"] else None), False
+            break
+        stuck = s["widest_gap"] < s["shortest"]
+        if s["widest"] > 1:
+            if stuck or SLOW * s["pairs"] < min(s["units"], s["gaps"]):
+                units = halves(units, numbered)
+        elif stuck or SLOW * s["pairs"] < s["units"]:
+            done, more = units, not stuck and s["pairs"] > 0
+            break
+    for x in placed:
+        last = x if last is None else last.union(x)
+    return last, gaps, done, more
+
+
+def placed(parts: DataFrame, size: int = SIZE) -> DataFrame:
+    """parts (rid, length and others) with sequence_id and offset; rid differs in every row, length is from 1 to size."""
+    spark, todo, gaps, opened, more, out = parts.sparkSession, parts, None, 0, False, None
+    while True:
+        s = todo.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.count(F.when(F.col("length") * 2 > size, 1)).alias("long"), F.min("length").alias("least")).first()
+        if not s["n"]:
+            return parts.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        numbered = ranked(todo, s["n"])
+        # As few new sequences as these pieces can do with; what they can't take opens more in the next turn.
+        new = 0 if more else max(s["long"], -(-s["tokens"] // size))
+        fresh = spark.range(opened, opened + new).select(F.col("id").alias("sid"), F.lit(size).cast("long").alias("free"))
+        opened += new
+        units, gaps, left, more = fill(numbered, fresh if gaps is None else gaps.union(fresh), size, s["least"])
+        done = _members(units, numbered, "sid", "offset").select(*parts.columns, F.col("sid").alias("sequence_id"), (F.col("offset") + F.col("at")).alias("offset"))
+        out = done if out is None else out.union(done)
+        if left is None:
+            return out
+        todo = table(_members(left, numbered).select(parts.columns), "left")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, tokens: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece; with tokens also ids, as bytes."""
-    spark = docs.sparkSession
     # Written once, so a piece's number is the same wherever it is read; pieces that are alike in all else differ in it.
     parts = table(pieces(docs, tokenizer, size, end, tokens).select(F.monotonically_increasing_id().alias("rid"), "*"), "pieces")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    matches = supersteps(counts, size)
-    plan = spark.createDataFrame(matches or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
-    spans = plan.filter("hi > lo").select("*", F.explode(F.sequence(F.floor(F.col("lo") / SPAN), F.floor((F.col("hi") - 1) / SPAN))).alias("span"))
-    placed = ranked(parts, counts).withColumn("span", F.floor(F.col("rank") / SPAN)).join(table(spans, "matches"), ["length", "span"]).filter("rank >= lo and rank < hi")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", *(["ids"] if tokens else []))
+    out = placed(parts.drop("ids"), size)
+    if tokens:
+        out = out.join(parts.select("rid", "ids"), "rid")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if tokens else []))
