@@ -36,10 +36,12 @@ from ._common import batches_of, discard, prepare, table
 SIZE, END, CACHE = 4096, 1, 500_000
 #: Rows of a range, about; runs of short pieces have up to size / UNIT tokens; a superstep that places less than one in
 #: SLOW of what it could ends its kind of unit.
-ROWS, UNIT, SLOW = 50_000, 8, 20
+ROWS, UNIT, SLOW = 100_000, 64, 20
 LEFT, SPARE, PAIR = 0, 1, 2
-_STATE = pa.schema([("value", pa.int64()), ("gap", pa.bool_()), ("id", pa.int64()), ("width", pa.int64()), ("cum", pa.int64())])
-_SWEPT = ["part", "place", "kind", "id", "width", "cum", "length", "sid", "free"]
+#: A unit's id is the rank of its first piece, cum the tokens of all pieces before that, lens its pieces' lengths. A gap has
+#: its sequence's number as id.
+_STATE = pa.schema([("value", pa.int64()), ("gap", pa.bool_()), ("id", pa.int64()), ("cum", pa.int64()), ("lens", pa.list_(pa.int32()))])
+_SWEPT = ["part", "place", "kind", "id", "cum", "length", "sid", "free", "lens"]
 _LOADED: dict[str, Encoder] = {}
 _BLANK, _SEPARATOR = re.compile(r"[ \t-\r]+"), re.compile(r"[\x1c-\x1f]")
 #: Characters that normal form C and lower-casing treat one by one, and that no space class has.
@@ -176,9 +178,9 @@ def sweep(is_gap: list[bool]) -> tuple[list[int], list[int], list[int], list[int
 
 
 def swept(state: DataFrame, ranges: int) -> DataFrame:
-    """state (value, gap, id, width, cum) in ranges by (value, gap, id), each swept by itself.
+    """state (value, gap, id, cum, lens) in ranges by (value, gap, id), each swept by itself.
 
-    Rows (part, place, kind, id, width, cum, length, sid, free): kind LEFT is a unit and SPARE a gap without a match, in
+    Rows (part, place, kind, id, cum, length, sid, free, lens): kind LEFT is a unit and SPARE a gap without a match, in
     order of place; PAIR is both.
     """
 
@@ -186,30 +188,27 @@ def swept(state: DataFrame, ranges: int) -> DataFrame:
         from pyspark import TaskContext
 
         rows = pa.Table.from_batches([*batches], _STATE)  # one range, about ROWS rows
-        value, ids, width, cum = (rows[c].to_numpy() for c in ("value", "id", "width", "cum"))
+        value, ids, cum = (rows[c].to_numpy() for c in ("value", "id", "cum"))
         taken, takers, spare, left = (np.array(x, np.int64) for x in sweep(rows["gap"].to_pylist()))
-        unit, gap = np.concatenate([taken, left]), np.concatenate([takers, spare])
-        n, none = len(rows) - len(taken), np.zeros(len(spare), np.int64)
+        # A unit without a gap takes its own place as one, and a gap without a unit likewise; kind tells what counts.
+        unit, gap = np.concatenate([taken, left, spare]), np.concatenate([takers, left, spare])
         kind = np.repeat([PAIR, LEFT, SPARE], [len(taken), len(left), len(spare)])
-        place = np.concatenate([np.arange(len(taken)), np.arange(len(left)), np.arange(len(spare))])
-        ofunit = [np.concatenate([x[unit], none]) for x in (ids, width, cum, value)]
-        blank = np.zeros(len(left), np.int64)
-        ofgap = [np.concatenate([x[gap[: len(taken)]], blank, x[gap[len(taken) :]]]) for x in (ids, value)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TaskContext.get().partitionId(), np.int64)), *(pa.array(x.astype(np.int64)) for x in (place, kind, *ofunit, *ofgap))], _SWEPT)
+        place = np.concatenate([np.arange(len(x)) for x in (taken, left, spare)])
+        columns = [np.full(len(unit), TaskContext.get().partitionId()), place, kind, ids[unit], cum[unit], value[unit], ids[gap], value[gap]]
+        lens = rows["lens"].combine_chunks().take(pa.array(unit)) if len(unit) else pa.array([], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns), lens], _SWEPT)
 
     ordered = state.repartitionByRange(ranges, "value", "gap", "id").sortWithinPartitions("value", "gap", "id")
-    return ordered.select(_STATE.names).mapInArrow(run, ", ".join(f"{c} long" for c in _SWEPT))
+    return ordered.select(_STATE.names).mapInArrow(run, ", ".join(f"{c} long" for c in _SWEPT[:-1]) + ", lens array<int>")
 
 
-def stitched(parts: DataFrame, ranges: int) -> DataFrame:
+def stitched(parts: DataFrame) -> DataFrame:
     """swept() with the matches across ranges.
 
     The units that a range leaves wait for gaps of later ranges, the last first: the stack's depth before each range
     follows from the ranges' counts, and a gap's unit is the latest one at the gap's depth. A depth has at most two rows
     of each range.
     """
-    if ranges == 1:
-        return parts
     counts: dict[int, dict[int, int]] = {}
     for r in parts.filter(F.col("kind") != PAIR).groupBy("part", "kind").count().collect():  # two rows a range
         counts.setdefault(r["part"], {})[r["kind"]] = r["count"]
@@ -222,12 +221,12 @@ def stitched(parts: DataFrame, ranges: int) -> DataFrame:
     level = F.when(F.col("kind") == SPARE, F.col("before") - F.col("place")).otherwise(F.col("after") + F.col("place") + 1)
     rest = parts.filter(F.col("kind") != PAIR).join(F.broadcast(depths), "part").withColumn("level", level).select("level", *_SWEPT)
     same = Window.partitionBy("level").orderBy("part", F.col("kind").desc())
-    unit = F.lag(F.struct("kind", "id", "width", "cum", "length")).over(same)
+    unit = F.lag(F.struct("kind", "id", "cum", "length", "lens")).over(same)
     deep = rest.filter("level > 0").select("*", unit.alias("unit"), F.lead("kind").over(same).alias("next"))
     meets = (F.col("kind") == SPARE) & F.coalesce(F.col("unit.kind") == LEFT, F.lit(False))
     deep = deep.filter((F.col("kind") == SPARE) | F.col("next").isNull() | (F.col("next") != SPARE))
-    of = [F.when(meets, F.col(f"unit.{c}")).otherwise(F.col(c)).alias(c) for c in ("id", "width", "cum", "length")]
-    deep = deep.select("part", "place", F.when(meets, PAIR).otherwise(F.col("kind")).cast("long").alias("kind"), *of, "sid", "free")
+    of = [F.when(meets, F.col(f"unit.{c}")).otherwise(F.col(c)).alias(c) for c in ("id", "cum", "length", "lens")]
+    deep = deep.select("part", "place", F.when(meets, PAIR).otherwise(F.col("kind")).cast("long").alias("kind"), *of, "sid", "free").select(_SWEPT)
     return parts.filter(F.col("kind") == PAIR).union(deep).union(rest.filter("level <= 0").select(_SWEPT))
 
 
@@ -259,7 +258,7 @@ def ranked(parts: DataFrame, total: int) -> DataFrame:
 
 
 def bundles(numbered: DataFrame, most: int) -> DataFrame:
-    """Units (id, width, cum, length): runs of `width` pieces from rank `id` on, of one band of lengths, up to `most` tokens."""
+    """Units (id, cum, lens): runs of pieces of one band of lengths, up to `most` tokens, in order of rank."""
     bits = F.ceil(F.log2("length")).cast("int")
     starts = {r["band"]: r["g"] for r in numbered.groupBy(bits.alias("band")).agg(F.min("g").alias("g")).collect()}  # a row a band
     start, wide = F.lit(None).cast("long"), F.lit(1).cast("long")
@@ -267,55 +266,126 @@ def bundles(numbered: DataFrame, most: int) -> DataFrame:
         start = F.when(bits == band, F.lit(g)).otherwise(start)
         wide = F.when(bits == band, F.lit(max(1, most >> band))).otherwise(wide)
     first = start + F.floor((F.col("g") - start) / wide) * wide
-    return numbered.groupBy(first.cast("long").alias("id")).agg(F.count("*").alias("width"), F.min("cum").alias("cum"), F.sum("length").alias("length"))
+    lens = F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False)  # at most `most` of them
+    return numbered.groupBy(first.cast("long").alias("id")).agg(F.min("cum").alias("cum"), lens.alias("lens"))
 
 
-def halves(units: DataFrame, numbered: DataFrame) -> DataFrame:
+def tokens_of(lens: str):
+    return F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def halves(units: DataFrame) -> DataFrame:
     """units, those of several pieces cut in the middle."""
-    middle = (F.col("id") + F.floor(F.col("width") / 2)).cast("long")
-    wide = units.filter("width > 1").withColumn("mid", middle).join(numbered.select(F.col("g").alias("mid"), F.col("cum").alias("at")), "mid")
-    one = F.struct("id", (F.col("mid") - F.col("id")).alias("width"), "cum", (F.col("at") - F.col("cum")).alias("length"))
-    two = F.struct(F.col("mid").alias("id"), (F.col("id") + F.col("width") - F.col("mid")).alias("width"), F.col("at").alias("cum"), (F.col("cum") + F.col("length") - F.col("at")).alias("length"))
-    return units.filter("width = 1").unionByName(wide.select(F.explode(F.array(one, two)).alias("u")).select("u.*"))
+    w = F.floor(F.size("lens") / 2).cast("int")
+    cut = units.withColumns({"front": F.slice("lens", F.lit(1), w), "back": F.slice("lens", w + 1, F.size("lens"))})
+    one = F.struct("id", "cum", F.col("front").alias("lens"))
+    two = F.struct((F.col("id") + F.size("front")).alias("id"), (F.col("cum") + tokens_of("front")).alias("cum"), F.col("back").alias("lens"))
+    return cut.select(F.explode(F.filter(F.array(one, two), lambda u: F.size(u["lens"]) > 0)).alias("u")).select("u.*")
+
+
+def finish(units: list[tuple], gaps: list[tuple[int, int]], size: int, least: int, opened: int) -> Iterator[tuple[int, int, int]]:
+    """(rank, sequence, offset) of every piece of units (first rank, lens): the supersteps of fill() and turns of placed(),
+    by the same rules, on what fits one range. gaps are (free, sequence)."""
+    runs = [(sum(n), g, [*zip(range(g, g + len(n)), n)]) for g, n in units]
+    while runs:
+        rows = sorted([*((n, False, g, x) for n, g, x in runs), *((f, True, q, None) for f, q in gaps)], key=lambda r: r[:3])
+        taken, takers, spare, left = sweep([r[1] for r in rows])
+        gaps = [(rows[i][0], rows[i][2]) for i in spare]
+        for u, i in zip(taken, takers):
+            free, q = rows[i][0], rows[i][2]
+            for g, n in rows[u][3]:
+                yield g, q, size - free
+                free -= n
+            gaps.append((free, q))
+        gaps = [x for x in gaps if x[0] >= least]
+        runs = [(rows[i][0], rows[i][2], rows[i][3]) for i in left]
+        if not runs:
+            return
+        more = ended = False
+        if not gaps:
+            ended = True
+        else:
+            stuck = max(gaps)[0] < min(runs)[0]
+            if max(len(x) for *_, x in runs) > 1:
+                if stuck or SLOW * len(taken) < min(len(runs), len(gaps)):
+                    parts = [p for *_, x in runs for p in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 1 else (x,))]
+                    runs = [(sum(n for _, n in x), x[0][0], x) for x in parts]
+            elif stuck or SLOW * len(taken) < len(runs):
+                ended, more = True, not stuck and bool(taken)
+        if ended:
+            todo = sorted(p for *_, x in runs for p in x)
+            if not more:
+                new = max(sum(2 * n > size for _, n in todo), -(-sum(n for _, n in todo) // size))
+                gaps += [(size, q) for q in range(opened, opened + new)]
+                opened += new
+            least, runs, i = todo[-1][1], [], 0
+            while i < len(todo):
+                band = (todo[i][1] - 1).bit_length()
+                j = i + 1
+                while j < len(todo) and j < i + (size // UNIT >> band) and (todo[j][1] - 1).bit_length() == band:
+                    j += 1
+                runs.append((sum(n for _, n in todo[i:j]), todo[i][0], todo[i:j]))
+                i = j
+
+
+def finished(state: DataFrame, size: int, least: int, opened: int) -> DataFrame:
+    """finish() in one task: (id, width, cum, sid, offset)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches], _STATE).to_pylist()  # at most ROWS rows
+        done = [*finish([(r["id"], r["lens"]) for r in rows if not r["gap"]], [(r["value"], r["id"]) for r in rows if r["gap"]], size, least, opened)]
+        g, q, at = (pa.array([r[i] for r in done], pa.int64()) for i in range(3))
+        yield pa.RecordBatch.from_arrays([g, pa.array([1] * len(done), pa.int64()), pa.nulls(len(done), pa.int64()), q, at], ["id", "width", "cum", "sid", "offset"])
+
+    return state.select(_STATE.names).coalesce(1).mapInArrow(run, "id long, width long, cum long, sid long, offset long")
 
 
 def _members(units: DataFrame, numbered: DataFrame, *more: str) -> DataFrame:
-    """The pieces of units, with the columns `more` and at, the tokens of the unit before the piece."""
+    """The pieces of units (id, width, cum), with the columns `more` and at, the tokens of the unit before the piece."""
     each = units.select(F.explode(F.expr("sequence(id, id + width - 1)")).alias("g"), F.col("cum").alias("from"), *more)
-    return numbered.join(each, "g").withColumn("at", F.col("cum") - F.col("from"))
+    return numbered.join(each, "g").withColumn("at", F.coalesce(F.col("cum") - F.col("from"), F.lit(0)))
+
 
+def fill(numbered: DataFrame, gaps: DataFrame, size: int, least: int, opened: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
+    """Supersteps until no gap can take more: (placed units, gaps, units left or None, whether more might fit).
 
-def fill(numbered: DataFrame, gaps: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None, bool]:
-    """Supersteps until no gap can take more: (placed units, gaps, units left or None, whether more might fit)."""
-    units, placed, done, last = bundles(numbered, size // UNIT), [], None, None
+    As soon as units and gaps fit one range, the supersteps that are left run to their end in one task.
+    """
+    units, placed, width = bundles(numbered, size // UNIT), [], F.size("lens").cast("long").alias("width")
     while True:
-        unit = units.select(F.col("length").alias("value"), F.lit(False).alias("gap"), "id", "width", "cum")
-        free = gaps.select(F.col("free").alias("value"), F.lit(True).alias("gap"), F.col("sid").alias("id"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("cum"))
+        unit = units.select(tokens_of("lens").alias("value"), F.lit(False).alias("gap"), "id", "cum", "lens")
+        free = gaps.select(F.col("free").alias("value"), F.lit(True).alias("gap"), F.col("sid").alias("id"), F.lit(0).cast("long").alias("cum"), F.lit(None).cast("array<int>").alias("lens"))
         state = table(unit.union(free), "state")
-        ranges = -(-state.count() // ROWS)
+        rows = state.count()
+        if rows <= ROWS:
+            placed.append(table(finished(state, size, least, opened), "finished"))
+            gaps, left, more = None, None, False
+            discard(state)
+            break
+        ranges = -(-rows // ROWS)
         parts = table(swept(state, ranges), "swept")
-        now = parts if ranges == 1 else table(stitched(parts, ranges), "stitched")
-        discard(state, *([parts] if now is not parts else []))
-        units = now.filter(F.col("kind") == LEFT).select("id", "width", "cum", "length")
-        pair = F.col("kind") == PAIR
+        now = table(stitched(parts), "stitched")
+        discard(state, parts)
+        units = now.filter(F.col("kind") == LEFT).select("id", "cum", "lens")
+        pair, unmatched = F.col("kind") == PAIR, F.col("kind") == LEFT
         room = F.when(pair, F.col("free") - F.col("length")).otherwise(F.col("free"))
         gaps = now.filter(F.col("kind") != LEFT).select("sid", room.alias("free")).filter(F.col("free") >= least)
-        placed.append(now.filter(pair).select("id", "width", "cum", "sid", (size - F.col("free")).alias("offset")))
-        left = F.col("kind") == LEFT
-        s = now.agg(F.count(F.when(left, 1)).alias("units"), F.count(F.when(pair, 1)).alias("pairs"), F.max(F.when(left, F.col("width"))).alias("widest"), F.min(F.when(left, F.col("length"))).alias("shortest"), F.max(F.when(~left, room)).alias("widest_gap"), F.count(F.when(~left & (room >= least), 1)).alias("gaps")).first()
+        placed.append(now.filter(pair).select("id", width, "cum", "sid", (size - F.col("free")).alias("offset")))
+        s = now.agg(F.count(F.when(unmatched, 1)).alias("units"), F.count(F.when(pair, 1)).alias("pairs"), F.max(F.when(unmatched, F.size("lens"))).alias("widest"), F.min(F.when(unmatched, F.col("length"))).alias("shortest"), F.max(F.when(~unmatched, room)).alias("room"), F.count(F.when(~unmatched & (room >= least), 1)).alias("gaps")).first()
+        left, more = (units if s["units"] else None), False
         if not s["units"] or not s["gaps"]:
-            done, more = (units if s["units"] else None), False
             break
-        stuck = s["widest_gap"] < s["shortest"]
+        stuck = s["room"] < s["shortest"]
         if s["widest"] > 1:
             if stuck or SLOW * s["pairs"] < min(s["units"], s["gaps"]):
-                units = halves(units, numbered)
+                units = halves(units)
         elif stuck or SLOW * s["pairs"] < s["units"]:
-            done, more = units, not stuck and s["pairs"] > 0
+            more = not stuck and s["pairs"] > 0
             break
-    for x in placed:
-        last = x if last is None else last.union(x)
-    return last, gaps, done, more
+    done = placed[0]
+    for x in placed[1:]:
+        done = done.union(x)
+    return done, gaps, left, more
 
 
 def placed(parts: DataFrame, size: int = SIZE) -> DataFrame:
@@ -330,12 +400,12 @@ def placed(parts: DataFrame, size: int = SIZE) -> DataFrame:
         new = 0 if more else max(s["long"], -(-s["tokens"] // size))
         fresh = spark.range(opened, opened + new).select(F.col("id").alias("sid"), F.lit(size).cast("long").alias("free"))
         opened += new
-        units, gaps, left, more = fill(numbered, fresh if gaps is None else gaps.union(fresh), size, s["least"])
+        units, gaps, left, more = fill(numbered, fresh if gaps is None else gaps.union(fresh), size, s["least"], opened)
         done = _members(units, numbered, "sid", "offset").select(*parts.columns, F.col("sid").alias("sequence_id"), (F.col("offset") + F.col("at")).alias("offset"))
         out = done if out is None else out.union(done)
         if left is None:
             return out
-        todo = table(_members(left, numbered).select(parts.columns), "left")
+        todo = table(_members(left.select("id", F.size("lens").alias("width"), "cum"), numbered).select(parts.columns), "left")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, tokens: bool = False) -> DataFrame:

@@ -369,9 +369,9 @@ def best_fit(lengths, size):
 @pytest.mark.parametrize("ranges", [1, 5, 60])
 def test_sweep_is_the_same_in_any_ranges(spark, ranges):
     rng = random.Random(ranges)
-    rows = [(rng.randint(1, 12), rng.random() < 0.5, i, 1, 0) for i in range(300)]
-    state = spark.createDataFrame(rows, "value long, gap boolean, id long, width long, cum long")
-    got = packing.stitched(packing.table(packing.swept(state, ranges), "swept"), ranges).collect()
+    rows = [(rng.randint(1, 12), rng.random() < 0.5, i, 0) for i in range(300)]
+    state = spark.createDataFrame([(*r, [r[0]]) for r in rows], "value long, gap boolean, id long, cum long, lens array<int>")
+    got = packing.stitched(packing.table(packing.swept(state, ranges), "swept")).collect()
     waiting, pairs = [], []
     for value, gap, i, *_ in sorted(rows):
         if not gap:
@@ -390,7 +390,8 @@ def test_placement(spark, kind, monkeypatch):
     lengths = [of() for _ in range(400)]
     parts = spark.createDataFrame([*enumerate(lengths)], "rid long, length long").repartition(3)
     results = []
-    for rows in (50_000, 60):
+    monkeypatch.setattr(packing, "UNIT", 8)
+    for rows in (50_000, 110):
         monkeypatch.setattr(packing, "ROWS", rows)
         got = packing.placed(parts, size).collect()
         assert sorted((r["rid"], r["length"]) for r in got) == [*enumerate(lengths)]
