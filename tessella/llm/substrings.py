@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,8 +140,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     first run (keep_start) and the end of the first occurrence of its last run (keep_stop, null if that is in another
     document).
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _passages(rows, least_words).drop("rid")
+
+
+def _passages(docs: DataFrame, least_words: int) -> DataFrame:
+    """repeated_passages() of docs (rid, doc_id, text), with rid."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = table(prints(docs, least_words), "prints")
     shared = table(found.groupBy("f").agg(F.count("*").alias("c"), (F.min("h") == F.max("h")).alias("whole")).filter("c > 1").drop("c"), "shared-prints")
     p = found.join(shared, "f").groupBy("rid").agg(F.collect_list(F.struct("at", "n", "whole")).alias("p"))
@@ -154,7 +160,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     passages = again.withColumn("new", F.coalesce((F.col("at") > F.lag("to").over(own)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(own))
     at = F.struct("at", "kd", "ks", "ke")
     runs = passages.groupBy("rid", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("to") - F.min("at")).cast("long").alias("words"), F.min(at).alias("a"), F.max(at).alias("z"))
-    return runs.select("doc_id", "start", "stop", "words", F.col("a.kd").alias("keep_doc_id"), F.col("a.ks").alias("keep_start"), F.when(F.col("a.kd").eqNullSafe(F.col("z.kd")), F.col("z.ke")).alias("keep_stop"))
+    return runs.select("rid", "doc_id", "start", "stop", "words", F.col("a.kd").alias("keep_doc_id"), F.col("a.ks").alias("keep_start"), F.when(F.col("a.kd").eqNullSafe(F.col("z.kd")), F.col("z.ke")).alias("keep_stop"))
 
 
 def remove(text: str, spans: list[tuple[int, int]]) -> str:
@@ -164,3 +170,26 @@ def remove(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(text[at:a])
         at = b
     return "".join([*out, text[at:]])
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs, every row of it, with the repeated passages taken out of text, and removed: their (start, stop) in the
+    original text, in order. A null text stays null. Where docs has a column of that name, underscores are added to the new one's."""
+    have = {c.lower() for c in docs.columns}
+    rid, removed = (next(n for n in (name + "_" * i for i in range(len(have) + 1)) if n not in have) for name in ("rid", "removed"))
+    # Written once, so a row's number is the same wherever it is read.
+    rows = table(docs.select(F.monotonically_increasing_id().alias(rid), "*"), "numbered")
+    found = _passages(rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least_words)
+    spans = found.groupBy(F.col("rid").alias(rid)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(removed))
+
+    @F.pandas_udf("string")
+    def cleaned(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, start, stop in parts:
+            yield pd.Series([remove(t, [*zip(a.tolist(), b.tolist())]) for t, a, b in zip(text, start, stop)], dtype=object)
+
+    both = rows.join(spans, rid, "left")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    # The spans' rows alone pass through Python; the others' texts stay as they are.
+    hit, rest = both.filter(F.col(removed).isNotNull()), both.filter(F.col(removed).isNull())
+    out = hit.withColumn("text", cleaned("text", f"{removed}.start", f"{removed}.stop")).unionByName(rest.withColumn(removed, none))
+    return out.select(*docs.columns, removed)

@@ -76,6 +76,23 @@ def test_substrings_to_the_word(spark):
     assert got == want and len({i for i, _ in want}) > 30
 
 
+def test_texts_without_repeats(spark, none):
+    words = [f"word{i}" for i in range(30)]
+    shared = " ".join(words[:12])
+    rows = [(2, "start " + shared + "\u00e9nd  of it", 1), (1, shared, 2), (2, "start " + shared + "\u00e9nd  of it", 3), (None, f"x {shared} y {shared}", 4), (5, None, 5), (6, "", 6), (7, "alone", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid long")
+    got = {r["rid"]: (r["doc_id"], r["text"], [tuple(x) for x in r["removed"]]) for r in substrings.without_repeats(docs, 11).collect()}
+    # The twelfth word of the rows 1 and 3 runs into other text, so eleven words are repeated there.
+    eleven = len(" ".join(words[:11]))
+    assert got[2] == (1, shared, []) and got[5] == (5, None, []) and got[6] == (6, "", []) and got[7] == (7, "alone", [])
+    kept = "start " + " " + words[11] + "\u00e9nd  of it"
+    assert sorted([got[1], got[3]], key=lambda r: len(r[1])) == [(2, "", [(0, len(rows[0][1]))]), (2, kept, [(6, 6 + eleven)])]
+    assert got[4] == (None, "x  y ", [(2, 2 + len(shared)), (5 + len(shared), 5 + 2 * len(shared))])
+    assert substrings.without_repeats(none).count() == 0
+    clash = substrings.without_repeats(docs.selectExpr("*", "'kept' AS removed"), 11)
+    assert clash.columns == ["doc_id", "text", "rid", "removed", "removed_"] and {r["removed"] for r in clash.collect()} == {"kept"}
+
+
 def test_pii_base_equals_patterns():
     rng = random.Random(5)
     for _ in range(400):
