@@ -13,8 +13,12 @@ TAGS = 1 + 2 * len(KINDS)
 WIDTH, HIDDEN, SYMBOLS = 12, 16, 100
 #: Characters of a training window; of a decoding window, and from one window's start to the next one's in a longer text.
 LENGTH, WINDOW, STRIDE = 96, 2048, 1952
-#: Windows decoded at once.
-BATCH = 512
+#: Symbols of padding read after a window that is not full, as in training.
+PAD = 16
+#: Windows read at once, and of those that may hold a span decoded at once; they bound a worker's memory.
+BATCH, DECODED = 512, 64
+#: Score of O past a window's end.
+SURELY = 100.0
 _PARTS = ("embed", "fw", "fb", "bw", "bb", "out", "bias", "move", "first")
 
 
@@ -138,65 +142,86 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> tu
 
 
 class Tagger:
-    """Decoding with given weights, laid out for speed: one table row for each symbol holds its part of all gates, and a
-    single tanh serves them, as a sigmoid of x is half of 1 + tanh(x / 2)."""
+    """Decoding with given weights, laid out for speed: gates and states are rows, windows are columns, one product a step
+    gives all gates, and a single tanh serves them, as a sigmoid of x is half of 1 + tanh(x / 2).
+
+    Windows lie by falling length, and each is read to its own end only: at a step the windows that reach it are the first
+    columns, and `reach` has their number. So what is found in a window depends on no other one.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]):
         half = np.ones(4 * HIDDEN, np.float32)
         half[: 3 * HIDDEN] = 0.5
-        self.tables = [((p["embed"] @ p[w][:WIDTH] + p[b]) * half).astype(np.float32) for w, b in (("fw", "fb"), ("bw", "bb"))]
-        # Twice the hidden state is kept, so the weights it meets are halved.
-        self.inner = [np.ascontiguousarray(p[w][WIDTH:] * half / 2) for w in ("fw", "bw")]
+        # Twice the hidden state is kept, so the weights it meets are halved. The last column meets a row of ones.
+        self.gates = [np.ascontiguousarray(np.concatenate([p[w][WIDTH:] * half / 2, p[w][:WIDTH] * half, (p[b] * half)[None]]).T, np.float32) for w, b in (("fw", "fb"), ("bw", "bb"))]
+        self.embed = np.ascontiguousarray(p["embed"].T, np.float32)
         self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T / 2), np.ascontiguousarray(p["out"][HIDDEN:].T / 2)]
         self.bias, self.move, self.first = p["bias"], p["move"] + BAD, p["first"] + BAD_FIRST
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """ids (T, B) to tag scores (T, K, B)."""
+    def emissions(self, ids: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
+        """ids (T, B) to tag scores (T, K, B); where a window does not reach, the scores leave no tag but O."""
         n, batch = ids.shape
         e = np.empty((n, TAGS, batch), np.float32)
         e[:] = self.bias[:, None]
-        z, inner, scores = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32), np.empty((TAGS, batch), np.float32)
-        i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-        for table, weights, out, order in zip(self.tables, self.inner, self.out, (range(n), range(n - 1, -1, -1))):
-            h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-            for t in order:
-                np.take(table, ids[t], axis=0, out=z, mode="clip")
-                z += np.dot(h, weights, out=inner)
-                np.tanh(z, out=z)
-                z[:, : 3 * HIDDEN] += 1
-                c *= f
-                i *= g
-                c += i
-                c *= 0.5
-                np.tanh(c, out=h)
-                h *= o
-                e[t] += np.dot(out, h.T, out=scores)
+        runs = _runs(np.full(n, batch) if reach is None else reach)
+        for weights, out, parts, step in zip(self.gates, self.out, (runs, runs[::-1]), (1, -1)):
+            state = np.zeros((HIDDEN, 0), np.float32)
+            cell = state
+            for a, b, k in parts:
+                # Rows: the state, the symbol's embedding, ones.
+                both, c, z, scores = np.zeros((HIDDEN + WIDTH + 1, k), np.float32), np.zeros((HIDDEN, k), np.float32), np.empty((4 * HIDDEN, k), np.float32), np.empty((TAGS, k), np.float32)
+                h, x = both[:HIDDEN], both[HIDDEN:-1]
+                both[-1] = 1
+                held = min(k, state.shape[1])
+                h[:, :held], c[:, :held] = state[:, :held], cell[:, :held]
+                i, f, o, g = (z[j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
+                sigmoids = z[: 3 * HIDDEN]
+                for t in range(a, b)[::step]:
+                    np.take(self.embed, ids[t, :k], axis=1, out=x, mode="clip")
+                    np.dot(weights, both, out=z)
+                    np.tanh(z, out=z)
+                    sigmoids += 1
+                    c *= f
+                    i *= g
+                    c += i
+                    c *= 0.5
+                    np.tanh(c, out=h)
+                    h *= o
+                    e[t, :, :k] += np.dot(out, h, out=scores)
+                state, cell = h, c
+        for a, b, k in runs:
+            e[a:b, :, k:] = 0
+            e[a:b, 0, k:] = SURELY
         return e
 
-    def may_tag(self, e: np.ndarray) -> np.ndarray:
+    def may_tag(self, e: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
         """Whether some path may beat the one without any span: exact, as it only overrates what spans gain.
 
         Viterbi in gains over the path without any span, from emissions (T, K, B); only the move from one span right into
-        another is overrated, by the best of these.
+        another is overrated, by the best of these, and a span's end at the window's.
         """
         none, move = self.move[0, 0], self.move
         begin, within = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
         col = lambda x: (x - none).astype(np.float32)[:, None]
         enter, on, deep, out_b, out_i = col(move[0, begin]), col(move[begin, within]), col(move[within, within]), col(move[begin, 0]), col(move[within, 0])
         again = np.float32(move[1:, 1::2].max() - none)
-        b = e[0, 1::2] - e[0, 0] + (self.first[begin] - self.first[0])[:, None]
-        i = np.full_like(b, -1e4)
-        free = np.zeros(e.shape[2], np.float32)
-        for row in e[1:]:
-            gain = row[1:] - row[0]
-            last = np.maximum(b.max(axis=0), i.max(axis=0)) + again
-            end = np.maximum((b + out_b).max(axis=0), (i + out_i).max(axis=0))
-            i = np.maximum(b + on, i + deep)
-            i += gain[1::2]
-            b = np.maximum(free + enter, last)
-            b += gain[0::2]
-            np.maximum(free, end, out=free)
-        return (free > 0) | (b.max(axis=0) > 0) | (i.max(axis=0) > 0)
+        all_b = e[0, 1::2] - e[0, 0] + (self.first[begin] - self.first[0])[:, None]
+        all_i = np.full_like(all_b, -1e4)
+        all_free = np.zeros(e.shape[2], np.float32)
+        for a, z, k in _runs(np.full(len(e), e.shape[2]) if reach is None else reach):
+            b, i, free = all_b[:, :k].copy(), all_i[:, :k].copy(), all_free[:k]
+            for row in e[max(1, a) : z, :, :k]:
+                gain = row[1:] - row[0]
+                last = np.maximum(b.max(axis=0), i.max(axis=0)) + again
+                end = np.maximum((b + out_b).max(axis=0), (i + out_i).max(axis=0))
+                i = np.maximum(b + on, i + deep)
+                i += gain[1::2]
+                b = np.maximum(free + enter, last)
+                b += gain[0::2]
+                np.maximum(free, end, out=free)
+            all_b[:, :k], all_i[:, :k] = b, i
+        b, i = np.maximum(all_b, all_b + out_b), np.maximum(all_i, all_i + out_i)
+        return (all_free > 0) | (b.max(axis=0) > 0) | (i.max(axis=0) > 0)
 
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (T, B) by Viterbi and the posterior of each, from emissions."""
@@ -224,31 +249,40 @@ class Tagger:
         known = {}
         for at in range(0, len(queue), BATCH):
             part = queue[at : at + BATCH]
-            ids = np.zeros((len(part), part[0][0]), np.int64)
+            sizes = np.array([min(WINDOW, n + PAD) for n, _, _ in part])
+            ids = np.zeros((len(part), sizes[0]), np.int16)
             for i, (n, d, s) in enumerate(part):
                 if d not in known:
                     known[d] = symbols(texts[d])
                 ids[i, :n] = known[d][s : s + n]
-            e = self.emissions(np.ascontiguousarray(ids.T))
-            held = np.flatnonzero(self.may_tag(e))
-            if not len(held):
-                continue
-            tags, sure = self.decode(np.ascontiguousarray(e[:, :, held].transpose(0, 2, 1)))
-            for j in np.flatnonzero((tags > 0).any(axis=0)):
-                n, d, s = part[held[j]]
-                col, p, t = tags[:n, j], sure[:n, j], 0
-                while t < n:
-                    if not col[t]:
-                        t += 1
-                        continue
-                    end = t + 1
-                    while end < n and col[end] == col[t] + 1:
-                        end += 1
-                    found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
-                    t = end
+            # sizes fall, so as many windows reach step t as have a size over t.
+            reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+            e = self.emissions(np.ascontiguousarray(ids.T, np.intp), reach)
+            held = np.flatnonzero(self.may_tag(e, reach))
+            for few in range(0, len(held), DECODED):
+                some = held[few : few + DECODED]
+                tags, sure = self.decode(np.ascontiguousarray(e[: sizes[some[0]]][:, :, some].transpose(0, 2, 1)))
+                for j in np.flatnonzero((tags > 0).any(axis=0)):
+                    n, d, s = part[some[j]]
+                    col, p, t = tags[:n, j], sure[:n, j], 0
+                    while t < n:
+                        if not col[t]:
+                            t += 1
+                            continue
+                        end = t + 1
+                        while end < n and col[end] == col[t] + 1:
+                            end += 1
+                        found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
+                        t = end
         return found
 
 
+def _runs(reach: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first step, step after the last, windows) of the runs of steps that as many windows reach."""
+    edges = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), len(reach)]
+    return [(a, b, int(reach[a])) for a, b in zip(edges, edges[1:])]
+
+
 def starts(length: int) -> list[int]:
     """Where the windows of a text of so many characters start."""
     return [] if not length else [*range(0, max(1, length - WINDOW + STRIDE), STRIDE)]

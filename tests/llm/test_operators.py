@@ -161,6 +161,23 @@ def test_bound_on_spans_is_exact():
     assert np.allclose(model.emissions(ids).transpose(0, 2, 1), x, atol=1e-3)
 
 
+def test_windows_do_not_depend_on_others():
+    """What is found in a text, and how surely, is the same whatever texts go with it; decoding many spans takes little memory."""
+    import tracemalloc
+
+    model, rng = tagger.Tagger(tagger.start_weights(3)), random.Random(8)
+    model.bias = model.bias + np.array([0.0] + [0.3] * (tagger.TAGS - 1), np.float32)
+    texts = [tagger.labelled_text(rng, n, 0.4)[0][:n] for n in (1, 7, 40, 200, 900, 2047, 2048, 2060, 5000)]
+    for alone, beside in zip((model.spans([t])[0] for t in texts), model.spans(texts)):
+        assert [x[1:] for x in alone] == [x[1:] for x in beside] and np.allclose([x[0] for x in alone], [x[0] for x in beside], atol=1e-5)
+    many = [tagger.labelled_text(rng, 400, 0.5)[0][:400] for _ in range(512)]
+    tracemalloc.start()
+    assert sum(map(len, model.spans(many))) > 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * (4 * 400 * tagger.TAGS * len(many))
+
+
 def test_spans_at_every_alignment():
     """A span of up to 64 characters is found wherever windows cut the text, and windows cover every text."""
     model = tagger.Tagger(tagger.trained())
