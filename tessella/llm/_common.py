@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import shutil
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 #: Rows that Python code holds at once of the Arrow batches handed to it, at most; bounds a worker's memory.
 ARROW_ROWS = 1000
 _LOCK = threading.Lock()
+#: What operators keep in this worker, by the operator's name.
+_KEPT: dict[str, dict] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SHIPPED: set[str] = set()
 
 
@@ -36,11 +40,29 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(os.path.join(place, "tessella_package"), "zip", stage))
 
 
+def kept(name: str) -> dict:
+    """What the operator of that name keeps in this worker from one task to the next. One worker serves all operators and
+    outlives their tasks, so what others kept in it goes."""
+    for other in [x for x in _KEPT if x != name]:
+        del _KEPT[other]
+    return _KEPT.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed: all workers' memory counts with their executor's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most so many rows, without a copy; the session's own batch size stays as it is."""
+    give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        give_back()
 
 
 def shared_dir(spark: SparkSession) -> str:

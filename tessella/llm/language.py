@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches_of, fold, prepare
+from ._common import batches_of, fold, kept, prepare
 
 #: Rows of each language that are learned from, about; the longest n-gram; how often the sample has a word that is known.
 MOST_ROWS, LONGEST, OFTEN = 750, 5, 2
@@ -128,6 +128,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.rows, model.words, model.grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")
         own = Model(*shared.value)
         for b in batches_of(batches):
             got = [own.predict(x.as_py()) for x in b.column(2)]
@@ -143,6 +144,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language")
         own = Model(*shared.value)
         for b in batches_of(batches):
             yield b.filter(pa.array([own.predict(x.as_py())[0] != UNKNOWN for x in b.column(at)], pa.bool_()))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches_of, discard, prepare, table
+from ._common import batches_of, discard, kept, prepare, table
 
 SIZE, END, CACHE = 4096, 1, 500_000
 #: Rows of a range, about; runs of short pieces have up to size / UNIT tokens; a superstep that places less than one in
@@ -42,7 +42,6 @@ LEFT, SPARE, PAIR = 0, 1, 2
 #: its sequence's number as id.
 _STATE = pa.schema([("value", pa.int64()), ("gap", pa.bool_()), ("id", pa.int64()), ("cum", pa.int64()), ("lens", pa.list_(pa.int32()))])
 _SWEPT = ["part", "place", "kind", "id", "cum", "length", "sid", "free", "lens"]
-_LOADED: dict[str, Encoder] = {}
 _BLANK, _SEPARATOR = re.compile(r"[ \t-\r]+"), re.compile(r"[\x1c-\x1f]")
 #: Characters that normal form C and lower-casing treat one by one, and that no space class has.
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u00ff]*")
@@ -93,9 +92,10 @@ class Encoder:
 
     @classmethod
     def load(cls, path: str) -> Encoder:
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        loaded = kept("packing")
+        if path not in loaded:
+            loaded[path] = cls(path)
+        return loaded[path]
 
     def word(self, w: str) -> bytes:
         """Ids of a run of characters without white space."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
-from ._common import batches_of, prepare
+from ._common import batches_of, kept, prepare
 
 KINDS = tagger.KINDS
 SURE, EDGE = 0.6, 8
@@ -157,6 +157,7 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(weights or tagger.trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("pii")
         model = tagger.Tagger(shared.value)
         for b in batches_of(batches):
             texts = [x.as_py() or "" for x in b.column(1)]
@@ -176,6 +177,7 @@ def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("pii")
         model = tagger.Tagger(shared.value)
         for b in batches_of(batches):
             texts = [x.as_py() for x in b.column(at)]

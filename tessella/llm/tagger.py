@@ -16,7 +16,7 @@ LENGTH, WINDOW, STRIDE = 96, 2048, 1952
 #: Symbols of padding read after a window that is not full, as in training.
 PAD = 16
 #: Windows read at once, and of those that may hold a span decoded at once; they bound a worker's memory.
-BATCH, DECODED = 512, 64
+BATCH, DECODED = 512, 32
 #: Score of O past a window's end.
 SURELY = 100.0
 _PARTS = ("embed", "fw", "fb", "bw", "bb", "out", "bias", "move", "first")
@@ -177,7 +177,7 @@ class Tagger:
                 i, f, o, g = (z[j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
                 sigmoids = z[: 3 * HIDDEN]
                 for t in range(a, b)[::step]:
-                    np.take(self.embed, ids[t, :k], axis=1, out=x, mode="clip")
+                    np.take(self.embed, ids[t, :k].astype(np.intp), axis=1, out=x, mode="clip")
                     np.dot(weights, both, out=z)
                     np.tanh(z, out=z)
                     sigmoids += 1
@@ -257,7 +257,7 @@ class Tagger:
                 ids[i, :n] = known[d][s : s + n]
             # sizes fall, so as many windows reach step t as have a size over t.
             reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-            e = self.emissions(np.ascontiguousarray(ids.T, np.intp), reach)
+            e = self.emissions(np.ascontiguousarray(ids.T), reach)
             held = np.flatnonzero(self.may_tag(e, reach))
             for few in range(0, len(held), DECODED):
                 some = held[few : few + DECODED]
@@ -274,6 +274,8 @@ class Tagger:
                             end += 1
                         found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
                         t = end
+            # Else they would stay beside the next ones.
+            del ids, e
         return found
 
 

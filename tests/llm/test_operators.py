@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import bpe, exact_dedup, language, media, packing, pii, simhash, substrings, tagger, toxicity, urls
+from tessella.llm import _common
 from tessella.llm._common import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -178,6 +179,21 @@ def test_windows_do_not_depend_on_others():
     assert peak < 5 * (4 * 400 * tagger.TAGS * len(many))
 
 
+def test_workers_keep_little():
+    """One batch of emissions at a time, and nothing of the operators that a worker served before."""
+    import tracemalloc
+
+    model, texts = tagger.Tagger(tagger.start_weights(3)), ["plain words " * 30] * (3 * tagger.BATCH)
+    model.bias = model.bias + np.array([50.0] + [0.0] * (tagger.TAGS - 1), np.float32)
+    tracemalloc.start()
+    assert not any(model.spans(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * (4 * (360 + tagger.PAD) * tagger.TAGS * tagger.BATCH)
+    _common.kept("packing")["x"] = 1
+    assert _common.kept("packing") == {"x": 1} and _common.kept("pii") == {} and _common.kept("packing") == {}
+
+
 def test_spans_at_every_alignment():
     """A span of up to 64 characters is found wherever windows cut the text, and windows cover every text."""
     model = tagger.Tagger(tagger.trained())
