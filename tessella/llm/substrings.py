@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches_of, prepare, table
+from ._common import batches_of, discard, prepare, settle, table
 
 LEAST_WORDS = 40
 #: Words whose hashes a worker remembers, and rows in one batch that it returns.
@@ -149,10 +149,16 @@ def _passages(docs: DataFrame, least_words: int) -> DataFrame:
     prepare(docs.sparkSession)
     found = table(prints(docs, least_words), "prints")
     shared = table(found.groupBy("f").agg(F.count("*").alias("c"), (F.min("h") == F.max("h")).alias("whole")).filter("c > 1").drop("c"), "shared-prints")
+    settle(docs.sparkSession)
     p = found.join(shared, "f").groupBy("rid").agg(F.collect_list(F.struct("at", "n", "whole")).alias("p"))
-    occ = occurrences(table(docs.join(p, "rid"), "repeated-prints"), least_words)
+    places = table(docs.join(p, "rid"), "repeated-prints")
+    # What follows reads the places alone, so the prints and the shuffles behind them need not stay on disk.
+    discard(found, shared)
+    settle(docs.sparkSession)
+    occ = occurrences(places, least_words)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "at", "start", "stop")
     first = table(occ.groupBy("h", "g").agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "repeated-runs")
+    settle(docs.sparkSession)
     again = occ.join(first, ["h", "g"]).filter((F.col("first.rid") != F.col("rid")) | (F.col("first.at") != F.col("at")))
     again = again.select("rid", "doc_id", "at", (F.col("at") + F.col("n") + least_words - 1).alias("to"), "start", "stop", F.col("first.doc_id").alias("kd"), F.col("first.start").alias("ks"), F.col("first.stop").alias("ke"))
     # A passage ends where the next repeat of its row starts after the last one's end.

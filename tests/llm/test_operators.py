@@ -94,6 +94,27 @@ def test_texts_without_repeats(spark, none):
     assert clash.columns == ["doc_id", "text", "rid", "removed", "removed_"] and {r["removed"] for r in clash.collect()} == {"kept"}
 
 
+def test_substrings_leave_little_on_disk(spark):
+    """Once only the last join is to be done, neither the prints' tables nor the shuffles of finished jobs are left."""
+    import os
+    import time
+
+    shared = _common.shared_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(shared) if "prints-" in x and not x.startswith("repeated-")} if os.path.isdir(shared) else set()
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    had, n = tables(), shuffles()
+    passage = " ".join(f"word{i}" for i in range(60))
+    found = substrings.repeated_passages(spark.createDataFrame([(i, f"{i} {passage} {i}") for i in range(3)], "doc_id long, text string"))
+    for _ in range(50):
+        if shuffles() <= n:
+            break
+        time.sleep(0.2)
+    assert tables() == had and shuffles() <= n
+    assert sorted((r["doc_id"], r["words"]) for r in found.collect()) == [(1, 60), (2, 60)]
+
+
 def test_pii_base_equals_patterns():
     rng = random.Random(5)
     for _ in range(400):
