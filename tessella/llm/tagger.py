@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,15 +18,28 @@ LENGTH, WINDOW, STRIDE = 96, 2048, 1952
 PAD = 16
 #: Windows read at once, and of those that may hold a span decoded at once; they bound a worker's memory.
 BATCH, DECODED = 512, 32
+#: Steps whose symbols, or whose gains, are made ready at once.
+AHEAD = 16
 #: Score of O past a window's end.
 SURELY = 100.0
+#: The symbol of each code point up to 160, and at 161 of all beyond.
+_SYMBOL = np.array([1] * 32 + [*range(1, 96)] + [98] * 34 + [97], np.int16)
 _PARTS = ("embed", "fw", "fb", "bw", "bb", "out", "bias", "move", "first")
 
 
 def symbols(text: str) -> np.ndarray:
     """Printable ASCII keeps its own number; other letters share one, white space is a space, the rest share one."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((x >= 32) & (x < 127), x - 31, np.where(x > 160, 97, np.where(x < 32, 1, 98))).astype(np.int16)
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _SYMBOL[np.minimum(x, 161)]
+
+
+@lru_cache(maxsize=1)
+def tanh_is_slow() -> bool:
+    """Whether numpy's tanh takes far longer here than its exp: it does without AVX-512."""
+    try:
+        return "AVX512" not in np.lib.introspect.opt_func_info("^tanh$", "float32")["tanh"]["ff"]["current"]
+    except (AttributeError, KeyError):
+        return False
 
 
 def start_weights(seed: int = 0) -> dict[str, np.ndarray]:
@@ -110,17 +124,15 @@ def _marginals(e: np.ndarray, move: np.ndarray, first: np.ndarray):
     n = len(e)
     top = e.max(axis=2, keepdims=True)
     x, m = np.exp(e - top), np.exp(move)
-    alpha, beta = np.empty_like(e), np.ones_like(e)
-    z = top[..., 0].sum(axis=0)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty_like(top)
     for t in range(n):
         a = x[t] * (alpha[t - 1] @ m if t else np.exp(first))
-        scale = a.sum(axis=1, keepdims=True)
-        alpha[t] = a / scale
-        x[t] /= scale
-        z = z + np.log(scale[:, 0])
+        np.add.reduce(a, axis=1, keepdims=True, out=scale[t])
+        np.divide(a, scale[t], out=alpha[t])
+    x /= scale
     for t in range(n - 2, -1, -1):
-        beta[t] = (beta[t + 1] * x[t + 1]) @ m.T
-    return alpha, beta, x, z
+        np.matmul(beta[t + 1] * x[t + 1], m.T, out=beta[t])
+    return alpha, beta, x, (top + np.log(scale))[..., 0].sum(axis=0)
 
 
 def gradients(p: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -142,53 +154,63 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> tu
 
 
 class Tagger:
-    """Decoding with given weights, laid out for speed: gates and states are rows, windows are columns, one product a step
-    gives all gates, and a single tanh serves them, as a sigmoid of x is half of 1 + tanh(x / 2).
+    """Decoding with given weights, laid out for speed: what the symbols add to the gates is a table, a product a step adds
+    what the states do, and a single tanh serves all gates, as a sigmoid of x is half of 1 + tanh(x / 2). Where tanh is slow it
+    is got from exp, as 1 + tanh(x) is 2 / (1 + exp(-2x)); the two differ by rounding only.
 
     Windows lie by falling length, and each is read to its own end only: at a step the windows that reach it are the first
-    columns, and `reach` has their number. So what is found in a window depends on no other one.
+    ones, and `reach` has their number. So what is found in a window depends on no other one. Each gate of the first windows
+    is one piece of memory, however many they are.
     """
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: dict[str, np.ndarray], by_exp: bool | None = None):
+        self.by_exp = tanh_is_slow() if by_exp is None else by_exp
         half = np.ones(4 * HIDDEN, np.float32)
         half[: 3 * HIDDEN] = 0.5
-        # Twice the hidden state is kept, so the weights it meets are halved. The last column meets a row of ones.
-        self.gates = [np.ascontiguousarray(np.concatenate([p[w][WIDTH:] * half / 2, p[w][:WIDTH] * half, (p[b] * half)[None]]).T, np.float32) for w, b in (("fw", "fb"), ("bw", "bb"))]
-        self.embed = np.ascontiguousarray(p["embed"].T, np.float32)
+        if self.by_exp:
+            half *= -2
+        by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, HIDDEN).transpose(1, 0, 2), np.float32)
+        # Twice the hidden state is kept, so the weights it meets are halved.
+        self.gates = [(by_gate(p[w][WIDTH:] * half / 2), by_gate((p["embed"] @ p[w][:WIDTH] + p[b]) * half)) for w, b in (("fw", "fb"), ("bw", "bb"))]
         self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T / 2), np.ascontiguousarray(p["out"][HIDDEN:].T / 2)]
         self.bias, self.move, self.first = p["bias"], p["move"] + BAD, p["first"] + BAD_FIRST
 
-    def emissions(self, ids: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
-        """ids (T, B) to tag scores (T, K, B); where a window does not reach, the scores leave no tag but O."""
+    @np.errstate(over="ignore")
+    def emissions(self, ids: np.ndarray, reach: np.ndarray | None = None, room: np.ndarray | None = None) -> np.ndarray:
+        """ids (T, B) to tag scores (T, K, B), in room if given; where a window does not reach, the scores leave no tag but O."""
         n, batch = ids.shape
-        e = np.empty((n, TAGS, batch), np.float32)
-        e[:] = self.bias[:, None]
+        e = (np.empty(n * TAGS * batch, np.float32) if room is None else room[: n * TAGS * batch]).reshape(n, TAGS, batch)
         runs = _runs(np.full(n, batch) if reach is None else reach)
-        for weights, out, parts, step in zip(self.gates, self.out, (runs, runs[::-1]), (1, -1)):
-            state = np.zeros((HIDDEN, 0), np.float32)
-            cell = state
+        bias, work = self.bias[:, None], np.empty((2, 4 * batch * HIDDEN), np.float32)
+        for (weights, table), out, parts, step in zip(self.gates, self.out, (runs, runs[::-1]), (1, -1)):
+            state, cell, scores = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32), np.empty(TAGS * batch, np.float32)
             for a, b, k in parts:
-                # Rows: the state, the symbol's embedding, ones.
-                both, c, z, scores = np.zeros((HIDDEN + WIDTH + 1, k), np.float32), np.zeros((HIDDEN, k), np.float32), np.empty((4 * HIDDEN, k), np.float32), np.empty((TAGS, k), np.float32)
-                h, x = both[:HIDDEN], both[HIDDEN:-1]
-                both[-1] = 1
-                held = min(k, state.shape[1])
-                h[:, :held], c[:, :held] = state[:, :held], cell[:, :held]
-                i, f, o, g = (z[j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
-                sigmoids = z[: 3 * HIDDEN]
-                for t in range(a, b)[::step]:
-                    np.take(self.embed, ids[t, :k].astype(np.intp), axis=1, out=x, mode="clip")
-                    np.dot(weights, both, out=z)
-                    np.tanh(z, out=z)
-                    sigmoids += 1
+                h, c, y = state[:k], cell[:k], scores[: TAGS * k].reshape(TAGS, k)
+                z, x = work[:, : 4 * k * HIDDEN].reshape(2, 4, k, HIDDEN)
+                i, f, o, g = z
+                sigmoids, turned = z[:3], h.T
+                for t, read in _ahead(ids, a, b, k, step):
+                    np.take(table, read, axis=1, out=x, mode="clip")
+                    np.matmul(h, weights, out=z)
+                    z += x
+                    if self.by_exp:
+                        _one_and_tanh(z)
+                        g -= 1
+                    else:
+                        np.tanh(z, out=z)
+                        sigmoids += 1
                     c *= f
                     i *= g
                     c += i
                     c *= 0.5
-                    np.tanh(c, out=h)
+                    if self.by_exp:
+                        _one_and_tanh(np.multiply(c, -2, out=h))
+                        h -= 1
+                    else:
+                        np.tanh(c, out=h)
                     h *= o
-                    e[t, :, :k] += np.dot(out, h, out=scores)
-                state, cell = h, c
+                    np.dot(out, turned, out=y)
+                    np.add(e[t, :, :k] if step < 0 else bias, y, out=e[t, :, :k])
         for a, b, k in runs:
             e[a:b, :, k:] = 0
             e[a:b, 0, k:] = SURELY
@@ -197,44 +219,56 @@ class Tagger:
     def may_tag(self, e: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
         """Whether some path may beat the one without any span: exact, as it only overrates what spans gain.
 
-        Viterbi in gains over the path without any span, from emissions (T, K, B); only the move from one span right into
-        another is overrated, by the best of these, and a span's end at the window's.
+        Viterbi in gains over the path without any span, from emissions (T, K, B), each with the move out of its span; only the
+        move from one span right into another is overrated, by the best of these, and a span's end at the window's.
         """
         none, move = self.move[0, 0], self.move
         begin, within = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-        col = lambda x: (x - none).astype(np.float32)[:, None]
-        enter, on, deep, out_b, out_i = col(move[0, begin]), col(move[begin, within]), col(move[within, within]), col(move[begin, 0]), col(move[within, 0])
-        again = np.float32(move[1:, 1::2].max() - none)
-        all_b = e[0, 1::2] - e[0, 0] + (self.first[begin] - self.first[0])[:, None]
-        all_i = np.full_like(all_b, -1e4)
-        all_free = np.zeros(e.shape[2], np.float32)
-        for a, z, k in _runs(np.full(len(e), e.shape[2]) if reach is None else reach):
-            b, i, free = all_b[:, :k].copy(), all_i[:, :k].copy(), all_free[:k]
-            for row in e[max(1, a) : z, :, :k]:
-                gain = row[1:] - row[0]
-                last = np.maximum(b.max(axis=0), i.max(axis=0)) + again
-                end = np.maximum((b + out_b).max(axis=0), (i + out_i).max(axis=0))
-                i = np.maximum(b + on, i + deep)
-                i += gain[1::2]
-                b = np.maximum(free + enter, last)
-                b += gain[0::2]
-                np.maximum(free, end, out=free)
-            all_b[:, :k], all_i[:, :k] = b, i
-        b, i = np.maximum(all_b, all_b + out_b), np.maximum(all_i, all_i + out_i)
-        return (all_free > 0) | (b.max(axis=0) > 0) | (i.max(axis=0) > 0)
+        col = lambda x: x.astype(np.float32)[:, None]
+        out = col(move[1:, 0] - none)
+        out_b, out_i = out[0::2], out[1::2]
+        enter, deep = col(move[0, begin] - none) + out_b, col(move[within, within] - none)
+        on = col(move[begin, within] - none) - out_b + out_i - deep
+        again = col((move[1:, 1::2] - move[1:, :1]).max(axis=0)) + out_b - enter
+        # What each step of a begin or inside tag costs at least goes with its gain.
+        cost = np.stack([enter, deep], axis=1).reshape(-1, 1)
+        size = e.shape[2]
+        every = e[0, 1:] - e[0, 0] + out
+        every[0::2] += (self.first[begin] - self.first[0])[:, None]
+        every[1::2] = -1e4
+        every_free, room = np.zeros(size, np.float32), np.empty((len(KINDS), size), np.float32)
+        for a, z, k in _runs(np.full(len(e), size) if reach is None else reach):
+            s, free, x = every[:, :k], every_free[:k], room[:, :k]
+            b, i = s[0::2], s[1::2]
+            for at in range(max(1, a), z, AHEAD):
+                some = e[at : min(z, at + AHEAD), :, :k]
+                gains = some[:, 1:] - some[:, :1]
+                gains += cost
+                for gain in gains:
+                    end = np.maximum.reduce(s, axis=0)
+                    np.add(b, on, out=x)
+                    np.maximum(i, x, out=i)
+                    np.add(end, again, out=x)
+                    np.maximum(free, x, out=b)
+                    s += gain
+                    np.maximum(free, end, out=free)
+        return (every_free > 0) | (np.maximum(every, every - out).max(axis=0) > 0)
 
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (T, B) by Viterbi and the posterior of each, from emissions."""
         n, batch, _ = e.shape
-        best, back = e[0] + self.first, np.zeros((n, batch, TAGS), np.int8)
+        rows, move = np.ascontiguousarray(e.transpose(0, 2, 1)), self.move[:, :, None]
+        best, s = np.empty_like(rows), np.empty((TAGS, TAGS, batch), e.dtype)
+        best[0] = rows[0] + self.first[:, None]
         for t in range(1, n):
-            s = best[:, :, None] + self.move
-            back[t] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[t]
+            np.add(best[t - 1][:, None], move, out=s)
+            np.maximum.reduce(s, axis=0, out=best[t])
+            best[t] += rows[t]
         tags = np.empty((n, batch), np.int64)
-        tags[-1] = best.argmax(axis=1)
+        tags[-1] = best[-1].argmax(axis=0)
         for t in range(n - 1, 0, -1):
-            tags[t - 1] = back[t][np.arange(batch), tags[t]]
+            (best[t - 1] + self.move.take(tags[t], axis=1)).argmax(axis=0, out=tags[t - 1])
+        del rows, best
         alpha, beta, _, _ = _marginals(e, self.move, self.first)
         return tags, np.take_along_axis(alpha * beta, tags[:, :, None], 2)[:, :, 0]
 
@@ -246,7 +280,11 @@ class Tagger:
         found: list[list[tuple[float, int, int, int, int, int]]] = [[] for _ in texts]
         queue = [(min(len(x), s + WINDOW) - s, d, s) for d, x in enumerate(texts) for s in starts(len(x))]
         queue.sort(reverse=True)
-        known = {}
+        if not queue:
+            return found
+        known, waiting = {}, []
+        # The first windows are the longest, so what they take serves the others too.
+        room = np.empty(min(WINDOW, queue[0][0] + PAD) * TAGS * min(BATCH, len(queue)), np.float32)
         for at in range(0, len(queue), BATCH):
             part = queue[at : at + BATCH]
             sizes = np.array([min(WINDOW, n + PAD) for n, _, _ in part])
@@ -257,27 +295,57 @@ class Tagger:
                 ids[i, :n] = known[d][s : s + n]
             # sizes fall, so as many windows reach step t as have a size over t.
             reach = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-            e = self.emissions(np.ascontiguousarray(ids.T), reach)
-            held = np.flatnonzero(self.may_tag(e, reach))
-            for few in range(0, len(held), DECODED):
-                some = held[few : few + DECODED]
-                tags, sure = self.decode(np.ascontiguousarray(e[: sizes[some[0]]][:, :, some].transpose(0, 2, 1)))
-                for j in np.flatnonzero((tags > 0).any(axis=0)):
-                    n, d, s = part[some[j]]
-                    col, p, t = tags[:n, j], sure[:n, j], 0
-                    while t < n:
-                        if not col[t]:
-                            t += 1
-                            continue
-                        end = t + 1
-                        while end < n and col[end] == col[t] + 1:
-                            end += 1
-                        found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
-                        t = end
-            # Else they would stay beside the next ones.
-            del ids, e
+            e = self.emissions(np.ascontiguousarray(ids.T), reach, room)
+            for j in np.flatnonzero(self.may_tag(e, reach)):
+                waiting.append((part[j], e[: sizes[j], :, j].copy()))
+                if len(waiting) == DECODED:
+                    self._read(waiting, found)
+                    waiting = []
+        # Else they would stay beside what decoding takes.
+        del room, ids, e
+        self._read(waiting, found)
         return found
 
+    def _read(self, windows: list[tuple[tuple[int, int, int], np.ndarray]], found: list) -> None:
+        """Decode windows ((length, text, start), emissions (T, K)), the longest first, and add their spans to found."""
+        if not windows:
+            return
+        e = np.zeros((len(windows[0][1]), len(windows), TAGS), np.float32)
+        e[..., 0] = SURELY
+        for j, (_, own) in enumerate(windows):
+            e[: len(own), j] = own
+        tags, sure = self.decode(e)
+        for j in np.flatnonzero((tags > 0).any(axis=0)):
+            n, d, s = windows[j][0]
+            col, p, t = tags[:n, j], sure[:n, j], 0
+            while t < n:
+                if not col[t]:
+                    t += 1
+                    continue
+                end = t + 1
+                while end < n and col[end] == col[t] + 1:
+                    end += 1
+                found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
+                t = end
+
+
+def _one_and_tanh(x: np.ndarray) -> None:
+    """1 + tanh(x) in place of -2x."""
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+
+
+def _ahead(ids: np.ndarray, a: int, b: int, k: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The steps from a to b, in the order of reading, and the symbols of the first k windows there, fit for np.take."""
+    steps = range(a, b)[::step]
+    for at in range(0, len(steps), AHEAD):
+        some = steps[at : at + AHEAD]
+        first = min(some)
+        read = ids[first : first + len(some), :k].astype(np.intp)
+        for t in some:
+            yield t, read[t - first]
+
 
 def _runs(reach: np.ndarray) -> list[tuple[int, int, int]]:
     """(first step, step after the last, windows) of the runs of steps that as many windows reach."""

@@ -183,6 +183,36 @@ def test_bound_on_spans_is_exact():
     assert np.allclose(model.emissions(ids).transpose(0, 2, 1), x, atol=1e-3)
 
 
+def test_tagger_takes_the_faster_form():
+    """tanh from exp gives the same scores, however large the sums, and is taken where numpy's own tanh is slow."""
+    import time
+
+    p, rng = tagger.start_weights(3), random.Random(6)
+    text = tagger.labelled_text(rng, 100 * 256, 0.3)[0]
+    ids = np.ascontiguousarray(tagger.symbols(text)[: 100 * 256].reshape(256, 100).T)
+    for times in (1, 300):
+        q = p | {"embed": p["embed"] * times}
+        own, other = (tagger.Tagger(q, x).emissions(ids) for x in (False, True))
+        assert np.allclose(own, other, atol=1e-3)
+    took = {}
+    for by_exp in (False, True) * 5:
+        model, t = tagger.Tagger(p, by_exp), time.process_time()
+        model.emissions(ids)
+        took[by_exp] = min(took.get(by_exp, 1e9), time.process_time() - t)
+    assert took[tagger.Tagger(p).by_exp] < 1.1 * min(took.values())
+
+
+def test_windows_are_decoded_together():
+    """Few windows of each batch may hold a span; they are decoded together, not batch by batch."""
+    model = tagger.Tagger(tagger.trained())
+    texts = ["Mail ann.lee (at) example (dot) com now" if i % 300 == 0 else "plain words go here and on and on there" for i in range(3 * tagger.BATCH)]
+    assert len({*map(len, texts)}) == 1
+    calls, decode = [], model.decode
+    model.decode = lambda e: calls.append(e.shape[1]) or decode(e)
+    found = model.spans(texts)
+    assert all(bool(x) == (i % 300 == 0) for i, x in enumerate(found)) and len(calls) == 1 and not any(model.spans(["", ""]))
+
+
 def test_windows_do_not_depend_on_others():
     """What is found in a text, and how surely, is the same whatever texts go with it; decoding many spans takes little memory."""
     import tracemalloc
