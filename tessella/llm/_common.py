@@ -141,6 +141,21 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(scale)) < int(scale * most / n))
 
 
+def joined_by(big: DataFrame, small: DataFrame, *keys: str, parts: int = 64) -> DataFrame:
+    """The inner join of big with small (keys unique, nulls equal, and rows: how many of big's rows each key has).
+
+    A key with one of `parts` equal shares of all rows or more would fill one task; there are at most `parts` such keys, so
+    their rows of small are broadcast and big's rows of them stay where they are. The others meet in a shuffle.
+    """
+    own = [f"_{k}" for k in keys]
+    named = small.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], *[c for c in small.columns if c not in keys])
+    n = named.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    meet = lambda b: [b[k].eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
+    hot, cold = named.filter(F.col("rows") * parts >= n), named.filter(F.col("rows") * parts < n)
+    rest = big.join(F.broadcast(hot.select(*own)), meet(big), "left_anti")
+    return big.join(F.broadcast(hot), meet(big)).union(rest.join(cold, meet(rest))).drop(*own, "rows")
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether every u of e (u, v) has one edge and none is a v too."""
     ends = e.select("u", F.lit(1).alias("n")).union(e.select(F.col("v"), F.lit(None).cast("int")))

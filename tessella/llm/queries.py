@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, media, packing, pii, simhash, substrings, toxicity, urls
+from . import bpe, codes, exact_dedup, language, licenses, media, packing, phrases, pii, simhash, substrings, toxicity, urls
 from ._common import prepare, read
 
 
@@ -57,11 +57,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_pii, op4_language_id, op5_toxicity, op6_media_columns, op7_byte_bpe, op8_url_filter, op9_simhash, op10_best_fit_packing, pipeline)}
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op8_url_filter": urls.SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_pii, op4_language_id, op5_toxicity, op6_media_columns, op7_byte_bpe, op8_url_filter, op9_simhash, op10_best_fit_packing, op11_license_scan, op12_vector_codes, op13_phrase_collocations, pipeline)}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op8_url_filter": urls.SQL, "op11_license_scan": licenses.SQL, "op12_vector_codes": codes.SQL, "op13_phrase_collocations": phrases.SQL}
