@@ -1,8 +1,8 @@
 """How much each site's removal would lower a bias score.
 
-Long form, so neither the taxa nor the sites need to fit in one row: a cell meets its site's adjusted totals and its
-taxon's counts in two equi-joins, gets the taxon's score without the site, and a site's scores are folded. Each score is a
-sum over states of squared counts over adjusted totals, corrected for the one cell that goes.
+Tiles (operators.tiles) meet the counts of their matrix's taxa and sum up each site's part of the score; only sites' sums
+are shuffled. Where the counts of all taxa are too many for one row, `without_site` does the same in long form: a cell meets
+its site's adjusted totals and its taxon's counts in two equi-joins, and gets the taxon's score without the site.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import composition as comp
+from . import tiles as tile
 
 KEYS = ("aln_id",)
 SCORERS = ("squared", "quartic", "wasserstein", "wasserstein_raw")
@@ -39,25 +40,59 @@ def without_site(cells: DataFrame, f: DataFrame, n_states: int, keys=KEYS) -> Da
     return joined.select(*keys, "col_idx", "taxon_idx", F.when(F.col("bare"), direct).otherwise(usual).alias("chi2"))
 
 
-def site_deltas(cells: DataFrame, n_states: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0, keys=KEYS) -> DataFrame:
-    """(keys, col_idx, delta); ref is the null's (aln_id, z_mean, z_scale, q) for the wasserstein scorers."""
+def checked(scorer: str) -> str:
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}; one of {', '.join(SCORERS)}")
-    f = written(comp.fudged(comp.counts(cells, n_states, keys), n_states, keys), "fudged")
-    now, then = comp.scores(f, keys), without_site(cells, f, n_states, keys)
-    by = [*keys, "col_idx"]
+    return scorer
+
+
+def _base(now: DataFrame, scorer: str, ref: DataFrame | None, k: int, keys) -> DataFrame:
+    """(keys, base): the score before any removal, of chi-squared by taxon."""
     if scorer in ("squared", "quartic"):
         x = F.col("chi2") if scorer == "squared" else F.col("chi2") * F.col("chi2")
-        base = now.groupBy(*keys).agg(F.sum(x).alias("base"))
-        folded = then.groupBy(*by).agg(F.sum(x).alias("w"))
+        return now.groupBy(*keys).agg(F.sum(x).alias("base"))
+    return comp.wasserstein(_on_z(now, ref) if scorer == "wasserstein" else now, ref.select("aln_id", "q"), k, keys=keys).withColumnRenamed("w", "base")
+
+
+def _on_z(chi2: DataFrame, ref: DataFrame) -> DataFrame:
+    return chi2.join(ref.drop("q"), "aln_id").withColumn("chi2", (F.col("chi2") - F.col("z_mean")) / F.nullif("z_scale", F.lit(0.0)))
+
+
+def site_deltas(made: DataFrame, n_states: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0, fudged: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+    """(aln_id, col_idx, delta, base) of tiles; ref is the null's (aln_id, z_mean, z_scale, q) for the wasserstein scorers.
+
+    fudged are the fudged counts over the tiles' sites and small what tiles.fits says, where they are known.
+    """
+    checked(scorer)
+    f = written(comp.fudged(written(tile.margins(made, n_states), "counts"), n_states), "fudged") if fudged is None else fudged
+    return _deltas(made, f, n_states, scorer, ref, k, None, small)
+
+
+def null_deltas(made: DataFrame, n_states: int, permutations: int, seed: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0) -> DataFrame:
+    """(aln_id, perm, col_idx, delta, base) of every permutation of tiles."""
+    checked(scorer)
+    raw = written(tile.permuted_counts(made, n_states, permutations, seed), "counts")
+    return _deltas(made, written(comp.fudged(raw, n_states, ("aln_id", "perm")), "fudged"), n_states, scorer, ref, k, seed, None)
+
+
+def _deltas(made: DataFrame, f: DataFrame, n_states: int, scorer: str, ref: DataFrame | None, k: int, seed: int | None, small: bool | None) -> DataFrame:
+    keys = ["aln_id"] if seed is None else ["aln_id", "perm"]
+    base = _base(comp.scores(f, keys), scorer, ref, k, keys)
+    if tile.fits(made, n_states) if small is None else small:
+        w = tile.folded(made, f, n_states, scorer, seed, ref, k)
     else:
-        if scorer == "wasserstein":
-            scale = lambda d: d.join(ref.drop("q"), "aln_id").withColumn("chi2", (F.col("chi2") - F.col("z_mean")) / F.nullif("z_scale", F.lit(0.0)))
-            now, then = scale(now), scale(then)
-        q = ref.select("aln_id", "q")
-        base = comp.wasserstein(now, q, k, keys=keys).withColumnRenamed("w", "base")
-        folded = comp.wasserstein(then, q, k, keys=by)
-    return written(folded.join(base, list(keys)).select(*by, (F.col("base") - F.col("w")).alias("delta")), "deltas")
+        cells = tile.plain_cells(made) if seed is None else tile.permuted_cells(made, 1 + (f.agg(F.max("perm")).first()[0] or 0), seed)
+        w = _by_cells(cells, f, n_states, scorer, ref, k, keys)
+    return written(w.join(base, keys).select(*keys, "col_idx", (F.col("base") - F.col("w")).alias("delta"), "base"), "deltas")
+
+
+def _by_cells(cells: DataFrame, f: DataFrame, n_states: int, scorer: str, ref: DataFrame | None, k: int, keys) -> DataFrame:
+    """(keys, col_idx, w) for matrices whose taxa's counts are too many for one row."""
+    then, by = without_site(cells, f, n_states, keys), [*keys, "col_idx"]
+    if scorer in ("squared", "quartic"):
+        x = F.col("chi2") if scorer == "squared" else F.col("chi2") * F.col("chi2")
+        return then.groupBy(*by).agg(F.sum(x).alias("w"))
+    return comp.wasserstein(_on_z(then, ref) if scorer == "wasserstein" else then, ref.select("aln_id", "q"), k, keys=by)
 
 
 def top_sites(deltas: DataFrame, n: int) -> DataFrame:
@@ -69,9 +104,9 @@ def top_sites(deltas: DataFrame, n: int) -> DataFrame:
     return deltas.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
 
 
-def delta_null(permuted_cells: DataFrame, n_states: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0) -> DataFrame:
-    """(aln_id, perm, max_delta) of permuted cells (aln_id, perm, ...); their seed goes on from the main null's last one."""
-    each = site_deltas(permuted_cells, n_states, scorer, ref, k, ("aln_id", "perm"))
+def delta_null(made: DataFrame, n_states: int, permutations: int, seed: int, scorer: str = "squared", ref: DataFrame | None = None, k: int = 0) -> DataFrame:
+    """(aln_id, perm, max_delta) of tiles; the seed goes on from the main null's last one."""
+    each = null_deltas(made, n_states, permutations, seed, scorer, ref, k)
     return each.groupBy("aln_id", "perm").agg(F.max("delta").alias("max_delta"))
 
 

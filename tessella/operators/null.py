@@ -1,7 +1,8 @@
 """The permutation null: every column shuffled over the taxa on its own, and what the scorers make of it.
 
-Order comes from md5 of (seed + permutation, column, taxon), so a permutation is the same on any number of partitions and
-in any SQL engine. A site is an array of codes by taxon; shuffling it is a sort inside the row, without a shuffle of data.
+A permutation sends each cell of a site to another taxon by a key of (seed + permutation, site), so it is the same on any
+number of partitions and in any SQL engine, and neither sorts nor moves cells: tiles add up the counts of every permuted
+matrix where they are, and one row of counts for each taxon and permutation is what Spark merges.
 """
 
 from __future__ import annotations
@@ -11,29 +12,21 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import composition as comp
+from . import tiles as tile
 
 SEED, SIGNIFICANT = 12345, 0.05
 MAD_SCALE = 0.6745
 
 
-def sites(cells: DataFrame) -> DataFrame:
-    """(aln_id, col_idx, codes): one row per site, codes by taxon."""
-    pairs = F.sort_array(F.collect_list(F.struct("taxon_idx", "code")))
-    return cells.groupBy("aln_id", "col_idx").agg(F.transform(pairs, lambda x: x["code"]).alias("codes"))
+def permuted(made: DataFrame, permutations: int, seed: int = SEED) -> DataFrame:
+    """(aln_id, perm, taxon_idx, col_idx, code) of every permutation of tiles; to look at, as counts need no such cells."""
+    return tile.permuted_cells(made, permutations, seed)
 
 
-def permuted(cells: DataFrame, permutations: int, seed: int = SEED) -> DataFrame:
-    """(aln_id, perm, taxon_idx, col_idx, code) of every permutation; taxa count from 0."""
-    perms = cells.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm"))
-    wide = sites(cells).crossJoin(F.broadcast(perms))  # permutations are a parameter, not data
-    name = lambda t: F.md5(F.concat_ws(":", (F.col("perm") + seed).cast("string"), F.col("col_idx").cast("string"), t.cast("string")).cast("binary"))
-    dealt = F.array_sort(F.transform("codes", lambda c, t: F.struct(name(t).alias("h"), t.alias("t"), c.alias("c"))))
-    return written(wide.select("aln_id", "perm", "col_idx", F.posexplode(F.transform(dealt, lambda x: x["c"])).alias("taxon_idx", "code")), "permuted")
-
-
-def null_chi2(cells: DataFrame, n_states: int, permutations: int, seed: int = SEED) -> DataFrame:
-    """(aln_id, perm, taxon_idx, chi2), written once for the many statistics that read it."""
-    return written(comp.row_chi2(permuted(cells, permutations, seed), n_states, ("aln_id", "perm")), "null")
+def null_chi2(made: DataFrame, n_states: int, permutations: int, seed: int = SEED) -> DataFrame:
+    """(aln_id, perm, taxon_idx, chi2) of tiles, written once for the many statistics that read it."""
+    counts = tile.permuted_counts(made, n_states, permutations, seed)
+    return written(comp.chi2_of(counts, n_states, ("aln_id", "perm")), "null")
 
 
 def summary(null: DataFrame) -> tuple[DataFrame, DataFrame]:

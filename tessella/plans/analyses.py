@@ -1,12 +1,13 @@
 """The two analyses: the composition test and pruning, for every alignment of a table at once.
 
-The test is relational all through. Pruning is a loop whose state is one matrix, so each alignment is one task; a single
-very large alignment has the distributed scorers of operators.delta.
+Both are tables and joins all through; pruning is the loop of plans.pruning, whose results become the rows of its reports.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,250 +15,100 @@ from ..functions.alphabet import DNA, PROTEIN, code, detect
 from ..operators import composition as comp
 from ..operators import delta as site_delta
 from ..operators import null as nulls
-from ..sources.files import capital, letters
+from ..operators import tiles as tile
+from ..sources.files import letters
 from ..sources.shared import written
+from . import pruning
+from .pruning import ALGORITHMS
 
 PRUNE_SCHEMA = "aln_id string, kind string, seq long, iteration int, original_index int, global_chi2 double, initial_score double, delta double, significant_taxa int, null_p double, algorithm string, taxon_id string, before_z double, before_p double, after_z double, after_p double, delta_z double, text string, values array<double>"
-#: The algorithms and what is reported as the reason to stop.
-ALGORITHMS = ("squared", "quartic", "wasserstein")
-NOT_BIASED = "alignment p-value"
-NOT_SIGNIFICANT = "delta not significant (p={p:.3f}, max_delta={delta:.6f})"
-CAPPED = "reached --max_residue_pruned cap ({})"
 
 
-def composition_test(taxa: DataFrame, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
-    """(aln_id, taxon_idx, taxon_id, chi2, p, z, biased) of taxa (aln_id, taxon_idx, taxon_id, seq)."""
+def alphabets(taxa: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Tiles of taxa's alignments (aln_id, taxon_idx, seq), those of each alphabet on their own, and its number of states."""
     cut = letters(taxa)
     found = written(detect(cut.select("aln_id", "residue")).select("aln_id", "alphabet"), "alphabets")
     if (bare := found.filter("alphabet IS NULL").first()) is not None:
         raise ValueError(f"{bare['aln_id']}: no state to tell the alphabet from")
-    kinds = found
-    parts = []
     for alphabet in (DNA, PROTEIN):
-        own = cut.join(kinds.filter(F.col("alphabet") == alphabet), "aln_id").select("aln_id", "taxon_idx", "col_idx", code(F.col("residue"), alphabet).alias("code"))
-        own = written(own, "cells")
-        chi2, null = comp.row_chi2(own, len(alphabet)), nulls.null_chi2(own, len(alphabet), permutations, seed)
-        parts.append(nulls.taxon_scores(chi2, null))
-    return parts[0].union(parts[1]).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"])
+        kind = found.filter(F.col("alphabet") == alphabet).select("aln_id")
+        if kind.take(1):
+            own = cut.join(kind, "aln_id", "left_semi").select("aln_id", "taxon_idx", "col_idx", code(F.col("residue"), alphabet).alias("code"))
+            yield tile.tiles(own, len(alphabet)), len(alphabet)
 
 
-def one_batch(cells: DataFrame, n_states: int, top_n: int, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
+def composition_test(taxa: DataFrame, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
+    """(aln_id, taxon_idx, taxon_id, chi2, p, z, biased) of taxa (aln_id, taxon_idx, taxon_id, seq)."""
+    parts = []
+    for made, n in alphabets(taxa):
+        chi2 = written(comp.chi2_of(tile.margins(made, n), n), "observed")
+        parts.append(nulls.taxon_scores(chi2, nulls.null_chi2(made, n, permutations, seed)))
+    return reduce(DataFrame.union, parts).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"])
+
+
+def one_batch(made: DataFrame, n_states: int, top_n: int, permutations: int = 100, seed: int = nulls.SEED) -> DataFrame:
     """(aln_id, rank, col_idx, delta, p, global_chi2, initial_score, significant_taxa): the first batch of the squared
-    pruning, with the scores after it; relational all through, for alignments of any size."""
-    chi2, null = comp.row_chi2(cells, n_states), nulls.null_chi2(cells, n_states, permutations, seed)
-    shuffled = nulls.permuted(cells, permutations, seed + permutations)
+    pruning of tiles, with the scores after it."""
+    chi2, null = comp.chi2_of(tile.margins(made, n_states), n_states), nulls.null_chi2(made, n_states, permutations, seed)
     biased = nulls.empirical_p_alignment(chi2, null).filter(F.col("p") <= 0.95).select("aln_id", F.col("global_chi2").alias("initial_score"))
-    top = site_delta.top_sites(site_delta.site_deltas(cells, n_states), top_n)
-    batch = site_delta.justified(top, site_delta.delta_null(shuffled, n_states)).join(biased, "aln_id")
-    after = comp.row_chi2(cells.join(batch.select("aln_id", "col_idx"), ["aln_id", "col_idx"], "left_anti"), n_states)
+    top = site_delta.top_sites(site_delta.site_deltas(made, n_states), top_n)
+    batch = written(site_delta.justified(top, site_delta.delta_null(made, n_states, permutations, seed + permutations)).join(biased, "aln_id"), "batch")
+    after = comp.chi2_of(tile.margins(tile.without(made, batch), n_states), n_states)
     end = after.join(nulls.threshold(chi2, null), "aln_id").groupBy("aln_id").agg(F.sum("chi2").alias("global_chi2"), F.count_if(F.col("chi2") > F.col("tau")).alias("significant_taxa"))
     return batch.join(end, "aln_id")
 
 
-def bump(o: np.ndarray) -> np.ndarray:
-    """Counts (taxa, states), one more everywhere if some is zero."""
-    return o + 1 if (o == 0).any() else o
-
-
-def matrix_counts(x: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([(x == c).sum(axis=1) for c in range(n)], axis=1).astype(float)
-
-
-def matrix_chi2(o: np.ndarray) -> np.ndarray:
-    e = np.outer(o.sum(axis=1), o.sum(axis=0) / o.sum())
-    e = e + 1 if (e == 0).any() else e
-    return ((o - e) ** 2 / e).sum(axis=1)
-
-
-def permute(x: np.ndarray, seed: int) -> np.ndarray:
-    """Each column in an order of its own, drawn one column after another."""
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.permutation(x[:, j]) for j in range(x.shape[1])], axis=1)
-
-
-class Null:
-    """The permutation null of a matrix, and what scoring needs of it."""
-
-    def __init__(self, x: np.ndarray, n: int, permutations: int, algorithm: str, delta_null: bool, seed: int = nulls.SEED):
-        table = np.stack([matrix_chi2(bump(matrix_counts(permute(x, seed + i), n))) for i in range(permutations)])
-        self.table, self.sums, self.pool = table, table.sum(axis=1), table.ravel()
-        self.mean = self.pool.mean()
-        self.scale = np.median(np.abs(self.pool - np.median(self.pool))) / nulls.MAD_SCALE
-        if algorithm == "wasserstein" and self.scale == 0:
-            raise ValueError("the null has no spread, so Z scores do not exist; use another algorithm")
-        self.k = min(200, self.pool.size)
-        self.at = np.arange(1, self.k + 1) / (self.k + 1)
-        self.q = np.quantile((self.pool - self.mean) / self.scale, self.at) if self.scale else None
-        deep = int(np.floor(nulls.SIGNIFICANT * self.pool.size / x.shape[0]))
-        place = self.pool.size - deep - 1
-        self.tau = np.sort(self.pool)[place] if 0 <= place < self.pool.size else np.inf
-        self.max_delta = None
-        if delta_null:
-            shuffled = (permute(x, seed + permutations + i) for i in range(permutations))
-            self.max_delta = np.array([deltas(y, bump(matrix_counts(y, n)), n, algorithm, self)[1].max() for y in shuffled])
-
-    def score(self, chi2: np.ndarray, algorithm: str) -> np.ndarray:
-        """The score of each row of chi2 (..., taxa)."""
-        if algorithm == "wasserstein":
-            seen = np.quantile((chi2 - self.mean) / self.scale, self.at, axis=-1)
-            return np.abs(np.moveaxis(seen, 0, -1) - self.q).mean(axis=-1)
-        return (chi2 if algorithm == "squared" else chi2**2).sum(axis=-1)
-
-    def p_of(self, total: float) -> float:
-        return float((self.sums >= total).mean())
-
-
-def deltas(x: np.ndarray, o: np.ndarray, n: int, algorithm: str, null: Null, step: int = 64) -> tuple[float, np.ndarray]:
-    """The score of o and how much each column's removal lowers it."""
-    base, out = float(null.score(matrix_chi2(o), algorithm)), []
-    squares, tc, ct = o**2, o.sum(axis=0), o.sum(axis=1)
-    rows = np.arange(len(x))[:, None]
-    for a in range(0, x.shape[1], step):
-        part = x[:, a : a + step]
-        here = part >= 0
-        gone = np.stack([(part == c).sum(axis=0) for c in range(n)])
-        tcj, ctj = tc[:, None] - gone, ct[:, None] - here
-        rate = tcj.sum(axis=0) / np.where(tcj > 0, tcj, 1)
-        own = o[rows, np.maximum(part, 0)]
-        weight = rate[np.maximum(part, 0), np.arange(part.shape[1])]
-        chi2 = (squares @ rate + here * (1 - 2 * own) * weight) / np.where(ctj > 0, ctj, 1) - ctj
-        for j in np.flatnonzero((tcj <= 0).any(axis=0) | (ctj <= 0).any(axis=0)):
-            less = o.copy()
-            t = np.flatnonzero(here[:, j])
-            less[t, part[t, j]] -= 1
-            with np.errstate(invalid="ignore"):
-                chi2[:, j] = matrix_chi2(less)
-        out.append(base - null.score(chi2.T, algorithm))
-    return base, np.concatenate(out)
-
-
-def robust(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    scale = np.median(np.abs(pool - np.median(pool))) / nulls.MAD_SCALE
-    d = x - pool.mean()
-    return d / scale if scale else np.where(d == 0, 0.0, np.sign(d) * np.inf)
-
-
-def corrected(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    ge = pool.size - np.searchsorted(np.sort(pool), x, side="left")
-    return np.clip(ge / pool.size * x.size, 0, 1)
-
-
-def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1) -> dict:
-    """Take out the columns that cause bias, in batches, until none is justified.
-
-    Returns log rows, scores before and after, the columns that stay, the reason to stop, and the null.
-    """
-    if algorithm not in ALGORITHMS:
-        raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
-    first = null = Null(x, n, permutations, algorithm, delta_null)
-    alive, batch, log = np.arange(x.shape[1]), [], []
-    fine, level = max(1, top_n // 10), 0.95 if delta_null else nulls.SIGNIFICANT
-    turn, done, used, last_size, calm, reason = 0, 0, 0, None, False, None
-    chi2 = before = matrix_chi2(bump(matrix_counts(x, n)))
-
-    def record(total: float, biased: int) -> None:
-        for col, score, delta, p in batch:
-            log.append((turn, col, total, score, delta, biased, p))
-
-    def roll_back() -> bool:
-        nonlocal alive, batch, calm, top_n, done
-        if calm or top_n <= fine or not batch:
-            return False
-        back = {b[0] for b in batch}
-        log[:] = [r for r in log if r[1] not in back]
-        alive = np.array(sorted({*alive.tolist(), *back}))
-        done, batch, calm, top_n = done - len(back), [], True, fine
-        return True
-
-    def renew() -> bool:
-        nonlocal null, used, last_size, batch
-        if turn == 0 or len(alive) == last_size or (recomputes is not None and used >= recomputes):
-            return False
-        null = Null(x[:, alive], n, permutations, algorithm, delta_null)
-        used, last_size, batch = used + 1, len(alive), []
-        return True
-
-    while done + len(batch) < most and len(alive):
-        o = bump(matrix_counts(x[:, alive], n))
-        chi2 = matrix_chi2(o)
-        total, biased = float(chi2.sum()), int((chi2 > null.tau).sum())
-        p = null.p_of(total)
-        record(total, biased)
-        done += len(batch)
-        if p > level:
-            rolled = roll_back()
-            if renew() or rolled:
-                continue
-            reason = NOT_BIASED
-            batch = []
-            break
-        score, d = deltas(x[:, alive], o, n, algorithm, null)
-        order = sorted(range(len(d)), key=lambda j: (-round(d[j], 9), j))[:top_n]
-        chosen = []
-        for j in order:
-            q = None if null.max_delta is None else float((null.max_delta >= d[j]).mean())
-            if q is not None and q > nulls.SIGNIFICANT:
-                break
-            chosen.append((int(alive[j]), score, float(d[j]), q))
-        if not chosen:
-            if renew():
-                continue
-            reason = NOT_SIGNIFICANT.format(p=(null.max_delta >= d[order[0]]).mean(), delta=d[order[0]])
-            batch = []
-            break
-        if len(chosen) < len(order):
-            rolled = roll_back()
-            if renew() or rolled:
-                continue
-        batch = chosen
-        gone = {b[0] for b in batch}
-        alive = alive[~np.isin(alive, list(gone))]
-        turn += 1
-    else:
-        if batch:
-            chi2 = matrix_chi2(bump(matrix_counts(x[:, alive], n))) if len(alive) else chi2
-            record(float(chi2.sum()), int((chi2 > null.tau).sum()))
-        reason = CAPPED.format(most) if len(alive) else "no columns left"
-    return {"log": log, "before": before, "after": chi2, "alive": alive, "reason": reason, "recomputes": used, "null": first, "last": null}
-
-
 def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1) -> DataFrame:
     """Prune every alignment of taxa (aln_id, taxon_idx, taxon_id, seq); rows of kind log, score, sequence
     and summary, and the vectors before_real, after_real, before_permuted (a row a permutation) and null_max_deltas."""
+    s = pruning.Settings(algorithm, max_residue_pruned, permutations, top_n, delta_null, recomputes)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
-
-    def one(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("taxon_idx")
-        seqs = [capital(s) for s in pdf["seq"]]
-        seen = {c for s in seqs for c in s} - set("N-?X.")
-        if not seen:
-            raise ValueError(f"{key[0]}: no state to tell the alphabet from")
-        alphabet = DNA if seen <= set(DNA) else PROTEIN
-        place = {c: i for i, c in enumerate(alphabet)}
-        x = np.array([[place.get(c, -1) for c in s] for s in seqs], np.int8)
-        got = prune_matrix(x, len(alphabet), algorithm, max_residue_pruned, permutations, top_n, delta_null, recomputes)
-        pool = got["null"].pool
-        bz, az, bp, ap = robust(got["before"], pool), robust(got["after"], pool), corrected(got["before"], pool), corrected(got["after"], pool)
-        rows = [{"kind": "log", "seq": i, "iteration": r[0], "original_index": r[1], "global_chi2": r[2], "initial_score": r[3], "delta": r[4], "significant_taxa": r[5], "null_p": r[6], "algorithm": algorithm} for i, r in enumerate(got["log"])]
-        for t, (name, s) in enumerate(zip(pdf["taxon_id"], seqs)):
-            rows.append({"kind": "score", "seq": t, "taxon_id": name, "before_z": bz[t], "before_p": bp[t], "after_z": az[t], "after_p": ap[t], "delta_z": az[t] - bz[t]})
-            rows.append({"kind": "sequence", "seq": t, "taxon_id": name, "text": "".join(s[j] for j in got["alive"])})
-        rows.append({"kind": "summary", "seq": 0, "text": got["reason"], "iteration": got["recomputes"], "significant_taxa": int((got["after"] > got["null"].tau).sum())})
-        vectors = [("before_real", got["before"]), ("after_real", got["after"])]
-        vectors += [("before_permuted", v) for v in got["null"].table]
-        vectors += [("null_max_deltas", got["last"].max_delta)] if delta_null else []
-        rows += [{"kind": kind, "seq": i, "values": np.asarray(v, float).tolist()} for i, (kind, v) in enumerate(vectors)]
-        columns = [c.split() for c in PRUNE_SCHEMA.split(", ")]
-        out = pd.DataFrame(rows).reindex(columns=[name for name, _ in columns])
-        out["aln_id"] = key[0]
-        for name, kind in columns:
-            if kind not in ("int", "long", "double"):  # a column without any value would be one of floats
-                out[name] = out[name].astype(object).where(out[name].notna(), None)
-        for c in ("iteration", "original_index", "significant_taxa"):
-            out[c] = out[c].astype("Int32")
-        return out
-
-    return taxa.select("aln_id", "taxon_idx", "taxon_id", "seq").groupBy("aln_id").applyInPandas(one, PRUNE_SCHEMA)
+    parts = []
+    for made, n in alphabets(taxa):
+        # The null's pool has permutations x taxa scores; small pools have fewer quantiles. MOST_QUANTILES groups at most.
+        k = F.least(F.lit(pruning.MOST_QUANTILES), F.col("total_taxa") * permutations)
+        for r in made.select(k.alias("k")).distinct().collect():
+            own = made.filter(k == r["k"])
+            parts.append(_rows(taxa.join(own.select("aln_id").distinct(), "aln_id", "left_semi"), pruning.prune_tiles(own, n, s, r["k"]), algorithm))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scores(got: pruning.Pruned) -> DataFrame:
+    """(aln_id, taxon_idx, before_z, before_p, after_z, after_p, delta_z), against the first null."""
+    by = ["aln_id", "taxon_idx"]
+    sides = []
+    for name, chi2 in (("before", got.before), ("after", got.after)):
+        both = nulls.empirical_p_taxon(chi2, got.null).join(nulls.robust_z(chi2, got.null), by)
+        sides.append(both.select(*by, F.col("z").alias(f"{name}_z"), F.col("p").alias(f"{name}_p")))
+    return sides[0].join(sides[1], by).withColumn("delta_z", F.col("after_z") - F.col("before_z"))
+
+
+def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str) -> DataFrame:
+    """A prune's results as rows of PRUNE_SCHEMA."""
+    from pyspark.sql import Window
+
+    columns = [c.split() for c in PRUNE_SCHEMA.split(", ")]
+
+    def shaped(df: DataFrame, kind: str) -> DataFrame:
+        df = df.withColumn("kind", F.lit(kind))
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
+
+    # A parameter bounds an alignment's log (cap and batch), its control row and its permutations.
+    at = F.row_number().over(Window.partitionBy("aln_id").orderBy("version", "rank")) - 1
+    log = got.log.select("aln_id", at.alias("seq"), F.col("turn").alias("iteration"), F.col("col_idx").alias("original_index"), "global_chi2", F.col("score").alias("initial_score"), "delta", F.col("biased").alias("significant_taxa"), F.col("p").alias("null_p"), F.lit(algorithm).alias("algorithm"))
+    names = taxa.select("aln_id", "taxon_idx", "taxon_id")
+    score = scores(got).join(names, ["aln_id", "taxon_idx"]).withColumn("seq", F.col("taxon_idx"))
+    gone = got.removed.groupBy("aln_id").agg(F.collect_set("col_idx").alias("gone"))
+    kept = F.filter(F.split("seq", ""), lambda c, i: ~F.array_contains("gone", i))
+    sequence = taxa.join(gone, "aln_id", "left").select("aln_id", F.col("taxon_idx").alias("seq_"), "taxon_id", F.when(F.col("gone").isNull(), F.col("seq")).otherwise(F.array_join(kept, "")).alias("text")).withColumnRenamed("seq_", "seq")
+    tau = nulls.threshold(got.before, got.null)
+    left = got.after.join(tau, "aln_id").groupBy("aln_id").agg(F.count_if(F.col("chi2") > F.col("tau")).alias("significant_taxa"))
+    end = got.ends.join(left, "aln_id").select("aln_id", F.lit(0).alias("seq"), F.col("reason").alias("text"), F.col("used").alias("iteration"), "significant_taxa")
+    vector = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c])
+    out = [shaped(log, "log"), shaped(score, "score"), shaped(sequence, "sequence"), shaped(end, "summary")]
+    for kind, chi2 in (("before_real", got.before), ("after_real", got.after)):
+        out.append(shaped(chi2.withColumn("at", F.col("taxon_idx")).groupBy("aln_id").agg(vector("chi2").alias("values")).withColumn("seq", F.lit(0)), kind))
+    out.append(shaped(got.null.withColumn("at", F.col("taxon_idx")).groupBy("aln_id", "perm").agg(vector("chi2").alias("values")).withColumn("seq", F.col("perm")), "before_permuted"))
+    deep = got.sums.filter("max_delta IS NOT NULL").withColumn("at", F.col("perm")).groupBy("aln_id").agg(vector("max_delta").alias("values")).withColumn("seq", F.lit(0))
+    return reduce(DataFrame.unionByName, [*out, shaped(deep, "null_max_deltas")])

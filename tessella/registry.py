@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.alphabet import DNA, PROTEIN, detect
 from .operators import composition as comp
+from .functions import keyed
 from .operators import delta, null
-from .plans import analyses
+from .operators import tiles as tile
+from .plans import analyses, pruning
 from .sources import report
 from .sources import tables as src
 
@@ -55,8 +59,14 @@ def _count(cells: str, key: str = "0") -> str:
 
 
 def _permuted(name: str = "perm", n: int = P, seed: int = null.SEED) -> str:
+    """Every cell sent to another taxon by its permutation's key; what falls beyond the last taxon is sent on."""
+    key = keyed.sql_nested(keyed.sql_key(f"p + {seed}", "j"), f"(SELECT j, unnest(range(0, {n})) AS p FROM (SELECT DISTINCT j FROM cells))")
+    begin = keyed.sql_nested(keyed.sql_step("t", "n"), f"(SELECT p, j, c, k, n, t FROM cells JOIN {name}k USING (j), (SELECT count(*) AS n FROM taxa))")
+    on = keyed.sql_nested(keyed.sql_step("x", "n"), f"(SELECT * FROM {name}w WHERE x >= n)")
     return f"""
-, {name} AS (SELECT p, j, row_number() OVER (PARTITION BY p, j ORDER BY md5(concat_ws(':', p + {seed}, j, t)), t) - 1 AS t, c FROM cells, (SELECT unnest(range(0, {n})) AS p))"""
+, {name}k AS MATERIALIZED (SELECT p, j, k FROM {key})
+, {name}w(p, j, c, k, n, x) AS (SELECT p, j, c, k, n, y FROM {begin} UNION ALL SELECT p, j, c, k, n, y FROM {on})
+, {name} AS MATERIALIZED (SELECT p, j, x AS t, c FROM {name}w WHERE x < n)"""
 
 
 def _counted(cells: str, x: str, scores: str) -> str:
@@ -81,7 +91,7 @@ _SCORE = """
 
 
 def _sql(base: str, *steps: str, end: str) -> str:
-    return "WITH " + base + _CELLS + "".join(steps) + "\n" + end
+    return "WITH RECURSIVE " + base + _CELLS + "".join(steps) + "\n" + end
 
 
 def _counts(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int]:
@@ -101,6 +111,11 @@ def _cells(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int
     return src.cells(letters(spark, sf_dir), alphabet), len(alphabet)
 
 
+def _tiles(spark: SparkSession, sf_dir: str, which: str) -> tuple[DataFrame, int]:
+    cells, n = _cells(spark, sf_dir, which)
+    return tile.tiles(cells, n), n
+
+
 def register(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -173,12 +188,12 @@ def chi2_quantiles(spark, sf_dir):
 
 @register("permuted_cells", _sql(_EVENTS, _permuted(n=2), end="SELECT p AS perm, t AS taxon_idx, j AS col_idx, c AS code FROM perm"))
 def permuted_cells(spark, sf_dir):
-    return null.permuted(_cells(spark, sf_dir, "events")[0], 2).select("perm", "taxon_idx", "col_idx", "code")
+    return null.permuted(_tiles(spark, sf_dir, "events")[0], 2).select("perm", "taxon_idx", "col_idx", "code")
 
 
 def _both(spark, sf_dir, which):
-    cells, n = _cells(spark, sf_dir, which)
-    return comp.row_chi2(cells, n), null.null_chi2(cells, n, P)
+    made, n = _tiles(spark, sf_dir, which)
+    return comp.chi2_of(tile.margins(made, n), n), null.null_chi2(made, n, P)
 
 
 for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM), ("benchmark", _BENCH)):
@@ -258,35 +273,32 @@ for _which, _base in (("events", _EVENTS), ("lineitem", _LINEITEM), ("benchmark"
 
         @register(f"delta_{_scorer}_{_which}", _sql(_base, _count("cells"), _LOO, end=f"SELECT j AS col_idx, round((SELECT sum({_x}) FROM chi) - sum({_x}), {6 if _scorer == 'squared' else 3}) + 0.0 AS delta FROM lchi GROUP BY j"))
         def _delta(spark, sf_dir, which=_which, scorer=_scorer):
-            return delta.site_deltas(*_cells(spark, sf_dir, which), scorer).select("col_idx", _r("delta", digits=6 if scorer == "squared" else 3))
+            return delta.site_deltas(*_tiles(spark, sf_dir, which), scorer).select("col_idx", _r("delta", digits=6 if scorer == "squared" else 3))
 
 
 for _scorer, _obs, _target in (("wasserstein", "(chi2 - m) / scale", "zq"), ("wasserstein_raw", "chi2", "rq")):
 
     @register(f"delta_{_scorer}", _sql(_EVENTS, _count("cells"), _null(), _SCORE, _REF, _LOO, f", lq AS (SELECT j, quantile_cont({_obs}, [{_PS}]) AS q FROM lchi, s, mad GROUP BY j), bq AS (SELECT quantile_cont({_obs}, [{_PS}]) AS q0 FROM chi, s, mad)", end=f"SELECT j AS col_idx, round({_w('q0', _target)} - {_w('q', _target)}, 6) + 0.0 AS delta FROM lq, bq, nq, cq"))
     def _wdelta(spark, sf_dir, scorer=_scorer):
-        cells, n = _cells(spark, sf_dir, "events")
-        nul = null.null_chi2(cells, n, P)
+        made, n = _tiles(spark, sf_dir, "events")
+        nul = null.null_chi2(made, n, P)
         ref = null.reference(nul, K)
         if scorer == "wasserstein_raw":
             ref = ref.drop("q").join(comp.quantiles(nul, K), "aln_id")
-        return delta.site_deltas(cells, n, scorer, ref, K).select("col_idx", _r("delta"))
+        return delta.site_deltas(made, n, scorer, ref, K).select("col_idx", _r("delta"))
 
 
-#: A matrix in which taking out some site leaves a state without any count.
-_BARE = ["CAG", "CAT", "CAG", "CAG"]
+#: Every supplier's lines as A, C and G after a mark T, so that taking out the first site leaves the state T without any count.
+_MARKED = _padded("""
+  SELECT l_suppkey AS taxon_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_returnflag, l_linestatus) AS col_idx,
+    CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' WHEN 'R' THEN 'G' ELSE '-' END AS r FROM lineitem
+  UNION ALL SELECT DISTINCT l_suppkey, 0, 'T' FROM lineitem""", DNA)
 
 
-def _literal(rows: list[str]) -> str:
-    values = ", ".join(f"({t}, {j}, '{x}')" for t, s in enumerate(rows) for j, x in enumerate(s))
-    return f"letters(taxon_id, col_idx, r) AS (VALUES {values}), alpha AS (SELECT '{DNA}' AS a)"
-
-
-@register("delta_degenerate", _sql(_literal(_BARE), _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT sum(chi2) FROM chi) - sum(chi2), 6) + 0.0 AS delta FROM lchi GROUP BY j"))
+@register("delta_degenerate", _sql(_MARKED, _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT sum(chi2) FROM chi) - sum(chi2), 6) + 0.0 AS delta FROM lchi GROUP BY j"))
 def delta_degenerate(spark, sf_dir):
-    rows = [("bare", t, j, x) for t, s in enumerate(_BARE) for j, x in enumerate(s)]
-    letters = spark.createDataFrame(rows, "aln_id string, taxon_id int, col_idx int, residue string")
-    return delta.site_deltas(src.cells(letters, DNA), 4).select("col_idx", _r("delta"))
+    made = tile.tiles(src.cells(src.marked_letters(spark, sf_dir), DNA), len(DNA))
+    return delta.site_deltas(made, len(DNA)).select("col_idx", _r("delta"))
 
 
 #: The delta null has permutations of its own, whose seeds go on from the main null's last one.
@@ -295,15 +307,15 @@ _PDELTA = _LOO.replace("SELECT DISTINCT j FROM cells", "SELECT DISTINCT p, j FRO
 _NULLMAX = _DNULL + _PDELTA + ", ld AS (SELECT p, j, sum(chi2) AS w FROM lchi GROUP BY p, j), nb AS (SELECT p, sum(chi2) AS base FROM dnul GROUP BY p), nm AS (SELECT p, max(base - w) AS mx FROM ld JOIN nb USING (p) GROUP BY p)"
 
 
-def _null_deltas(cells, n):
-    return delta.delta_null(null.permuted(cells, P, null.SEED + P), n)
+def _null_deltas(made, n):
+    return delta.delta_null(made, n, P, null.SEED + P)
 
 
 for _which, _base in (("events", _EVENTS), ("benchmark", _BENCH)):
 
     @register(f"delta_null_max_{_which}", _sql(_base, _NULLMAX, end="SELECT p AS perm, round(mx, 6) AS max_delta FROM nm"))
     def _nullmax(spark, sf_dir, which=_which):
-        return _null_deltas(*_cells(spark, sf_dir, which)).select("perm", _r("max_delta"))
+        return _null_deltas(*_tiles(spark, sf_dir, which)).select("perm", _r("max_delta"))
 
 
 _TOPS = _LOO + f", d AS (SELECT j, (SELECT sum(chi2) FROM chi) - sum(chi2) AS delta FROM lchi GROUP BY j), top AS (SELECT j, delta, row_number() OVER (ORDER BY round(delta, 9) DESC, j) AS rk FROM d QUALIFY rk <= {TOP})"
@@ -313,7 +325,7 @@ for _which, _base in (("events", _EVENTS), ("benchmark", _BENCH)):
 
     @register(f"topk_sites_{_which}", _sql(_base, _count("cells"), _TOPS, end="SELECT j AS col_idx, round(delta, 6) AS delta FROM top"))
     def _top(spark, sf_dir, which=_which):
-        return delta.top_sites(delta.site_deltas(*_cells(spark, sf_dir, which)), TOP).select("col_idx", _r("delta"))
+        return delta.top_sites(delta.site_deltas(*_tiles(spark, sf_dir, which)), TOP).select("col_idx", _r("delta"))
 
 
 _TOPS2 = _TOPS.replace(" lo AS", " l2o AS").replace("FROM lo)", "FROM l2o)").replace(" le AS", " l2e AS").replace("FROM le)", "FROM l2e)").replace(" lf AS", " l2f AS").replace("FROM lf GROUP", "FROM l2f GROUP").replace("lchi", "l2chi")
@@ -326,8 +338,8 @@ _WALK = _NULLMAX + _TOPS2 + """
 
 @register("delta_null_walk", _sql(_BENCH, _count("cells"), _null(), _WALK, end="SELECT rk AS rank, j AS col_idx, round(delta, 6) + 0.0 AS delta, round(p, 6) AS p FROM walk"))
 def delta_null_walk(spark, sf_dir):
-    cells, n = _cells(spark, sf_dir, "benchmark")
-    got = delta.justified(delta.top_sites(delta.site_deltas(cells, n), TOP), _null_deltas(cells, n))
+    made, n = _tiles(spark, sf_dir, "benchmark")
+    got = delta.justified(delta.top_sites(delta.site_deltas(made, n), TOP), _null_deltas(made, n))
     return got.select("rank", "col_idx", _r("delta"), _r("p"))
 
 
@@ -339,7 +351,7 @@ _BATCH = _WALK + ", kept AS (SELECT * FROM cells WHERE j NOT IN (SELECT j FROM w
 
 @register("prune_one_batch", _sql(_BENCH, _count("cells"), _null(), _SCORE, _BATCH, end="SELECT walk.j AS original_index, round(fin.total, 6) AS global_chi2, round((SELECT sum(chi2) FROM chi), 6) AS initial_score, round(delta, 6) + 0.0 AS delta, fin.n AS significant_taxa, round(walk.p, 6) AS null_p FROM walk, fin, ps WHERE ps.p <= 0.95"))
 def prune_one_batch(spark, sf_dir):
-    got = analyses.one_batch(*_cells(spark, sf_dir, "benchmark"), TOP, P)
+    got = analyses.one_batch(*_tiles(spark, sf_dir, "benchmark"), TOP, P)
     return got.select(F.col("col_idx").alias("original_index"), _r("global_chi2"), _r("initial_score"), _r("delta"), "significant_taxa", _r("p", "null_p"))
 
 
@@ -362,6 +374,53 @@ def fasta_lines(spark, sf_dir):
     return report.fasta(report.sequences(letters)).select("taxon_id", "fasta")
 
 
+def _at(sql: str, i: int) -> str:
+    """Steps of a count and of leave-one-out scores, for the cells that are left after i batches."""
+    return re.sub(r"\b(cells|raw|o|e|chi|lo|le|lf|lchi)\b", rf"\g<1>_{i}", sql)
+
+
+def _loop(batches: int) -> str:
+    """The squared pruning by one site a batch, with a delta null that is never renewed, turn after turn."""
+    steps = ", tot AS (SELECT p, sum(chi2) AS total FROM nul GROUP BY p), cells_0 AS (SELECT * FROM cells)"
+    for i in range(batches + 1):
+        if i:
+            steps += f"\n, cells_{i} AS MATERIALIZED (SELECT * FROM cells_{i - 1} WHERE j NOT IN (SELECT j FROM take_{i - 1}))"
+        steps += _at(_count("cells"), i)
+        if i < batches:
+            before = f" AND EXISTS (SELECT 1 FROM take_{i - 1})" if i else ""
+            steps += _at(_LOO, i) + f"""
+, best_{i} AS (SELECT j, s, s - w AS delta FROM (SELECT j, sum(chi2) AS w FROM lchi_{i} GROUP BY j), (SELECT sum(chi2) AS s FROM chi_{i}) ORDER BY round(s - w, 9) DESC, j LIMIT 1)
+, take_{i} AS MATERIALIZED (SELECT j, s, delta, p FROM (SELECT *, (SELECT avg(CASE WHEN mx >= delta THEN 1.0 ELSE 0.0 END) FROM nm) AS p, (SELECT avg(CASE WHEN total >= s THEN 1.0 ELSE 0.0 END) FROM tot) AS pa FROM best_{i}) WHERE pa <= 0.95 AND p <= 0.05{before})"""
+    return steps
+
+
+_CAP = 4
+_ROUNDED = "round(global_chi2, 6) AS global_chi2, round(s, 6) AS initial_score, round(delta, 6) + 0.0 AS delta, significant_taxa, round(p, 6) AS null_p"
+_TURNS = " UNION ALL ".join(f"SELECT {i + 1} AS iteration, j AS original_index, (SELECT sum(chi2) FROM chi_{i + 1}) AS global_chi2, s, delta, (SELECT count(*) FROM chi_{i + 1}, tau WHERE chi2 > tau) AS significant_taxa, p FROM take_{i}" for i in range(_CAP))
+
+
+@register("prune_loop_benchmark", _sql(_BENCH, _count("cells"), _null(), _SCORE, _NULLMAX, _loop(_CAP), end=f"SELECT iteration, original_index, {_ROUNDED} FROM ({_TURNS})"))
+def prune_loop_benchmark(spark, sf_dir):
+    got = pruning.prune_tiles(*_tiles(spark, sf_dir, "benchmark"), pruning.Settings("squared", _CAP, P, 1, True, 0))
+    return got.log.select(F.col("turn").alias("iteration"), F.col("col_idx").alias("original_index"), _r("global_chi2"), _r("score", "initial_score"), _r("delta"), F.col("biased").alias("significant_taxa"), _r("p", "null_p"))
+
+
+#: Batches of sites that are taken out one after another; the last is undone.
+_BATCHES = [[0, 7, 13], [1, 2, 3, 30], [5]]
+
+
+@register("margins_by_batch", _sql(_EVENTS, ", gone(v, j) AS (VALUES " + ", ".join(f"({v}, {j})" for v, js in enumerate(_BATCHES, 1) for j in js) + f"), vs AS (SELECT unnest(range(0, {len(_BATCHES) + 2})) AS v)", end=f"SELECT v AS version, t AS taxon_idx, s.c AS code, count(x.j) AS n FROM vs CROSS JOIN taxa CROSS JOIN states s LEFT JOIN (SELECT v, t, c, j FROM cells, vs WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.j = cells.j AND gone.v <= CASE vs.v WHEN {len(_BATCHES) + 1} THEN vs.v - 2 ELSE vs.v END)) x USING (v, t, c) GROUP BY ALL"))
+def margins_by_batch(spark, sf_dir):
+    made, n = _tiles(spark, sf_dir, "events")
+    versions = [tile.margins(made, n)]
+    for batch in _BATCHES:
+        gone = spark.createDataFrame([("events", j) for j in batch], "aln_id string, col_idx int")
+        versions.append(pruning.less(versions[-1], tile.margins(tile.only(made, gone), n)))
+    versions.append(versions[-2])
+    out = [v.select(F.lit(i).alias("version"), "taxon_idx", F.posexplode("o").alias("code", "n")) for i, v in enumerate(versions)]
+    return pruning.union(out)
+
+
 def _pruned(spark, sf_dir):
     """The benchmark alignment pruned by the default algorithm with the default permutations and cap, in batches of ten."""
     letters = _LETTERS["benchmark"][0](spark, sf_dir)

@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_SENT: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let the executors import this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SENT:
+        _SENT.add(sc.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        sc.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tessella-")) / "tessella"), "zip", package.parent, package.name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the context's own; a single machine without either gets one, a cluster raises."""
     sc = spark.sparkContext
@@ -25,7 +40,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df from a Parquet table in the shared folder: computed once, with short plans behind it, safe when executors go."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._place = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._place)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(ids: DataFrame, group: str, key: str, name: str) -> DataFrame:

@@ -52,6 +52,16 @@ def lineitem_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pad(at.select(F.lit("lineitem").alias("aln_id"), F.col("l_suppkey").alias("taxon_id"), (F.col("i") - 1).alias("col_idx"), _letter(F.concat("l_returnflag", "l_linestatus"), FLAGS).alias("residue")))
 
 
+def marked_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's lines by their return flag, after a mark of its own: a state that one site alone has."""
+    cols = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus"]
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*cols)
+    at = li.withColumn("col_idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*cols[1:])))
+    lines = at.select("l_suppkey", "col_idx", _letter(F.col("l_returnflag"), {"A": "A", "N": "C", "R": "G"}).alias("residue"))
+    both = lines.union(li.select("l_suppkey", F.lit(0), F.lit("T")).distinct())
+    return pad(both.select(F.lit("marked").alias("aln_id"), F.col("l_suppkey").alias("taxon_id"), "col_idx", "residue"))
+
+
 def _letter(value: Column, letters: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])[value], F.lit("-"))
 

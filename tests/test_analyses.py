@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import composition as comp
-from tessella.plans import analyses as an
+from tessella.operators import tiles as tile
+from tessella.plans import analyses
 from tessella.sources import files, report
 
+from . import brute as an
+
 
 def naive(x, n, score):
     o = an.bump(an.matrix_counts(x, n))
@@ -29,20 +32,6 @@ def matrix():
     return x
 
 
-@pytest.mark.parametrize("algorithm", an.ALGORITHMS)
-def test_deltas_equal_recount(matrix, algorithm):
-    null = an.Null(matrix, 4, 20, algorithm, False)
-    base, d = an.deltas(matrix, an.bump(an.matrix_counts(matrix, 4)), 4, algorithm, null)
-    assert np.allclose(d, naive(matrix, 4, lambda c: float(null.score(c, algorithm))), atol=1e-9)
-
-
-def test_degenerate_column_takes_direct_formula():
-    x = np.array([[1, 0, 2], [1, 0, 3], [1, 0, 2], [1, 0, 2]], np.int8)
-    o = an.matrix_counts(x, 4)
-    null = an.Null(x, 4, 2, "squared", False)
-    assert np.isfinite(an.deltas(x, o, 4, "squared", null)[1]).all()
-
-
 def test_biased_taxon_is_found_and_pruned(matrix):
     chi2 = an.matrix_chi2(an.matrix_counts(matrix, 4))
     assert chi2.argmax() == 0
@@ -132,21 +121,7 @@ def test_taxon_twice_in_a_block_raises(parse, head):
 def test_alignment_without_any_state_raises(spark):
     taxa = spark.createDataFrame([("a", 0, "x", "----"), ("a", 1, "y", "NNNN")], files.SCHEMA)
     with pytest.raises(ValueError, match="no state"):
-        an.composition_test(taxa, 3)
-
-
-def test_delta_null_has_permutations_of_its_own(spark):
-    from tessella.operators import delta, null
-
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 4, (6, 9))
-    cells = spark.createDataFrame([("a", t, j, int(x[t, j])) for t in range(6) for j in range(9)], "aln_id string, taxon_idx int, col_idx int, code int")
-    both = [{(r.perm, r.col_idx, r.taxon_idx): r.code for r in null.permuted(cells, 3, s).collect()} for s in (null.SEED, null.SEED + 3)]
-    assert both[0] != both[1]
-    got = {r.perm: r.max_delta for r in delta.delta_null(null.permuted(cells, 3, null.SEED + 3), 4).collect()}
-    for p, most in got.items():
-        y = np.array([[both[1][p, j, t] for j in range(9)] for t in range(6)])
-        assert np.isclose(most, naive(y, 4, lambda c: float(c.sum())).max())
+        analyses.composition_test(taxa, 3)
 
 
 def test_rollback_and_renewal():
@@ -209,7 +184,7 @@ def test_cli_writes_reports(spark, tmp_path):
 
 def test_prune_without_any_removal(spark):
     taxa = spark.createDataFrame([("a", i, f"t{i}", "ACGT" * 10) for i in range(4)] + [("b", i, f"t{i}", "ACGTTGCA"[i:] + "ACGTTGCA"[:i]) for i in range(4)], files.SCHEMA)
-    got = an.prune(taxa, "squared", 5, 10).collect()
+    got = analyses.prune(taxa, "squared", 5, 10).collect()
     assert not [r for r in got if r["kind"] == "log"] and len([r for r in got if r["kind"] == "sequence"]) == 8
 
 
@@ -219,7 +194,7 @@ def test_one_batch_of_a_biased_alignment(spark):
     x = rng.integers(0, 20, (8, 40))
     x[0] = np.where(rng.random(40) < 0.8, rng.integers(0, 3, 40), x[0])
     cells = spark.createDataFrame([("a", t, j, int(x[t, j])) for t in range(8) for j in range(40)], "aln_id string, taxon_idx int, col_idx int, code int")
-    got = sorted(an.one_batch(cells, 20, 6, 20).collect(), key=lambda r: r["rank"])
+    got = sorted(analyses.one_batch(tile.tiles(cells, 20), 20, 6, 20).collect(), key=lambda r: r["rank"])
     d = naive(x, 20, lambda c: float(c.sum()))
     order = sorted(range(40), key=lambda j: (-round(d[j], 9), j))[:6]
     assert got and [r["col_idx"] for r in got] == order[: len(got)]
