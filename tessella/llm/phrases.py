@@ -6,10 +6,11 @@ doubling in numpy, up to the longest phrase; the intervals of suffixes that shar
 with their counts. Shards are written to the shared folder once and read by each level.
 
 Only phrases whose parts are all frequent can be frequent, so levels go up: words, pairs, then phrases of three and more.
-The first two levels count 64-bit hashes, which may only overstate a count, and set the frequent ones' bits in a filter; with
-it the last level emits words, pairs and longer phrases as text, whose counts are merged by language and phrase and are
-exact. A filter has 16 bits a frequent key and FILTER bits at most; when frequent keys outgrow that, it lets more through,
-and the counts stay the same.
+Each level counts hashes, which may only overstate a count, and sets the frequent ones' bits in a filter. A shard sends its
+hashes as arrays, dealt by their first bits to so many buckets that each holds about as much at any size of the corpus; four
+bytes and a count go for each hash. At last words and phrases that all filters pass are sent as text, whose counts are
+merged by language and phrase and are exact. A filter has 16 bits a frequent key and FILTER bits at most; when frequent keys
+outgrow that, it lets more through, and the counts stay the same.
 
 Defined results: a null text counts as empty, a null lang is `und`. Repeated rows count as often as they occur. Other columns
 are ignored. An empty table gives an empty result. A text is split between pieces when it is longer than a shard; one piece
@@ -35,6 +36,9 @@ MOST_WORDS, LEAST, TOP, INSIDE = 4, 30, 2000, (80, 100)
 UNKNOWN = "und"
 #: Words of a shard, about; bits of a filter at most (16 MB).
 SHARD, FILTER = 1 << 20, 1 << 27
+#: First bits of a hash that tell its place in a filter.
+PLACE = 36
+DEALT = "bucket int, keys binary, counts binary"
 #: Odd multipliers that mix hashes.
 MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
@@ -151,19 +155,40 @@ def phrases(ids: np.ndarray, order: np.ndarray, shared: np.ndarray, m: int) -> t
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of pairs from hashes of words."""
     x = a * MIX + b
-    return (x ^ (x >> np.uint64(29))) * STIR
+    x = (x ^ (x >> np.uint64(29))) * STIR
+    return x ^ (x >> np.uint64(32))
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(17)) % np.uint64(8 * len(bits))
+    at = (hashes >> np.uint64(64 - PLACE)) % np.uint64(8 * len(bits))
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def frequent(counted: DataFrame, least: int) -> np.ndarray:
-    """A filter of the hashes whose counts (hash, n) come to `least`; the driver gets its set words, FILTER / 64 at most."""
-    often = table(counted.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash"), "phrase-often")
+def dealt(hashes: np.ndarray, n: np.ndarray, deal: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, counts) of distinct hashes: buckets by the first `deal` bits, keys the next 32. Counts of 255 and more
+    are sent as 255 where that is frequent already."""
+    kind = np.uint8 if least <= 255 else np.uint32
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], np.minimum(n[order], np.iinfo(kind).max).astype(kind)
+    buckets, first = np.unique(hashes >> np.uint64(64 - deal), return_index=True)
+    keys, ends = ((hashes >> np.uint64(32 - deal)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), [*first[1:], len(hashes)]
+    parts = [(keys[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first, ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def frequent(sent: DataFrame, deal: int, least: int) -> np.ndarray:
+    """A filter of the hashes whose counts come to `least`; the driver gets its words that are not 0, FILTER / 64 at most."""
+
+    def add(key, table):
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32)
+        n = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8 if least <= 255 else np.uint32)
+        each, at = np.unique(keys, return_inverse=True)
+        often = each[np.bincount(at, n) >= least].astype(np.int64) | key[0].as_py() << 32
+        return pa.table([pa.array(often >> (deal + 32 - PLACE))], ["place"])
+
+    often = table(sent.groupBy("bucket").applyInArrow(add, "place long"), "phrase-often")
     size = min(FILTER, max(1 << 12, 1 << (16 * often.count()).bit_length()))
-    place = F.pmod(F.shiftrightunsigned("hash", 17), F.lit(size)).cast("long")
+    place = F.pmod(F.col("place"), F.lit(size)).cast("long")
     got = often.select(place.alias("p")).groupBy(F.expr("p div 64").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("word")).toArrow()
     out = np.zeros(size // 64, np.uint64)
     out[got["slot"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
@@ -186,45 +211,80 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {n: c[0].as_py() if pa.types.is_binary(c.type) else c[0].values if n in ("langs", "words") else c[0].values.to_numpy() for n, c in zip(b.schema.names, b.columns)}
 
 
-def pairs(made: DataFrame, words: np.ndarray) -> DataFrame:
-    """(hash, n): pairs of frequent words in each shard."""
-    sent = made.sparkSession.sparkContext.broadcast(words)  # FILTER bits at most
+def singles(made: DataFrame, deal: int, least: int) -> DataFrame:
+    """The words of each shard, dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, hashes = masked(row, sent.value)
-            at, n = phrases(ids, *suffixes(ids, 2), 2)
-            got = mixed(hashes[ids[at]], hashes[ids[at + 1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n.astype(np.int64))], ["hash", "n"])
+            hashes, at = np.unique(row["hashes"].view(np.uint64), return_inverse=True)
+            yield from dealt(hashes, np.bincount(at, row["counts"]).astype(np.int64), deal, least)
 
-    return made.select("hashes", "ids").mapInArrow(run, "hash long, n long")
+    return made.select("hashes", "counts").mapInArrow(run, DEALT)
 
 
-def grams(made: DataFrame, words: np.ndarray, twos: np.ndarray, most: int) -> DataFrame:
-    """(lang, phrase, n) of each shard: phrases of up to `most` words, all of whose words and pairs pass."""
-    sc = made.sparkSession.sparkContext
-    sent = sc.broadcast(words), sc.broadcast(twos)
-    depth = 1 << (most - 1).bit_length()
+def longer(made: DataFrame, filters: list[np.ndarray], most: int, deal: int, least: int) -> DataFrame:
+    """The phrases of each shard, dealt: with one filter (of words) pairs, with two (and of pairs) those of three words or
+    more, all of whose pairs pass."""
+    sent = made.sparkSession.sparkContext.broadcast(filters)  # FILTER bits each at most
+    lengths = [2] if len(filters) == 1 else [*range(3, most + 1)]
+    depth = 1 << (lengths[-1] - 1).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ids, hashes = masked(row, sent.value[0])
+            found, counts = [], []
+            for m, at, n in passing(ids, hashes, sent.value[1:], lengths, depth):
+                found.append(joined(hashes, ids, at, m))
+                counts.append(n)
+            each, at = np.unique(np.concatenate(found), return_inverse=True)
+            yield from dealt(each, np.bincount(at, np.concatenate(counts)).astype(np.int64), deal, least)
+
+    return made.select("hashes", "ids").mapInArrow(run, DEALT)
+
+
+def joined(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """The hash of the m words at each place."""
+    out = hashes[ids[at]]
+    for k in range(1, m):
+        out = mixed(out, hashes[ids[at + k]])
+    return out
+
+
+def passing(ids: np.ndarray, hashes: np.ndarray, filters: list[np.ndarray], lengths: list[int], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, counts) of phrases of some lengths whose pairs, and longer ones themselves, pass the filters there are."""
+    order, shared = suffixes(ids, depth)
+    pair = None
+    if filters and len(ids):
+        ends = np.append(ids[1:], 0)
+        pair = np.append(passes(filters[0], mixed(hashes[ids], hashes[ends])), np.zeros(max(lengths), bool))
+    for m in lengths:
+        at, n = phrases(ids, order, shared, m)
+        if pair is not None:
+            fine = np.ones(len(at), bool)
+            for k in range(m - 1):
+                fine &= pair[at + k]
+            at, n = at[fine], n[fine]
+        if m > 2 and len(filters) > 1:
+            fine = passes(filters[1], joined(hashes, ids, at, m))
+            at, n = at[fine], n[fine]
+        yield m, at, n
+
+
+def grams(made: DataFrame, filters: list[np.ndarray], most: int) -> DataFrame:
+    """(lang, phrase, n) of each shard: words, and phrases of up to `most` words, that pass the filters."""
+    sent = made.sparkSession.sparkContext.broadcast(filters)
+    depth, part = 1 << (most - 1).bit_length(), 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, hashes = masked(row, sent[0].value)
-            ends = np.append(ids[1:], 0) if len(ids) else ids
-            good = passes(sent[1].value, mixed(hashes[ids], hashes[ends])) & (ids > 0) & (ends > 0)
-            good = np.concatenate([good, np.zeros(most, bool)])
-            order, shared = suffixes(ids, depth)
+            ids, hashes = masked(row, sent.value[0])
             langs, texts, lang_of = row["langs"], row["words"], np.frombuffer(row["lang_of"], np.int32)
-            for m in range(1, most + 1):
-                at, n = phrases(ids, order, shared, m)
-                fine = np.ones(len(at), bool)
-                for k in range(m - 1):
-                    fine &= good[at + k]
-                at, n = at[fine], n[fine]
-                for a in range(0, len(at), 1 << 16):
-                    own = at[a : a + (1 << 16)]
-                    parts = [texts.take(pa.array(ids[own + k] - 1)) for k in range(m)]
-                    phrase = parts[0] if m == 1 else pc.binary_join_element_wise(*parts, " ")
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[own] - 1])), phrase, pa.array(n[a : a + (1 << 16)].astype(np.int64))], ["lang", "phrase", "n"])
+            for m, at, n in passing(ids, hashes, sent.value[1:], [*range(1, most + 1)], depth):
+                for a in range(0, len(at), part):
+                    own = at[a : a + part]
+                    words = [texts.take(pa.array(ids[own + k] - 1)) for k in range(m)]
+                    phrase = words[0] if m == 1 else pc.binary_join_element_wise(*words, " ")
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[own] - 1])), phrase, pa.array(n[a : a + part].astype(np.int64))], ["lang", "phrase", "n"])
 
     return made.select("langs", "words", "lang_of", "hashes", "ids").mapInArrow(run, "lang string, phrase string, n long")
 
@@ -264,9 +324,13 @@ def first_of(found: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, top: int = TOP, inside: tuple[int, int] = INSIDE, shard: int = SHARD) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of two to most_words words."""
     made = shards(docs, shard)
-    words = frequent(made.select(F.explode(F.arrays_zip("hashes", "counts")).alias("e")).select(F.col("e.hashes").alias("hash"), F.col("e.counts").alias("n")), least)
-    twos = frequent(pairs(made, words), least)
-    often = table(grams(made, words, twos, most_words).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrase-counts")
+    # 1,024 buckets, and for more than 24 shards a bucket more of them, so that a bucket stays near 24 shards' hashes.
+    deal = min(20, max(10, (made.count() // 24).bit_length()))
+    filters = [frequent(singles(made, deal, least), deal, least)]
+    filters.append(frequent(longer(made, filters, 2, deal, least), deal, least))
+    if most_words > 2:
+        filters.append(frequent(longer(made, filters, most_words, deal, least), deal, least))
+    often = table(grams(made, filters, most_words).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrase-counts")
     totals = table(made.select(F.explode(F.arrays_zip("langs", "totals")).alias("e")).select(F.col("e.langs").alias("lang"), F.col("e.totals").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     found = table(first_of(scored(often, inside), top), "phrase-found")
     discard(made, often)
