@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .ranks import at_positions, ranked
 
 KEYS = ("aln_id",)
 
@@ -63,9 +64,15 @@ def summary(chi2: DataFrame, keys=KEYS) -> DataFrame:
 
 def spread(values: DataFrame, column: str = "chi2", keys=KEYS) -> DataFrame:
     """(keys, mean, median, mad): type-7 median and median absolute deviation."""
-    mid = values.groupBy(*keys).agg(F.avg(column).alias("mean"), F.expr(f"percentile({column}, 0.5D)").alias("median"))
-    off = values.join(mid, list(keys)).withColumn("off", F.abs(F.col(column) - F.col("median")))
-    return off.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("median").alias("median"), F.expr("percentile(off, 0.5D)").alias("mad"))
+    return spread_of(ranked(values.select(*keys, column), keys, column), column, keys)
+
+
+def spread_of(ranks: DataFrame, column: str = "chi2", keys=KEYS) -> DataFrame:
+    """spread of values that are ranked."""
+    mid = written(ranks.groupBy(*keys).agg(F.avg(column).alias("mean")).join(at_positions(ranks, keys, column, [0.5]), list(keys)).select(*keys, "mean", F.col("q")[0].alias("median")), "medians")
+    off = ranks.select(*keys, column).join(mid, list(keys)).select(*keys, F.abs(F.col(column) - F.col("median")).alias("off"))
+    mad = at_positions(ranked(off, keys, "off"), keys, "off", [0.5])
+    return mid.join(mad, list(keys)).select(*keys, "mean", "median", F.col("q")[0].alias("mad"))
 
 
 def positions(k: int) -> list[float]:
@@ -74,8 +81,7 @@ def positions(k: int) -> list[float]:
 
 def quantiles(values: DataFrame, k: int, column: str = "chi2", keys=KEYS) -> DataFrame:
     """(keys, q): k inner type-7 quantiles at i / (k + 1)."""
-    at = ", ".join(f"{p!r}D" for p in positions(k))
-    return values.groupBy(*keys).agg(F.expr(f"percentile({column}, array({at}))").alias("q"))
+    return at_positions(ranked(values.select(*keys, column), keys, column), keys, column, positions(k))
 
 
 def wasserstein(observed: DataFrame, null_q: DataFrame, k: int, column: str = "chi2", keys=KEYS, null_keys=KEYS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from . import composition as comp
 from . import tiles as tile
+from .ranks import at_positions, ranked
 
 SEED, SIGNIFICANT = 12345, 0.05
 MAD_SCALE = 0.6745
@@ -32,15 +33,21 @@ def null_chi2(made: DataFrame, n_states: int, permutations: int, seed: int = SEE
 def summary(null: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(aln_id, perm, total, mx) and (aln_id, q75, q95)."""
     per = null.groupBy("aln_id", "perm").agg(F.sum("chi2").alias("total"), F.max("chi2").alias("mx"))
-    pooled = null.groupBy("aln_id").agg(F.expr("percentile(chi2, 0.75D)").alias("q75"), F.expr("percentile(chi2, 0.95D)").alias("q95"))
-    return per, pooled
+    pooled = at_positions(pool(null), ("aln_id",), "chi2", [0.75, 0.95])
+    return per, pooled.select("aln_id", F.col("q")[0].alias("q75"), F.col("q")[1].alias("q95"))
 
 
-def reference(null: DataFrame, k: int) -> DataFrame:
-    """(aln_id, z_mean, z_scale, q): mean, scaled MAD and k quantiles of the null's Z scores."""
-    s = comp.spread(null).select("aln_id", F.col("mean").alias("z_mean"), (F.col("mad") / F.lit(MAD_SCALE)).alias("z_scale"))
-    z = null.join(s, "aln_id").withColumn("z", (F.col("chi2") - F.col("z_mean")) / F.nullif("z_scale", F.lit(0.0)))
-    return s.join(comp.quantiles(z, k, "z"), "aln_id")
+def pool(null: DataFrame) -> DataFrame:
+    """(aln_id, chi2, n, at): the scores of all permutations and taxa, ranked."""
+    return ranked(null.select("aln_id", "chi2", "perm", "taxon_idx"), ("aln_id",), "chi2", ("perm", "taxon_idx"))
+
+
+def reference(null: DataFrame, k: int, ranks: DataFrame | None = None) -> DataFrame:
+    """(aln_id, z_mean, z_scale, q): mean, scaled MAD and k quantiles of the null's Z scores; ranks are its pool's."""
+    ranks = pool(null) if ranks is None else ranks
+    s = comp.spread_of(ranks).select("aln_id", F.col("mean").alias("z_mean"), (F.col("mad") / F.lit(MAD_SCALE)).alias("z_scale"))
+    q = at_positions(ranks, ("aln_id",), "chi2", comp.positions(k))
+    return s.join(q, "aln_id").withColumn("q", F.transform("q", lambda x: (x - F.col("z_mean")) / F.nullif("z_scale", F.lit(0.0))))
 
 
 def empirical_p_alignment(chi2: DataFrame, null: DataFrame) -> DataFrame:
@@ -54,17 +61,14 @@ def empirical_p_alignment(chi2: DataFrame, null: DataFrame) -> DataFrame:
 def empirical_p_taxon(chi2: DataFrame, null: DataFrame) -> DataFrame:
     """(aln_id, taxon_idx, chi2, p): Bonferroni-corrected share of pooled null scores at least the taxon's.
 
-    A rank over the union of both sides, not a theta join: n_ge is a running count from the highest score down.
+    Both sides are ranked together, a taxon's score before equal ones of the null, so what comes before it is less than it.
     """
-    both = chi2.select("aln_id", "taxon_idx", "chi2", F.lit(1).alias("seen")).union(null.select("aln_id", F.lit(None).cast("int"), "chi2", F.lit(0)))
-    levels = both.groupBy("aln_id", "chi2").agg(F.sum(1 - F.col("seen")).alias("n"))
-    from pyspark.sql import Window
-
-    down = Window.partitionBy("aln_id").orderBy(F.desc("chi2"))
-    ge = levels.select("aln_id", "chi2", F.sum("n").over(down).alias("n_ge"))
-    size = null.groupBy("aln_id").agg(F.count("*").alias("m")).join(chi2.groupBy("aln_id").agg(F.count("*").alias("t")), "aln_id")
-    p = F.least(F.lit(1.0), F.col("n_ge").cast("double") / F.col("m") * F.col("t"))
-    return chi2.join(ge, ["aln_id", "chi2"]).join(size, "aln_id").select("aln_id", "taxon_idx", "chi2", p.alias("p"))
+    drawn = null.select("aln_id", "chi2", F.lit(1).alias("drawn"), "perm", "taxon_idx")
+    seen = chi2.select("aln_id", "chi2", F.lit(0).alias("drawn"), F.lit(-1).alias("perm"), "taxon_idx")
+    ranks = ranked(drawn.union(seen), ("aln_id",), "chi2", ("drawn", "perm", "taxon_idx"), F.col("drawn") == 1)
+    taxa = chi2.groupBy("aln_id").agg(F.count("*").alias("t"))
+    p = F.least(F.lit(1.0), (F.col("n") - F.col("at")).cast("double") / F.col("n") * F.col("t"))
+    return ranks.filter("drawn = 0").join(taxa, "aln_id").select("aln_id", "taxon_idx", "chi2", p.alias("p"))
 
 
 def robust_z(chi2: DataFrame, null: DataFrame) -> DataFrame:
@@ -75,14 +79,12 @@ def robust_z(chi2: DataFrame, null: DataFrame) -> DataFrame:
     return chi2.join(s, "aln_id").select("aln_id", "taxon_idx", z.alias("z"))
 
 
-def threshold(chi2: DataFrame, null: DataFrame) -> DataFrame:
+def threshold(chi2: DataFrame, null: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """(aln_id, tau): the order statistic that a biased taxon's score exceeds; infinite if there is none."""
-    from pyspark.sql import Window
-
-    size = null.groupBy("aln_id").agg(F.count("*").alias("m")).join(chi2.groupBy("aln_id").agg(F.count("*").alias("t")), "aln_id")
-    k = F.col("m") - F.floor(F.lit(SIGNIFICANT) * F.col("m") / F.col("t"))
-    at = null.withColumn("rn", F.row_number().over(Window.partitionBy("aln_id").orderBy("chi2"))).join(size.withColumn("k", k), "aln_id").filter("rn = k")
-    return size.select("aln_id").join(at.select("aln_id", "chi2"), "aln_id", "left").select("aln_id", F.coalesce("chi2", F.lit(float("inf"))).alias("tau"))
+    taxa = chi2.groupBy("aln_id").agg(F.count("*").alias("t"))
+    deep = F.col("n") - F.floor(F.lit(SIGNIFICANT) * F.col("n") / F.col("t")) - 1
+    at = (pool(null) if ranks is None else ranks).join(taxa, "aln_id").filter(F.col("at") == deep)
+    return taxa.join(at.select("aln_id", "chi2"), "aln_id", "left").select("aln_id", F.coalesce("chi2", F.lit(float("inf"))).alias("tau"))
 
 
 def taxon_scores(chi2: DataFrame, null: DataFrame) -> DataFrame:

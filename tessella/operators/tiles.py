@@ -232,7 +232,7 @@ def _packed(f: DataFrame, n_states: int, perm: bool) -> DataFrame:
         out[np.searchsorted(perms, p), t] = o.flatten().to_numpy().reshape(-1, n_states)
         return pa.table([pa.array([key[0].as_py()]), pa.array([perms.astype(np.int32).tobytes()]), pa.array([out.tobytes()])], ["matrix", "perms", "counts"])
 
-    return written(keyed.select("aln_id", "block", "perm", "taxon_idx", "total", "o").groupBy("aln_id", "block").applyInArrow(make, "matrix string, perms binary, counts binary"), "packed-counts")
+    return keyed.select("aln_id", "block", "perm", "taxon_idx", "total", "o").groupBy("aln_id", "block").applyInArrow(make, "matrix string, perms binary, counts binary")
 
 
 def left_out(o: np.ndarray, codes: np.ndarray, gone: np.ndarray) -> np.ndarray:

@@ -87,9 +87,10 @@ class Nulls:
         s, n = self.s, self.n
         own = made.join(gens.select("aln_id"), "aln_id", "left_semi")
         scores = nulls.null_chi2(own, n, s.permutations, s.seed)
-        ref = nulls.threshold(scores.filter("perm = 0"), scores)
+        ranks = written(nulls.pool(scores), "null-ranks")
+        ref = nulls.threshold(scores.filter("perm = 0"), scores, ranks)
         if s.algorithm == "wasserstein":
-            z = written(nulls.reference(scores, self.k), "null-reference")
+            z = written(nulls.reference(scores, self.k, ranks), "null-reference")
             if (flat := z.filter("NOT z_scale > 0").first()) is not None:
                 raise ValueError(f"{flat['aln_id']}: the null has no spread, so Z scores do not exist; use another algorithm")
             ref = ref.join(z, "aln_id")
