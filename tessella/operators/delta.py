@@ -7,6 +7,10 @@ its site's adjusted totals and its taxon's counts in two equi-joins, and gets th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +19,39 @@ from . import composition as comp
 from . import tiles as tile
 
 KEYS = ("aln_id",)
-SCORERS = ("squared", "quartic", "wasserstein", "wasserstein_raw")
+RANKED = ("wasserstein", "wasserstein_raw")
+
+
+class Fold(NamedTuple):
+    """How the scores of taxa become one: each score through `each`, which works on a Column and on a numpy array alike, and
+    the results put together by `merge`: sum, max or min."""
+
+    each: Callable
+    merge: str
+
+
+FOLDS = {"squared": Fold(lambda x: x, "sum"), "quartic": Fold(lambda x: x * x, "sum")}
+SCORERS = (*FOLDS, *RANKED)
+
+
+def register_fold(name: str, each: Callable, merge: str = "sum") -> None:
+    """Make a fold of one's own a scorer of site_deltas, null_deltas and delta_null.
+
+    It must be the same however taxa are split into tiles; that is tried on random scores, and a fold that depends on the
+    other scores beside it (a rank, a mean) raises.
+    """
+    if merge not in ("sum", "max", "min"):
+        raise ValueError(f"unknown merge {merge!r}; one of sum, max, min")
+    if name in SCORERS:
+        raise ValueError(f"{name!r} is a scorer already")
+    x = np.random.default_rng(0).gamma(2.0, 3.0, (64, 5))
+    put = getattr(np, merge)
+    whole = put(each(x), axis=0)
+    for cut in (1, 7, 40):
+        parts = put(np.stack([put(each(x[:cut]), axis=0), put(each(x[cut:]), axis=0)]), axis=0)
+        if np.shape(whole) != (5,) or not np.allclose(whole, parts):
+            raise ValueError(f"the fold {name!r} is not the same when taxa are split")
+    FOLDS[name] = Fold(each, merge)
 
 
 def without_site(cells: DataFrame, f: DataFrame, n_states: int, keys=KEYS) -> DataFrame:
@@ -41,16 +77,19 @@ def without_site(cells: DataFrame, f: DataFrame, n_states: int, keys=KEYS) -> Da
 
 
 def checked(scorer: str) -> str:
-    if scorer not in SCORERS:
-        raise ValueError(f"unknown scorer {scorer!r}; one of {', '.join(SCORERS)}")
+    if scorer not in FOLDS and scorer not in RANKED:
+        raise ValueError(f"unknown scorer {scorer!r}; one of {', '.join([*FOLDS, *RANKED])}")
     return scorer
 
 
+def merged(scorer: str) -> Callable:
+    return {"sum": F.sum, "max": F.max, "min": F.min}[FOLDS[scorer].merge]
+
+
 def _base(now: DataFrame, scorer: str, ref: DataFrame | None, k: int, keys) -> DataFrame:
     """(keys, base): the score before any removal, of chi-squared by taxon."""
-    if scorer in ("squared", "quartic"):
-        x = F.col("chi2") if scorer == "squared" else F.col("chi2") * F.col("chi2")
-        return now.groupBy(*keys).agg(F.sum(x).alias("base"))
+    if scorer in FOLDS:
+        return now.groupBy(*keys).agg(merged(scorer)(FOLDS[scorer].each(F.col("chi2"))).alias("base"))
     return comp.wasserstein(_on_z(now, ref) if scorer == "wasserstein" else now, ref.select("aln_id", "q"), k, keys=keys).withColumnRenamed("w", "base")
 
 
@@ -79,7 +118,7 @@ def _deltas(made: DataFrame, f: DataFrame, n_states: int, scorer: str, ref: Data
     keys = ["aln_id"] if seed is None else ["aln_id", "perm"]
     base = _base(comp.scores(f, keys), scorer, ref, k, keys)
     if tile.fits(made, n_states) if small is None else small:
-        w = tile.folded(made, f, n_states, scorer, seed, ref, k)
+        w = tile.folded(made, f, n_states, FOLDS.get(scorer, scorer), seed, ref, k)
     else:
         cells = tile.plain_cells(made) if seed is None else tile.permuted_cells(made, 1 + (f.agg(F.max("perm")).first()[0] or 0), seed)
         w = _by_cells(cells, f, n_states, scorer, ref, k, keys)
@@ -89,9 +128,8 @@ def _deltas(made: DataFrame, f: DataFrame, n_states: int, scorer: str, ref: Data
 def _by_cells(cells: DataFrame, f: DataFrame, n_states: int, scorer: str, ref: DataFrame | None, k: int, keys) -> DataFrame:
     """(keys, col_idx, w) for matrices whose taxa's counts are too many for one row."""
     then, by = without_site(cells, f, n_states, keys), [*keys, "col_idx"]
-    if scorer in ("squared", "quartic"):
-        x = F.col("chi2") if scorer == "squared" else F.col("chi2") * F.col("chi2")
-        return then.groupBy(*by).agg(F.sum(x).alias("w"))
+    if scorer in FOLDS:
+        return then.groupBy(*by).agg(merged(scorer)(FOLDS[scorer].each(F.col("chi2"))).alias("w"))
     return comp.wasserstein(_on_z(then, ref) if scorer == "wasserstein" else then, ref.select("aln_id", "q"), k, keys=by)
 
 

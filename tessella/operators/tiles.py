@@ -261,15 +261,16 @@ def left_out(o: np.ndarray, codes: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.where(bare, out, np.divide(out, row, out=np.zeros(codes.shape), where=row > 0) - row)
 
 
-def folded(made: DataFrame, f: DataFrame, n_states: int, fold: str, seed: int | None = None, ref: DataFrame | None = None, k: int = 0) -> DataFrame:
+def folded(made: DataFrame, f: DataFrame, n_states: int, fold, seed: int | None = None, ref: DataFrame | None = None, k: int = 0) -> DataFrame:
     """(aln_id, perm, col_idx, w): the score of what is left without each site, for fudged counts f (aln_id, [perm,]
     taxon_idx, o). With a seed the matrices are permutations and f has their counts; without, perm is -1.
 
-    fold is squared or quartic (sums over taxa of chi-squared or its square), wasserstein or wasserstein_raw (the mean
-    distance of k quantiles of Z scores or chi-squared from the null's; ref has aln_id, z_mean, z_scale, q).
+    fold is a delta.Fold of the taxa's chi-squared, or the name wasserstein or wasserstein_raw (the mean distance of k
+    quantiles of Z scores or chi-squared from the null's; ref has aln_id, z_mean, z_scale, q).
     """
     sent_ = made.join(_packed(f, n_states, seed is not None).withColumnRenamed("matrix", "aln_id"), "aln_id")
-    ranked = fold.startswith("wasserstein")
+    ranked = isinstance(fold, str)
+    each_, merge = (None, None) if ranked else (fold.each, fold.merge)
     if ranked:
         own = ref.select("aln_id", *(["z_mean", "z_scale"] if fold == "wasserstein" else [F.lit(0.0).alias("z_mean"), F.lit(1.0).alias("z_scale")]), "q")
         sent_ = sent_.join(own, "aln_id")
@@ -295,13 +296,13 @@ def folded(made: DataFrame, f: DataFrame, n_states: int, fold: str, seed: int |
                         at = np.quantile(z, np.arange(1, k + 1) / (k + 1), axis=1).T
                         value = pa.array(np.abs(at - np.array(r["q"])).mean(axis=1)[:, None].tolist(), pa.list_(pa.float64()))
                 else:
-                    value = pa.array((chi2 if fold == "squared" else chi2 * chi2).sum(axis=0))
+                    value = pa.array(getattr(np, merge)(each_(chi2), axis=0))
                 yield pa.RecordBatch.from_arrays([*head, value], ["aln_id", "perm", "col_idx", "v"])
 
     each = sent_.mapInArrow(run, "aln_id string, perm int, col_idx int, v " + ("array<double>" if ranked else "double"))
     by = ["aln_id", "perm", "col_idx"]
     if not ranked:
-        return each.groupBy(*by).agg(F.sum("v").alias("w"))
+        return each.groupBy(*by).agg({"sum": F.sum, "max": F.max, "min": F.min}[merge]("v").alias("w"))
     whole = made.groupBy("aln_id").agg((F.max("taxon_block") == 0).alias("one_block"))
     each = each.join(whole, "aln_id")
     told = each.filter("one_block").select(*by, F.col("v")[0].alias("w"))

@@ -360,6 +360,28 @@ def chi2_histogram(spark, sf_dir):
     return comp.histogram(_chi2(spark, sf_dir, "docs"), K).select("bin", _r("low"), "n")
 
 
+_POINTS = 64
+_DENSITY = f"""
+, lg AS (SELECT ln(chi2) AS x FROM chi WHERE chi2 > 0), sz AS (SELECT count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM lg)
+, gr AS (SELECT n, h, lo - 3 * h AS start, (hi - lo + 6 * h) / {_POINTS - 1} AS step FROM sz), pl AS (SELECT (x - start) / step AS a, least(CAST(floor((x - start) / step) AS INT), {_POINTS - 2}) AS i FROM lg, gr)
+, wt AS (SELECT i, sum(w) AS w FROM (SELECT i, 1 - (a - i) AS w FROM pl UNION ALL SELECT i + 1, a - i FROM pl) GROUP BY i)"""
+
+
+@register("chi2_density_docs", _sql(_DOCS, _count("cells"), _DENSITY, end=f"SELECT point, round(exp(any_value(start + step * point)), 6) AS x, round(sum(w * exp(-0.5 * pow((point - i) * step / h, 2))) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM (SELECT unnest(range(0, {_POINTS})) AS point), wt, gr GROUP BY point"))
+def chi2_density_docs(spark, sf_dir):
+    return comp.density(_chi2(spark, sf_dir, "docs"), _POINTS).select("point", _r("x"), _r("density"))
+
+
+if "largest" not in delta.FOLDS:
+    delta.register_fold("largest", lambda x: x, "max")
+
+
+@register("delta_own_fold", _sql(_LINEITEM, _count("cells"), _LOO, end="SELECT j AS col_idx, round((SELECT max(chi2) FROM chi) - max(chi2), 6) + 0.0 AS delta FROM lchi GROUP BY j"))
+def delta_own_fold(spark, sf_dir):
+    """What each site's removal takes from the highest score of any taxon: a fold that a user registers."""
+    return delta.site_deltas(*_tiles(spark, sf_dir, "lineitem"), "largest").select("col_idx", _r("delta"))
+
+
 _REMOVED = [0, 7, 13]
 
 
@@ -422,10 +444,11 @@ def margins_by_batch(spark, sf_dir):
 
 
 def _pruned(spark, sf_dir):
-    """The benchmark alignment pruned by the default algorithm with the default permutations and cap, in batches of ten."""
+    """The benchmark alignment pruned by the default algorithm with the default permutations, in two batches of ten at most
+    (or more small ones)."""
     letters = _LETTERS["benchmark"][0](spark, sf_dir)
     taxa = report.sequences(letters).join(src.taxa(letters), ["aln_id", "taxon_id"]).withColumn("taxon_id", F.col("taxon_id").cast("string"))
-    return analyses.prune(taxa, top_n=10)
+    return analyses.prune(taxa, max_residue_pruned=20, top_n=10)
 
 
 @register("prune_log_full")

@@ -96,10 +96,11 @@ def test_permuted_counts(spark, sized, monkeypatch, counts):
 
 
 @pytest.mark.parametrize("scorer", delta.SCORERS)
-@pytest.mark.parametrize("most", [1 << 28, 1])
-def test_site_deltas(spark, sized, monkeypatch, scorer, most):
+@pytest.mark.parametrize("sites, taxa, most", [(64, 1024, 1 << 28), (16, 5, 1 << 28), (16, 5, 1)])
+def test_site_deltas(spark, monkeypatch, scorer, sites, taxa, most):
     """By tiles, and by cells where the counts are too many for one row; of the matrix and of its permutations."""
-    monkeypatch.setattr(tile, "MOST_COUNTS", most)
+    for name, value in (("SITES", sites), ("TAXA", taxa), ("MOST_COUNTS", most)):
+        monkeypatch.setattr(tile, name, value)
     mats = {"a": random_matrix(5, 12, 40), "b": random_matrix(6, 8, 20)}
     made = tile.tiles(cells_of(spark, mats), 4)
     nul = null.null_chi2(made, 4, 4)
@@ -172,7 +173,7 @@ def biased(seed, taxa=10, sites=60, share=0.45):
 
 
 def test_loop_goes_back_and_renews(spark):
-    seen = held(spark, {f"m{s}": biased(s, 10 + s % 3) for s in range(8)}, "squared", 40, 20, 20, True, 1)
+    seen = held(spark, {f"m{s}": biased(s, 10 + s % 3) for s in range(5)}, "squared", 40, 20, 20, True, 1)
     assert ("renewed", 1) in seen and ("reason", "delta not significant") in seen
 
 
@@ -185,7 +186,7 @@ def test_loop_without_delta_null(spark):
 
 @pytest.mark.parametrize("algorithm", ["quartic", "wasserstein"])
 def test_loop_with_other_scores(spark, algorithm):
-    held(spark, {f"m{s}": biased(s, 11) for s in range(3)}, algorithm, 12, 20, 5, True, 1, 200)
+    held(spark, {f"m{s}": biased(s, 11) for s in range(2)}, algorithm, 6, 20, 3, True, 1, 200)
 
 
 def test_loop_without_anything_to_do(spark):
@@ -201,3 +202,15 @@ def test_unknown_algorithm_and_flat_null(spark):
         pruning.prune_tiles(made, 4, pruning.Settings("nope"))
     with pytest.raises(ValueError, match="no spread"):
         pruning.prune_tiles(made, 4, pruning.Settings("wasserstein", 5, 5), 20)
+
+
+def test_folds_of_ones_own():
+    delta.register_fold("root", lambda x: x**0.5, "sum")
+    try:
+        for name, each, merge in (("rank", lambda x: x.argsort(axis=0) * 1.0, "sum"), ("mean", lambda x: x - x.mean(axis=0), "max"), ("root", lambda x: x, "sum"), ("x", lambda x: x, "mean")):
+            with pytest.raises(ValueError):
+                delta.register_fold(name, each, merge)
+    finally:
+        del delta.FOLDS["root"]
+    with pytest.raises(ValueError, match="unknown scorer"):
+        delta.checked("root")
