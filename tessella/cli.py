@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import shutil
 import subprocess
 from pathlib import Path
@@ -14,6 +15,7 @@ from . import __version__
 from .plans import analyses
 from .sources import report
 from .sources.files import FORMATS, read_alignment
+from .sources.shared import written
 
 
 def arguments(argv=None) -> argparse.Namespace:
@@ -45,46 +47,38 @@ def version() -> str:
     return f"tessella {__version__}" + (f" ({got.stdout.strip()})" if got and got.returncode == 0 else "")
 
 
-def main(argv=None, spark: SparkSession | None = None) -> list[Path]:
+def main(argv=None, spark: SparkSession | None = None) -> list[str]:
+    """Run a command; returns the paths of the files made, which are on the file system of the alignment's path."""
     a = arguments(argv)
     spark = spark or SparkSession.builder.appName("tessella").getOrCreate()
     taxa = read_alignment(spark, a.file, a.format)
-    stem, made = Path(a.file).with_suffix(""), []
+    stem = os.path.splitext(a.file)[0]
     if a.command == "test":
-        scores = analyses.composition_test(taxa, a.permutations).cache()
-        rows = report.score_rows(scores)
-        print(f"{scores.filter('biased').count()} of {len(rows)} taxa are biased")
-        for r in rows[:5] if a.create_output else rows:
+        scores = written(analyses.composition_test(taxa, a.permutations), "scores")
+        n = scores.agg(F.count("*").alias("n"), F.count_if("biased").alias("biased")).first()
+        print(f"{n['biased']} of {n['n']} taxa are biased")
+        shown = scores.orderBy(F.abs("z").desc(), "taxon_idx").select("taxon_id", F.format_string("%.4f", "p"), F.format_string("%.2f", "z"))
+        for r in (shown.limit(5) if a.create_output else shown).toLocalIterator():
             print(*r, sep="\t")
-        if a.create_output:
-            made.append(Path(f"{stem}_scores.tsv"))
-            report.write_tsv(made[-1], report.SCORE_HEADER, rows)
-        return made
-    out = analyses.prune(taxa, a.pruning_algorithm, a.max_residue_pruned, a.permutations, a.top_n, a.delta_null).cache()
+        return [report.write_scores(scores, f"{stem}_scores.tsv")] if a.create_output else []
+    out = written(analyses.prune(taxa, a.pruning_algorithm, a.max_residue_pruned, a.permutations, a.top_n, a.delta_null), "pruned")
+    kind = lambda k: out.filter(F.col("kind") == k)
     name = f"{stem}_{a.pruning_algorithm}_s{a.top_n}_pruned"
-    seqs = report.fasta(out.filter("kind = 'sequence'").select("seq", "taxon_id", F.col("text")).withColumnRenamed("seq", "at").withColumnRenamed("text", "seq"))
-    made.append(Path(f"{name}.fasta"))
-    made[-1].write_text("".join(r["fasta"] + "\n" for r in seqs.orderBy("at").toLocalIterator()))
-    log = out.filter("kind = 'log'").orderBy("seq").toLocalIterator()
-    made.append(Path(f"{name}.tsv"))
-    report.write_tsv(made[-1], report.LOG_HEADER, [(r["iteration"], r["original_index"], r["global_chi2"], r["initial_score"], r["delta"], r["significant_taxa"], r["null_p"], r["algorithm"]) for r in log])
-    scores = [r.asDict() for r in out.filter("kind = 'score'").orderBy(F.desc("before_z"), "seq").toLocalIterator()]
-    made.append(Path(f"{name}_scores.tsv"))
-    report.write_tsv(made[-1], report.CHANGE_HEADER, [(r["taxon_id"], r["before_z"], r["before_p"], r["after_z"], r["after_p"], r["delta_z"]) for r in scores])
-    end = out.filter("kind = 'summary'").first()
-    batches = out.filter("kind = 'log'").groupBy("iteration").agg(F.count("*").alias("n"), F.first("global_chi2").alias("chi2"), F.first("significant_taxa").alias("biased")).orderBy("iteration")
+    made = [
+        report.write_fasta(kind("sequence"), f"{name}.fasta"),
+        report.write_log(kind("log"), f"{name}.tsv"),
+        report.write_changes(kind("score"), f"{name}_scores.tsv"),
+        report.write_score_json(out, f"{name}_score_dict.json", a.pruning_algorithm, __version__),
+    ]
+    # A parameter bounds the batches and the summary.
+    batches = kind("log").groupBy("iteration").agg(F.count("*").alias("n"), F.first("global_chi2").alias("chi2"), F.first("significant_taxa").alias("biased")).orderBy("iteration")
     removed = 0
     for r in batches.toLocalIterator():
         removed += r["n"]
         print(f"batch {r['iteration']}: {removed} columns removed, chi-squared {r['chi2']:.2f}, {r['biased']} biased taxa")
-    ids = [r["taxon_id"] for r in sorted(scores, key=lambda r: r["seq"])]
-    vectors: dict[str, list] = {}
-    for r in out.filter("values IS NOT NULL").orderBy("seq").toLocalIterator():
-        vectors.setdefault(r["kind"], []).append(r["values"])
-    made.append(Path(f"{name}_score_dict.json"))
-    report.write_json(made[-1], {"schema_version": 3, "version": __version__, "algorithm": a.pruning_algorithm, "stop_reason": end["text"], "null_recomputes": end["iteration"], "taxa": ids, "before_real": vectors["before_real"][0], "after_real": vectors["after_real"][0], "before_permuted": vectors["before_permuted"], "null_max_deltas": vectors.get("null_max_deltas", [None])[0]})
-    z = out.filter("kind = 'score'").agg(F.max(F.abs("before_z")), F.max(F.abs("after_z"))).first()
-    print(f"largest |Z| {z[0]:.2f} before, {z[1]:.2f} after; {end['significant_taxa']} biased taxa left; null renewed {end['iteration']} times; stop: {end['text']}")
+    for r in analyses.run_summary(out).toLocalIterator():
+        print(f"chi-squared {r['chi2_before']:.2f} (p {r['p_before']:.3f}) before, {r['chi2_after']:.2f} (p {r['p_after']:.3f}) after; the null's from {r['null_least']:.2f} to {r['null_most']:.2f}")
+        print(f"largest |Z| {r['z_before']:.2f} before, {r['z_after']:.2f} after; {r['biased_after']} biased taxa left; null renewed {r['recomputes']} times; stop: {r['reason']}")
     return made
 
 

@@ -84,6 +84,22 @@ def scores(got: pruning.Pruned) -> DataFrame:
     return sides[0].join(sides[1], by).withColumn("delta_z", F.col("after_z") - F.col("before_z"))
 
 
+def run_summary(rows: DataFrame) -> DataFrame:
+    """(aln_id, chi2_before, p_before, chi2_after, p_after, null_least, null_most, z_before, z_after, removed, biased_after,
+    recomputes, reason) of prune's rows; p against the first null."""
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    of = lambda k: F.col("kind") == k
+    sides = rows.filter("kind IN ('before_real', 'after_real')").groupBy("aln_id").agg(F.max(F.when(of("before_real"), total)).alias("chi2_before"), F.max(F.when(of("after_real"), total)).alias("chi2_after"))
+    drawn = rows.filter(of("before_permuted")).select("aln_id", total.alias("drawn")).join(sides, "aln_id")
+    at_least = lambda c: F.avg(F.when(F.col("drawn") >= F.col(c), 1.0).otherwise(0.0))
+    null = drawn.groupBy("aln_id", "chi2_before", "chi2_after").agg(at_least("chi2_before").alias("p_before"), at_least("chi2_after").alias("p_after"), F.min("drawn").alias("null_least"), F.max("drawn").alias("null_most"))
+    rest = rows.groupBy("aln_id").agg(
+        F.max(F.abs(F.when(of("score"), F.col("before_z")))).alias("z_before"), F.max(F.abs(F.when(of("score"), F.col("after_z")))).alias("z_after"), F.count_if(of("log")).alias("removed"),
+        F.max(F.when(of("summary"), F.col("significant_taxa"))).alias("biased_after"), F.max(F.when(of("summary"), F.col("iteration"))).alias("recomputes"), F.max(F.when(of("summary"), F.col("text"))).alias("reason"),
+    )
+    return null.join(rest, "aln_id")
+
+
 def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str) -> DataFrame:
     """A prune's results as rows of PRUNE_SCHEMA."""
     from pyspark.sql import Window

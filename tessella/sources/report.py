@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import fields, write_lines
+
 #: Headers of the report files.
 SCORE_HEADER = ["Row", "Empirical-Pvalue", "Z-Score"]
 CHANGE_HEADER = ["Row", "Before-Z", "Before-Pvalue", "After-Z", "After-Pvalue", "Delta-Z"]
@@ -15,10 +16,12 @@ LOG_HEADER = ["Iteration", "Original Index", "Global ChiScore", "Initial Signifi
 
 
 def sequences(letters: DataFrame) -> DataFrame:
-    """(aln_id, taxon_id, seq) from (aln_id, taxon_id, col_idx, residue)."""
+    """(aln_id, taxon_id, seq), with taxon_idx where letters (aln_id, [taxon_idx,] taxon_id, col_idx, residue) have it;
+    then taxa of the same id stay apart."""
     one = F.when(F.length("residue") == 1, F.col("residue")).otherwise("-")  # a capital of two letters is no state
     ordered = F.array_sort(F.collect_list(F.struct("col_idx", one.alias("residue"))))
-    return letters.groupBy("aln_id", "taxon_id").agg(F.array_join(F.transform(ordered, lambda x: x["residue"]), "").alias("seq"))
+    by = [c for c in ("aln_id", "taxon_idx", "taxon_id") if c in letters.columns]
+    return letters.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["residue"]), "").alias("seq"))
 
 
 def fasta(seqs: DataFrame, width: int = 60) -> DataFrame:
@@ -27,20 +30,56 @@ def fasta(seqs: DataFrame, width: int = 60) -> DataFrame:
     return seqs.withColumn("fasta", F.concat(F.lit(">"), F.col("taxon_id").cast("string"), F.lit("\n"), body))
 
 
-def write_tsv(path: str | Path, header: list[str], rows: list[tuple]) -> None:
-    """One line per row; None is an empty field."""
-    lines = ["\t".join(header), *("\t".join("" if x is None else str(x) for x in r) for r in rows)]
-    Path(path).write_text("\n".join(lines) + "\n")
+def _tsv(rows: DataFrame, path: str, header: list[str], columns, order: list[str]) -> str:
+    return write_lines(rows.withColumn("line", fields(columns)), path, order, "\t".join(header))
+
+
+def write_fasta(seqs: DataFrame, path: str) -> str:
+    """One file of seqs (seq as order, taxon_id, text) of one alignment."""
+    records = fasta(seqs.select(F.col("seq").alias("at"), "taxon_id", F.col("text").alias("seq")))
+    return write_lines(records.select("at", F.col("fasta").alias("line")), path, ["at"])
+
+
+def write_scores(scores: DataFrame, path: str) -> str:
+    """(taxon_id, p, z), strongest first; p with four decimals, z with two."""
+    strong = scores.withColumn("by", -F.abs("z"))
+    return _tsv(strong, path, SCORE_HEADER, [F.col("taxon_id"), F.format_string("%.4f", "p"), F.format_string("%.2f", "z")], ["by", "taxon_idx"])
+
+
+def write_log(log: DataFrame, path: str) -> str:
+    """A prune's log, in order of removal."""
+    columns = ["iteration", "original_index", "global_chi2", "initial_score", "delta", "significant_taxa", "null_p", "algorithm"]
+    return _tsv(log, path, LOG_HEADER, [F.col(c) for c in columns], ["seq"])
+
+
+def write_changes(scores: DataFrame, path: str) -> str:
+    """Scores before and after, the highest before first."""
+    columns = ["taxon_id", "before_z", "before_p", "after_z", "after_p", "delta_z"]
+    return _tsv(scores.withColumn("by", -F.col("before_z")), path, CHANGE_HEADER, [F.col(c) for c in columns], ["by", "seq"])
 
 
-def score_rows(scores: DataFrame) -> list[tuple]:
-    """(taxon_id, p, z) as text, strongest first."""
-    got = scores.orderBy(F.abs("z").desc(), "taxon_idx").select("taxon_id", "p", "z").toLocalIterator()
-    return [(r["taxon_id"], f"{r['p']:.4f}", f"{r['z']:.2f}") for r in got]
+def write_score_json(rows: DataFrame, path: str, algorithm: str, version: str) -> str:
+    """The score JSON of one alignment's prune rows, a line for each vector and each taxon."""
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    order = {"schema_version": F.lit("3"), "version": text(F.lit(version)), "algorithm": text(F.lit(algorithm)), "stop_reason": text(F.col("text")), "null_recomputes": F.col("iteration").cast("string")}
+    end = rows.filter("kind = 'summary'")
+    parts = [end.select(F.lit(0).alias("part"), F.lit(i).cast("long").alias("at"), F.concat(F.lit("{" if i == 0 else ""), F.lit(f'"{k}": '), v, F.lit(",")).alias("line")) for i, (k, v) in enumerate(order.items())]
 
+    def listed(kind: str, part: int, values: DataFrame, name: str, whole: bool, last: str = ",") -> DataFrame:
+        """Lines of a list: each element on its own, or one element that is the list."""
+        if whole:
+            return values.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("at"), F.concat(F.lit(f'"{name}": '), F.col("v"), F.lit(last)).alias("line"))
+        n = values.agg(F.max("seq").alias("n"))
+        body = values.crossJoin(F.broadcast(n)).select(F.lit(part).alias("part"), F.col("seq").alias("at"), F.concat(F.when(F.col("seq") == 0, f'"{name}": [').otherwise(""), F.col("v"), F.when(F.col("seq") == F.col("n"), "]" + last).otherwise(",")).alias("line"))
+        return body
 
-def write_json(path: str | Path, value: dict) -> None:
-    Path(path).write_text(json.dumps(value, indent=4))
+    vector = rows.filter("values IS NOT NULL").select("kind", "seq", F.to_json("values").alias("v"))
+    parts.append(listed("score", 1, rows.filter("kind = 'score'").select("seq", text(F.col("taxon_id")).alias("v")), "taxa", False))
+    for part, (kind, whole) in enumerate((("before_real", True), ("after_real", True), ("before_permuted", False)), 2):
+        parts.append(listed(kind, part, vector.filter(F.col("kind") == kind), kind, whole))
+    deep = end.select(F.lit(1).alias("one")).join(vector.filter("kind = 'null_max_deltas'").select(F.lit(1).alias("one"), "v"), "one", "left").select(F.coalesce("v", F.lit("null")).alias("v"))
+    parts.append(listed("null_max_deltas", 5, deep, "null_max_deltas", True, "}"))
+    return write_lines(reduce(DataFrame.unionByName, parts), path, ["part", "at"])
 
 
 #: What the score JSON of pruning holds, as a schema.

@@ -20,13 +20,22 @@ def documents_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), "col_idx", F.upper("residue").alias("residue"))
 
 
+#: The code points whose capital is an ASCII letter, and those capitals.
+_SMALL, _CAPITAL = "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
+
+
 def documents_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aln_id, taxon_idx, o): how often each amino acid's letter occurs in each document.
+    """(aln_id, taxon_idx, o): how often each amino acid's letter occurs in each document. Null and empty documents have no
+    row.
 
-    Letters are counted where they are read; only a row of counts for each document moves.
+    A letter's count is what the capitalised text's length loses without it, so no text is cut up; only a row of counts for
+    each document moves.
     """
-    coded = documents_letters(spark, sf_dir).select("aln_id", "taxon_id", code(F.col("residue"), PROTEIN).alias("code"))
-    rows = coded.groupBy("aln_id", "taxon_id").agg(F.array(*[F.count_if(F.col("code") == c) for c in range(len(PROTEIN))]).alias("o"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''")
+    up = docs.select(F.lit("docs").alias("aln_id"), F.col("doc_id").alias("taxon_id"), F.translate("text", _SMALL, _CAPITAL).alias("up"))
+    size = F.octet_length("up")
+    each = [(size - F.octet_length(F.replace("up", F.lit(c), F.lit("")))).cast("long").alias(f"n{i}") for i, c in enumerate(PROTEIN)]
+    rows = up.select("aln_id", "taxon_id", *each).groupBy("aln_id", "taxon_id").agg(F.array(*[F.sum(f"n{i}") for i in range(len(PROTEIN))]).alias("o"))
     return numbered(written(rows, "document-counts"), "aln_id", "taxon_id", "taxon_idx").select("aln_id", "taxon_idx", "o")
 
 

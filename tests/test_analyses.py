@@ -166,20 +166,60 @@ def test_ragged_file_raises(spark, tmp_path):
 def test_cli_writes_reports(spark, tmp_path):
     from tessella import cli
 
-    rng = np.random.default_rng(1)
+    rng = np.random.default_rng(7)
     text = "".join(f">t{i}\n{''.join(rng.choice(list('ACGT'), 60, p=[.7, .1, .1, .1] if i == 0 else [.25] * 4))}\n" for i in range(6))
     (tmp_path / "a.fasta").write_text(text)
     made = cli.main(["prune", "--file", str(tmp_path / "a.fasta"), "--permutations", "10", "--max_residue_pruned", "4", "--pruning_algorithm", "squared"], spark)
-    assert len(made) == 4 and all(p.exists() for p in made)
-    whole = report.read_json(spark, str(made[3]))
+    assert [p.rsplit("_s1", 1)[-1] for p in made] == ["_pruned.fasta", "_pruned.tsv", "_pruned_scores.tsv", "_pruned_score_dict.json"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted([p.rsplit("/", 1)[-1] for p in made] + ["a.fasta"])
+    x = np.array([["ACGT".index(c) for c in line] for line in text.split("\n")[1::2]], np.int8)
+    want = an.prune_matrix(x, 4, "squared", 4, 10)
+    log = [line.split("\t") for line in (tmp_path / made[1]).read_text().splitlines()]
+    assert log[0] == report.LOG_HEADER and [(int(r[0]), int(r[1])) for r in log[1:]] == [r[:2] for r in want["log"]]
+    assert want["log"] and np.allclose([[float(v) for v in r[2:7]] for r in log[1:]], [r[2:7] for r in want["log"]]) and {r[7] for r in log[1:]} == {"squared"}
+    rows = files.parse_fasta((tmp_path / made[0]).read_text())
+    assert rows == [(f"t{i}", "".join("ACGT"[x[i, j]] for j in want["alive"])) for i in range(6)]
+    changes = [line.split("\t") for line in (tmp_path / made[2]).read_text().splitlines()]
+    z = an.robust(want["before"], want["null"].pool)
+    assert changes[0] == report.CHANGE_HEADER and [r[0] for r in changes[1:]] == [f"t{i}" for i in sorted(range(6), key=lambda i: (-z[i], i))]
+    assert np.allclose([float(r[1]) for r in changes[1:]], sorted(z, reverse=True))
+    whole = report.read_json(spark, made[3])
     row = whole.first()
+    assert (row["schema_version"], row["algorithm"], row["stop_reason"], row["null_recomputes"]) == (3, "squared", want["reason"], want["recomputes"])
+    assert np.allclose(row["before_permuted"], want["null"].table) and np.allclose(row["after_real"], want["after"])
     assert row["taxa"] == [f"t{i}" for i in range(6)] and len(row["before_permuted"]) == 10 and len(row["null_max_deltas"]) == 10
     assert all(len(v) == 6 for v in [row["before_real"], row["after_real"], *row["before_permuted"]])
     bins = comp.histogram(report.distributions(whole), 4, keys=("kind",))
     assert {r["kind"]: r["n"] for r in bins.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {"before_real": 6, "after_real": 6, "before_permuted": 60}
     assert cli.arguments(["prune", "--file", "x", "--num_workers_chisq", "3", "--num_workers_permute", "2"]).top_n == 1
-    made = cli.main(["test", "--file", str(tmp_path / "a.fasta"), "--permutations", "10", "--create_output"], spark)
-    assert made[0].read_text().startswith("Row\tEmpirical-Pvalue\tZ-Score\n")
+    made = cli.main(["test", "--file", f"file://{tmp_path}/a.fasta", "--permutations", "10", "--create_output"], spark)
+    assert made == [f"file://{tmp_path}/a_scores.tsv"]
+    lines = (tmp_path / "a_scores.tsv").read_text().splitlines()
+    order = sorted(range(6), key=lambda i: (-abs(z[i]), i))
+    p = an.corrected(want["before"], want["null"].pool)
+    assert lines == ["Row\tEmpirical-Pvalue\tZ-Score", *(f"t{i}\t{p[i]:.4f}\t{z[i]:.2f}" for i in order)]
+
+
+def test_lines_are_written_whole_and_in_order(spark, tmp_path):
+    from tessella.sources.sinks import write_lines
+
+    df = spark.range(5000).selectExpr("id", "concat('line ', id, ' é') AS line").repartition(7)
+    path = f"file://{tmp_path}/x.txt"
+    for n in (5000, 3):  # the second replaces the first
+        assert write_lines(df.filter(F.col("id") < n), path, ["id"], "head") == path
+        assert (tmp_path / "x.txt").read_text() == "head\n" + "".join(f"line {i} é\n" for i in range(n))
+    write_lines(df.filter("id < 0"), path, ["id"])
+    assert (tmp_path / "x.txt").read_text() == "" and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.txt"]
+
+
+def test_run_summary(spark):
+    taxa = spark.createDataFrame([("a", i, f"t{i}", "".join(np.random.default_rng(i).choice(list("ACGT"), 50, p=[.7, .1, .1, .1] if i == 0 else [.25] * 4))) for i in range(6)], files.SCHEMA)
+    x = np.array([["ACGT".index(c) for c in r.seq] for r in taxa.orderBy("taxon_idx").collect()], np.int8)
+    want = an.prune_matrix(x, 4, "squared", 2, 10)
+    got = analyses.run_summary(analyses.prune(taxa, "squared", 2, 10)).first()
+    first = want["null"]
+    assert np.allclose([got[c] for c in ("chi2_before", "chi2_after", "null_least", "null_most", "p_before", "p_after", "z_before", "z_after")], [want["before"].sum(), want["after"].sum(), first.sums.min(), first.sums.max(), first.p_of(want["before"].sum()), first.p_of(want["after"].sum()), np.abs(an.robust(want["before"], first.pool)).max(), np.abs(an.robust(want["after"], first.pool)).max()])
+    assert (got["removed"], got["reason"], got["recomputes"], got["biased_after"]) == (len(want["log"]), want["reason"], want["recomputes"], int((want["after"] > first.tau).sum()))
 
 
 def test_prune_without_any_removal(spark):
