@@ -42,7 +42,7 @@ def register_fold(name: str, each: Callable, merge: str = "sum") -> None:
     """
     if merge not in ("sum", "max", "min"):
         raise ValueError(f"unknown merge {merge!r}; one of sum, max, min")
-    if name in SCORERS:
+    if name in FOLDS or name in RANKED:
         raise ValueError(f"{name!r} is a scorer already")
     x = np.random.default_rng(0).gamma(2.0, 3.0, (64, 5))
     put = getattr(np, merge)
