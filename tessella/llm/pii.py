@@ -134,6 +134,18 @@ def _spans(model: tagger.Tagger, texts: list[str]) -> tuple[list[list[tuple[int,
     return base, [x for part in _held(texts) for x in added_spans(model, texts[part], base[part])]
 
 
+def _model(weights: dict[str, np.ndarray], name: str) -> tagger.Tagger:
+    """This worker's model of these weights, with the windows that it remembers."""
+    own = kept("pii")
+    if own.get("name") != name:
+        own.update(name=name, model=tagger.Tagger(weights))
+    return own["model"]
+
+
+def _name(weights: dict[str, np.ndarray]) -> str:
+    return hashlib.sha256(b"".join(weights[k].tobytes() for k in sorted(weights))).hexdigest()
+
+
 def join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -154,11 +166,11 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), one row per row of docs."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(weights or tagger.trained())
+    weights = weights or tagger.trained()
+    shared, name = docs.sparkSession.sparkContext.broadcast(weights), _name(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("pii")
-        model = tagger.Tagger(shared.value)
+        model = _model(shared.value, name)
         for b in batches_of(batches):
             texts = [x.as_py() or "" for x in b.column(1)]
             base, more = _spans(model, texts)
@@ -173,12 +185,12 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
 def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """docs with the text of every span replaced by its kind; a null text stays null. Columns and other values stay."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(weights or tagger.trained())
+    weights = weights or tagger.trained()
+    shared, name = docs.sparkSession.sparkContext.broadcast(weights), _name(weights)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("pii")
-        model = tagger.Tagger(shared.value)
+        model = _model(shared.value, name)
         for b in batches_of(batches):
             texts = [x.as_py() for x in b.column(at)]
             base, more = _spans(model, [t or "" for t in texts])

@@ -1,7 +1,12 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: model, training and a generator of labelled text."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: model, training and a generator of labelled text.
+
+Its gates are x / (1 + |x|), halved and shifted where they weigh, in place of tanh and sigmoid. They need no exponential,
+which would take most of the time, and numpy computes them alike on every processor.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +23,8 @@ LENGTH, WINDOW, STRIDE = 96, 2048, 1952
 PAD = 16
 #: Windows read at once, and of those that may hold a span decoded at once; they bound a worker's memory.
 BATCH, DECODED = 512, 32
+#: Windows whose spans a model remembers, by their digest; some 20 MB.
+REMEMBERED = 100_000
 #: Steps whose symbols, or whose gains, are made ready at once.
 AHEAD = 16
 #: Score of O past a window's end.
@@ -33,15 +40,6 @@ def symbols(text: str) -> np.ndarray:
     return _SYMBOL[np.minimum(x, 161)]
 
 
-@lru_cache(maxsize=1)
-def tanh_is_slow() -> bool:
-    """Whether numpy's tanh takes far longer here than its exp: it does without AVX-512."""
-    try:
-        return "AVX512" not in np.lib.introspect.opt_func_info("^tanh$", "float32")["tanh"]["ff"]["current"]
-    except (AttributeError, KeyError):
-        return False
-
-
 def start_weights(seed: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     g = lambda *s: (rng.standard_normal(s) * (1 / np.sqrt(s[0]))).astype(np.float32)
@@ -70,29 +68,31 @@ def _lstms(p: dict[str, np.ndarray], x: np.ndarray):
     both = np.stack([x, x[::-1]], axis=1)
     n, _, batch, _ = both.shape
     gates = both @ w[:, :WIDTH] + b
-    states, cells, tanhs = (np.zeros((n + 1, 2, batch, HIDDEN), x.dtype) for _ in range(3))
+    states, cells, shown = (np.zeros((n + 1, 2, batch, HIDDEN), x.dtype) for _ in range(3))
     inner = np.ascontiguousarray(w[:, WIDTH:])
     for t in range(n):
         z = gates[t]
         z += states[t] @ inner
-        z[..., : 3 * HIDDEN] *= 0.5
-        np.tanh(z, out=z)
+        z /= 1 + np.abs(z)
         s = z[..., : 3 * HIDDEN]
         s += 1
         s *= 0.5
         c = z[..., HIDDEN : 2 * HIDDEN] * cells[t] + z[..., :HIDDEN] * z[..., 3 * HIDDEN :]
-        cells[t + 1], tanhs[t + 1] = c, np.tanh(c)
-        states[t + 1] = z[..., 2 * HIDDEN : 3 * HIDDEN] * tanhs[t + 1]
-    return states, (both, w, gates, cells, tanhs)
+        cells[t + 1], shown[t + 1] = c, c / (1 + np.abs(c))
+        states[t + 1] = z[..., 2 * HIDDEN : 3 * HIDDEN] * shown[t + 1]
+    return states, (both, w, gates, cells, shown)
 
 
 def _lstms_back(d: np.ndarray, states: np.ndarray, kept: tuple):
     """Gradients of x and of both directions' weights for the gradient d (T, 2, B, H) of the hidden states."""
-    both, w, gates, cells, tanhs = kept
+    both, w, gates, cells, shown = kept
     n = len(both)
+    # The slope of y = x / (1 + |x|) is (1 - |y|)^2.
+    slope = lambda y: (1 - np.abs(y)) ** 2
     i, f, o, g = (gates[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-    out = o * (1 - tanhs[1:] ** 2)
-    factor = np.concatenate([g * i * (1 - i), cells[:-1] * f * (1 - f), tanhs[1:] * o * (1 - o), i * (1 - g * g)], axis=-1)
+    out = o * slope(shown[1:])
+    of_i, of_f, of_o = (slope(2 * y - 1) / 2 for y in (i, f, o))
+    factor = np.concatenate([g * of_i, cells[:-1] * of_f, shown[1:] * of_o, i * slope(g)], axis=-1)
     dz = np.empty_like(gates)
     back = np.ascontiguousarray(w[:, WIDTH:].transpose(0, 2, 1))
     dh, dc = np.zeros_like(d[0]), np.zeros_like(d[0])
@@ -155,27 +155,21 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, tags: np.ndarray) -> tu
 
 class Tagger:
     """Decoding with given weights, laid out for speed: what the symbols add to the gates is a table, a product a step adds
-    what the states do, and a single tanh serves all gates, as a sigmoid of x is half of 1 + tanh(x / 2). Where tanh is slow it
-    is got from exp, as 1 + tanh(x) is 2 / (1 + exp(-2x)); the two differ by rounding only.
+    what the states do, and all gates are computed in one go.
 
     Windows lie by falling length, and each is read to its own end only: at a step the windows that reach it are the first
     ones, and `reach` has their number. So what is found in a window depends on no other one. Each gate of the first windows
     is one piece of memory, however many they are.
     """
 
-    def __init__(self, p: dict[str, np.ndarray], by_exp: bool | None = None):
-        self.by_exp = tanh_is_slow() if by_exp is None else by_exp
-        half = np.ones(4 * HIDDEN, np.float32)
-        half[: 3 * HIDDEN] = 0.5
-        if self.by_exp:
-            half *= -2
+    def __init__(self, p: dict[str, np.ndarray]):
         by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, HIDDEN).transpose(1, 0, 2), np.float32)
         # Twice the hidden state is kept, so the weights it meets are halved.
-        self.gates = [(by_gate(p[w][WIDTH:] * half / 2), by_gate((p["embed"] @ p[w][:WIDTH] + p[b]) * half)) for w, b in (("fw", "fb"), ("bw", "bb"))]
+        self.gates = [(by_gate(p[w][WIDTH:] / 2), by_gate(p["embed"] @ p[w][:WIDTH] + p[b])) for w, b in (("fw", "fb"), ("bw", "bb"))]
         self.out = [np.ascontiguousarray(p["out"][:HIDDEN].T / 2), np.ascontiguousarray(p["out"][HIDDEN:].T / 2)]
         self.bias, self.move, self.first = p["bias"], p["move"] + BAD, p["first"] + BAD_FIRST
+        self.memory: dict[bytes, list[tuple[float, int, int, int]]] = {}
 
-    @np.errstate(over="ignore")
     def emissions(self, ids: np.ndarray, reach: np.ndarray | None = None, room: np.ndarray | None = None) -> np.ndarray:
         """ids (T, B) to tag scores (T, K, B), in room if given; where a window does not reach, the scores leave no tag but O."""
         n, batch = ids.shape
@@ -193,21 +187,14 @@ class Tagger:
                     np.take(table, read, axis=1, out=x, mode="clip")
                     np.matmul(h, weights, out=z)
                     z += x
-                    if self.by_exp:
-                        _one_and_tanh(z)
-                        g -= 1
-                    else:
-                        np.tanh(z, out=z)
-                        sigmoids += 1
+                    _squash(z, x)
+                    sigmoids += 1
                     c *= f
                     i *= g
                     c += i
                     c *= 0.5
-                    if self.by_exp:
-                        _one_and_tanh(np.multiply(c, -2, out=h))
-                        h -= 1
-                    else:
-                        np.tanh(c, out=h)
+                    h[...] = c
+                    _squash(h, g)
                     h *= o
                     np.dot(out, turned, out=y)
                     np.add(e[t, :, :k] if step < 0 else bias, y, out=e[t, :, :k])
@@ -275,21 +262,40 @@ class Tagger:
     def spans(self, texts: list[str]) -> list[list[tuple[float, int, int, int, int, int]]]:
         """For each text (posterior, kind, start, end, window's start, window's end) of the spans of each window.
 
-        Every text is covered whole by windows; the last one ends with the text. Windows of like length go together.
+        Every text is covered whole by windows; the last one ends with the text. Windows of like length go together. What is
+        found in a window depends on its own text alone, so equal windows are read once, and remembered for later calls.
         """
         found: list[list[tuple[float, int, int, int, int, int]]] = [[] for _ in texts]
-        queue = [(min(len(x), s + WINDOW) - s, d, s) for d, x in enumerate(texts) for s in starts(len(x))]
-        queue.sort(reverse=True)
+        places: dict[bytes, list[tuple[int, int, int]]] = {}
+        for d, x in enumerate(texts):
+            for s in starts(len(x)):
+                part = x[s : s + WINDOW]
+                key = hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                places.setdefault(key, []).append((d, s, len(part)))
+        if len(self.memory) + len(places) > REMEMBERED:
+            self.memory.clear()
+        new = {key: [] for key in places if key not in self.memory}
+        self._tag(texts, sorted(((places[key][0][2], *places[key][0][:2], key) for key in new), reverse=True), new)
+        for key, own in places.items():
+            spans = new[key] if key in new else self.memory[key]
+            for d, s, n in own if spans else ():
+                found[d] += [(sure, k, s + a, s + b, s, s + n) for sure, k, a, b in spans]
+        if len(new) <= REMEMBERED:
+            self.memory.update(new)
+        return found
+
+    def _tag(self, texts: list[str], queue: list[tuple[int, int, int, bytes]], found: dict[bytes, list]) -> None:
+        """Add the spans (posterior, kind, start, end) of windows (length, text, start, key), the longest first, to found."""
         if not queue:
-            return found
+            return
         known, waiting = {}, []
         # The first windows are the longest, so what they take serves the others too.
         room = np.empty(min(WINDOW, queue[0][0] + PAD) * TAGS * min(BATCH, len(queue)), np.float32)
         for at in range(0, len(queue), BATCH):
             part = queue[at : at + BATCH]
-            sizes = np.array([min(WINDOW, n + PAD) for n, _, _ in part])
+            sizes = np.array([min(WINDOW, n + PAD) for n, *_ in part])
             ids = np.zeros((len(part), sizes[0]), np.int16)
-            for i, (n, d, s) in enumerate(part):
+            for i, (n, d, s, _) in enumerate(part):
                 if d not in known:
                     known[d] = symbols(texts[d])
                 ids[i, :n] = known[d][s : s + n]
@@ -304,10 +310,9 @@ class Tagger:
         # Else they would stay beside what decoding takes.
         del room, ids, e
         self._read(waiting, found)
-        return found
 
-    def _read(self, windows: list[tuple[tuple[int, int, int], np.ndarray]], found: list) -> None:
-        """Decode windows ((length, text, start), emissions (T, K)), the longest first, and add their spans to found."""
+    def _read(self, windows: list[tuple[tuple[int, int, int, bytes], np.ndarray]], found: dict[bytes, list]) -> None:
+        """Decode windows ((length, text, start, key), emissions (T, K)), the longest first, and add their spans to found."""
         if not windows:
             return
         e = np.zeros((len(windows[0][1]), len(windows), TAGS), np.float32)
@@ -316,7 +321,7 @@ class Tagger:
             e[: len(own), j] = own
         tags, sure = self.decode(e)
         for j in np.flatnonzero((tags > 0).any(axis=0)):
-            n, d, s = windows[j][0]
+            n, _, _, key = windows[j][0]
             col, p, t = tags[:n, j], sure[:n, j], 0
             while t < n:
                 if not col[t]:
@@ -325,15 +330,15 @@ class Tagger:
                 end = t + 1
                 while end < n and col[end] == col[t] + 1:
                     end += 1
-                found[d].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, s + t, s + end, s, s + n))
+                found[key].append((float(p[t:end].min()), (int(col[t]) - 1) // 2, t, end))
                 t = end
 
 
-def _one_and_tanh(x: np.ndarray) -> None:
-    """1 + tanh(x) in place of -2x."""
-    np.exp(x, out=x)
-    x += 1
-    np.divide(2, x, out=x)
+def _squash(x: np.ndarray, room: np.ndarray) -> None:
+    """x / (1 + |x|) in place."""
+    np.abs(x, out=room)
+    room += 1
+    x /= room
 
 
 def _ahead(ids: np.ndarray, a: int, b: int, k: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
