@@ -1,7 +1,9 @@
 """Alignment files as tables: (aln_id, taxon_idx, taxon_id, seq), one row per taxon in the file's order.
 
 Formats: fasta, nexus (interleaved or wrapped, with comments, matchchar; ntax and nchar are checked), phylip (sequential or
-interleaved), clustal and stockholm. A taxon twice in a block raises; FASTA and PHYLIP keep such rows apart. Files are read whole by Spark, one alignment each, so a directory or a glob is many alignments at once.
+interleaved), clustal and stockholm. A taxon twice in a block raises; FASTA and PHYLIP keep such rows apart. A file is one
+alignment, so a directory or a glob is many alignments at once. FASTA is read in splits, by as many tasks as a file has; a
+file of another format is read whole by one.
 """
 
 from __future__ import annotations
@@ -9,22 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "aln_id string, taxon_idx int, taxon_id string, seq string"
-
+from .shared import written
 
-def parse_fasta(text: str) -> list[tuple[str, str]]:
-    out: list[tuple[str, list[str]]] = []
-    for line in text.splitlines():
-        if line.startswith(">"):
-            out.append(((line[1:].split() or [""])[0], []))
-        elif line.strip():
-            if not out:
-                raise ValueError("a FASTA file starts with >")
-            out[-1][1].append("".join(line.split()))
-    return [(name, "".join(parts)) for name, parts in out]
+#: What ends a line, and what is blank, as classes of a pattern.
+_ENDS, _BLANK = r"\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029", r"\s\x1C-\x1F"
+SCHEMA = "aln_id string, taxon_idx int, taxon_id string, seq string"
 
 
 def parse_nexus(text: str) -> list[tuple[str, str]]:
@@ -131,14 +125,18 @@ def parse_stockholm(text: str) -> list[tuple[str, str]]:
     return _blocks(_cut(text.partition("//")[0]))
 
 
-FORMATS = {"fasta": parse_fasta, "nexus": parse_nexus, "phylip": parse_phylip, "clustal": parse_clustal, "stockholm": parse_stockholm}
+#: Formats of whole files, with their parsers.
+WHOLE = {"nexus": parse_nexus, "phylip": parse_phylip, "clustal": parse_clustal, "stockholm": parse_stockholm}
+FORMATS = ["fasta", *WHOLE]
 
 
 def read_alignment(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFrame:
     """The alignments at path; aln_id is the file's path. Rows of unequal length in a file raise an error."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; one of {', '.join(FORMATS)}")
-    parse = FORMATS[fmt]
+    if fmt == "fasta":
+        return read_fasta(spark, path)
+    parse = WHOLE[fmt]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -154,6 +152,41 @@ def read_alignment(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFr
     return files.mapInPandas(run, SCHEMA)
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """The alignments of FASTA files at path, each split of a file read by a task of its own.
+
+    Spark's text reader cuts a file where a line that starts with > follows another; a split that begins within a record goes on
+    to the next one. A record's place in its file is the number of records in the splits before and its place in its split. The
+    records are written once to the shared folder, so that places stay the same when executors go.
+
+    Blank lines count for nothing, a file without a record has no row, text before the first record raises.
+    """
+    line = F.regexp_extract("text", f"^[^{_ENDS}]*", 0)
+    parts = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("aln_id"), F.input_file_block_start().alias("split"), "value")
+    # Lines may end in other ways too.
+    cut = parts.select("aln_id", "split", F.explode(F.split("value", f"[{_ENDS}]>")).alias("text"))
+    rows = cut.select("aln_id", "split", F.monotonically_increasing_id().alias("row"), line.alias("line"), F.regexp_replace(F.substr("text", F.length(line) + 1), f"(?U)[{_BLANK}]+", "").alias("seq"))
+    rows = written(rows.withColumn("blank", ~F.col("line").rlike(f"(?U)[^{_BLANK}]") & (F.col("seq") == "")), "fasta")
+    # One row a split. A file begins with > or with blank lines, which make a part that is no record.
+    splits = rows.groupBy("aln_id", "split").agg(
+        F.count("*").alias("n"), F.min("row").alias("first"), F.min_by(F.struct("blank", F.col("line").startswith(">").alias("marked")), "row").alias("head"), F.count_if("blank").alias("blanks"), F.min(F.when(~F.col("blank"), F.length("seq"))).alias("least"), F.max(F.when(~F.col("blank"), F.length("seq"))).alias("most")
+    )
+    file = Window.partitionBy("aln_id")
+    head, none = F.min_by("head", "split").over(file), F.lit(0).cast("long")
+    splits = splits.select("aln_id", "split", "first", F.coalesce(F.sum("n").over(file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), none).alias("before"), head.alias("head"), F.sum("blanks").over(file).alias("blanks"), F.min("least").over(file).alias("least"), F.max("most").over(file).alias("most"))
+    empty = F.col("blanks") - F.col("head.blank").cast("long")
+    fault = F.when(~F.col("head.blank") & ~F.col("head.marked"), ": a FASTA file starts with >").when((F.col("least") != F.col("most")) | (empty > 0) & (F.col("most") > 0), ": rows of unequal length")
+    splits = splits.select("aln_id", "split", "first", "before", F.col("head.blank").alias("skips"), F.concat("aln_id", fault).alias("fault"))
+    all_rows = rows.join(splits, ["aln_id", "split"]).withColumn("at", F.col("before") + F.col("row") - F.col("first"))
+    own = F.when(F.col("at") == 0, F.substr("line", F.lit(2))).otherwise(F.col("line"))
+    name = F.regexp_extract(own, f"(?U)^[{_BLANK}]*([^{_BLANK}]*)", 1)
+    up = F.upper("seq")
+    # A letter whose capital form is longer stays, so rows keep their length.
+    each = F.array_join(F.transform(F.split("seq", ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    seq = F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault"))).when(F.length(up) == F.length("seq"), up).otherwise(each)
+    return all_rows.filter(~((F.col("at") == 0) & F.col("skips"))).select("aln_id", (F.col("at") - F.col("skips").cast("long")).cast("int").alias("taxon_idx"), name.alias("taxon_id"), seq.alias("seq"))
+
+
 def capital(s: str) -> str:
     """s in capitals, character by character: one whose capital form is longer stays, so rows keep their length."""
     up = s.upper()

@@ -163,3 +163,16 @@ def prune_matrix(x: np.ndarray, n: int, algorithm: str = "wasserstein", most: in
             record(float(chi2.sum()), int((chi2 > null.tau).sum()))
         reason = f"reached --max_residue_pruned cap ({most})" if len(alive) else "no columns left"
     return {"log": log, "before": before, "after": chi2, "alive": alive, "reason": reason, "recomputes": used, "null": first, "last": null}
+
+
+def parse_fasta(text: str) -> list[tuple[str, str]]:
+    """(name, residues in capitals) of the records of a FASTA file's text, read line by line."""
+    out: list[tuple[str, list[str]]] = []
+    for line in text.splitlines():
+        if line.startswith(">"):
+            out.append(((line[1:].split() or [""])[0], []))
+        elif line.strip():
+            if not out:
+                raise ValueError("a FASTA file starts with >")
+            out[-1][1].append("".join(line.split()))
+    return [(name, "".join(parts)) for name, parts in out]

@@ -87,7 +87,7 @@ def test_parsers_agree():
     rows = [("one", "ACGTAAAA"), ("two", "ACGACAAA"), ("thr ee", "--GTGGGG")]
     assert files.parse_nexus(NEXUS) == rows
     plain = [(n.replace(" ", "_"), s) for n, s in rows]
-    assert files.parse_fasta("".join(f">{n} x\n{s[:4]}\n{s[4:]}\n" for n, s in plain)) == plain
+    assert an.parse_fasta("".join(f">{n} x\n{s[:4]}\n{s[4:]}\n" for n, s in plain)) == plain
     assert files.parse_phylip("3 8\n" + "".join(f"{n} {s}\n" for n, s in plain)) == plain
     assert files.parse_stockholm("# STOCKHOLM 1.0\n" + "".join(f"{n} {s}\n" for n, s in plain) + "//\n") == plain
     assert files.parse_clustal("CLUSTAL W\n\n" + "".join(f"{n} {s}\n" for n, s in plain) + "   ***\n") == plain
@@ -177,7 +177,7 @@ def test_cli_writes_reports(spark, tmp_path):
     log = [line.split("\t") for line in (tmp_path / made[1]).read_text().splitlines()]
     assert log[0] == report.LOG_HEADER and [(int(r[0]), int(r[1])) for r in log[1:]] == [r[:2] for r in want["log"]]
     assert want["log"] and np.allclose([[float(v) for v in r[2:7]] for r in log[1:]], [r[2:7] for r in want["log"]]) and {r[7] for r in log[1:]} == {"squared"}
-    rows = files.parse_fasta((tmp_path / made[0]).read_text())
+    rows = an.parse_fasta((tmp_path / made[0]).read_text())
     assert rows == [(f"t{i}", "".join("ACGT"[x[i, j]] for j in want["alive"])) for i in range(6)]
     changes = [line.split("\t") for line in (tmp_path / made[2]).read_text().splitlines()]
     z = an.robust(want["before"], want["null"].pool)
