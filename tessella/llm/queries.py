@@ -22,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def substring_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_units(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -75,5 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_pii, op4_language_id, op5_toxicity, op6_media_columns, op7_byte_bpe, op8_url_filter, op9_simhash, op10_best_fit_packing, op11_license_scan, op12_vector_codes, op13_phrase_collocations, pipeline)}
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op8_url_filter": urls.SQL, "op11_license_scan": licenses.SQL, "op12_vector_codes": codes.SQL, "op13_phrase_collocations": phrases.SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_pii, op4_language_id, op5_toxicity, op6_media_columns, op7_byte_bpe, op8_url_filter, op9_simhash, op10_best_fit_packing, op11_license_scan, op12_vector_codes, op13_phrase_collocations, substring_dedup_lines, pipeline)}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "substring_dedup_lines": substrings.SQL, "op8_url_filter": urls.SQL, "op11_license_scan": licenses.SQL, "op12_vector_codes": codes.SQL, "op13_phrase_collocations": phrases.SQL}
