@@ -5,11 +5,11 @@ n-grams (with word edges), from the longest length to the shortest, and takes th
 the first length at which any is known. A text's language has the highest sum over its words.
 
 Learning uses rows with a text, a lang and a fold other than 0, about `most_rows` of each language, chosen by a hash of
-doc_id, so a rare language is learned however large the corpus is. N-gram tables are made of all their words; words seen
-`OFTEN` times or more are known as such, and others are left to their n-grams.
+doc_id, so a rare language is learned however large the corpus is. All their words are known, and n-gram tables are made
+of them. So the sample's bound bounds the model, which each worker holds.
 
 Defined results: null text or one without a letter gives `und`, score 0; any other text gets a language, if there is
-something to learn from. Ties go to the language that sorts first, with an equal share as score if no n-gram is known. Rows that repeat come back once each. Other columns are ignored.
+something to learn from. Every word of a text counts, however long the text. Ties go to the language that sorts first, with an equal share as score if no n-gram is known. Rows that repeat come back once each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ._common import batches_of, fold, kept, prepare
 
-#: Rows of each language that are learned from, about; the longest n-gram; how often the sample has a word that is known.
-MOST_ROWS, LONGEST, OFTEN = 750, 5, 2
+#: Rows of each language that are learned from, about; the longest n-gram.
+MOST_ROWS, LONGEST = 500, 5
 #: Words of evidence at which the score stops growing.
 EVIDENCE = 12
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +40,7 @@ class Model:
         self.langs, self.rows, self.words, self.grams = langs, rows, words, grams
 
     @classmethod
-    def fit(cls, counts: list[tuple[str, str, int]], longest: int = LONGEST, often: int = OFTEN) -> Model:
+    def fit(cls, counts: list[tuple[str, str, int]], longest: int = LONGEST) -> Model:
         """counts: (lang, word, n)."""
         langs = sorted({x[0] for x in counts})
         if not langs:
@@ -59,14 +59,11 @@ class Model:
             for k in range(1, longest + 1):
                 for i in range(len(edged) - k + 1):
                     add(tables[k], edged[i : i + k], at[lang], weight)
-        times: dict[str, int] = {}
-        for _, word, n in counts:
-            times[word] = times.get(word, 0) + n
-        tables[0] = {w: x for w, x in tables[0].items() if times[w] >= often}
         rows, places, first = [], [], 0
         for t in tables:
-            x = np.array(list(t.values()), np.float64).reshape(-1, len(langs)) + 0.1
-            rows.append(np.log(x / x.sum(axis=0)))
+            x = np.array(list(t.values()), np.float64).reshape(-1, len(langs))
+            # Exact sums, so equal counts in equal tables tie.
+            rows.append(np.log((x + 0.1) / (np.array([math.fsum(c) for c in x.T]) + 0.1 * len(t))))
             places.append({key: first + i for i, key in enumerate(t)})
             first += len(t)
         return cls(langs, np.concatenate(rows), places[0], places[1:])
