@@ -82,11 +82,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it cuts lineage, is computed once, and outlives executors."""
+def table(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Write df to the shared folder and read it back: it cuts lineage, is computed once, and outlives executors. options
+    are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

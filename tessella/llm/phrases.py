@@ -113,7 +113,8 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
 
     prepare(docs.sparkSession)
     got = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    return table(got.mapInArrow(run, SHARDS), "phrase-shards")
+    # A shard is a row of megabytes, so each is a row group of its own: Spark's reader and writer hold one row group at least.
+    return table(got.mapInArrow(run, SHARDS), "phrase-shards", **{"parquet.block.row.count.limit": 1})
 
 
 def suffixes(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -234,3 +234,14 @@ def test_products_beyond_64_bits(spark):
     got = {r["phrase"]: r for r in phrases.scored(often).collect()}
     assert got["a b"]["score"] == 2000000 * (big - 1) // (2 * big + 7) and "b c" in got
     assert "a b" not in {r["phrase"] for r in phrases.scored(often.union(spark.createDataFrame([("en", "a b d", big * 4 // 5 + 1), ("en", "b d", big), ("en", "d", big)], often.schema))).collect()}
+
+
+def test_a_shard_is_a_row_group_of_its_own(spark, tmp_path):
+    """Spark reads and writes a row group's rows in one buffer, and shards are rows of megabytes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(f"one two three four five six {i}", "en") for i in range(300)], "text string, lang string").coalesce(1)
+    made = phrases.shards(docs, 200)
+    held = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    assert sum(m.num_rows for m in held) > 5
+    assert all(m.row_group(i).num_rows == 1 for m in held for i in range(m.num_row_groups))
