@@ -1,6 +1,7 @@
 """FASTA files read in splits against a parser that goes line by line."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.sources import files
 
@@ -67,3 +68,18 @@ def test_many_files(spark, tmp_path):
     got = rows(spark, tmp_path, 100)
     for name, text in texts.items():
         assert [r[1:] for r in got if r[0].endswith(name)] == wanted(text)
+
+
+def test_document_sequences_without_cutting_texts(spark, tmp_path):
+    """The same as letters put together again, for odd letters, empty texts and ids that several rows share or that are null."""
+    from tessella.functions.alphabet import PROTEIN
+    from tessella.sources import report
+    from tessella.sources import tables as src
+
+    texts = [(1, "Acdıſßﬁ \n\r x-\U0001f600k" * 9), (2, ""), (3, None), (4, "acd"), (4, "wxyzw"), (None, "aa"), (None, "ccc"), (5, "  "), (6, "b\u0000J")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    letters = src.documents_letters(spark, str(tmp_path))
+    letters = letters.withColumn("residue", F.when(F.col("residue").isin(*PROTEIN), F.col("residue")).otherwise("-"))
+    made = src.documents_sequences(spark, str(tmp_path))
+    got = sorted(map(str, made.collect()))
+    assert len(got) == 5 and got == sorted(map(str, report.sequences(letters).collect()))
