@@ -9,6 +9,8 @@ from tessella.operators import composition as comp
 from tessella.operators import delta, null
 from tessella.operators import tiles as tile
 from tessella.plans import pruning
+from tessella.sources import tables
+from tessella.sources.shared import written
 
 from . import brute
 
@@ -214,3 +216,35 @@ def test_folds_of_ones_own():
         del delta.FOLDS["root"]
     with pytest.raises(ValueError, match="unknown scorer"):
         delta.checked("root")
+
+
+def test_counts_are_not_what_is_sent_to_all_tasks(spark):
+    """Totals are one row a matrix; Spark took them for larger than the counts and broadcast those."""
+    o = written(spark.range(5000).selectExpr("'a' AS aln_id", "cast(id AS int) AS taxon_idx", "array(id, id + 1, id * 7 % 11, 3L) AS o"), "counts")
+    plan = comp.fudged(o, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_a_tile_meets_its_own_taxa_only(spark):
+    n = tile.TAXA + 500
+    f = spark.range(n).selectExpr("'a' AS aln_id", "cast(id AS int) AS taxon_idx", "array(id, 1L, 2L, 3L) AS o", f"array({n * (n - 1) // 2}L, {n}L, {2 * n}L, {3 * n}L) AS tc")
+    got = {r["of_block"]: np.frombuffer(r["counts"], np.int32).reshape(-1, 4) for r in tile._own(f, 4).collect()}
+    assert {k: len(v) for k, v in got.items()} == {0: tile.TAXA, 1: 500}
+    assert (np.concatenate([got[0], got[1]])[:, 0] == np.arange(n)).all()
+
+
+def test_a_task_orders_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100)
+    made = tables._dealt(spark.range(1000).selectExpr("id % 97 AS k", "id AS i"), "k")
+    ranked = made.selectExpr("k", "row_number() OVER (PARTITION BY k ORDER BY i) AS i")
+    assert ranked.rdd.getNumPartitions() == 11
+
+
+def test_cells_are_the_same_whether_taxa_are_sent_or_dealt(spark, monkeypatch):
+    letters = spark.range(600).selectExpr("'a' AS aln_id", "id % 50 AS taxon_id", "cast(id div 50 AS int) AS col_idx", "substr('ACGT-', cast(id % 5 + 1 AS int), 1) AS residue")
+    want = sorted(map(tuple, tables.cells(letters, "ACGT").collect()))
+    monkeypatch.setattr(tables, "ROWS", 100)
+    monkeypatch.setattr(tables, "SENT", 10)
+    got = tables.cells(letters, "ACGT")
+    assert len(want) == 600 and sorted(map(tuple, got.collect())) == want
+    assert len(got.inputFiles()) == 7
