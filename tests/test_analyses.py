@@ -242,3 +242,18 @@ def test_one_batch_of_a_biased_alignment(spark):
     kept = np.delete(x, order[: len(got)], axis=1)
     before, after = (float(an.matrix_chi2(an.bump(an.matrix_counts(y, 20))).sum()) for y in (x, kept))
     assert np.allclose([got[0]["initial_score"], got[0]["global_chi2"]], [before, after])
+
+
+def test_density_works_out_its_values_once(spark):
+    """What is read twice, behind a filter, comes from a table and not from the values' own plan."""
+    from tessella.operators import composition as comp
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i % 17 + 1)
+
+    values = spark.range(200).select(F.lit("a").alias("aln_id"), value("id").alias("chi2"))
+    assert comp.density(values, 8).count() == 8 and seen.value == 200
