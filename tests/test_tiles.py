@@ -248,3 +248,11 @@ def test_cells_are_the_same_whether_taxa_are_sent_or_dealt(spark, monkeypatch):
     got = tables.cells(letters, "ACGT")
     assert len(want) == 600 and sorted(map(tuple, got.collect())) == want
     assert len(got.inputFiles()) == 7
+
+
+def test_half_a_million_taxa_are_sent_to_the_letters(spark, monkeypatch):
+    """Dealing letters out to many partitions holds all of a task's letters in memory."""
+    letters = spark.range(540_000).selectExpr("'a' AS aln_id", "id AS taxon_id", "0 AS col_idx", "substr('ACGT', cast(id % 4 + 1 AS int), 1) AS residue")
+    monkeypatch.setattr(type(letters), "repartition", None)
+    got = tables.cells(letters, "ACGT")
+    assert got.agg({"taxon_idx": "max"}).first()[0] == 539_999 and got.filter("code <> taxon_idx % 4").isEmpty()
