@@ -338,6 +338,29 @@ def test_toxicity_searches_all_terms():
             assert np.allclose([c for c, _ in near], [full[j] for _, j in near])
 
 
+def test_toxicity_reads_blocks_side_by_side_as_one_stretch():
+    """A term's postings in neighbouring blocks are found by two places, not by two for each block."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    texts = [" ".join(rng.sample(words, 12)) for _ in range(400)]
+    index = toxicity.Index.fit(texts, [i % 2 for i in range(400)])
+    toxicity.COMMON, kept = 0, toxicity.COMMON
+    index = toxicity.Index(index.vocabulary, [index.arrays(texts[i]) for i in index.ids], [i % 2 for i in index.ids], 0.5, index.ids, 4)
+    toxicity.COMMON = kept
+    dense, at, begin, read = index.dense, index.arrays(" ".join(words[:40])), index.begin, []
+
+    class Begin:
+        def __getitem__(self, i):
+            read.append(np.size(i))
+            return begin[i]
+
+    index.begin = Begin()
+    near = index.search([at], 200)[0]
+    full = at[1] @ dense[at[0]]
+    assert np.allclose([c for c, _ in near], np.sort(full)[::-1][: len(near)]) and len(near) == 200
+    assert sum(read) < len(at[0]) * index.blocks
+
+
 def test_media(spark, none):
     rng = random.Random(6)
     noise = lambda n: "".join(rng.choice("abcdefgh éß") for _ in range(n))
