@@ -6,7 +6,7 @@ import pytest
 
 from tessella.functions import keyed
 from tessella.operators import composition as comp
-from tessella.operators import delta, null
+from tessella.operators import delta, null, ranks
 from tessella.operators import tiles as tile
 from tessella.plans import pruning
 from tessella.sources import tables
@@ -256,3 +256,34 @@ def test_half_a_million_taxa_are_sent_to_the_letters(spark, monkeypatch):
     monkeypatch.setattr(type(letters), "repartition", None)
     got = tables.cells(letters, "ACGT")
     assert got.agg({"taxon_idx": "max"}).first()[0] == 539_999 and got.filter("code <> taxon_idx % 4").isEmpty()
+
+
+def test_many_quantiles_cost_a_value_no_more(spark):
+    """Exact at 200 positions, and the plan of 200 is no longer than that of 20 but for the list of positions."""
+    rng = np.random.default_rng(13)
+    groups = {"one": rng.normal(size=1), "two": rng.normal(size=2), "ties": rng.integers(0, 3, 7) * 1.0, "even": rng.normal(size=202), "many": rng.normal(size=3000)}
+    made = ranks.ranked(spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double"), ["g"], "v")
+    asked = {k: ranks.at_positions(made, ["g"], "v", comp.positions(k)) for k in (20, 200)}
+    for k, df in asked.items():
+        got = {r.g: r.q for r in df.collect()}
+        assert all(np.allclose(got[g], np.quantile(x, comp.positions(k)), atol=1e-12) for g, x in groups.items())
+    floors = {k: df._jdf.queryExecution().optimizedPlan().toString().lower().count("floor") for k, df in asked.items()}
+    assert floors[20] == floors[200]
+
+
+@pytest.mark.parametrize("wide", [1 << 19, 100])
+def test_columns_hold_all_taxa(spark, monkeypatch, wide):
+    """A row of counts meets as many tiles of few sites however many blocks of taxa the matrix had."""
+    for name, value in (("SITES", 16), ("TAXA", 5), ("WIDE", wide), ("LEAST", 4)):
+        monkeypatch.setattr(tile, name, value)
+    mats = {"a": random_matrix(5, 12, 40), "b": random_matrix(6, 3, 7)}
+    got = tile.columns(tile.tiles(cells_of(spark, mats), 4), 4).collect()
+    assert len(got) == (4 if wide > 100 else 6)
+    for name, x in mats.items():
+        seen = {}
+        for r in [r for r in got if r.aln_id == name]:
+            assert r.taxa == r.total_taxa == len(x) and r.first_taxon == 0
+            codes, gone = np.frombuffer(r.data, np.int8).reshape(len(x), -1), np.frombuffer(r.gone, np.int64).reshape(-1, 4)
+            for i, j in enumerate(np.frombuffer(r.sites, np.int32)):
+                seen[int(j)] = codes[:, i].tolist(), gone[i].tolist()
+        assert seen == {j: (x[:, j].tolist(), [int((x[:, j] == c).sum()) for c in range(4)]) for j in range(x.shape[1])}
