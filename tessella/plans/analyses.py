@@ -22,6 +22,7 @@ from . import pruning
 from .pruning import ALGORITHMS
 
 PRUNE_SCHEMA = "aln_id string, kind string, seq long, iteration int, original_index int, global_chi2 double, initial_score double, delta double, significant_taxa int, null_p double, algorithm string, taxon_id string, before_z double, before_p double, after_z double, after_p double, delta_z double, text string, values array<double>"
+KINDS = ("log", "score", "sequence", "summary", "before_real", "after_real", "before_permuted", "null_max_deltas")
 
 
 def alphabets(taxa: DataFrame) -> Iterator[tuple[DataFrame, int]]:
@@ -58,19 +59,23 @@ def one_batch(made: DataFrame, n_states: int, top_n: int, permutations: int = 10
     return batch.join(end, "aln_id")
 
 
-def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1) -> DataFrame:
+def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Prune every alignment of taxa (aln_id, taxon_idx, taxon_id, seq); rows of kind log, score, sequence
-    and summary, and the vectors before_real, after_real, before_permuted (a row a permutation) and null_max_deltas."""
+    and summary, and the vectors before_real, after_real, before_permuted (a row a permutation) and null_max_deltas.
+    Rows of other kinds than those asked for are not worked out.
+
+    The sequences are written, as several steps read them, each side by side."""
     s = pruning.Settings(algorithm, max_residue_pruned, permutations, top_n, delta_null, recomputes)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
     parts = []
+    taxa = written(taxa.select("aln_id", "taxon_idx", "taxon_id", "seq").repartition(tile.DEALT, "aln_id", "taxon_idx"), "sequences")
     for made, n in alphabets(taxa):
         # The null's pool has permutations x taxa scores; small pools have fewer quantiles. MOST_QUANTILES groups at most.
         k = F.least(F.lit(pruning.MOST_QUANTILES), F.col("total_taxa") * permutations)
         for r in made.select(k.alias("k")).distinct().collect():
             own = made.filter(k == r["k"])
-            parts.append(_rows(taxa.join(own.select("aln_id").distinct(), "aln_id", "left_semi"), pruning.prune_tiles(own, n, s, r["k"]), algorithm))
+            parts.append(_rows(taxa.join(own.select("aln_id").distinct(), "aln_id", "left_semi"), pruning.prune_tiles(own, n, s, r["k"]), algorithm, kinds))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -100,8 +105,8 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return null.join(rest, "aln_id")
 
 
-def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str) -> DataFrame:
-    """A prune's results as rows of PRUNE_SCHEMA."""
+def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str, kinds: tuple[str, ...]) -> DataFrame:
+    """A prune's results of the kinds asked for as rows of PRUNE_SCHEMA."""
     from pyspark.sql import Window
 
     columns = [c.split() for c in PRUNE_SCHEMA.split(", ")]
@@ -113,18 +118,23 @@ def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str) -> DataFrame:
     # A parameter bounds an alignment's log (cap and batch), its control row and its permutations.
     at = F.row_number().over(Window.partitionBy("aln_id").orderBy("version", "rank")) - 1
     log = got.log.select("aln_id", at.alias("seq"), F.col("turn").alias("iteration"), F.col("col_idx").alias("original_index"), "global_chi2", F.col("score").alias("initial_score"), "delta", F.col("biased").alias("significant_taxa"), F.col("p").alias("null_p"), F.lit(algorithm).alias("algorithm"))
-    names = taxa.select("aln_id", "taxon_idx", "taxon_id")
-    score = scores(got).join(names, ["aln_id", "taxon_idx"]).withColumn("seq", F.col("taxon_idx"))
+
+    def score() -> DataFrame:
+        return scores(got).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"]).withColumn("seq", F.col("taxon_idx"))
+
+    def end() -> DataFrame:
+        left = got.after.join(nulls.threshold(got.before, got.null), "aln_id").groupBy("aln_id").agg(F.count_if(F.col("chi2") > F.col("tau")).alias("significant_taxa"))
+        return got.ends.join(left, "aln_id").select("aln_id", F.lit(0).alias("seq"), F.col("reason").alias("text"), F.col("used").alias("iteration"), "significant_taxa")
+
     gone = got.removed.groupBy("aln_id").agg(F.collect_set("col_idx").alias("gone"))
     kept = F.filter(F.split("seq", ""), lambda c, i: ~F.array_contains("gone", i))
     sequence = taxa.join(gone, "aln_id", "left").select("aln_id", F.col("taxon_idx").alias("seq_"), "taxon_id", F.when(F.col("gone").isNull(), F.col("seq")).otherwise(F.array_join(kept, "")).alias("text")).withColumnRenamed("seq_", "seq")
-    tau = nulls.threshold(got.before, got.null)
-    left = got.after.join(tau, "aln_id").groupBy("aln_id").agg(F.count_if(F.col("chi2") > F.col("tau")).alias("significant_taxa"))
-    end = got.ends.join(left, "aln_id").select("aln_id", F.lit(0).alias("seq"), F.col("reason").alias("text"), F.col("used").alias("iteration"), "significant_taxa")
     vector = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c])
-    out = [shaped(log, "log"), shaped(score, "score"), shaped(sequence, "sequence"), shaped(end, "summary")]
-    for kind, chi2 in (("before_real", got.before), ("after_real", got.after)):
-        out.append(shaped(chi2.withColumn("at", F.col("taxon_idx")).groupBy("aln_id").agg(vector("chi2").alias("values")).withColumn("seq", F.lit(0)), kind))
-    out.append(shaped(got.null.withColumn("at", F.col("taxon_idx")).groupBy("aln_id", "perm").agg(vector("chi2").alias("values")).withColumn("seq", F.col("perm")), "before_permuted"))
+
+    def chi2_of(chi2: DataFrame, *by: str) -> DataFrame:
+        return chi2.withColumn("at", F.col("taxon_idx")).groupBy("aln_id", *by).agg(vector("chi2").alias("values")).withColumn("seq", F.col("perm") if by else F.lit(0))
+
     deep = got.sums.filter("max_delta IS NOT NULL").withColumn("at", F.col("perm")).groupBy("aln_id").agg(vector("max_delta").alias("values")).withColumn("seq", F.lit(0))
-    return reduce(DataFrame.unionByName, [*out, shaped(deep, "null_max_deltas")])
+    # Ranks are written as soon as they are asked for.
+    each = (lambda: log, score, lambda: sequence, end, lambda: chi2_of(got.before), lambda: chi2_of(got.after), lambda: chi2_of(got.null, "perm"), lambda: deep)
+    return reduce(DataFrame.unionByName, [shaped(make(), kind) for kind, make in zip(KINDS, each) if kind in kinds])

@@ -257,3 +257,15 @@ def test_density_works_out_its_values_once(spark):
 
     values = spark.range(200).select(F.lit("a").alias("aln_id"), value("id").alias("chi2"))
     assert comp.density(values, 8).count() == 8 and seen.value == 200
+
+
+def test_prune_makes_only_the_kinds_asked_for(spark, monkeypatch):
+    """The log alone is the log of the whole, and the scores' ranks are not worked out for it."""
+    x = np.random.default_rng(4).integers(0, 4, (6, 40)).astype(np.int8)
+    x[0] = np.where(np.arange(40) % 4 > 0, 0, x[0])
+    taxa = spark.createDataFrame([("a", i, f"t{i}", "".join("ACGT"[c] for c in r)) for i, r in enumerate(x)], files.SCHEMA)
+    monkeypatch.setattr(analyses, "scores", lambda got: pytest.fail("scores were worked out"))
+    got = analyses.prune(taxa, "squared", 2, 10, delta_null=False, kinds=("log", "sequence")).collect()
+    want = an.prune_matrix(x, 4, "squared", 2, 10, delta_null=False)
+    assert {r.kind for r in got} <= {"log", "sequence"} and sum(r.kind == "sequence" for r in got) == 6
+    assert [r.original_index for r in sorted((r for r in got if r.kind == "log"), key=lambda r: r.seq)] == [r[1] for r in want["log"]] != []
