@@ -59,10 +59,11 @@ def one_batch(made: DataFrame, n_states: int, top_n: int, permutations: int = 10
     return batch.join(end, "aln_id")
 
 
-def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def prune(taxa: DataFrame, algorithm: str = "wasserstein", max_residue_pruned: int | None = 100, permutations: int = 100, top_n: int = 1, delta_null: bool = True, recomputes: int | None = 1, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Prune every alignment of taxa (aln_id, taxon_idx, taxon_id, seq); rows of kind log, score, sequence
     and summary, and the vectors before_real, after_real, before_permuted (a row a permutation) and null_max_deltas.
-    Rows of other kinds than those asked for are not worked out.
+    Rows of other kinds than those asked for are not worked out. Without a max_residue_pruned (None) it goes on until the
+    alignment or its best site is no longer significant, or no column is left.
 
     The sequences are written, as several steps read them, each side by side."""
     s = pruning.Settings(algorithm, max_residue_pruned, permutations, top_n, delta_null, recomputes)
@@ -107,17 +108,13 @@ def run_summary(rows: DataFrame) -> DataFrame:
 
 def _rows(taxa: DataFrame, got: pruning.Pruned, algorithm: str, kinds: tuple[str, ...]) -> DataFrame:
     """A prune's results of the kinds asked for as rows of PRUNE_SCHEMA."""
-    from pyspark.sql import Window
-
     columns = [c.split() for c in PRUNE_SCHEMA.split(", ")]
 
     def shaped(df: DataFrame, kind: str) -> DataFrame:
         df = df.withColumn("kind", F.lit(kind))
         return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
 
-    # A parameter bounds an alignment's log (cap and batch), its control row and its permutations.
-    at = F.row_number().over(Window.partitionBy("aln_id").orderBy("version", "rank")) - 1
-    log = got.log.select("aln_id", at.alias("seq"), F.col("turn").alias("iteration"), F.col("col_idx").alias("original_index"), "global_chi2", F.col("score").alias("initial_score"), "delta", F.col("biased").alias("significant_taxa"), F.col("p").alias("null_p"), F.lit(algorithm).alias("algorithm"))
+    log = got.log.select("aln_id", "seq", F.col("turn").alias("iteration"), F.col("col_idx").alias("original_index"), "global_chi2", F.col("score").alias("initial_score"), "delta", F.col("biased").alias("significant_taxa"), F.col("p").alias("null_p"), F.lit(algorithm).alias("algorithm"))
 
     def score() -> DataFrame:
         return scores(got).join(taxa.select("aln_id", "taxon_idx", "taxon_id"), ["aln_id", "taxon_idx"]).withColumn("seq", F.col("taxon_idx"))

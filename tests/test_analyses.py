@@ -269,3 +269,22 @@ def test_prune_makes_only_the_kinds_asked_for(spark, monkeypatch):
     want = an.prune_matrix(x, 4, "squared", 2, 10, delta_null=False)
     assert {r.kind for r in got} <= {"log", "sequence"} and sum(r.kind == "sequence" for r in got) == 6
     assert [r.original_index for r in sorted((r for r in got if r.kind == "log"), key=lambda r: r.seq)] == [r[1] for r in want["log"]] != []
+
+
+def test_prune_log_full_goes_on_to_its_own_end(spark, tmp_path):
+    """No cap ends the query: the log has every site that a recount of the whole loop takes out."""
+    import pandas as pd
+
+    from tessella import registry
+    from tessella.functions.alphabet import PROTEIN
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 20, (10, 60)).astype(np.int8)
+    x[0] = np.where(rng.random(60) < 0.8, rng.integers(0, 2, 60), x[0])
+    x[1] = np.where(rng.random(60) < 0.8, rng.integers(5, 7, 60), x[1])
+    pd.DataFrame({"item_id": np.arange(10), "text": ["".join(PROTEIN[c] for c in r) for r in x]}).to_parquet(tmp_path / "benchmark.parquet")
+    want = an.prune_matrix(x, 20, most=10**6, top_n=10)
+    got = registry.QUERIES["prune_log_full"](spark, str(tmp_path)).orderBy("seq").collect()
+    assert len(want["log"]) > 30 and want["reason"].startswith("delta not significant")
+    assert [(r.seq, r.iteration, r.original_index) for r in got] == [(i, w[0], w[1]) for i, w in enumerate(want["log"])]
+    assert np.allclose([(r.global_chi2, r.initial_score, r.delta, r.significant_taxa, r.null_p) for r in got], [w[2:] for w in want["log"]])

@@ -191,6 +191,19 @@ def test_loop_with_other_scores(spark, algorithm):
     held(spark, {f"m{s}": biased(s, 11) for s in range(2)}, algorithm, 6, 20, 3, True, 1, 200)
 
 
+def test_log_put_together(spark, monkeypatch):
+    """Tables of the log put together give the batches that stand, with places from 0 on."""
+    monkeypatch.setattr(pruning, "FOLD", 2)
+    batches, stats = [], []
+    for version, turn, done, cols in ((0, 1, 0, (7, 3)), (1, 2, 2, (9, 1)), (3, 3, 2, (9,)), (4, 4, 3, (1,))):
+        rows = [("a", i + 1, c, 0.5, 2.0, 0.0, True, turn, done, version) for i, c in enumerate(cols)]
+        batches = pruning._put_together([*batches, spark.createDataFrame(rows, "aln_id string, rank int, col_idx int, delta double, score double, p double, fine boolean, turn int, done long, version int").coalesce(1)])
+        stats = pruning._put_together([*stats, spark.createDataFrame([("a", version, 10.0 * version, version)], "aln_id string, version int, total double, biased long").coalesce(1)])
+    assert len(batches) == len(stats) == 1
+    log = pruning._log(batches, [spark.createDataFrame([("a", 1)], "aln_id string, version int")], stats).collect()
+    assert sorted((r.seq, r.turn, r.col_idx, r.global_chi2) for r in log) == [(0, 1, 7, 0.0), (1, 1, 3, 0.0), (2, 3, 9, 30.0), (3, 4, 1, 40.0)]
+
+
 def test_loop_without_anything_to_do(spark):
     got = pruning.prune_tiles(tile.tiles(cells_of(spark, {"a": biased(1)}), 4), 4, pruning.Settings("squared", 0, 5))
     assert not got.log.collect() and got.ends.first().reason.startswith("reached") and got.before.collect() == got.after.collect()
